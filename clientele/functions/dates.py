@@ -8,8 +8,13 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 
+def month_number(day: Column) -> Column:
+    """Year and month as one integer: the cheap grouping key."""
+    return F.year(day) * 100 + F.month(day)
+
+
 def yyyymm(day: Column) -> Column:
-    return F.date_format(day, "yyyyMM")
+    return month_number(day).cast("string")
 
 
 def whole_years(since: Column, until: date) -> Column:

@@ -19,13 +19,15 @@ def median_of(values: list[Column]) -> Column:
     return middle(F.sort_array(F.array(*values)), len(values))
 
 
-def sorted_slopes(y: list[Column]) -> Column:
+def sorted_slopes(names: list[str]) -> Column:
     """Slopes of all lines through two of the points (0, y0) .. (n-1, yn-1), ascending.
 
-    The number of points is known when the plan is built, so the n(n-1)/2 slopes of
-    a row are plain arithmetic in generated code: no self-join and no Python worker
-    (a lambda form of the same ran about three times slower).
+    ``names`` are the double columns y0 .. yn-1. The number of points is known when
+    the plan is built, so the n(n-1)/2 slopes of a row are plain arithmetic in
+    generated code: no self-join and no Python worker (a lambda form of the same ran
+    about three times slower). Written as one expression text, which spares the
+    driver some thousand calls per plan.
     """
-    n = len(y)
-    return F.sort_array(F.array(*[(y[j] - y[i]) / F.lit(float(j - i))
-                                  for i in range(n) for j in range(i + 1, n)]))
+    slopes = [f"(`{b}` - `{a}`) / {j - i}D" for i, a in enumerate(names)
+              for j, b in enumerate(names) if i < j]
+    return F.expr(f"sort_array(array({', '.join(slopes)}))")

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from clientele.config import MEMBER, Period
-from clientele.functions.dates import whole_years, yyyymm
+from clientele.functions.dates import month_number, whole_years, yyyymm
 
 OLD, NEW = "old member", "New Joiner"
 ACTIVE, INACTIVE_P12, INACTIVE_P24 = "active_in_p12m", "Inactive P12", "Inactive P24"
@@ -25,9 +25,10 @@ def monthly_revenue(tx: DataFrame, region: str | None = None) -> DataFrame:
     """Amount and distinct invoices per member and calendar month."""
     if region is not None:
         tx = tx.filter(F.col("region_key") == region)
-    return (tx.groupBy(MEMBER, yyyymm(F.col("order_date")).alias("yyyymm"))
+    return (tx.groupBy(MEMBER, month_number(F.col("order_date")).alias("_month"))
             .agg(F.sum("net_amt_hkd").alias("rev"),
-                 F.countDistinct("invoice_no").alias("tran_no")))
+                 F.countDistinct("invoice_no").alias("tran_no"))
+            .select(MEMBER, F.col("_month").cast("string").alias("yyyymm"), "rev", "tran_no"))
 
 
 def month_amounts(months: Iterable[str]) -> list[Column]:
@@ -42,6 +43,15 @@ def cumulative_amounts(months: Iterable[str]) -> list[Column]:
             .cast("double") for m in months]
 
 
+def by_member(monthly: DataFrame) -> DataFrame:
+    """Monthly rows with each member's months in one partition.
+
+    A member has few months, so the rows are narrow and balanced; the wide
+    per-month aggregates that follow then need no shuffle of their own.
+    """
+    return monthly.filter(F.col(MEMBER).isNotNull()).repartition(MEMBER)
+
+
 def dense_monthly_grid(monthly: DataFrame, months: Iterable[str]) -> DataFrame:
     """Member x month rows without gaps.
 
@@ -51,7 +61,7 @@ def dense_monthly_grid(monthly: DataFrame, months: Iterable[str]) -> DataFrame:
     months = list(months)
     cells = [F.struct(F.lit(m).alias("yyyymm"), amount.alias("monthly_clv"))
              for m, amount in zip(months, month_amounts(months))]
-    return (monthly.filter(F.col(MEMBER).isNotNull()).groupBy(MEMBER)
+    return (by_member(monthly).groupBy(MEMBER)
             .agg(F.array(*cells).alias("_cells")).select(MEMBER, F.inline("_cells")))
 
 

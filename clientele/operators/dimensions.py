@@ -13,7 +13,8 @@ from clientele.config import (
     SUBCATEGORY_RENAMES,
 )
 from clientele.functions.labels import relabel
-from clientele.operators.skew import heavy_keys, lookup_join, spread_join
+from clientele.operators.skew import lookup_join, spread_join
+from clientele.sources.staging import staged
 
 
 def latest_per_key(df: DataFrame, keys: Iterable[str] | str, ts: str,
@@ -33,9 +34,8 @@ def latest_per_key(df: DataFrame, keys: Iterable[str] | str, ts: str,
                 .select(*keys, "_top.*").select(*df.columns))
     if ties != "all":
         raise ValueError("ties must be 'all' or 'one'")
-    top = known.groupBy(*keys).agg(F.max(ts).alias("_latest"), F.count(F.lit(1)).alias("_count"))
-    return (spread_join(known, top.drop("_count"), keys, "inner",
-                        heavy=heavy_keys(top, keys, rows="_count"))
+    top = known.groupBy(*keys).agg(F.max(ts).alias("_latest"))
+    return (spread_join(known, top, keys, "inner")
             .filter(F.col(ts) == F.col("_latest")).select(*df.columns))
 
 
@@ -65,7 +65,7 @@ def clean_locations(raw: DataFrame, overrides: Mapping[str, str] | None = None,
     shops = (raw.filter(F.col("shop_brand").isin(*brands))
              .select("shop_code", "shop_desc", "city_district",
                      F.to_date("modified_date").alias("modified_date")).distinct())
-    return classify_location(latest_per_key(shops, "shop_code", "modified_date"), overrides)
+    return classify_location(latest_per_key(staged(shops), "shop_code", "modified_date"), overrides)
 
 
 def clean_skus(raw: DataFrame) -> DataFrame:
@@ -75,7 +75,7 @@ def clean_skus(raw: DataFrame) -> DataFrame:
         "item_product_line", "item_product_line_desc", "brand_code", "retail_price_hk",
         "retail_price_tw", "maincat_key",
         F.to_date("last_modified_date").alias("last_modified_date")).distinct()
-    return latest_per_key(skus, "item_code", "last_modified_date")
+    return latest_per_key(staged(skus), "item_code", "last_modified_date")
 
 
 def enrich_sku(skus: DataFrame, main_categories: DataFrame) -> DataFrame:
@@ -95,6 +95,6 @@ def clean_subcategories(raw: DataFrame,
         "item_brand_key", "item_cat", "item_sub_cat",
         relabel(F.col("item_subcat_desc"), SUBCATEGORY_RENAMES).alias("item_subcat_desc"),
         "load_date").distinct()
-    return (latest_per_key(named, ["item_brand_key", "item_sub_cat"], "load_date")
+    return (latest_per_key(staged(named), ["item_brand_key", "item_sub_cat"], "load_date")
             .filter(~F.col("item_cat").isin(*excluded))
             .select("item_sub_cat", "item_cat", "item_brand_key", "item_subcat_desc").distinct())

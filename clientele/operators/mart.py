@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from clientele.config import MEMBER, ChannelRule
-from clientele.operators.skew import heavy_keys, lookup_join, spread_join
+from clientele.operators.skew import lookup_join, spread_join
 
 TRANSACTION_COLUMNS = (
     "region_key", "sub_region", "shop_code", "invoice_no", "item_code", "order_date",
@@ -52,11 +52,10 @@ def drop_net_zero_orders(df: DataFrame, key: str = "sales_main_key",
 
     Full returns are few, so the orders to remove are joined, not those to keep.
     """
-    totals = (df.filter(F.col(key).isNotNull()).groupBy(key)
-              .agg(F.sum(qty).alias("_total"), F.count(F.lit(1)).alias("_count")))
+    keyed = df.filter(F.col(key).isNotNull())
+    totals = keyed.groupBy(key).agg(F.sum(qty).alias("_total"))
     gone = totals.filter(F.col("_total").isNull() | (F.col("_total") == 0)).select(key)
-    return spread_join(df.filter(F.col(key).isNotNull()), gone, key, "left_anti",
-                       heavy=heavy_keys(totals, [key], rows="_count")).select(*df.columns)
+    return spread_join(keyed, gone, key, "left_anti").select(*df.columns)
 
 
 def channel_condition(rule: ChannelRule) -> Column:

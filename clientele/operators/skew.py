@@ -12,8 +12,11 @@ from functools import reduce
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-# A key is heavy from 1/HEAVY_FRACTION of all rows on, so there are at most
-# HEAVY_FRACTION heavy keys whatever the data: the list may be broadcast.
+from clientele.sources.staging import staged
+
+# A key is heavy from 1/HEAVY_FRACTION of all rows on, so there are fewer than
+# HEAVY_FRACTION heavy keys whatever the data: the list may visit the driver and
+# be broadcast.
 HEAVY_FRACTION = 1000
 # Below this many rows a key fits in a task and is left alone.
 HEAVY_ROWS = 1_000_000
@@ -24,49 +27,59 @@ BROADCAST_ROWS = 200_000
 _ROWS, _HEAVY, _SALT, _HIT = "_rows", "_heavy", "_salt", "_hit"
 
 
-def heavy_keys(df: DataFrame, on: list[str], min_rows: int | None = None,
-               rows: str | None = None) -> DataFrame:
-    """Keys holding over 1/HEAVY_FRACTION of the rows (NULL keys excluded).
+def _any_null(on: list[str]):
+    return reduce(lambda a, b: a | b, [F.col(k).isNull() for k in on])
+
+
+def heavy_keys(df: DataFrame, on: list[str], min_rows: int | None = None) -> DataFrame | None:
+    """Keys holding over 1/HEAVY_FRACTION of the rows and ``min_rows`` at least.
 
-    ``rows`` names a column of ``df`` that already counts the rows of each key.
+    NULL keys are not listed. Runs one counting job; ``None`` if no key is heavy.
     """
     min_rows = HEAVY_ROWS if min_rows is None else min_rows
-    counts = (df.select(*on, F.col(rows).alias(_ROWS)) if rows
-              else df.groupBy(*on).agg(F.count(F.lit(1)).alias(_ROWS)))
-    total = counts.agg(F.sum(_ROWS)).scalar()
-    present = reduce(lambda a, b: a & b, [F.col(k).isNotNull() for k in on])
-    return counts.filter(present & (F.col(_ROWS) >= min_rows)
-                         & (F.col(_ROWS) * HEAVY_FRACTION > total)).select(*on)
+    counts = df.groupBy(*on).agg(F.count(F.lit(1)).alias(_ROWS))
+    total = df.agg(F.count(F.lit(1)) / HEAVY_FRACTION).scalar()
+    found = counts.filter(~_any_null(on) & (F.col(_ROWS) >= min_rows)
+                          & (F.col(_ROWS) > total)).select(*on).collect()
+    return df.sparkSession.createDataFrame(found, df.select(*on).schema) if found else None
 
 
 def spread_join(facts: DataFrame, dims: DataFrame, on: list[str] | str, how: str = "left",
-                profile: DataFrame | None = None, heavy: DataFrame | None = None,
-                salts: int = SALTS, min_rows: int | None = None) -> DataFrame:
+                profile: DataFrame | None = None, salts: int = SALTS,
+                min_rows: int | None = None) -> DataFrame:
     """Join many ``facts`` to few ``dims`` per key, heavy keys split.
 
     ``how``: left, inner, left_semi, left_anti keep their meaning with ``facts``
     on the left; ``keep_dims`` also keeps dims without facts (a right join).
     ``profile`` is any cheaper frame with the same key distribution (say the raw
-    scan below ``facts``); not for ``keep_dims``, where it must be ``facts``.
-    Rows of ``facts`` should be distinct: copies share a salt.
+    scan below ``facts``); not for ``keep_dims``, where the keys of ``facts``
+    themselves are counted. Rows of ``facts`` should be distinct: copies share a salt.
     """
     on = [on] if isinstance(on, str) else list(on)
     if how not in ("left", "inner", "left_semi", "left_anti", "keep_dims"):
         raise ValueError(f"unsupported join type {how!r}")
-    if how == "keep_dims" and (profile is not None or heavy is not None):
+    if how == "keep_dims" and profile is not None:
         raise ValueError("keep_dims counts the keys of facts itself")
+    heavy = heavy_keys(facts if profile is None else profile, on, min_rows)
+    if heavy is None and how == "keep_dims":
+        return dims.join(facts, on, "left")
+    if heavy is None and how in ("inner", "left_semi"):
+        return facts.join(dims, on, how)
+
+    # Lines without a key match nothing, yet a left join would gather them in one task.
+    salt = F.when(_any_null(on), F.lit(True))
+    if heavy is not None:
+        heavy = F.broadcast(heavy.withColumn(_HEAVY, F.lit(True)))
+        facts = facts.join(heavy, on, "left")
+        salt = F.coalesce(salt, F.col(_HEAVY))
+    spread = F.pmod(F.xxhash64(*[c for c in facts.columns if c != _HEAVY]), F.lit(salts)).cast("int")
+    left = facts.withColumn(_SALT, F.when(salt, spread).otherwise(0)).drop(_HEAVY)
     if heavy is None:
-        heavy = heavy_keys(facts if profile is None else profile, on, min_rows)
-    heavy = F.broadcast(heavy.select(*on).withColumn(_HEAVY, F.lit(True)))
-
-    spread = F.pmod(F.xxhash64(*facts.columns), F.lit(salts)).cast("int")
-    unmatched = reduce(lambda a, b: a | b, [F.col(k).isNull() for k in on])
-    left = (facts.join(heavy, on, "left")
-            .withColumn(_SALT, F.when(F.col(_HEAVY) | unmatched, spread).otherwise(0))
-            .drop(_HEAVY))
-    every = F.sequence(F.lit(0), F.lit(salts - 1))
-    right = dims.join(heavy, on, "left").withColumn(
-        _SALT, F.explode(F.when(F.col(_HEAVY), every).otherwise(F.array(F.lit(0)))))
+        right = dims.withColumn(_SALT, F.lit(0))
+    else:
+        every = F.sequence(F.lit(0), F.lit(salts - 1))
+        right = dims.join(heavy, on, "left").withColumn(
+            _SALT, F.explode(F.when(F.col(_HEAVY), every).otherwise(F.array(F.lit(0)))))
 
     keys = [*on, _SALT]
     if how != "keep_dims":
@@ -84,8 +97,12 @@ def is_small(df: DataFrame, max_rows: int = BROADCAST_ROWS) -> bool:
 
 def lookup_join(facts: DataFrame, dims: DataFrame, on: list[str] | str, how: str = "left",
                 profile: DataFrame | None = None, max_rows: int = BROADCAST_ROWS) -> DataFrame:
-    """Join a lookup: whole on every executor if its counted size allows, else split."""
+    """Join a lookup: whole on every executor if its counted size allows, else split.
+
+    The lookup is staged first, so counting and joining do not compute it twice.
+    """
     on = [on] if isinstance(on, str) else list(on)
+    dims = staged(dims)
     if is_small(dims, max_rows):
         return facts.join(F.broadcast(dims), on, how)
     return spread_join(facts, dims, on, how, profile=profile)

@@ -4,13 +4,13 @@ from __future__ import annotations
 
 from collections.abc import Iterable
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from clientele.config import MEMBER
 from clientele.functions.labels import bucket
 from clientele.functions.stats import median_of, middle, sorted_slopes
-from clientele.operators.clv import cumulative_amounts
+from clientele.operators.clv import by_member, cumulative_amounts
 
 
 def cumulative_series(grid: DataFrame) -> DataFrame:
@@ -29,14 +29,14 @@ def series_to_array(cumulative: DataFrame) -> DataFrame:
 
 def cumulative_arrays(monthly: DataFrame, months: Iterable[str]) -> DataFrame:
     """The same arrays straight from monthly revenue: one aggregation in all."""
-    return (monthly.filter(F.col(MEMBER).isNotNull()).groupBy(MEMBER)
+    return (by_member(monthly).groupBy(MEMBER)
             .agg(F.array(*cumulative_amounts(months)).alias("series")))
 
 
-def fit_lines(df: DataFrame, y: list[Column]) -> DataFrame:
+def fit_lines(df: DataFrame, y: list[str]) -> DataFrame:
     """Adds the Theil-Sen ``slope`` and ``intercept`` of the points (0, y0) .. (n-1, yn-1).
 
-    The slope is the median of all pairwise slopes, the intercept the median of y
+    ``y`` names n double columns. The slope is the median of all pairwise slopes, the intercept the median of y
     less slope times the middle x. The sorted slopes stand in a column of their own,
     so generated code holds them once. Fewer than two points have no line: NULL.
     """
@@ -46,14 +46,15 @@ def fit_lines(df: DataFrame, y: list[Column]) -> DataFrame:
         return df.withColumns({"slope": missing, "intercept": missing})
     return (df.withColumn("_slopes", sorted_slopes(y))
             .withColumn("slope", middle(F.col("_slopes"), n * (n - 1) // 2))
-            .withColumn("intercept", median_of(y) - F.col("slope") * F.lit((n - 1) / 2.0))
+            .withColumn("intercept", median_of([F.col(c) for c in y]) - F.col("slope") * F.lit((n - 1) / 2.0))
             .drop("_slopes"))
 
 
 def member_slopes(arrays: DataFrame, points: int) -> DataFrame:
     """Line of each member's array of ``points`` doubles."""
-    y = [F.get("series", F.lit(i)) for i in range(points)]
-    return fit_lines(arrays, y).select(MEMBER, "slope", "intercept")
+    y = [f"_y{i}" for i in range(points)]
+    wide = arrays.select(MEMBER, *[F.get("series", F.lit(i)).alias(c) for i, c in enumerate(y)])
+    return fit_lines(wide, y).select(MEMBER, "slope", "intercept")
 
 
 def adjust_slope(slopes: DataFrame) -> DataFrame:

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterable, Mapping
+from collections.abc import Iterable, Mapping
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, SparkSession
@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from clientele.config import CHANNEL_RULES, MEMBER, SALES_BRANDS, ChannelRule, Period
 from clientele.operators import clean, dimensions, mart
 from clientele.sources import io
+from clientele.sources.staging import staged
 
 BRAND_MEMBER_COLUMNS = {
     "BA": ("vip_ba_first_pur_date", "vip_ba_vip_type"),
@@ -19,10 +20,6 @@ BRAND_MEMBER_COLUMNS = {
 FIRST_PURCHASE_COLUMNS = {"BA": "first_pur_ba", "BP": "first_pur_bp"}
 
 
-def same(df: DataFrame) -> DataFrame:
-    return df
-
-
 def sales_history(tables: Mapping[str, DataFrame], brands: Iterable[str] = SALES_BRANDS,
                   amount_type: str = "decimal(10,0)") -> DataFrame:
     """Clean distinct lines of the brands over all time, with main member numbers."""
@@ -33,11 +30,11 @@ def sales_history(tables: Mapping[str, DataFrame], brands: Iterable[str] = SALES
 
 def valid_lines(tables: Mapping[str, DataFrame], period: Period,
                 brands: Iterable[str] = SALES_BRANDS, amount_type: str = "decimal(10,0)",
-                shop_names: Mapping[str, str] | None = None,
-                stage: Callable[[DataFrame], DataFrame] = same) -> DataFrame:
+                shop_names: Mapping[str, str] | None = None) -> DataFrame:
     """Enriched lines of the window without net-zero orders.
 
-    ``stage`` stores the enriched lines, which are read twice.
+    The enriched lines are staged: order totals then read two columns of them
+    instead of running the joins again.
     """
     history = sales_history(tables, brands, amount_type)
     enriched = mart.enrich_sales(
@@ -46,7 +43,7 @@ def valid_lines(tables: Mapping[str, DataFrame], period: Period,
         dimensions.clean_subcategories(tables["subcategories"]),
         dimensions.clean_locations(tables["locations"], shop_names),
         profile=clean.trim_strings(clean.project_sales(tables["sales"], amount_type)))
-    return mart.drop_net_zero_orders(stage(enriched))
+    return mart.drop_net_zero_orders(staged(enriched))
 
 
 def first_purchases(tables: Mapping[str, DataFrame], brand: str,
@@ -70,10 +67,9 @@ class Mart:
 def build_mart(tables: Mapping[str, DataFrame], period: Period, brand: str,
                rules: Mapping[str, ChannelRule] | None = None,
                amount_type: str = "decimal(10,0)",
-               shop_names: Mapping[str, str] | None = None,
-               stage: Callable[[DataFrame], DataFrame] = same) -> Mart:
+               shop_names: Mapping[str, str] | None = None) -> Mart:
     """The three tables of one brand."""
-    lines = valid_lines(tables, period, [brand], amount_type, shop_names, stage)
+    lines = valid_lines(tables, period, [brand], amount_type, shop_names)
     valid = mart.union_channels(lines, CHANNEL_RULES[brand] if rules is None else rules)
     return Mart(valid, clean.demographics(tables["members"], BRAND_MEMBER_COLUMNS[brand]),
                 mart.first_last(valid, first_purchases(tables, brand)))
@@ -83,7 +79,7 @@ def run_mart(spark: SparkSession, refs: Mapping[str, str], base: str, period: Pe
              suffix: str = "", **options) -> None:
     """Write the mart of one brand; first/last is read off the written transactions."""
     tables = io.read_sources(spark, refs)
-    built = build_mart(tables, period, brand, stage=io.checkpointed, **options)
+    built = build_mart(tables, period, brand, **options)
     io.write_transactions(built.transaction, base, suffix)
     stored = io.read_transactions(spark, base, suffix)
     built.demographic.write.mode("overwrite").parquet(io._part(base, "demographic", suffix))

@@ -13,6 +13,7 @@ from clientele.config import (
 )
 from clientele.operators import contacts, features, personas, reports
 from clientele.sources import io
+from clientele.sources.staging import staged
 
 
 def feature_table(tx: DataFrame, specs: Iterable[WalletSpec] = WALLET_SPECS,
@@ -30,10 +31,10 @@ def run_training(spark: SparkSession, mart_base: str, model_base: str, k: int =
                  specs: Iterable[WalletSpec] = WALLET_SPECS) -> list[str]:
     """Fit scaler and clusters on a mart; store both; return the chosen features."""
     tx = io.read_transactions(spark, mart_base)
-    table = io.checkpointed(feature_table(tx, specs, zero_threshold=1.0))
+    table = staged(feature_table(tx, specs, zero_threshold=1.0))
     cols = features.feature_columns(table)
     scaler = features.fit_scaler(table, cols)
-    scaled = io.checkpointed(features.standardize(table, cols, scaler))
+    scaled = staged(features.standardize(table, cols, scaler))
     chosen = personas.factor_select(scaled, cols, n_factors, n_keep)
     model = personas.kmeans_fit(scaled, chosen, k, n_init, seed)
     io.save_model(model, scaler, model_base)

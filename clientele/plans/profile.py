@@ -15,7 +15,7 @@ def segment_reports(tx: DataFrame, tags: DataFrame, tags_last_year: DataFrame,
                     nationalities=NATIONALITIES, age: str = "max") -> dict[str, DataFrame]:
     """Named report tables.
 
-    Pass stored ``tx`` and ``tags`` (a written mart, a written or checkpointed
+    Pass stored ``tx`` and ``tags`` (a written mart, a written or staged
     segmentation): each table is its own Spark query over them.
     """
     args = (tx, tags)

@@ -11,6 +11,7 @@ from clientele.config import MEMBER, SEGMENT_CUTS, Period, SegmentCuts
 from clientele.functions.labels import bucket
 from clientele.operators import clv, segments, trend
 from clientele.sources import io
+from clientele.sources.staging import staged
 
 
 def member_values(tx: DataFrame, firsts_lasts: DataFrame, period: Period, cuts: SegmentCuts,
@@ -24,7 +25,7 @@ def member_values(tx: DataFrame, firsts_lasts: DataFrame, period: Period, cuts:
     """
     months = period.trend_months
     recent = F.col("yyyymm") > period.p12m_after
-    spend = clv.monthly_revenue(tx, region).groupBy(MEMBER).agg(
+    spend = clv.by_member(clv.monthly_revenue(tx, region)).groupBy(MEMBER).agg(
         F.sum("rev").alias("total_clv"),
         F.sum(F.when(recent, F.col("rev"))).alias("_p12m"),
         F.count(F.when(recent, 1)).alias("_p12m_months"),
@@ -39,7 +40,7 @@ def member_values(tx: DataFrame, firsts_lasts: DataFrame, period: Period, cuts:
         .withColumn("avg_annual_revenue",
                     F.when(tenure >= years, amount / F.lit(years)).otherwise(F.try_divide(amount, tenure)))
         .withColumn("p12m_clv", F.when(existing, F.col("_p12m"))))
-    values = trend.adjust_slope(trend.fit_lines(values, [F.col(f"_y{i}") for i in range(len(months))]))
+    values = trend.adjust_slope(trend.fit_lines(values, [f"_y{i}" for i in range(len(months))]))
     values = values.withColumns({
         **{c: F.when(existing, F.col(c)) for c in ("slope", "intercept", "slope_final")},
         "slope_flag": F.when(existing, bucket(F.col("slope_final"), cuts.slope_high, cuts.slope_low)),
@@ -79,7 +80,7 @@ def run_segments(spark: SparkSession, mart_base: str, out_base: str, period: Per
                  cuts: SegmentCuts | None = None) -> None:
     """Segments and totals of one brand and region, written as version 1."""
     tables = io.read_mart(spark, mart_base, suffix)
-    values = io.checkpointed(member_values(
+    values = staged(member_values(
         tables["transaction"], tables["first_last_transaction"], period,
         SEGMENT_CUTS[brand, region] if cuts is None else cuts, region))
     io.write_segments(segments_of(values), out_base, "value_segment", brand, region, period.last)

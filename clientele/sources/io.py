@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
 from collections.abc import Mapping, Sequence
 from datetime import date
 
@@ -24,20 +23,6 @@ def read_sources(spark: SparkSession, refs: Mapping[str, str]) -> dict[str, Data
     return {role: read_table(spark, ref) for role, ref in refs.items()}
 
 
-def checkpointed(df: DataFrame) -> DataFrame:
-    """Compute once and cut the lineage, in the cluster's shared checkpoint folder."""
-    spark = df.sparkSession
-    context = spark.sparkContext
-    if context.getCheckpointDir() is None:
-        folder = spark.conf.get("spark.checkpoint.dir", None)
-        if folder is None:
-            if not context.master.startswith("local"):
-                raise RuntimeError("set spark.checkpoint.dir to a folder all executors share")
-            folder = tempfile.mkdtemp(prefix="checkpoints-")
-        context.setCheckpointDir(folder)
-    return df.checkpoint()
-
-
 # -- sales mart -------------------------------------------------------------------
 
 def _part(base: str, name: str, suffix: str) -> str:

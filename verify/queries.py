@@ -17,7 +17,7 @@ from clientele.operators import (
 )
 from clientele.plans import mart as mart_plan
 from clientele.plans import segments as segment_plan
-from clientele.sources.io import checkpointed
+from clientele.sources.staging import staged
 from verify import tables
 
 MONEY = "decimal(18,4)"
@@ -140,7 +140,7 @@ def net_zero_orders(spark, d):
 
 @query
 def channel_rules(spark, d):
-    lines = checkpointed(net_zero_orders(spark, d))
+    lines = staged(net_zero_orders(spark, d))
     out = None
     for brand, rules in CHANNEL_RULES.items():
         for name, rows in mart.apply_channel_rules(lines, rules).items():
@@ -316,7 +316,7 @@ def reclassify(spark, d):
 
 def _tags(spark, d, period=THIS):
     """Reports read a stored segmentation, as the job does."""
-    return checkpointed(segment_plan.tags_of(_values(spark, d, period)))
+    return staged(segment_plan.tags_of(_values(spark, d, period)))
 
 
 @query
@@ -570,7 +570,7 @@ def single_cluster_cost(spark, d):
 
 
 def _scaled(spark, d):
-    return checkpointed(features.standardize(_shares(spark, d).fillna(0), FEATURES))
+    return staged(features.standardize(_shares(spark, d).fillna(0), FEATURES))
 
 
 @query

@@ -12,7 +12,7 @@ from dataclasses import dataclass, field
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-AMOUNT = "CAST(l_extendedprice AS DECIMAL(18,2)) * (1 - CAST(l_discount AS DECIMAL(4,2)))"
+AMOUNT = "CAST(l_extendedprice AS DECIMAL(10,2)) * (1 - CAST(l_discount AS DECIMAL(4,2)))"
 QTY = "CAST(l_quantity AS INT)"
 SEX = ("CASE WHEN l_linenumber = 7 THEN 'M' WHEN o_custkey % 4 = 0 THEN 'F' WHEN o_custkey % 4 = 1 "
        "THEN 'M' WHEN o_custkey % 4 = 2 THEN 'C' WHEN o_custkey % 8 = 3 THEN '' END")
