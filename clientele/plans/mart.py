@@ -46,15 +46,21 @@ def valid_lines(tables: Mapping[str, DataFrame], period: Period,
     return mart.drop_net_zero_orders(staged(enriched))
 
 
-def first_purchases(tables: Mapping[str, DataFrame], brand: str,
-                    history: DataFrame | None = None) -> DataFrame:
-    """First purchase dates: the given table, else the earliest order in the history."""
+def first_purchases(tables: Mapping[str, DataFrame], brand: str) -> DataFrame:
+    """First purchase dates: the given table, else the earliest order over all time.
+
+    An earliest date needs no distinct lines and no member per line: dates are
+    reduced per card first, and the cards then mapped to members.
+    """
     if "first_purchases" in tables:
         return tables["first_purchases"].select(
             MEMBER, F.col(FIRST_PURCHASE_COLUMNS[brand]).alias("first_transaction_date"))
-    history = sales_history(tables, [brand]) if history is None else history
-    return (mart.first_purchase(history).filter(F.col("shop_brand") == brand)
-            .select(MEMBER, F.col("first_purchase").alias("first_transaction_date")))
+    cards = (clean.trim_strings(clean.project_sales(tables["sales"]))
+             .filter(F.col("shop_brand") == brand)
+             .groupBy("vip_no", "shop_brand").agg(F.min("order_date").alias("order_date")))
+    members = clean.resolve_member(cards, clean.member_key_map(tables["members"]))
+    return mart.first_purchase(members).select(
+        MEMBER, F.col("first_purchase").alias("first_transaction_date"))
 
 
 @dataclass(frozen=True)
