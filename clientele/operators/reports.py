@@ -65,8 +65,11 @@ def member_tags(tags: DataFrame) -> DataFrame:
 
 
 def tagged_members(tags: DataFrame, demographic: DataFrame) -> DataFrame:
-    """Tags with demographics; members without any keep NULLs."""
-    return tags.join(demographic, MEMBER, "left")
+    """Tags with demographics; members without any keep NULLs.
+
+    Many cards may share a main member number, so heavy ones are split here too.
+    """
+    return spread_join(demographic, tags, MEMBER, "keep_dims")
 
 
 def tagged_sales(tags: DataFrame, tx: DataFrame) -> DataFrame:

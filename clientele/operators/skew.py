@@ -45,7 +45,7 @@ def heavy_keys(df: DataFrame, on: list[str], min_rows: int | None = None) -> Dat
 
 
 def spread_join(facts: DataFrame, dims: DataFrame, on: list[str] | str, how: str = "left",
-                profile: DataFrame | None = None, salts: int = SALTS,
+                profile: DataFrame | None = None, salts: int | None = None,
                 min_rows: int | None = None) -> DataFrame:
     """Join many ``facts`` to few ``dims`` per key, heavy keys split.
 
@@ -56,6 +56,7 @@ def spread_join(facts: DataFrame, dims: DataFrame, on: list[str] | str, how: str
     themselves are counted. Rows of ``facts`` should be distinct: copies share a salt.
     """
     on = [on] if isinstance(on, str) else list(on)
+    salts = SALTS if salts is None else salts
     if how not in ("left", "inner", "left_semi", "left_anti", "keep_dims"):
         raise ValueError(f"unsupported join type {how!r}")
     if how == "keep_dims" and profile is not None:
@@ -90,13 +91,14 @@ def spread_join(facts: DataFrame, dims: DataFrame, on: list[str] | str, how: str
             .drop(_SALT, _HEAVY, _HIT))
 
 
-def is_small(df: DataFrame, max_rows: int = BROADCAST_ROWS) -> bool:
+def is_small(df: DataFrame, max_rows: int | None = None) -> bool:
     """Counts at most ``max_rows`` + 1 rows."""
+    max_rows = BROADCAST_ROWS if max_rows is None else max_rows
     return df.limit(max_rows + 1).count() <= max_rows
 
 
 def lookup_join(facts: DataFrame, dims: DataFrame, on: list[str] | str, how: str = "left",
-                profile: DataFrame | None = None, max_rows: int = BROADCAST_ROWS) -> DataFrame:
+                profile: DataFrame | None = None, max_rows: int | None = None) -> DataFrame:
     """Join a lookup: whole on every executor if its counted size allows, else split.
 
     The lookup is staged first, so counting and joining do not compute it twice.

@@ -23,9 +23,11 @@ FIRST_PURCHASE_COLUMNS = {"BA": "first_pur_ba", "BP": "first_pur_bp"}
 def sales_history(tables: Mapping[str, DataFrame], brands: Iterable[str] = SALES_BRANDS,
                   amount_type: str = "decimal(10,0)") -> DataFrame:
     """Clean distinct lines of the brands over all time, with main member numbers."""
+    brands = list(brands)
     lines = clean.trim_strings(clean.project_sales(tables["sales"], amount_type))
     return clean.resolve_member(clean.dedup_sales(lines, brands),
-                                clean.member_key_map(tables["members"]), profile=lines)
+                                clean.member_key_map(tables["members"]),
+                                profile=lines.filter(F.col("shop_brand").isin(*brands)))
 
 
 def valid_lines(tables: Mapping[str, DataFrame], period: Period,
@@ -36,13 +38,16 @@ def valid_lines(tables: Mapping[str, DataFrame], period: Period,
     The enriched lines are staged: order totals then read two columns of them
     instead of running the joins again.
     """
+    brands = list(brands)
     history = sales_history(tables, brands, amount_type)
+    raw = clean.trim_strings(clean.project_sales(tables["sales"], amount_type))
     enriched = mart.enrich_sales(
         clean.between_dates(history, period.first, period.last),
         dimensions.enrich_sku(dimensions.clean_skus(tables["skus"]), tables["main_categories"]),
         dimensions.clean_subcategories(tables["subcategories"]),
         dimensions.clean_locations(tables["locations"], shop_names),
-        profile=clean.trim_strings(clean.project_sales(tables["sales"], amount_type)))
+        profile=clean.between_dates(raw, period.first, period.last)
+        .filter(F.col("shop_brand").isin(*brands)))
     return mart.drop_net_zero_orders(staged(enriched))
 
 

@@ -51,3 +51,14 @@ def test_same_rows(spark, duck, name):
     assert sorted(names) == cols
     order = [names.index(c) for c in cols]
     assert mine == Counter(tuple(canonical(r[i]) for i in order) for r in result.fetchall())
+
+
+@pytest.mark.parametrize("name", ["latest_per_key", "channel_union_second_brand", "tagged_sales", "sales_kpis",
+                                  "tagged_members", "tag_sales"])
+def test_same_rows_when_every_key_is_split(spark, duck, name, monkeypatch):
+    from clientele.operators import skew
+    monkeypatch.setattr(skew, "HEAVY_ROWS", 1)
+    monkeypatch.setattr(skew, "BROADCAST_ROWS", -1)
+    monkeypatch.setattr(skew, "SALTS", 4)
+    monkeypatch.setattr(skew, "is_small", lambda *args: False)
+    test_same_rows(spark, duck, name)
