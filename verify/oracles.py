@@ -469,3 +469,14 @@ oracle("persona_category", money_pivot(KNOWN.format("item_subcat_desc_cleaned"),
 CTES["persona_main"] = money_pivot(KNOWN.format("maincat_desc_cleaned"), "persona_lines", LABELS, WINDOWED, "maincat_desc_cleaned")
 oracle("column_share", "SELECT maincat_desc_cleaned, " + ", ".join(
     f'round("{n}" / (SELECT sum("{n}") FROM persona_main) * 100, 1) AS "{n}"' for n in LABELS) + " FROM persona_main")
+
+# -- sinks --------------------------------------------------------------------------
+
+oracle("mart_sink", ORACLES["channel_union"] + " WHERE order_date >= DATE '1998-01-01'")
+oracle("segment_sink", ORACLES["reclassify"])
+oracle("feature_sink", "SELECT vip_main_no, " + rounded(FEATURES) + " FROM filled")
+oracle("contact_csv", ORACLES["contact_list"])
+CTES["filled_before"] = (CTES["filled"].replace("FROM shares", "FROM shares_before"))
+CTES["shares_before"] = CTES["shares"].replace("feature_lines", "lines_before")
+CTES["lines_before"] = CTES["feature_lines"].replace("1998-08-01", "1997-08-01").replace("2001-07-31", "2000-07-31")
+oracle("stored_scaler", ORACLES["standardize"].replace("FROM filled)", "FROM filled_before)"))

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 from datetime import date
 
@@ -17,7 +18,8 @@ from clientele.operators import (
 )
 from clientele.plans import mart as mart_plan
 from clientele.plans import segments as segment_plan
-from clientele.sources.staging import staged
+from clientele.sources import io
+from clientele.sources.staging import staged, staging_folder
 from verify import tables
 
 MONEY = "decimal(18,4)"
@@ -655,3 +657,57 @@ def column_share(spark, d):
         _report_lines(spark, d), contacts.persona_tags(_named(spark, d)),
         "maincat_desc_cleaned", window=WINDOW, names=PERSONA_LABELS)
     return reports.column_share(table, "maincat_desc_cleaned", PERSONA_LABELS)
+
+
+# -- sinks: written to the staging folder and read back -----------------------------
+
+def _folder(spark):
+    return f"{staging_folder(spark)}/sinks/{uuid.uuid4().hex}"
+
+
+@query
+def mart_sink(spark, d):
+    base = _folder(spark)
+    built = mart_plan.build_mart(tables.sources(spark, d), MART_PERIOD, "BA", amount_type=MONEY,
+                                 shop_names=SHOP_NAMES)
+    io.write_transactions(built.transaction, base)
+    return io.read_transactions(spark, base, window=(MART_PERIOD.p12m_first, MART_PERIOD.last))
+
+
+@query
+def segment_sink(spark, d):
+    base = _folder(spark)
+    for period in (THIS, LAST):
+        io.write_segments(segment_plan.segments_of(_values(spark, d, period)), base,
+                          "value_segment", "BA", None, period.last)
+    segment_plan.run_reclassify(spark, base, "BA", None, THIS.last, LAST.last)
+    return io.read_segments(spark, base, "value_segment", "BA", None, THIS.last, version=2)
+
+
+@query
+def feature_sink(spark, d):
+    base = _folder(spark)
+    lines = _feature_lines(spark, d)
+    names = [s.suffix.strip("_") for s in SPECS]
+    for name, spec in zip(names, SPECS):
+        io.write_features(features.wallet_features(lines, [spec]), base, name)
+    return _rounded(features.assemble_features(io.read_features(spark, base, names)))
+
+
+@query
+def contact_csv(spark, d):
+    path = _folder(spark)
+    listed = contact_list(spark, d)
+    io.write_csv(listed, path)
+    return spark.read.schema(listed.schema).option("header", True).csv(path)
+
+
+@query
+def stored_scaler(spark, d):
+    """Last year's scale, stored, applied to this year's members."""
+    path = _folder(spark)
+    before = features.clean_for_features(_tx(spark, d, LAST, tables.TX_ITEM))
+    shares = features.wallet_features(before, SPECS).fillna(0)
+    features.fit_scaler(shares, FEATURES).write.parquet(path)
+    return _rounded(features.standardize(_shares(spark, d).fillna(0), FEATURES,
+                                         spark.read.parquet(path)))
