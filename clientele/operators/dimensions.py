@@ -14,16 +14,16 @@ from clientele.config import (
 )
 from clientele.functions.labels import relabel
 from clientele.operators.skew import lookup_join, spread_join
-from clientele.sources.staging import staged
+from clientele.sources.staging import staged_counted
 
 
 def latest_per_key(df: DataFrame, keys: Iterable[str] | str, ts: str,
-                   ties: str = "all") -> DataFrame:
+                   ties: str = "all", rows: int | None = None) -> DataFrame:
     """Rows carrying the greatest ``ts`` of their key.
 
     Rows with a NULL key or NULL ``ts`` vanish. ``ties="all"`` keeps every row of
     the greatest ``ts``; ``ties="one"`` keeps the greatest row by the remaining
-    columns. Both pre-aggregate before the shuffle instead of sorting a key's rows
+    columns. ``rows`` is the size of ``df`` at most, where known. Both pre-aggregate before the shuffle instead of sorting a key's rows
     in one task.
     """
     keys = [keys] if isinstance(keys, str) else list(keys)
@@ -35,7 +35,7 @@ def latest_per_key(df: DataFrame, keys: Iterable[str] | str, ts: str,
     if ties != "all":
         raise ValueError("ties must be 'all' or 'one'")
     top = known.groupBy(*keys).agg(F.max(ts).alias("_latest"))
-    return (spread_join(known, top, keys, "inner")
+    return (spread_join(known, top, keys, "inner", rows=rows)
             .filter(F.col(ts) == F.col("_latest")).select(*df.columns))
 
 
@@ -65,7 +65,9 @@ def clean_locations(raw: DataFrame, overrides: Mapping[str, str] | None = None,
     shops = (raw.filter(F.col("shop_brand").isin(*brands))
              .select("shop_code", "shop_desc", "city_district",
                      F.to_date("modified_date").alias("modified_date")).distinct())
-    return classify_location(latest_per_key(staged(shops), "shop_code", "modified_date"), overrides)
+    shops, rows = staged_counted(shops)
+    latest = latest_per_key(shops, "shop_code", "modified_date", rows=rows)
+    return classify_location(latest, overrides)
 
 
 def clean_skus(raw: DataFrame) -> DataFrame:
@@ -75,7 +77,8 @@ def clean_skus(raw: DataFrame) -> DataFrame:
         "item_product_line", "item_product_line_desc", "brand_code", "retail_price_hk",
         "retail_price_tw", "maincat_key",
         F.to_date("last_modified_date").alias("last_modified_date")).distinct()
-    return latest_per_key(staged(skus), "item_code", "last_modified_date")
+    skus, rows = staged_counted(skus)
+    return latest_per_key(skus, "item_code", "last_modified_date", rows=rows)
 
 
 def enrich_sku(skus: DataFrame, main_categories: DataFrame) -> DataFrame:
@@ -95,6 +98,7 @@ def clean_subcategories(raw: DataFrame,
         "item_brand_key", "item_cat", "item_sub_cat",
         relabel(F.col("item_subcat_desc"), SUBCATEGORY_RENAMES).alias("item_subcat_desc"),
         "load_date").distinct()
-    return (latest_per_key(staged(named), ["item_brand_key", "item_sub_cat"], "load_date")
+    named, rows = staged_counted(named)
+    return (latest_per_key(named, ["item_brand_key", "item_sub_cat"], "load_date", rows=rows)
             .filter(~F.col("item_cat").isin(*excluded))
             .select("item_sub_cat", "item_cat", "item_brand_key", "item_subcat_desc").distinct())

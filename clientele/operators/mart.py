@@ -47,15 +47,16 @@ def enrich_sales(sales: DataFrame, skus: DataFrame, subcategories: DataFrame,
 
 
 def drop_net_zero_orders(df: DataFrame, key: str = "sales_main_key",
-                         qty: str = "sold_qty") -> DataFrame:
+                         qty: str = "sold_qty", rows: int | None = None) -> DataFrame:
     """Orders whose quantities add to zero, or to nothing, go; so do unkeyed lines.
 
     Full returns are few, so the orders to remove are joined, not those to keep.
+    ``rows`` is the size of ``df`` at most, where known.
     """
     keyed = df.filter(F.col(key).isNotNull())
     totals = keyed.groupBy(key).agg(F.sum(qty).alias("_total"))
     gone = totals.filter(F.col("_total").isNull() | (F.col("_total") == 0)).select(key)
-    return spread_join(keyed, gone, key, "left_anti").select(*df.columns)
+    return spread_join(keyed, gone, key, "left_anti", rows=rows).select(*df.columns)
 
 
 def channel_condition(rule: ChannelRule) -> Column:

@@ -12,7 +12,7 @@ from functools import reduce
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from clientele.sources.staging import staged
+from clientele.sources.staging import staged_counted
 
 # A key is heavy from 1/HEAVY_FRACTION of all rows on, so there are fewer than
 # HEAVY_FRACTION heavy keys whatever the data: the list may visit the driver and
@@ -46,14 +46,16 @@ def heavy_keys(df: DataFrame, on: list[str], min_rows: int | None = None) -> Dat
 
 def spread_join(facts: DataFrame, dims: DataFrame, on: list[str] | str, how: str = "left",
                 profile: DataFrame | None = None, salts: int | None = None,
-                min_rows: int | None = None) -> DataFrame:
+                min_rows: int | None = None, rows: int | None = None) -> DataFrame:
     """Join many ``facts`` to few ``dims`` per key, heavy keys split.
 
     ``how``: left, inner, left_semi, left_anti keep their meaning with ``facts``
     on the left; ``keep_dims`` also keeps dims without facts (a right join).
     ``profile`` is any cheaper frame with the same key distribution (say the raw
     scan below ``facts``); not for ``keep_dims``, where the keys of ``facts``
-    themselves are counted. Rows of ``facts`` should be distinct: copies share a salt.
+    themselves are counted. ``rows`` is the number of facts at most, where known: too
+    few for any heavy key saves the counting. Rows of ``facts`` should be distinct:
+    copies share a salt.
     """
     on = [on] if isinstance(on, str) else list(on)
     salts = SALTS if salts is None else salts
@@ -61,7 +63,8 @@ def spread_join(facts: DataFrame, dims: DataFrame, on: list[str] | str, how: str
         raise ValueError(f"unsupported join type {how!r}")
     if how == "keep_dims" and profile is not None:
         raise ValueError("keep_dims counts the keys of facts itself")
-    heavy = heavy_keys(facts if profile is None else profile, on, min_rows)
+    few = rows is not None and rows < (HEAVY_ROWS if min_rows is None else min_rows)
+    heavy = None if few else heavy_keys(facts if profile is None else profile, on, min_rows)
     if heavy is None and how == "keep_dims":
         return dims.join(facts, on, "left")
     if heavy is None and how in ("inner", "left_semi"):
@@ -91,20 +94,14 @@ def spread_join(facts: DataFrame, dims: DataFrame, on: list[str] | str, how: str
             .drop(_SALT, _HEAVY, _HIT))
 
 
-def is_small(df: DataFrame, max_rows: int | None = None) -> bool:
-    """Counts at most ``max_rows`` + 1 rows."""
-    max_rows = BROADCAST_ROWS if max_rows is None else max_rows
-    return df.limit(max_rows + 1).count() <= max_rows
-
-
 def lookup_join(facts: DataFrame, dims: DataFrame, on: list[str] | str, how: str = "left",
                 profile: DataFrame | None = None, max_rows: int | None = None) -> DataFrame:
     """Join a lookup: whole on every executor if its counted size allows, else split.
 
-    The lookup is staged first, so counting and joining do not compute it twice.
+    The lookup is staged, and counted on the way.
     """
     on = [on] if isinstance(on, str) else list(on)
-    dims = staged(dims)
-    if is_small(dims, max_rows):
+    dims, rows = staged_counted(dims)
+    if rows <= (BROADCAST_ROWS if max_rows is None else max_rows):
         return facts.join(F.broadcast(dims), on, how)
     return spread_join(facts, dims, on, how, profile=profile)

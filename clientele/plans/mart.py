@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from clientele.config import CHANNEL_RULES, MEMBER, SALES_BRANDS, ChannelRule, Period
 from clientele.operators import clean, dimensions, mart
 from clientele.sources import io
-from clientele.sources.staging import staged
+from clientele.sources.staging import staged_counted
 
 BRAND_MEMBER_COLUMNS = {
     "BA": ("vip_ba_first_pur_date", "vip_ba_vip_type"),
@@ -48,7 +48,8 @@ def valid_lines(tables: Mapping[str, DataFrame], period: Period,
         dimensions.clean_locations(tables["locations"], shop_names),
         profile=clean.between_dates(raw, period.first, period.last)
         .filter(F.col("shop_brand").isin(*brands)))
-    return mart.drop_net_zero_orders(staged(enriched))
+    enriched, rows = staged_counted(enriched)
+    return mart.drop_net_zero_orders(enriched, rows=rows)
 
 
 def first_purchases(tables: Mapping[str, DataFrame], brand: str) -> DataFrame:

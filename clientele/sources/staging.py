@@ -5,7 +5,8 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession
+from pyspark.sql import functions as F
 
 
 def staging_folder(spark: SparkSession) -> str:
@@ -19,12 +20,20 @@ def staging_folder(spark: SparkSession) -> str:
     return folder.rstrip("/")
 
 
-def staged(df: DataFrame) -> DataFrame:
-    """Compute once, cut the lineage, read back columns as needed.
+def staged_counted(df: DataFrame) -> tuple[DataFrame, int]:
+    """Compute once, cut the lineage, read back columns as needed; and the row count.
 
     A table rather than a row checkpoint, so later reads prune columns and the
-    planner knows the true size. Survives the loss of any executor.
+    planner knows the true size. Survives the loss of any executor. The rows are
+    counted while they are written; recomputed tasks may count twice, so the number
+    is an upper bound.
     """
     path = f"{staging_folder(df.sparkSession)}/staged/{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    seen = Observation()
+    df.observe(seen, F.count(F.lit(1)).alias("rows")).write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path), seen.get["rows"]
+
+
+def staged(df: DataFrame) -> DataFrame:
+    """``staged_counted`` without the count."""
+    return staged_counted(df)[0]

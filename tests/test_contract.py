@@ -60,5 +60,4 @@ def test_same_rows_when_every_key_is_split(spark, duck, name, monkeypatch):
     monkeypatch.setattr(skew, "HEAVY_ROWS", 1)
     monkeypatch.setattr(skew, "BROADCAST_ROWS", -1)
     monkeypatch.setattr(skew, "SALTS", 4)
-    monkeypatch.setattr(skew, "is_small", lambda *args: False)
     test_same_rows(spark, duck, name)
