@@ -139,7 +139,6 @@ oracle("sub_region", "SELECT * FROM shop_clean")
 oracle("clean_skus", f"SELECT * REPLACE (strftime(last_modified_date, '%Y-%m-%d') AS last_modified_date{PRICES}) FROM sku_latest")
 oracle("enrich_sku", f"SELECT * REPLACE (strftime(last_modified_date, '%Y-%m-%d') AS last_modified_date{PRICES}) FROM sku_full")
 oracle("clean_subcategories", "SELECT * FROM subcat_clean")
-# The enriched lines are compared with their multiplicity reduced by equal shop rows.
 oracle("enrich_sales", f"SELECT {DATED}{PRICES}) FROM enriched")
 oracle("net_zero_orders", f"SELECT {DATED}{PRICES}) FROM net_lines")
 oracle("channel_rules", " UNION ALL ".join(
