@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, Observation, SparkSession
@@ -10,13 +9,10 @@ from pyspark.sql import functions as F
 
 
 def staging_folder(spark: SparkSession) -> str:
-    """The session's ``spark.checkpoint.dir``; a local session without one gets its own."""
+    """The session's ``spark.checkpoint.dir``: a folder that driver and executors share."""
     folder = spark.conf.get("spark.checkpoint.dir", None)
-    if folder is None:
-        if not spark.sparkContext.master.startswith("local"):
-            raise RuntimeError("set spark.checkpoint.dir to a folder all executors share")
-        folder = tempfile.mkdtemp(prefix="staging-")
-        spark.conf.set("spark.checkpoint.dir", folder)
+    if not folder:
+        raise RuntimeError("set spark.checkpoint.dir to a folder all executors share")
     return folder.rstrip("/")
 
 

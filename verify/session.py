@@ -3,9 +3,19 @@
 from __future__ import annotations
 
 import os
+import tempfile
 
 from pyspark.sql import SparkSession
 
+STAGING = "spark.checkpoint.dir"
+
+
+def ensure_staging(spark: SparkSession) -> None:
+    """Give a single-machine session without a staging folder one; a cluster must name its own."""
+    master = spark.sparkContext.master
+    if spark.conf.get(STAGING, None) is None and (master == "local" or master.startswith("local[")):
+        spark.conf.set(STAGING, tempfile.mkdtemp(prefix="staging-"))
+
 
 def local_session(cpus: str | None = None) -> SparkSession:
     cpus = cpus or os.environ.get("BENCH_CPUS", "8")
@@ -17,4 +27,5 @@ def local_session(cpus: str | None = None) -> SparkSession:
              .config("spark.ui.showConsoleProgress", "false")
              .getOrCreate())
     spark.sparkContext.setLogLevel("ERROR")
+    ensure_staging(spark)
     return spark
