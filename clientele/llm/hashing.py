@@ -8,14 +8,14 @@ _MULTIPLIER = np.uint64(0x9E3779B97F4A7C15)
 _MASK = (1 << 64) - 1
 
 
-def _splitmix(x: np.ndarray) -> np.ndarray:
+def mixed(x: np.ndarray) -> np.ndarray:
     x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
     x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
     return x ^ (x >> np.uint64(31))
 
 
 # One number per byte value, and lower case for A-Z.
-_BYTES = _splitmix(np.arange(1, 257, dtype=np.uint64) * _MULTIPLIER)
+_BYTES = mixed(np.arange(1, 257, dtype=np.uint64) * _MULTIPLIER)
 _LOWER = bytes(b + 32 if 65 <= b <= 90 else b for b in range(256))
 
 # Bytes that belong to words; all bytes of characters beyond ASCII do.
@@ -49,7 +49,7 @@ def word_hashes(text: str | None, in_word: np.ndarray) -> np.ndarray:
     inside = np.arange(total) - np.repeat(first, lengths)
     powers = _POWERS if (longest := int(lengths.max())) <= len(_POWERS) else _powers(longest)
     terms = _BYTES[raw[member[1:-1]]] * powers[inside]
-    return _splitmix(np.add.reduceat(terms, first) + lengths.astype(np.uint64) * _MULTIPLIER)
+    return mixed(np.add.reduceat(terms, first) + lengths.astype(np.uint64) * _MULTIPLIER)
 
 
 def gram_hashes(words: np.ndarray, k: int) -> np.ndarray:
@@ -59,7 +59,7 @@ def gram_hashes(words: np.ndarray, k: int) -> np.ndarray:
         return np.empty(0, np.uint64)
     out = np.full(n, k, np.uint64)
     for j in range(k):
-        out = _splitmix(out * _MULTIPLIER + words[j:j + n])
+        out = mixed(out * _MULTIPLIER + words[j:j + n])
     return out
 
 

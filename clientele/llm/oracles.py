@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from clientele.llm import lines, mixing, quality
+from clientele.llm import lines, mixing, quality, winnowing
 
 WORD = r"[^\x20\x09-\x0D]+"
 TRIM = r"' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)"
@@ -110,6 +110,62 @@ QUALITY_RULES = f"""WITH {quality_sql()}
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, kept FROM judged_docs"""
 
 
+def near_dup_sql(docs: str = "documents", shingle: int = 3, numerator: int = 85, denominator: int = 100) -> str:
+    """Table ``components``: per document n_shingles and component_id; WITH RECURSIVE."""
+    lower = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+    return rf"""
+    dw AS (SELECT doc_id, regexp_extract_all({lower}, '{WORD}') AS ws FROM {docs}),
+    shingle_sets AS (SELECT DISTINCT doc_id, s FROM (
+      SELECT doc_id, unnest(CASE WHEN len(ws) = 0 THEN [] WHEN len(ws) < {shingle} THEN [array_to_string(ws, ' ')]
+        ELSE list_transform(range(1, len(ws) - {shingle - 2}), lambda i: array_to_string(ws[i:i + {shingle - 1}], ' ')) END) AS s FROM dw)),
+    set_sizes AS (SELECT doc_id, count(*) AS n FROM shingle_sets GROUP BY doc_id),
+    -- a set of n shares all but the rarest of its shingles with a similar one: match on those
+    df AS (SELECT s, count(*) AS f FROM shingle_sets GROUP BY s),
+    prefix AS (SELECT doc_id, s FROM (
+      SELECT x.doc_id, s, n, row_number() OVER (PARTITION BY x.doc_id ORDER BY f, s) AS r
+      FROM shingle_sets x JOIN df USING (s) JOIN set_sizes z ON z.doc_id = x.doc_id)
+      WHERE r <= n - ({numerator} * n + {denominator - 1}) // {denominator} + 1),
+    candidates AS (SELECT DISTINCT p.doc_id AS a, q.doc_id AS b FROM prefix p JOIN prefix q ON p.s = q.s AND p.doc_id < q.doc_id),
+    common_counts AS (SELECT a, b, count(*) AS common FROM candidates c JOIN shingle_sets x ON x.doc_id = a
+                 JOIN shingle_sets y ON y.doc_id = b AND y.s = x.s GROUP BY a, b),
+    links AS (SELECT a, b FROM common_counts o JOIN set_sizes x ON x.doc_id = a JOIN set_sizes y ON y.doc_id = b
+              WHERE {denominator} * common >= {numerator} * (x.n + y.n - common)),
+    both_ways AS (SELECT a, b FROM links UNION ALL SELECT b, a FROM links),
+    reach(doc_id, other) AS (SELECT doc_id, doc_id FROM {docs} UNION
+                             SELECT r.doc_id, e.b FROM reach r JOIN both_ways e ON e.a = r.other),
+    components AS (SELECT d.doc_id, coalesce(z.n, 0)::BIGINT AS n_shingles, m.component_id FROM dw d LEFT JOIN set_sizes z USING (doc_id)
+                   JOIN (SELECT doc_id, min(other) AS component_id FROM reach GROUP BY doc_id) m USING (doc_id))"""
+
+
+NEAR_DEDUP = f"""WITH RECURSIVE {near_dup_sql()}
+SELECT doc_id, n_shingles, component_id, doc_id = component_id AS kept FROM components"""
+
+
+def contamination_sql(docs: str = "documents", percent: int = 5) -> str:
+    """Table ``contaminations``: per document its counts, items and verdict."""
+    plain = lambda c: f"translate(coalesce({c}, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+    word = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
+    return rf"""
+    doc_words AS (SELECT doc_id, regexp_extract_all({plain('text')}, '{word}') AS ws FROM {docs}),
+    item_words AS (SELECT item_id, regexp_extract_all({plain('text')}, '{word}') AS ws FROM benchmark),
+    item_windows AS (SELECT DISTINCT item_id, len(w) AS n, array_to_string(w, ' ') AS w FROM (
+      SELECT item_id, unnest(list_transform(range(1, greatest(len(ws) - {winnowing.SPAN} + 1, 1) + 1),
+                                            lambda i: ws[i:i + {winnowing.SPAN} - 1])) AS w FROM item_words WHERE len(ws) > 0)),
+    lengths AS (SELECT DISTINCT n FROM item_windows),
+    doc_places AS (SELECT doc_id, n, ws, unnest(range(1, len(ws) - n + 2)) AS i FROM doc_words, lengths WHERE len(ws) >= n),
+    doc_windows AS (SELECT doc_id, n, i, array_to_string(ws[i:i + n - 1], ' ') AS w FROM doc_places),
+    met AS (SELECT doc_id, item_id, i, n FROM doc_windows JOIN item_windows USING (n, w)),
+    hit_words AS (SELECT doc_id, count(*) AS n_hit FROM (SELECT DISTINCT doc_id, unnest(range(i, i + n)) FROM met) GROUP BY doc_id),
+    hit_items AS (SELECT doc_id, count(*) AS n_items, string_agg(item, ',' ORDER BY item) AS items
+                  FROM (SELECT DISTINCT doc_id, item_id::VARCHAR AS item FROM met) GROUP BY doc_id),
+    contaminations AS (SELECT doc_id, len(ws)::BIGINT AS n_words, coalesce(n_hit, 0)::BIGINT AS n_hit, coalesce(n_items, 0)::BIGINT AS n_items,
+      sha256(coalesce(items, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AND 100 * coalesce(n_hit, 0) >= {percent} * len(ws) AS contaminated
+      FROM doc_words LEFT JOIN hit_words USING (doc_id) LEFT JOIN hit_items USING (doc_id))"""
+
+
+DECONTAMINATION = f"WITH {contamination_sql()} SELECT * FROM contaminations"
+
+
 def mix_sql(docs: str = "documents") -> str:
     """Table ``mixed``: per document its size, source size, target and copies."""
     weights = "[" + ", ".join(map(str, mixing.WEIGHTS)) + "]"
@@ -142,7 +198,9 @@ SOURCE_MIXING = f"""WITH {mix_sql()}
 SELECT doc_id, size, source_size, target, (size * copies)::BIGINT AS taken FROM mixed"""
 
 ORACLES = {
+    "op2_minhash_near_dedup": NEAR_DEDUP,
     "op3_line_dedup": LINE_DEDUP,
     "op4_quality_rules": QUALITY_RULES,
+    "op6_decontamination": DECONTAMINATION,
     "op9_source_mixing": SOURCE_MIXING,
 }

@@ -5,10 +5,14 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from clientele.llm import lines, mixing, quality
+from clientele.llm import lines, mixing, near_dups, quality, winnowing
 from clientele.llm.common import read
 
 
+def minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_dups.near_duplicates(read(spark, sf_dir, "documents"), shingle=3, numerator=85, denominator=100)
+
+
 def line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     done = lines.line_report(read(spark, sf_dir, "documents"))
     return done.select("doc_id", "n_lines", "n_deleted", F.array_join("deleted", ",").alias("deleted"),
@@ -20,13 +24,21 @@ def quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
         "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
 
 
+def decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    judged = winnowing.contamination(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark"))
+    return judged.select("doc_id", "n_words", "n_hit", F.size("items").cast("long").alias("n_items"),
+                         F.sha2(F.array_join("items", ","), 256).alias("items_sha256"), "contaminated")
+
+
 def mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix_report(read(spark, sf_dir, "documents")).select(
         "doc_id", "size", "source_size", "target", "taken")
 
 
 QUERIES = {
+    "op2_minhash_near_dedup": minhash_near_dedup,
     "op3_line_dedup": line_dedup,
     "op4_quality_rules": quality_rules,
+    "op6_decontamination": decontamination,
     "op9_source_mixing": mix_sources,
 }
