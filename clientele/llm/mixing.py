@@ -65,7 +65,7 @@ def targets(sizes: DataFrame, weights: Sequence[int] = WEIGHTS, budget_percent:
             .withColumn("budget", F.sum("source_size").over(every) * budget_percent / 100)
             .withColumn("level", level)
             .withColumn("level", F.coalesce(
-                F.min(F.when(F.col("level") * F.col("weight") <= F.col("cap"), F.col("level"))).over(every),
+                F.max(F.when(F.col("level") * F.col("weight") <= F.col("cap"), F.col("level"))).over(every),
                 F.max("level").over(every)))
             .select("source", "source_size",
                     F.least(F.col("cap").cast("double"), F.col("level") * F.col("weight")).alias("target")))

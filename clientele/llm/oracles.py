@@ -181,10 +181,10 @@ def mix_sql(docs: str = "documents") -> str:
     levelled AS (SELECT *, ((sum(source_size) OVER ())::BIGINT * {mixing.BUDGET_PERCENT} / 100
                    - coalesce(sum(cap) OVER (ORDER BY cap / weight, source NULLS LAST ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT)
                    / (sum(weight) OVER (ORDER BY cap / weight, source NULLS LAST ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING))::BIGINT AS level FROM weighed),
-    one_level AS (SELECT *, coalesce(min(CASE WHEN level * weight <= cap THEN level END) OVER (), max(level) OVER ()) AS filled FROM levelled),
+    one_level AS (SELECT *, coalesce(max(CASE WHEN level * weight <= cap THEN level END) OVER (), max(level) OVER ()) AS filled FROM levelled),
     goals AS (SELECT source, source_size, least(cap::DOUBLE, filled * weight) AS target FROM one_level),
-    rates AS (SELECT *, CASE WHEN source_size > 0 THEN target / source_size ELSE 0 END AS rate FROM goals),
-    split_rates AS (SELECT *, floor(rate)::BIGINT AS whole, rate - floor(rate) AS fraction FROM rates),
+    source_rates AS (SELECT *, CASE WHEN source_size > 0 THEN target / source_size ELSE 0 END AS rate FROM goals),
+    split_rates AS (SELECT *, floor(rate)::BIGINT AS whole, rate - floor(rate) AS fraction FROM source_rates),
     seeds AS ({seeds}),
     tried AS (SELECT r.source, seed, multiplier, abs(sum(size * (whole + {extra}))::BIGINT - max(target)) AS far
               FROM sizes s JOIN split_rates r ON r.source IS NOT DISTINCT FROM s.source, seeds GROUP BY r.source, seed, multiplier),
@@ -197,6 +197,20 @@ def mix_sql(docs: str = "documents") -> str:
 SOURCE_MIXING = f"""WITH {mix_sql()}
 SELECT doc_id, size, source_size, target, (size * copies)::BIGINT AS taken FROM mixed"""
 
+PIPELINE = f"""WITH RECURSIVE {quality_sql()},
+stage1 AS (SELECT d.* FROM documents d JOIN judged_docs j USING (doc_id) WHERE j.kept),
+{line_sql("stage1")},
+new_texts AS (SELECT doc_id, coalesce(bool_or(deleted), false) AS changed,
+                     coalesce(string_agg(part, chr(10) ORDER BY i) FILTER (NOT deleted), '') AS new_text FROM judged GROUP BY doc_id),
+stage2 AS (SELECT doc_id, new_text AS text, lang, source, CASE WHEN changed THEN length(new_text) ELSE n_chars END AS n_chars
+           FROM stage1 JOIN new_texts USING (doc_id) WHERE NOT (changed AND trim(new_text, {TRIM}) = '')),
+{near_dup_sql("stage2", 5, 4, 5)},
+stage3 AS (SELECT d.* FROM stage2 d JOIN components USING (doc_id) WHERE doc_id = component_id),
+{contamination_sql("stage3")},
+stage4 AS (SELECT d.* FROM stage3 d JOIN contaminations USING (doc_id) WHERE NOT contaminated),
+{mix_sql("stage4")}
+SELECT d.* FROM stage4 d JOIN mixed USING (doc_id), unnest(range(copies)) AS copy(nth)"""
+
 ORACLES = {
     "op2_minhash_near_dedup": NEAR_DEDUP,
     "op3_line_dedup": LINE_DEDUP,
