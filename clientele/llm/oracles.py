@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from clientele.llm import lines, mixing, quality, winnowing
+from clientele.llm import lines, mixing, quality, reputation, winnowing
 
 WORD = r"[^\x20\x09-\x0D]+"
 TRIM = r"' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)"
@@ -197,6 +197,62 @@ def mix_sql(docs: str = "documents") -> str:
 SOURCE_MIXING = f"""WITH {mix_sql()}
 SELECT doc_id, size, source_size, target, (size * copies)::BIGINT AS taken FROM mixed"""
 
+CHAT_FORMAT = r"""WITH turns AS (
+  SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+  UNION ALL SELECT -7, 0, 'user', '\### Assistant: </turn> ok' UNION ALL SELECT -7, 1, 'assistant', '\### Assistant: </turn> ok'),
+measured AS (SELECT *, length(text) + length(regexp_replace(text, '[^<>\\]', '', 'g'))
+                       + length(role) + length(regexp_replace(role, '[^<>\\]', '', 'g')) AS chars FROM turns)
+SELECT conv_id, count(*) AS n_turns, sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn, role, text)) AS turns_sha256,
+       coalesce(sum(length(text)) FILTER (role = 'assistant'), 0)::BIGINT AS loss_chars,
+       sha256(coalesce(string_agg(text, '' ORDER BY turn, role, text) FILTER (role = 'assistant'), '')) AS loss_sha256,
+       sum(chars + length('<turn role=></turn>') + 1)::BIGINT AS formatted_chars
+FROM turns JOIN (SELECT conv_id AS c, turn AS t, role AS r, text AS x, any_value(chars) AS chars FROM measured GROUP BY ALL)
+  ON c = conv_id AND t = turn AND r = role AND x = text GROUP BY conv_id"""
+
+
+def _url_rule(result: str) -> str:
+    """CASE over the rules, the longest first."""
+    order = sorted(reputation.RULES, key=lambda r: (len(r.name), len(r.host)), reverse=True)
+    return "CASE " + " ".join(f"WHEN (host = '{r.host}' OR suffix(host, '.{r.host}')) AND starts_with(path, '{r.path}') THEN '{getattr(r, result)}'"
+                              for r in order) + " END"
+
+
+def _strength(table: str) -> str:
+    most, least = reputation.STRONGEST, reputation.WEAKEST
+    rho = "(spread - expected) / nullif(whole - expected, 0)"
+    return (f"SELECT CASE WHEN whole IS NULL OR whole - expected <= 0 OR {rho} <= 0 THEN {most} "
+            f"ELSE least({most}, greatest({least}, (1 - {rho}) / ({rho}))) END AS strength FROM ("
+            f"SELECT sum(n * pow(bad / n - prior, 2)) AS spread, sum(prior * (1 - prior)) AS expected, sum(n * prior * (1 - prior)) AS whole FROM {table} WHERE n > 0)")
+
+
+def _two_labels() -> str:
+    return ", ".join(f"'{x}'" for x in reputation.TWO_LABEL_SUFFIXES)
+
+
+URL_FILTERS = rf"""WITH urls AS (
+  SELECT page_id, translate(coalesce(regexp_extract(url, '(?s)^.*?://([^/?#]*)([^?#]*)', 1), ''), '{reputation.UPPER}', '{reputation.LOWER}') AS host,
+         coalesce(regexp_extract(url, '(?s)^.*?://([^/?#]*)([^?#]*)', 2), '') AS path FROM pages),
+known AS (SELECT doc_id AS page_id, max((quality = 0 OR toxic = 1)::INT) AS bad FROM labels GROUP BY doc_id),
+by_host AS (SELECT host, count(bad) AS n, coalesce(sum(bad), 0) AS bad,
+                   string_split(regexp_replace(regexp_replace(host, '^.*@', ''), ':[0-9]*$', ''), '.') AS parts
+            FROM urls LEFT JOIN known USING (page_id) GROUP BY host),
+named AS (SELECT host, n, bad, CASE WHEN array_to_string(parts[-2:], '.') IN ({_two_labels()}) THEN array_to_string(parts[-2:], '.') ELSE parts[-1] END AS suffix,
+                 CASE WHEN array_to_string(parts[-2:], '.') IN ({_two_labels()}) THEN array_to_string(parts[-3:], '.') ELSE array_to_string(parts[-2:], '.') END AS domain FROM by_host),
+suffix_sums AS (SELECT suffix, sum(n) AS n, sum(bad) AS bad, (SELECT coalesce(sum(bad) / nullif(sum(n), 0), 0) FROM named) AS prior FROM named GROUP BY suffix),
+suffix_strength AS ({_strength('suffix_sums')}),
+suffixes AS (SELECT suffix, (bad + strength * prior) / (n + strength) AS mean FROM suffix_sums, suffix_strength),
+domain_sums AS (SELECT suffix, domain, sum(n) AS n, sum(bad) AS bad, any_value(s.mean) AS prior FROM named JOIN suffixes s USING (suffix) GROUP BY suffix, domain),
+domain_strength AS ({_strength('domain_sums')}),
+domains AS (SELECT domain, (bad + strength * prior) / (n + strength) AS mean FROM domain_sums, domain_strength),
+host_sums AS (SELECT host, n, bad, d.mean AS prior FROM named JOIN domains d USING (domain)),
+host_strength AS ({_strength('host_sums')}),
+posteriors AS (SELECT host, bad + strength * prior AS a, n - bad + strength * (1 - prior) AS b FROM host_sums, host_strength),
+bounds AS (SELECT host, greatest(0, a / (a + b) - {reputation.DEVIATIONS} * sqrt(a * b / (pow(a + b, 2) * (a + b + 1)))) AS bad_bound FROM posteriors)
+SELECT page_id, host, path, {_url_rule('name')} AS rule,
+       coalesce({_url_rule('verdict')}, CASE WHEN bad_bound > {reputation.LIMIT} THEN 'block' ELSE 'allow' END) AS verdict
+FROM urls LEFT JOIN bounds USING (host)"""
+
+
 PIPELINE = f"""WITH RECURSIVE {quality_sql()},
 stage1 AS (SELECT d.* FROM documents d JOIN judged_docs j USING (doc_id) WHERE j.kept),
 {line_sql("stage1")},
@@ -212,9 +268,11 @@ stage4 AS (SELECT d.* FROM stage3 d JOIN contaminations USING (doc_id) WHERE NOT
 SELECT d.* FROM stage4 d JOIN mixed USING (doc_id), unnest(range(copies)) AS copy(nth)"""
 
 ORACLES = {
+    "op1_url_filters": URL_FILTERS,
     "op2_minhash_near_dedup": NEAR_DEDUP,
     "op3_line_dedup": LINE_DEDUP,
     "op4_quality_rules": QUALITY_RULES,
     "op6_decontamination": DECONTAMINATION,
     "op9_source_mixing": SOURCE_MIXING,
+    "op10_chat_format": CHAT_FORMAT,
 }
