@@ -106,8 +106,8 @@ def later_copies(lines: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
         far = F.collect_list(F.struct("line", "rank")).over(block.rowsBetween(0, size - 1))
         stretch = (level.withColumn("far", far)
                    .join(wanted.filter((F.col("length") >= size) & (F.col("length") < 2 * size)), [*doc, "line"])
-                   .withColumn("second", F.element_at(F.filter(
-                       "far", lambda x: x.getField("line") == F.col("line") + F.col("length") - size), 1).getField("rank"))
+                   .withColumn("second", F.get(F.filter(
+                       "far", lambda x: x.getField("line") == F.col("line") + F.col("length") - size), F.lit(0)).getField("rank"))
                    .filter(F.col("second").isNotNull()))
         group = ["side", "length", F.col("rank").alias("a"), F.col("second").alias("b")]
         first = stretch.groupBy(*group).agg(F.min(_place()).alias("first"))
