@@ -2,13 +2,13 @@
 
 Texts with equal shingle sets form a class and count once. A class holds ``SKETCH``
 minwise tokens. At the root of each tree it descends by one of them, so classes meet in a
-node with a probability equal to their similarity. A node with few classes is compared
-exhaustively inside one task: pairs whose sketches can reach the threshold are looked up
-in full sets, unless both are already connected, and only links that connect are emitted.
-A larger node is compared in random blocks of that size, which mostly joins it into one
-component; what still holds several components branches, by ``BRANCHES`` tokens chosen by
-the path, until nodes are small. What is large after ``DEPTH`` levels is compared block
-against block, so no pair is given up. The number of trees follows from the recall asked for.
+node with a probability equal to their similarity. Nodes are compared exhaustively, in
+blocks that fit a task: classes whose sketches can reach the threshold with a class of
+another component are compared by their full sets, and only links that connect are
+emitted. A node of over ``WIDE`` blocks is compared within random blocks only, which joins what is
+alike; if it still holds several components it branches, by ``BRANCHES`` tokens chosen by the
+path. What is large after ``DEPTH`` levels is compared block against block, so no pair is
+given up. The number of trees follows from the recall asked for.
 """
 
 from __future__ import annotations
@@ -30,7 +30,12 @@ from clientele.sources.staging import staged
 SKETCH = 64
 BRANCHES = 2
 DEPTH = 8
-NODE = 400
+# A node is small up to so many classes, each counting once for so many tokens begun.
+NODE = 1000
+TOKENS = 4000
+COLUMNS = 4096
+# Up to so many blocks of that size, all pairs of blocks are compared.
+WIDE = 8
 MISS = 1e-6
 
 _RNG = np.random.default_rng(20_240_229)
@@ -97,13 +102,6 @@ def token_sets(texts: DataFrame, shingle: int) -> DataFrame:
             .dropDuplicates(["cid"]))
 
 
-def _plausible(sketches: np.ndarray, sizes: np.ndarray, i: int, similarity: float, least: int) -> np.ndarray:
-    """Which of the rows after i can reach the similarity with row i."""
-    n, rest = sizes[i], sizes[i + 1:]
-    close = np.minimum(n, rest) >= similarity * np.maximum(n, rest) - 1e-9
-    return close & ((sketches[i + 1:] == sketches[i]).sum(axis=1) >= least)
-
-
 def least_agreement(similarity: float, miss: float = 1e-9) -> int:
     """Equal coordinates below which a pair at the threshold is found with probability ``miss``."""
     below = 0.0
@@ -114,60 +112,81 @@ def least_agreement(similarity: float, miss: float = 1e-9) -> int:
     return SKETCH
 
 
-def _connect(numerator: int, denominator: int):
-    """The links that connect components of one unit; sets of equal components aren't compared."""
-    similarity, least = numerator / denominator, least_agreement(numerator / denominator)
+def common_tokens(tokens: list[np.ndarray]) -> np.ndarray:
+    """How many tokens each two sets share, from blocks of columns of tokens that two sets have."""
+    rows = np.repeat(np.arange(len(tokens)), [len(t) for t in tokens])
+    _, column_of, times = np.unique(np.concatenate(tokens), return_inverse=True, return_counts=True)
+    shared = times > 1
+    number = np.cumsum(shared) - 1
+    kept = shared[column_of]
+    rows, columns = rows[kept], number[column_of[kept]]
+    order = np.argsort(columns, kind="stable")
+    rows, columns = rows[order], columns[order]
+    common = np.zeros((len(tokens), len(tokens)), np.float64)
+    for start in range(0, int(shared.sum()), COLUMNS):
+        at = slice(*np.searchsorted(columns, [start, start + COLUMNS]))
+        block = np.zeros((len(tokens), COLUMNS), np.float32)
+        block[rows[at], columns[at] - start] = 1
+        common += block @ block.T
+    return common.astype(np.int64)
+
+
+def _units_of(rows: pd.DataFrame) -> Iterator[pd.DataFrame]:
+    """The units of a call one by one."""
+    rows = rows.sort_values(["node", "block"], kind="stable")
+    node, block = rows["node"].to_numpy(), rows["block"].to_numpy()
+    edges = np.flatnonzero((node[1:] != node[:-1]) | (block[1:] != block[:-1])) + 1
+    for start, end in zip([0, *edges], [*edges, len(rows)], strict=True):
+        yield rows.iloc[start:end]
 
-    def compare(rows: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.sort_values(["copies", "cid"], ascending=[False, True])
+
+def _connect(numerator: int, denominator: int):
+    """The links that connect components of a unit."""
+    def linked(rows: pd.DataFrame) -> list[tuple[int, int]]:
         cids, sizes, group = (rows[c].to_numpy() for c in ("cid", "n", "component"))
-        sketches, tokens = np.vstack(rows["mins"].to_list()), [np.frombuffer(t, np.uint64) for t in rows["tokens"]]
-        parent: dict[int, int] = {}
-
-        def root(x: int) -> int:
-            while parent.setdefault(x, x) != x:
-                parent[x] = x = parent[parent[x]]
-            return x
-        links = []
+        common = common_tokens([np.frombuffer(t, np.uint64) for t in rows["tokens"]])
+        near = denominator * common >= numerator * (sizes[:, None] + sizes[None, :] - common)
+        group, links = group.copy(), []
         for i in range(len(cids)):
-            for j in i + 1 + np.flatnonzero(_plausible(sketches, sizes, i, similarity, least)):
-                a, b = root(int(group[i])), root(int(group[j]))
-                if a == b:
-                    continue
-                # Sets are sorted: look where the tokens of i would stand in j.
-                at = np.searchsorted(tokens[j], tokens[i])
-                common = int((tokens[j][np.minimum(at, sizes[j] - 1)] == tokens[i]).sum())
-                if denominator * common >= numerator * (int(sizes[i]) + int(sizes[j]) - common):
-                    parent[max(a, b)] = min(a, b)
-                    links.append((cids[i], cids[j]))
+            others = np.flatnonzero(near[i] & (group != group[i]))
+            for other, first in zip(*np.unique(group[others], return_index=True), strict=True):
+                links.append((cids[i], cids[others[first]]))
+                group[group == other] = group[i]
+        return links
+
+    def compare(rows: pd.DataFrame) -> pd.DataFrame:
+        links = [link for unit in _units_of(rows) for link in linked(unit)]
         return pd.DataFrame(links, columns=["u", "v"], dtype="int64")
     return compare
 
 
 def _screen(similarity: float):
-    """The rows of a unit that have a plausible partner in another component."""
+    """The rows of a unit that have a plausible partner in another component, by size and sketch."""
     least = least_agreement(similarity)
 
-    def screened(rows: pd.DataFrame) -> pd.DataFrame:
-        sketches, sizes = np.vstack(rows["mins"].to_list()), rows["n"].to_numpy()
-        group, found = rows["component"].to_numpy(), np.zeros(len(rows), bool)
-        for i in range(len(rows)):
-            fits = _plausible(sketches, sizes, i, similarity, least) & (group[i + 1:] != group[i])
+    def plausible(rows: pd.DataFrame) -> np.ndarray:
+        # A byte of each token will do: tokens that only seem equal let more through.
+        sketches = np.vstack(rows["mins"].to_list()).astype(np.uint8)
+        sizes, group, found = rows["n"].to_numpy(), rows["component"].to_numpy(), np.zeros(len(rows), bool)
+        for i in range(len(rows) - 1):
+            rest = slice(i + 1, None)
+            equal = (sketches[rest] == sketches[i]).view(np.uint8).sum(axis=1, dtype=np.uint8)
+            fits = ((equal >= least) & (group[rest] != group[i])
+                    & (np.minimum(sizes[i], sizes[rest]) >= similarity * np.maximum(sizes[i], sizes[rest]) - 1e-9))
             found[i] |= fits.any()
-            found[i + 1:] |= fits
-        return rows.loc[found, ["node", "block", "cid", "component"]]
-    return screened
+            found[rest] |= fits
+        return found
 
-
-def _block(size: Column, salt: int) -> Column:
-    """Deals the members of a node out to blocks of about NODE."""
-    return F.pmod(F.xxhash64(F.lit(salt), "cid"), F.ceil(size / NODE)).cast("int")
+    def screened(rows: pd.DataFrame) -> pd.DataFrame:
+        parts = [unit.loc[plausible(unit), ["node", "block", "cid", "n", "component"]] for unit in _units_of(rows)]
+        return pd.concat(parts)
+    return screened
 
 
 def classes_of(sketches: DataFrame) -> DataFrame:
-    """One row per distinct set: a number, its smallest document, copies, size and minwise tokens."""
+    """One row per distinct set: a number, its smallest document, size and minwise tokens."""
     return (sketches.filter((F.col("n") > 0) & F.col("id").isNotNull()).groupBy("n", "sig_a", "sig_b")
-            .agg(F.min("id").alias("id"), F.count(F.lit(1)).alias("copies"), F.first("mins").alias("mins"))
+            .agg(F.min("id").alias("id"), F.first("mins").alias("mins"))
             .withColumn("cid", F.monotonically_increasing_id()))
 
 
@@ -180,35 +199,46 @@ class _Join:
         self.component: DataFrame | None = None
 
     def open_nodes(self, members: DataFrame) -> DataFrame:
-        """Members (node, cid) of nodes that hold several components, with size and component."""
+        """Members (node, cid, n) of nodes that hold several components, with size and component."""
         if self.component is None:
             members = members.withColumn("component", F.col("cid"))
         else:
             members = members.join(self.component, "cid", "left").withColumn(
                 "component", F.coalesce("component", "cid"))
         nodes = members.groupBy("node").agg(
-            F.count(F.lit(1)).alias("size"), F.min("component").alias("low"), F.max("component").alias("high"))
+            F.sum(F.ceil(F.col("n") / TOKENS)).alias("size"), F.min("component").alias("low"), F.max("component").alias("high"))
         return members.join(nodes.filter("low < high").select("node", "size"), "node")
 
     def compare(self, units: DataFrame) -> None:
-        """Compare all units (node, block, cid, component) and take up the links found."""
-        keys, sketched = ["node", "block"], self.classes.select("cid", "n", "copies", "mins")
-        chosen = staged(units.join(sketched, "cid").groupBy(*keys).applyInPandas(
-            _screen(self.ratio[0] / self.ratio[1]), "node long, block string, cid long, component long"))
+        """Compare all units and take up the links found.
+
+        Units are far more than tasks need, so many go to one call, as many as a few blocks weigh.
+        """
+        units = staged(units)
+        weight = units.agg(F.coalesce(F.sum(F.ceil(F.col("n") / TOKENS)), F.lit(0))).first()[0]
+        bucket = F.pmod(F.xxhash64("node", "block"), F.lit(1 + int(weight) // (3 * NODE)))
+        chosen = staged(units.join(self.classes.select("cid", "mins"), "cid").groupBy(bucket).applyInPandas(
+            _screen(self.ratio[0] / self.ratio[1]), "node long, block string, cid long, n long, component long"))
         wanted = chosen.select("cid").distinct().join(self.classes.select("cid", "id", "sig_a", "sig_b"), "cid")
         full = token_sets(self.texts.join(wanted, "id"), self.shingle)
-        rows = chosen.join(sketched, "cid").join(full, "cid")
-        found = staged(rows.groupBy(*keys).applyInPandas(_connect(*self.ratio), "u long, v long"))
+        found = staged(chosen.join(full, "cid").groupBy(bucket).applyInPandas(_connect(*self.ratio), "u long, v long"))
         self.links = found if self.links is None else self.links.unionByName(found)
         self.component = staged(components(self.links).select(F.col("id").alias("cid"), "component"))
 
 
-def _block_pairs(nodes: DataFrame) -> DataFrame:
-    """Every block of a node with every other, so that each pair meets."""
-    other = F.explode(F.sequence(F.lit(0), F.ceil(F.col("size") / NODE).cast("int") - 1))
-    return (nodes.withColumns({"own": _block(F.col("size"), DEPTH + 1)}).withColumn("other", other)
-            .select("node", F.concat_ws("-", F.least("own", "other"), F.greatest("own", "other")).alias("block"),
-                    "cid", "component"))
+def _units(nodes: DataFrame, salt: int, last: bool) -> DataFrame:
+    """Nodes (node, cid, size, component) cut into units (node, block, cid, n, component) of about NODE classes.
+
+    Up to WIDE blocks of a node each block meets each other, so every pair of the node meets.
+    Blocks of a larger node are alone, to join what is alike before it branches; unless it is the ``last`` time.
+    """
+    blocks = F.ceil(F.col("size") / NODE).cast("int")
+    own = F.pmod(F.xxhash64(F.lit(salt), "cid"), F.col("blocks")).cast("int")
+    met = F.sequence(F.lit(0), F.col("blocks") - 1)
+    met = met if last else F.when(F.col("blocks") <= WIDE, met).otherwise(F.array("own"))
+    pair = F.concat_ws("-", F.least("own", "other"), F.greatest("own", "other"))
+    return (nodes.withColumn("blocks", blocks).withColumn("own", own).withColumn("other", F.explode(met))
+            .select("node", pair.alias("block"), "cid", "n", "component"))
 
 
 def similar_classes(texts: DataFrame, classes: DataFrame, shingle: int, ratio: tuple[int, int],
@@ -216,22 +246,19 @@ def similar_classes(texts: DataFrame, classes: DataFrame, shingle: int, ratio: t
     """The tree walk: component of every class that is linked to another (cid, component)."""
     join = _Join(texts, classes, shingle, ratio)
     roots = trees_for(ratio[0] / ratio[1], miss)
-    members = classes.select("cid", F.posexplode(F.slice("mins", 1, roots)).alias("tree", "token")).select(
-        F.xxhash64("tree", "token").alias("node"), "cid")
+    members = classes.select("cid", "n", F.posexplode(F.slice("mins", 1, roots)).alias("tree", "token")).select(
+        F.xxhash64("tree", "token").alias("node"), "cid", "n")
     for depth in range(DEPTH + 1):
         nodes = staged(join.open_nodes(members))
         if nodes.isEmpty():
             break
-        block = _block(F.col("size"), depth).cast("string")
-        join.compare(nodes.select("node", block.alias("block"), "cid", "component"))
-        left = staged(join.open_nodes(nodes.filter(F.col("size") > NODE).select("node", "cid")))
-        if depth == DEPTH:
-            if not left.isEmpty():
-                join.compare(_block_pairs(left))
+        join.compare(_units(nodes, depth, last=depth == DEPTH))
+        left = staged(join.open_nodes(nodes.filter(F.col("size") > NODE * WIDE).select("node", "cid", "n")))
+        if depth == DEPTH or left.isEmpty():
             break
         choice = [F.pmod(F.xxhash64(F.lit(b), "node"), F.lit(SKETCH)).cast("int") for b in range(BRANCHES)]
         children = F.explode(F.array(*[F.xxhash64("node", F.lit(b), F.col("mins")[c]) for b, c in enumerate(choice)]))
-        members = left.join(classes.select("cid", "mins"), "cid").select(children.alias("node"), "cid")
+        members = left.join(classes.select("cid", "mins"), "cid").select(children.alias("node"), "cid", "n")
     return join.component
 
 
