@@ -240,11 +240,12 @@ named AS (SELECT host, n, bad, CASE WHEN array_to_string(parts[-2:], '.') IN ({_
                  CASE WHEN array_to_string(parts[-2:], '.') IN ({_two_labels()}) THEN array_to_string(parts[-3:], '.') ELSE array_to_string(parts[-2:], '.') END AS domain FROM by_host),
 suffix_sums AS (SELECT suffix, sum(n) AS n, sum(bad) AS bad, (SELECT coalesce(sum(bad) / nullif(sum(n), 0), 0) FROM named) AS prior FROM named GROUP BY suffix),
 suffix_strength AS ({_strength('suffix_sums')}),
-suffixes AS (SELECT suffix, (bad + strength * prior) / (n + strength) AS mean FROM suffix_sums, suffix_strength),
-domain_sums AS (SELECT suffix, domain, sum(n) AS n, sum(bad) AS bad, any_value(s.mean) AS prior FROM named JOIN suffixes s USING (suffix) GROUP BY suffix, domain),
+domain_counts AS (SELECT suffix, domain, sum(n) AS n, sum(bad) AS bad FROM named GROUP BY suffix, domain),
+domain_sums AS (SELECT d.domain, d.n, d.bad, (s.bad - d.bad + strength * s.prior) / (s.n - d.n + strength) AS prior
+                FROM domain_counts d JOIN suffix_sums s USING (suffix), suffix_strength),
 domain_strength AS ({_strength('domain_sums')}),
-domains AS (SELECT domain, (bad + strength * prior) / (n + strength) AS mean FROM domain_sums, domain_strength),
-host_sums AS (SELECT host, n, bad, d.mean AS prior FROM named JOIN domains d USING (domain)),
+host_sums AS (SELECT host, h.n, h.bad, (d.bad - h.bad + strength * d.prior) / (d.n - h.n + strength) AS prior
+              FROM named h JOIN domain_sums d USING (domain), domain_strength),
 host_strength AS ({_strength('host_sums')}),
 posteriors AS (SELECT host, bad + strength * prior AS a, n - bad + strength * (1 - prior) AS b FROM host_sums, host_strength),
 bounds AS (SELECT host, greatest(0, a / (a + b) - {reputation.DEVIATIONS} * sqrt(a * b / (pow(a + b, 2) * (a + b + 1)))) AS bad_bound FROM posteriors)

@@ -3,7 +3,8 @@
 Labelled page outcomes are counted per host, registered domain and suffix. The bad rate
 of a suffix shrinks to that of all pages, a domain's to its suffix's, a host's to its
 domain's, each through a beta prior whose strength is fitted by moments from how far
-the groups of that level differ. A host is blocked if the lower bound of its posterior
+the groups of that level differ. A prior comes from the labels of a parent's other members,
+so no label counts twice. A host is blocked if the lower bound of its posterior
 bad rate is over a limit, so few labels alone never block a host.
 """
 
@@ -107,12 +108,19 @@ def host_reputation(outcomes: DataFrame) -> DataFrame:
     total = by_host.agg(F.sum("n").alias("n"), F.sum("bad").alias("bad")).first()
     base = (total["bad"] or 0) / total["n"] if total["n"] else 0.0
     sums = [F.sum("n").alias("n"), F.sum("bad").alias("bad")]
-    mean = lambda prior, strength: (F.col("bad") + strength * prior) / (F.col("n") + strength)
+
+    def prior(of_rest: str, strength: float):
+        """The parent's rate shrunk to its own prior, from the labels of the parent's other members."""
+        return ((F.col("all_bad") - F.col("bad") + strength * F.col(of_rest))
+                / (F.col("all_n") - F.col("n") + strength))
+    above = [F.col("n").alias("all_n"), F.col("bad").alias("all_bad"), F.col("prior").alias("above")]
     suffixes = by_host.groupBy("suffix").agg(*sums).withColumn("prior", F.lit(base))
-    suffixes = staged(suffixes.select("suffix", mean(F.col("prior"), _strength(suffixes, "prior")).alias("prior")))
-    domains = by_host.groupBy("suffix", "domain").agg(*sums).join(suffixes, "suffix")
-    domains = staged(domains.select("domain", mean(F.col("prior"), _strength(domains, "prior")).alias("prior")))
-    hosts = staged(by_host.join(domains, "domain"))
+    strength = _strength(suffixes, "prior")
+    domains = by_host.groupBy("suffix", "domain").agg(*sums).join(suffixes.select("suffix", *above), "suffix")
+    domains = staged(domains.select("domain", "n", "bad", prior("above", strength).alias("prior")))
+    strength = _strength(domains, "prior")
+    hosts = by_host.join(domains.select("domain", *above), "domain")
+    hosts = staged(hosts.select("host", "n", "bad", prior("above", strength).alias("prior")))
     strength = _strength(hosts, "prior")
     a = F.col("bad") + strength * F.col("prior")
     b = F.col("n") - F.col("bad") + strength * (1 - F.col("prior"))
