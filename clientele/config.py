@@ -171,10 +171,8 @@ WALLET_SPECS = (
             "Volumizing"),
     }),
 )
-# Column left out by hand, member left out as an outlier, and the
-# feature order the saved cluster model was trained on.
+# Column left out by hand, and the feature order of the first cluster model.
 DROPPED_FEATURES = ("Color_SOW_by_prodline",)
-OUTLIER_MEMBERS = ("01H0329305",)
 CLUSTER_FEATURES = (
     "Body_SOW_by_maincat", "Skin_SOW_by_maincat", "Botanical Repair_SOW_by_prodline",
     "Invati_SOW_by_prodline", "Treatment_SOW_by_subcat", "Others_SOW_by_prodline",

@@ -146,7 +146,7 @@ def fit_scaler(df: DataFrame, cols: Sequence[str]) -> DataFrame:
 
 
 def standardize(df: DataFrame, cols: Sequence[str], scaler: DataFrame | None = None) -> DataFrame:
-    """(x - mean) / deviation; constant features and NaN become 0.
+    """(x - mean) / deviation; constant features, NULL and NaN become 0.
 
     Pass the training scaler to score new members on the training scale; without
     one the scale is fitted on ``df``.
@@ -157,5 +157,5 @@ def standardize(df: DataFrame, cols: Sequence[str], scaler: DataFrame | None = N
     for c in cols:
         mean, std = stats[c]["mean"], stats[c]["std"]
         z = F.when(std > 0, (column(c) - mean) / std).otherwise(F.lit(0.0))
-        scaled.append(F.nanvl(z, F.lit(0.0)).alias(c))
+        scaled.append(F.coalesce(F.nanvl(z, F.lit(0.0)), F.lit(0.0)).alias(c))
     return df.select(MEMBER, *scaled)

@@ -3,13 +3,15 @@
 from __future__ import annotations
 
 from collections.abc import Iterable
+from decimal import Decimal
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from clientele.config import CUSTOMER_TAGS, MEMBER, SegmentCuts
 from clientele.functions.labels import bucket
 from clientele.operators.clv import ACTIVE, INACTIVE_P12, INACTIVE_P24, NEW, OLD
+from clientele.sources.staging import staged
 
 NO_LAST_YEAR = "New Joiner / Inactive P24M"
 
@@ -66,18 +68,29 @@ def value_segment(trend: DataFrame, clv: DataFrame, p12m: DataFrame,
                                  cuts.engaged, cuts.emerging).alias("value_segment")))
 
 
-def calibrate(df: DataFrame, cols: Iterable[str], probs: Iterable[float] = (0.7, 0.9),
-              accuracy: int = 10_000) -> DataFrame:
-    """Percentile cut-offs, one row per column and probability.
+def calibrate(df: DataFrame, cols: Iterable[str], probs: Iterable[float] = (0.7, 0.9)) -> DataFrame:
+    """Percentile cut-offs, one row per column and probability: the value at rank ceil(p n).
 
-    A mergeable sketch of bounded size; exact up to ``accuracy`` rows.
+    Exact at any size: values are counted, the counts dealt to ranges, and running counts
+    kept within a range and over the ranges, of which there are few.
     """
-    cols, probs = list(cols), list(probs)
-    sketches = [F.percentile_approx(F.col(c).cast("double"), probs, accuracy).alias(c) for c in cols]
-    rows = [F.struct(F.lit(c).alias("measure"), F.lit(p).alias("prob"),
-                     F.get(F.col(c), F.lit(i)).alias("cutoff"))
-            for c in cols for i, p in enumerate(probs)]
-    return df.agg(*sketches).select(F.inline(F.array(*rows)))
+    probs = list(probs)
+    values = df.select(F.inline(F.array(*[F.struct(F.lit(c).alias("measure"), F.col(c).cast("double").alias("v"))
+                                          for c in cols]))).filter("v is not null")
+    counts = staged(values.groupBy("measure", "v").agg(F.count(F.lit(1)).alias("n")).sort("measure", "v")
+                    .withColumn("part", F.spark_partition_id()))
+    parts = counts.groupBy("measure", "part").agg(F.sum("n").alias("n"))
+    order = Window.partitionBy("measure").orderBy("part")
+    before = parts.select("measure", "part", (F.sum("n").over(order) - F.col("n")).alias("before"),
+                          F.sum("n").over(Window.partitionBy("measure")).alias("total"))
+    run = Window.partitionBy("measure", "part").orderBy("v")
+    ranked = counts.withColumn("here", F.sum("n").over(run)).join(F.broadcast(before), ["measure", "part"])
+    upto = F.col("before") + F.col("here")
+    # Decimal shares, so that 0.7 of 30 is no more than 21.
+    asked = F.inline(F.array(*[F.struct(F.lit(float(p)).alias("prob"), F.lit(Decimal(str(p))).cast("decimal(12,10)").alias("share")) for p in probs]))
+    return (ranked.select("measure", "v", "total", upto.alias("upto"), asked)
+            .filter(F.col("upto") >= F.ceil(F.col("share") * F.col("total")))
+            .groupBy("measure", "prob").agg(F.min("v").alias("cutoff")))
 
 
 def segment_summary(segments: DataFrame) -> DataFrame:

@@ -76,13 +76,19 @@ class Mart:
     first_last: DataFrame
 
 
+def _valid(tables: Mapping[str, DataFrame], period: Period, brand: str,
+           rules: Mapping[str, ChannelRule] | None = None, amount_type: str = "decimal(10,0)",
+           shop_names: Mapping[str, str] | None = None) -> DataFrame:
+    lines = valid_lines(tables, period, [brand], amount_type, shop_names)
+    return mart.union_channels(lines, CHANNEL_RULES[brand] if rules is None else rules)
+
+
 def build_mart(tables: Mapping[str, DataFrame], period: Period, brand: str,
                rules: Mapping[str, ChannelRule] | None = None,
                amount_type: str = "decimal(10,0)",
                shop_names: Mapping[str, str] | None = None) -> Mart:
     """The three tables of one brand."""
-    lines = valid_lines(tables, period, [brand], amount_type, shop_names)
-    valid = mart.union_channels(lines, CHANNEL_RULES[brand] if rules is None else rules)
+    valid = _valid(tables, period, brand, rules, amount_type, shop_names)
     return Mart(valid, clean.demographics(tables["members"], BRAND_MEMBER_COLUMNS[brand]),
                 mart.first_last(valid, first_purchases(tables, brand)))
 
@@ -91,9 +97,8 @@ def run_mart(spark: SparkSession, refs: Mapping[str, str], base: str, period: Pe
              suffix: str = "", **options) -> None:
     """Write the mart of one brand; first/last is read off the written transactions."""
     tables = io.read_sources(spark, refs)
-    built = build_mart(tables, period, brand, **options)
-    io.write_transactions(built.transaction, base, suffix)
+    io.write_transactions(_valid(tables, period, brand, **options), base, suffix)
     stored = io.read_transactions(spark, base, suffix)
-    built.demographic.write.mode("overwrite").parquet(io._part(base, "demographic", suffix))
+    clean.demographics(tables["members"], BRAND_MEMBER_COLUMNS[brand]).write.mode("overwrite").parquet(io._part(base, "demographic", suffix))
     mart.first_last(stored, first_purchases(tables, brand)).write.mode("overwrite").parquet(
         io._part(base, "first_last_transaction", suffix))

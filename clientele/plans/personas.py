@@ -2,54 +2,55 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterable, Mapping, Sequence
+from collections.abc import Iterable, Mapping
 from datetime import date
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from clientele.config import (
-    CLUSTER_FEATURES, DROPPED_FEATURES, OUTLIER_MEMBERS, PERSONA_NAMES, WALLET_SPECS, WalletSpec,
+    PERSONA_NAMES, WALLET_SPECS, WalletSpec,
 )
 from clientele.operators import contacts, features, personas, reports
 from clientele.sources import io
 from clientele.sources.staging import staged
 
 
-def feature_table(tx: DataFrame, specs: Iterable[WalletSpec] = WALLET_SPECS,
-                  dropped: Iterable[str] = DROPPED_FEATURES,
-                  outliers: Iterable[str] = OUTLIER_MEMBERS,
-                  zero_threshold: float | None = None) -> DataFrame:
+def feature_table(tx: DataFrame, dropped: Iterable[str], outliers: Iterable[str],
+                  specs: Iterable[WalletSpec] = WALLET_SPECS) -> DataFrame:
     """One row of shares per member, from a single aggregation of the sales."""
     table = features.wallet_features(features.clean_for_features(tx), specs).fillna(0)
-    table = features.exclude_members(table.drop(*dropped), outliers)
-    return table if zero_threshold is None else features.drop_zero_columns(table, zero_threshold)
+    return features.exclude_members(table.drop(*dropped), outliers)
 
 
-def run_training(spark: SparkSession, mart_base: str, model_base: str, k: int = 5,
-                 n_init: int = 5, n_factors: int = 10, n_keep: int = 10, seed: int = 1,
+def run_training(spark: SparkSession, mart_base: str, model_base: str, dropped: Iterable[str],
+                 outliers: Iterable[str], k: int = 5, n_init: int = 5, n_factors: int = 10,
+                 n_keep: int = 10, seed: int = 1,
                  specs: Iterable[WalletSpec] = WALLET_SPECS) -> list[str]:
-    """Fit scaler and clusters on a mart; store both; return the chosen features."""
+    """Fit scaler and clusters on a mart; store both with the chosen features, and return these."""
+    dropped = list(dropped)
     tx = io.read_transactions(spark, mart_base)
-    table = staged(feature_table(tx, specs, zero_threshold=1.0))
+    table = features.drop_zero_columns(staged(feature_table(tx, dropped, outliers, specs)), 1.0)
     cols = features.feature_columns(table)
     scaler = features.fit_scaler(table, cols)
     scaled = staged(features.standardize(table, cols, scaler))
     chosen = personas.factor_select(scaled, cols, n_factors, n_keep)
     model = personas.kmeans_fit(scaled, chosen, k, n_init, seed)
-    io.save_model(model, scaler, model_base)
+    io.save_model(model, scaler, chosen, model_base, dropped)
     io.write_personas(personas.kmeans_predict(scaled, chosen, model), f"{model_base}/training_result")
     return chosen
 
 
 def run_scoring(spark: SparkSession, mart_base: str, model_base: str, out_path: str,
-                cols: Sequence[str] = CLUSTER_FEATURES, refit: bool = False,
+                outliers: Iterable[str], refit: bool = False,
                 specs: Iterable[WalletSpec] = WALLET_SPECS) -> None:
-    """Assign personas with a stored model, on the training scale unless ``refit``."""
-    model, scaler = io.load_model(spark, model_base)
-    table = feature_table(io.read_transactions(spark, mart_base), specs)
-    scaled = features.standardize(table, list(cols), None if refit else scaler)
-    io.write_personas(personas.kmeans_predict(scaled, list(cols), model), out_path)
+    """Assign personas with a stored model, its features in their order, on the training scale unless ``refit``."""
+    model, scaler, cols, dropped = io.load_model(spark, model_base)
+    table = feature_table(io.read_transactions(spark, mart_base), dropped, outliers, specs)
+    if missing := set(cols) - set(table.columns):
+        raise ValueError(f"features of the model that the specs do not make: {sorted(missing)}")
+    scaled = features.standardize(table, cols, None if refit else scaler)
+    io.write_personas(personas.kmeans_predict(scaled, cols, model), out_path)
 
 
 def persona_reports(tx: DataFrame, named: DataFrame, window: tuple[date, date],

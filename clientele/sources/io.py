@@ -37,16 +37,9 @@ def write_transactions(tx: DataFrame, base: str, suffix: str = "") -> None:
      .parquet(_part(base, "transaction", suffix)))
 
 
-def write_mart(transaction: DataFrame, demographic: DataFrame, first_last: DataFrame,
-               base: str, suffix: str = "") -> None:
-    write_transactions(transaction, base, suffix)
-    demographic.write.mode("overwrite").parquet(_part(base, "demographic", suffix))
-    first_last.write.mode("overwrite").parquet(_part(base, "first_last_transaction", suffix))
-
-
 def read_transactions(spark: SparkSession, base: str, suffix: str = "",
                       window: tuple[date, date] | None = None) -> DataFrame:
-    tx = spark.read.option("inferSchema", False).parquet(_part(base, "transaction", suffix))
+    tx = spark.read.parquet(_part(base, "transaction", suffix))
     if window is not None:
         first, last = window
         month = F.col("order_month").cast("string")
@@ -96,14 +89,25 @@ def write_personas(df: DataFrame, path: str) -> None:
     df.select("vip_main_no", F.col("persona").cast("int").alias("persona")).write.parquet(path)
 
 
-def save_model(model: KMeansModel, scaler: DataFrame, base: str) -> None:
-    model.save(f"{base.rstrip('/')}/kmeans")
-    scaler.write.parquet(f"{base.rstrip('/')}/scaler")
-
-
-def load_model(spark: SparkSession, base: str) -> tuple[KMeansModel, DataFrame]:
-    return (KMeansModel.load(f"{base.rstrip('/')}/kmeans"),
-            spark.read.parquet(f"{base.rstrip('/')}/scaler"))
+def save_model(model: KMeansModel, scaler: DataFrame, cols: Sequence[str], base: str,
+               dropped: Sequence[str] = ()) -> None:
+    """Clusters, scale, and the names of the features in the order of the model's vectors."""
+    base, spark = base.rstrip("/"), scaler.sparkSession
+    model.save(f"{base}/kmeans")
+    scaler.write.parquet(f"{base}/scaler")
+    rows = [(i, c, True) for i, c in enumerate(cols)] + [(i, c, False) for i, c in enumerate(dropped)]
+    spark.createDataFrame(rows, "place int, feature string, used boolean").coalesce(1).write.parquet(f"{base}/features")
+
+
+def load_model(spark: SparkSession, base: str) -> tuple[KMeansModel, DataFrame, list[str], list[str]]:
+    """Clusters, scale, ordered features and dropped features; refuses parts that do not fit."""
+    base = base.rstrip("/")
+    model, scaler = KMeansModel.load(f"{base}/kmeans"), spark.read.parquet(f"{base}/scaler")
+    rows = sorted(spark.read.parquet(f"{base}/features").collect(), key=lambda r: r["place"])
+    cols = [r["feature"] for r in rows if r["used"]]
+    if len(model.clusterCenters()[0]) != len(cols) or not set(cols) <= set(scaler.columns):
+        raise ValueError("the stored features do not fit the stored model and scale")
+    return model, scaler, cols, [r["feature"] for r in rows if not r["used"]]
 
 
 def write_csv(df: DataFrame, path: str) -> None:

@@ -104,16 +104,16 @@ def test_reports_from_stored_tables(spark, stored):
 def test_personas_trained_stored_and_scored(spark, stored):
     base, _ = stored
     model = f"{base}/model"
-    chosen = persona_plan.run_training(spark, f"{base}/ba", model, k=2, n_init=1, n_factors=2, n_keep=3,
+    chosen = persona_plan.run_training(spark, f"{base}/ba", model, (), (), k=2, n_init=1, n_factors=2, n_keep=3,
                                        specs=SPECS)
     assert 2 <= len(chosen) <= 3
     trained = spark.read.parquet(f"{model}/training_result")
-    persona_plan.run_scoring(spark, f"{base}/ba", model, f"{base}/scored", chosen, specs=SPECS)
+    persona_plan.run_scoring(spark, f"{base}/ba", model, f"{base}/scored", (), specs=SPECS)
     scored = spark.read.parquet(f"{base}/scored")
     assert dict(scored.dtypes)["persona"] == "int"
     assert sorted(map(tuple, scored.collect())) == sorted(map(tuple, trained.collect()))
 
-    io.write_features(persona_plan.feature_table(io.read_transactions(spark, f"{base}/ba"), SPECS), base, "sow")
+    io.write_features(persona_plan.feature_table(io.read_transactions(spark, f"{base}/ba"), (), (), SPECS), base, "sow")
     assert io.read_features(spark, base, ["sow"])[0].columns[1:] == ["low_sub", "high_sub", "first_line", "second_line"]
 
     tables.CONTACTS.frame(spark, SF).write.parquet(f"{base}/contacts.parquet")
@@ -135,3 +135,18 @@ def test_schemas_match_the_views(spark):
                       (schemas.MAIN_CATEGORIES, tables.MAIN_CATEGORIES),
                       (schemas.SUBCATEGORIES, tables.SUBCATEGORIES)):
         assert set(spark.createDataFrame([], ddl).columns) == set(view.columns)
+
+
+def test_a_model_keeps_the_order_of_its_features(spark, stored):
+    base, _ = stored
+    model = f"{base}/ordered"
+    chosen = persona_plan.run_training(spark, f"{base}/ba", model, ("low_sub",), (), k=2, n_init=1, n_factors=2,
+                                       n_keep=3, specs=SPECS)
+    _, _, cols, dropped = io.load_model(spark, model)
+    assert cols == chosen and dropped == ["low_sub"] and "low_sub" not in cols
+    # The same features made in another order give the same personas.
+    persona_plan.run_scoring(spark, f"{base}/ba", model, f"{base}/reordered", (), specs=SPECS[::-1])
+    got = spark.read.parquet(f"{base}/reordered").collect()
+    assert sorted(map(tuple, got)) == sorted(map(tuple, spark.read.parquet(f"{model}/training_result").collect()))
+    with pytest.raises(ValueError):
+        persona_plan.run_scoring(spark, f"{base}/ba", model, f"{base}/never", (), specs=SPECS[:1])

@@ -300,7 +300,7 @@ def segment_summary(spark, d):
 def calibrate(spark, d):
     values = _values(spark, d).filter(F.col("value_segment").isNotNull())
     return segments.calibrate(values, ["slope_final", "avg_annual_revenue", "p12m_clv"],
-                              [0.5, 0.7, 0.75, 0.9], 100_000)
+                              [0.5, 0.7, 0.75, 0.9])
 
 
 @query
