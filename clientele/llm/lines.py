@@ -141,7 +141,8 @@ def _cleaned(docs: DataFrame, min_words: int, id_col: str, text_col: str) -> Dat
     rows = packed(docs, row_key(docs, id_col, text_col).alias("key"))
     text = F.col("row").getField(text_col)
     kept = F.filter(pieces(text), lambda x, i: ~F.array_contains("deleted", i))
-    return rows.join(deleted, "key", "left").withColumn(
+    # Texts are shuffled once at every size: how the plan grows doesn't hang on a broadcast limit.
+    return rows.join(deleted.hint("shuffle_hash"), "key", "left").withColumn(
         "text", F.when(F.col("deleted").isNull(), text).otherwise(F.array_join(kept, "\n")))
 
 
