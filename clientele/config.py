@@ -5,7 +5,7 @@ Nothing in the package reads the clock; every date arrives through ``Period``.
 
 from __future__ import annotations
 
-from dataclasses import dataclass, field
+from dataclasses import dataclass, field, replace
 from datetime import date
 
 MEMBER = "vip_main_no"
@@ -135,6 +135,9 @@ CHANNEL_RULES = {
     },
 }
 
+# The mart of the first brand alone has the same channels in one region.
+ONE_BRAND_RULES = {name: replace(rule, regions=("HK",)) for name, rule in CHANNEL_RULES["BA"].items()}
+
 # Attribute labels.
 UNKNOWN_SEX = "C"
 NATIONALITIES = ("Hong Kong", "Mainland China", "Macau")

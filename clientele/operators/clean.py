@@ -54,10 +54,10 @@ def dedup_sales(df: DataFrame, brands: Iterable[str]) -> DataFrame:
 
 
 def resolve_member(sales: DataFrame, key_map: DataFrame,
-                   profile: DataFrame | None = None) -> DataFrame:
-    """Main member number of the card, else the card number itself."""
+                   profile: DataFrame | None = None, unique: bool = False) -> DataFrame:
+    """Main member number of the card, else the card number itself; ``unique``: one row per card."""
     main = key_map.select("vip_no", F.col(MEMBER).alias("_main"))
-    return (lookup_join(sales, main, "vip_no", "left", profile=profile)
+    return (lookup_join(sales, main, "vip_no", "left", profile=profile, unique=unique)
             .withColumn(MEMBER, F.coalesce("_main", "vip_no")).drop("_main"))
 
 

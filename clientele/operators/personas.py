@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Iterable, Mapping, Sequence
+from concurrent.futures import ThreadPoolExecutor
 
 import numpy as np
 from pyspark import StorageLevel
@@ -11,11 +12,14 @@ from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.stat import Correlation
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.util import inheritable_thread_target
 
 from clientele.config import MEMBER, PERSONA_NAMES
 from clientele.operators.features import column
 
 VECTOR = "features"
+# Fits that run at once: each is many short jobs over the same stored vectors.
+PARALLEL_FITS = 8
 
 
 def to_vectors(df: DataFrame, cols: Sequence[str]) -> DataFrame:
@@ -47,14 +51,26 @@ def factor_loadings(covariance: np.ndarray, n_factors: int, max_iter: int = 1000
     return loadings
 
 
+def correlation_matrix(df: DataFrame, cols: Sequence[str]) -> np.ndarray:
+    """Pearson correlations over all members, d x d; 0 where a feature is constant."""
+    return np.nan_to_num(Correlation.corr(to_vectors(df, cols), VECTOR).head()[0].toArray())
+
+
+def feature_correlations(df: DataFrame, cols: Sequence[str]) -> DataFrame:
+    """One row per pair of features, in the order given."""
+    corr = correlation_matrix(df, cols)
+    return df.sparkSession.createDataFrame(
+        [(cols[i], cols[j], float(corr[i, j])) for i in range(len(cols)) for j in range(i + 1, len(cols))],
+        "feature string, other string, correlation double")
+
+
 def factor_weights(df: DataFrame, cols: Sequence[str], n_factors: int = 10) -> DataFrame:
     """Sum of absolute loadings per feature, from standardised features.
 
     Spark computes the d x d matrix over all members; only that matrix, of fixed
     size, reaches the driver.
     """
-    corr = Correlation.corr(to_vectors(df, cols), VECTOR).head()[0].toArray()
-    weights = np.abs(factor_loadings(np.nan_to_num(corr), n_factors)).sum(axis=0)
+    weights = np.abs(factor_loadings(correlation_matrix(df, cols), n_factors)).sum(axis=0)
     return df.sparkSession.createDataFrame(
         [(c, float(w)) for c, w in zip(cols, weights)], "feature string, weight double")
 
@@ -68,9 +84,10 @@ def factor_select(df: DataFrame, cols: Sequence[str], n_factors: int = 10, n_kee
 
 
 def _best_fit(vectors: DataFrame, k: int, n_init: int, seed: int) -> KMeansModel:
-    models = [KMeans(k=k, seed=seed + i, featuresCol=VECTOR, predictionCol="persona").fit(vectors)
-              for i in range(n_init)]
-    return min(models, key=lambda m: m.summary.trainingCost)
+    fit = inheritable_thread_target(vectors.sparkSession)(
+        lambda i: KMeans(k=k, seed=seed + i, featuresCol=VECTOR, predictionCol="persona").fit(vectors))
+    with ThreadPoolExecutor(PARALLEL_FITS) as pool:
+        return min(pool.map(fit, range(n_init)), key=lambda m: m.summary.trainingCost)
 
 
 def within_squares(df: DataFrame, cols: Sequence[str]) -> DataFrame:
@@ -116,6 +133,13 @@ def nearest_centroid(df: DataFrame, cols: Sequence[str],
     return df.select(MEMBER, F.array_min(F.array(*distances))["persona"].alias("persona"))
 
 
+def distances(df: DataFrame, cols: Sequence[str], centroids: Sequence[Sequence[float]]) -> DataFrame:
+    """(member, d): the squared distances to all centres, in their order."""
+    return df.select(MEMBER, F.array(*[
+        sum(((column(c) - F.lit(float(x))) * (column(c) - F.lit(float(x))) for c, x in zip(cols, centre)), F.lit(0.0))
+        for centre in centroids]).alias("d"))
+
+
 def persona_sizes(personas: DataFrame) -> DataFrame:
     return personas.groupBy("persona").agg(F.count(F.lit(1)).alias("members"))
 

@@ -1,52 +1,57 @@
 """Joins that stay balanced when one key holds a large part of the rows.
 
 A shuffle join sends every row of a key to one task. Here the heavy keys are
-found by an exact count and split into ``SALTS`` pieces; only the matching rows
-of the other side are repeated. Results do not depend on which keys are split.
+found by an exact count and split into pieces of at most a task's budget of rows;
+only the matching rows of the other side are repeated. Results do not depend on
+which keys are split.
 """
 
 from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Observation
 from pyspark.sql import functions as F
 
 from clientele.sources.staging import staged_counted
 
-# A key is heavy from 1/HEAVY_FRACTION of all rows on, so there are fewer than
-# HEAVY_FRACTION heavy keys whatever the data: the list may visit the driver and
-# be broadcast.
-HEAVY_FRACTION = 1000
-# Below this many rows a key fits in a task and is left alone.
-HEAVY_ROWS = 1_000_000
-SALTS = 256
+# Rows of one key that a task may get.
+TASK_ROWS = 1_000_000
+# The budget grows to 1/HEAVY_KEYS of all rows, so fewer keys than that are heavy
+# whatever the data, and their list can be broadcast: 5 million rows a task at 10^12.
+HEAVY_KEYS = 200_000
+# Pieces of the rows without a key.
+NULL_PIECES = 1 << 20
 # Largest lookup that is sent whole to every executor.
 BROADCAST_ROWS = 200_000
 
-_ROWS, _HEAVY, _SALT, _HIT = "_rows", "_heavy", "_salt", "_hit"
+_ROWS, _PIECES, _SALT, _HIT = "_rows", "_pieces", "_salt", "_hit"
 
 
 def _any_null(on: list[str]):
     return reduce(lambda a, b: a | b, [F.col(k).isNull() for k in on])
 
 
-def heavy_keys(df: DataFrame, on: list[str], min_rows: int | None = None) -> DataFrame | None:
-    """Keys holding over 1/HEAVY_FRACTION of the rows and ``min_rows`` at least.
+def heavy_keys(df: DataFrame, on: list[str], task_rows: int | None = None) -> DataFrame | None:
+    """Keys with more rows than a task should get, and into how many pieces they go.
 
-    NULL keys are not listed. Runs one counting job; ``None`` if no key is heavy.
+    One counting job writes the list, and sums up all rows on the way. NULL keys are not
+    listed; ``None`` if no key is heavy.
     """
-    min_rows = HEAVY_ROWS if min_rows is None else min_rows
-    counts = df.groupBy(*on).agg(F.count(F.lit(1)).alias(_ROWS))
-    total = df.agg(F.count(F.lit(1)) / HEAVY_FRACTION).scalar()
-    found = counts.filter(~_any_null(on) & (F.col(_ROWS) >= min_rows)
-                          & (F.col(_ROWS) > total)).select(*on).collect()
-    return df.sparkSession.createDataFrame(found, df.select(*on).schema) if found else None
+    task_rows = TASK_ROWS if task_rows is None else task_rows
+    seen = Observation()
+    counts = (df.filter(~_any_null(on)).groupBy(*on).agg(F.count(F.lit(1)).alias(_ROWS))
+              .observe(seen, F.sum(_ROWS).alias("total")).filter(F.col(_ROWS) > task_rows))
+    found, keys = staged_counted(counts)
+    if not keys:
+        return None
+    budget = max(task_rows, seen.get["total"] // HEAVY_KEYS)
+    return found.filter(F.col(_ROWS) > budget).select(*on, F.ceil(F.col(_ROWS) / budget).cast("int").alias(_PIECES))
 
 
 def spread_join(facts: DataFrame, dims: DataFrame, on: list[str] | str, how: str = "left",
-                profile: DataFrame | None = None, salts: int | None = None,
-                min_rows: int | None = None, rows: int | None = None) -> DataFrame:
+                profile: DataFrame | None = None, task_rows: int | None = None,
+                rows: int | None = None, unique: bool = False) -> DataFrame:
     """Join many ``facts`` to few ``dims`` per key, heavy keys split.
 
     ``how``: left, inner, left_semi, left_anti keep their meaning with ``facts``
@@ -54,48 +59,49 @@ def spread_join(facts: DataFrame, dims: DataFrame, on: list[str] | str, how: str
     ``profile`` is any cheaper frame with the same key distribution (say the raw
     scan below ``facts``); not for ``keep_dims``, where the keys of ``facts``
     themselves are counted. ``rows`` is the number of facts at most, where known: too
-    few for any heavy key saves the counting. Rows of ``facts`` should be distinct:
-    copies share a salt.
+    few for any heavy key saves the counting, and so do ``unique`` keys of ``facts``.
+    Rows of ``facts`` should be distinct: copies share a salt.
     """
     on = [on] if isinstance(on, str) else list(on)
-    salts = SALTS if salts is None else salts
+    task_rows = TASK_ROWS if task_rows is None else task_rows
     if how not in ("left", "inner", "left_semi", "left_anti", "keep_dims"):
         raise ValueError(f"unsupported join type {how!r}")
     if how == "keep_dims" and profile is not None:
         raise ValueError("keep_dims counts the keys of facts itself")
-    few = rows is not None and rows < (HEAVY_ROWS if min_rows is None else min_rows)
-    heavy = None if few else heavy_keys(facts if profile is None else profile, on, min_rows)
+    few = unique or (rows is not None and rows <= task_rows)
+    heavy = None if few else heavy_keys(facts if profile is None else profile, on, task_rows)
     if heavy is None and how == "keep_dims":
         return dims.join(facts, on, "left")
     if heavy is None and how in ("inner", "left_semi"):
         return facts.join(dims, on, how)
 
     # Lines without a key match nothing, yet a left join would gather them in one task.
-    salt = F.when(_any_null(on), F.lit(True))
+    pieces = F.when(_any_null(on), F.lit(NULL_PIECES))
     if heavy is not None:
-        heavy = F.broadcast(heavy.withColumn(_HEAVY, F.lit(True)))
+        heavy = F.broadcast(heavy)
         facts = facts.join(heavy, on, "left")
-        salt = F.coalesce(salt, F.col(_HEAVY))
-    spread = F.pmod(F.xxhash64(*[c for c in facts.columns if c != _HEAVY]), F.lit(salts)).cast("int")
-    left = facts.withColumn(_SALT, F.when(salt, spread).otherwise(0)).drop(_HEAVY)
+        pieces = F.coalesce(pieces, F.col(_PIECES))
+    pieces = F.coalesce(pieces, F.lit(1))
+    spread = F.pmod(F.xxhash64(*[c for c in facts.columns if c != _PIECES]), pieces).cast("int")
+    left = facts.withColumn(_SALT, spread).drop(_PIECES)
     if heavy is None:
         right = dims.withColumn(_SALT, F.lit(0))
     else:
-        every = F.sequence(F.lit(0), F.lit(salts - 1))
-        right = dims.join(heavy, on, "left").withColumn(
-            _SALT, F.explode(F.when(F.col(_HEAVY), every).otherwise(F.array(F.lit(0)))))
+        every = F.sequence(F.lit(0), F.coalesce(_PIECES, F.lit(1)) - 1)
+        right = dims.join(heavy, on, "left").withColumn(_SALT, F.explode(every))
 
     keys = [*on, _SALT]
     if how != "keep_dims":
-        return left.join(right.drop(_HEAVY), keys, how).drop(_SALT)
+        return left.join(right.drop(_PIECES), keys, how).drop(_SALT)
     # A heavy key has facts, so its copies without a partner are salting leftovers.
     return (right.join(left.withColumn(_HIT, F.lit(True)), keys, "left")
-            .filter(F.col(_HIT) | F.col(_HEAVY).isNull())
-            .drop(_SALT, _HEAVY, _HIT))
+            .filter(F.col(_HIT) | F.col(_PIECES).isNull())
+            .drop(_SALT, _PIECES, _HIT))
 
 
 def lookup_join(facts: DataFrame, dims: DataFrame, on: list[str] | str, how: str = "left",
-                profile: DataFrame | None = None, max_rows: int | None = None) -> DataFrame:
+                profile: DataFrame | None = None, max_rows: int | None = None,
+                unique: bool = False) -> DataFrame:
     """Join a lookup: whole on every executor if its counted size allows, else split.
 
     The lookup is staged, and counted on the way.
@@ -104,4 +110,4 @@ def lookup_join(facts: DataFrame, dims: DataFrame, on: list[str] | str, how: str
     dims, rows = staged_counted(dims)
     if rows <= (BROADCAST_ROWS if max_rows is None else max_rows):
         return facts.join(F.broadcast(dims), on, how)
-    return spread_join(facts, dims, on, how, profile=profile)
+    return spread_join(facts, dims, on, how, profile=profile, unique=unique)

@@ -64,7 +64,7 @@ def first_purchases(tables: Mapping[str, DataFrame], brand: str) -> DataFrame:
     cards = (clean.trim_strings(clean.project_sales(tables["sales"]))
              .filter(F.col("shop_brand") == brand)
              .groupBy("vip_no", "shop_brand").agg(F.min("order_date").alias("order_date")))
-    members = clean.resolve_member(cards, clean.member_key_map(tables["members"]))
+    members = clean.resolve_member(cards, clean.member_key_map(tables["members"]), unique=True)
     return mart.first_purchase(members).select(
         MEMBER, F.col("first_purchase").alias("first_transaction_date"))
 

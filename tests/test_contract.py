@@ -7,6 +7,7 @@ import duckdb
 import pytest
 
 import __spark_entry__ as contract
+from verify import queries as membership
 from verify.compare import canonical
 
 SF = "/root/testdata/sf0.001"
@@ -19,7 +20,8 @@ SAMPLE = (
     "monthly_revenue_region", "cumulative_spend", "theil_sen", "member_status", "total_clv",
     "value_segment_one_pass", "calibrate", "reclassify", "migration_matrix", "tagged_sales", "percent_pivot",
     "age_profile", "sales_kpis", "visits", "category_pivot", "month_penetration", "demographic_features",
-    "feature_matrix", "standardize", "nearest_centroid", "contact_list", "persona_counts", "column_share",
+    "channel_union_one_brand", "demographics_second_brand", "first_last_given", "mart_first_last_sink", "kmeans_fit",
+    "feature_correlation", "stored_scaler", "feature_matrix", "standardize", "nearest_centroid", "contact_list", "persona_counts", "column_share",
 )
 
 
@@ -37,7 +39,7 @@ def test_flagship(spark):
 
 
 def test_only_fits_lack_an_oracle():
-    assert set(QUERIES) - set(ORACLES) == {"kmeans_sweep", "kmeans_fit", "factor_weights"}
+    assert set(membership.QUERIES) - set(ORACLES) == {"factor_weights"}
     assert set(ORACLES) <= set(QUERIES)
 
 
@@ -57,7 +59,6 @@ def test_same_rows(spark, duck, name):
                                   "tagged_members", "tag_sales"])
 def test_same_rows_when_every_key_is_split(spark, duck, name, monkeypatch):
     from clientele.operators import skew
-    monkeypatch.setattr(skew, "HEAVY_ROWS", 1)
+    monkeypatch.setattr(skew, "TASK_ROWS", 20)
     monkeypatch.setattr(skew, "BROADCAST_ROWS", -1)
-    monkeypatch.setattr(skew, "SALTS", 4)
     test_same_rows(spark, duck, name)

@@ -15,28 +15,50 @@ def sides(spark):
             spark.createDataFrame(dims, "k string, d string"))
 
 
-@pytest.mark.parametrize("min_rows", [1, 100, 10_000])
+@pytest.mark.parametrize("task_rows", [1, 100, 10_000])
 @pytest.mark.parametrize("how", ["left", "inner", "left_semi", "left_anti"])
-def test_same_rows_as_a_plain_join(sides, how, min_rows):
+def test_same_rows_as_a_plain_join(sides, how, task_rows):
     facts, dims = sides
-    got = spread_join(facts, dims, "k", how, salts=16, min_rows=min_rows)
+    got = spread_join(facts, dims, "k", how, task_rows=task_rows)
     want = facts.join(dims, "k", how)
     assert got.columns == want.columns
     assert Counter(map(tuple, got.collect())) == Counter(map(tuple, want.collect()))
 
 
-@pytest.mark.parametrize("min_rows", [1, 100, 10_000])
-def test_keeping_dims_is_a_right_join(sides, min_rows):
+@pytest.mark.parametrize("task_rows", [1, 100, 10_000])
+def test_keeping_dims_is_a_right_join(sides, task_rows):
     facts, dims = sides
-    got = spread_join(facts, dims, "k", "keep_dims", salts=16, min_rows=min_rows)
+    got = spread_join(facts, dims, "k", "keep_dims", task_rows=task_rows)
     want = dims.join(facts, "k", "left")
     assert Counter(map(tuple, got.select(*want.columns).collect())) == Counter(map(tuple, want.collect()))
 
 
-def test_heavy_keys_lists_only_large_shares(sides):
+def test_heavy_keys_are_those_over_the_budget_of_a_task(sides):
     facts, _ = sides
-    assert [r.k for r in heavy_keys(facts, ["k"], min_rows=100).collect()] == ["hot"]
-    assert heavy_keys(facts, ["k"], min_rows=10_000) is None
+    assert [tuple(r) for r in heavy_keys(facts, ["k"], task_rows=100).collect()] == [("hot", 4)]
+    assert heavy_keys(facts, ["k"], task_rows=10_000) is None
+
+
+def test_the_list_of_heavy_keys_stays_short(sides, monkeypatch):
+    from clientele.operators import skew
+    facts, _ = sides
+    monkeypatch.setattr(skew, "HEAVY_KEYS", 5)  # 1200 rows with a key: a budget of 240
+    assert [tuple(r) for r in heavy_keys(facts, ["k"], task_rows=3).collect()] == [("hot", 2)]
+
+
+def test_counting_reads_its_input_once(spark):
+    scans = spark.sparkContext.accumulator(0)
+    facts = spark.range(100).selectExpr("id % 3 AS k", "id")
+    counted = facts.rdd.map(lambda r: (scans.add(1), r)[1]).toDF(facts.schema)
+    assert heavy_keys(counted, ["k"], task_rows=10).count() == 3
+    assert scans.value == 100
+
+
+def test_unique_keys_are_not_counted(sides, monkeypatch):
+    from clientele.operators import skew
+    facts, dims = sides
+    monkeypatch.setattr(skew, "heavy_keys", lambda *a: pytest.fail("counted"))
+    assert spread_join(dims, facts, "k", "inner", unique=True).count() == facts.join(dims, "k").count()
 
 
 def test_heavy_rows_are_spread_over_tasks(spark):
@@ -45,7 +67,7 @@ def test_heavy_rows_are_spread_over_tasks(spark):
     spark.conf.set("spark.sql.autoBroadcastJoinThreshold", -1)
     spark.conf.set("spark.sql.adaptive.enabled", False)
     try:
-        joined = spread_join(facts, dims, "k", "inner", salts=64, min_rows=1)
+        joined = spread_join(facts, dims, "k", "inner", task_rows=60)
         sizes = joined.rdd.mapPartitions(lambda rows: [sum(1 for _ in rows)]).collect()
     finally:
         spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")

@@ -120,6 +120,7 @@ CTES["bp_tw"] = """SELECT * FROM net_lines WHERE shop_brand = 'BP' AND retail_pr
  AND sales_staff_flag = 0 AND sale_lady_id NOT IN ('sxd') AND sold_qty <> 0 AND valid_tx_flag = 1
  AND void_flag IS NULL AND net_amt_hkd > 0"""
 CTES["ba_valid"] = "SELECT * FROM ba_store UNION SELECT * FROM ba_online"
+CTES["ba_one_region"] = "SELECT * FROM ba_valid WHERE region_key = 'HK'"
 CTES["bp_valid"] = "SELECT * FROM bp_hk UNION SELECT * FROM bp_tw"
 
 DATED = f"* REPLACE (strftime(order_date, '%Y-%m-%d') AS order_date, {MONEY_OUT}"
@@ -149,6 +150,8 @@ oracle("channel_union_second_brand", f"SELECT {DATED}{PRICES}) FROM bp_valid")
 oracle("demographics", f"""SELECT DISTINCT vip_main_no, vip_type, {day('vip_issue_date')}, vip_sex, vip_nation,
  vip_agegrp, region_key, vip_staff_flag, {day('vip_ba_first_pur_date')}, vip_ba_vip_type
  FROM members WHERE vip_main_no IS NOT NULL""")
+oracle("channel_union_one_brand", f"SELECT {DATED}{PRICES}) FROM ba_one_region")
+oracle("demographics_second_brand", ORACLES["demographics"].replace("vip_ba_", "vip_bp_"))
 oracle("first_purchase", """SELECT vip_main_no, shop_brand, strftime(min(order_date), '%Y-%m-%d') AS first_purchase
  FROM history GROUP BY vip_main_no, shop_brand""")
 CTES["ba_history"] = """SELECT d.*, coalesce(m.vip_main_no, d.vip_no) AS vip_main_no
@@ -158,6 +161,10 @@ oracle("first_last", """SELECT v.vip_main_no, strftime(f.first_day, '%Y-%m-%d')
  FROM ba_valid v LEFT JOIN (SELECT vip_main_no, min(order_date) AS first_day FROM ba_history GROUP BY vip_main_no) f
  ON v.vip_main_no = f.vip_main_no GROUP BY v.vip_main_no, f.first_day""")
 
+oracle("first_last_given", ORACLES["first_last"].replace(
+    "(SELECT vip_main_no, min(order_date) AS first_day FROM ba_history GROUP BY vip_main_no)",
+    "(SELECT DISTINCT vip_main_no, vip_ba_first_pur_date AS first_day FROM members)"))
+
 # -- value segments ---------------------------------------------------------------
 
 
@@ -382,8 +389,7 @@ oracle("reconcile_count", f"SELECT count(DISTINCT vip_main_no) AS members FROM t
 
 # -- personas ---------------------------------------------------------------------
 
-CTES["feature_lines"] = """SELECT * FROM tx_item WHERE order_date BETWEEN DATE '1998-08-01' AND DATE '2001-07-31'
- AND vip_main_no IS NOT NULL AND vip_main_no <> '' AND prod_brand IS NOT NULL AND prod_brand NOT IN ('JBZZZ','ZZ')
+CTES["feature_lines"] = """SELECT * FROM tx_item WHERE vip_main_no IS NOT NULL AND vip_main_no <> '' AND prod_brand IS NOT NULL AND prod_brand NOT IN ('JBZZZ','ZZ')
  AND item_subcat_desc IS NOT NULL AND item_subcat_desc NOT IN ('ZZZ','Dummy','dummy')
  AND maincat_desc IS NOT NULL AND maincat_desc NOT IN ('ZZZ','Dummy','dummy')"""
 
@@ -437,6 +443,13 @@ oracle("nearest_centroid", "SELECT vip_main_no, CAST(arg_min(k, d) AS INT) AS pe
     f"SELECT vip_main_no, {i} AS k, " + " + ".join(f'("{c}" - {float(x)}::DOUBLE) * ("{c}" - {float(x)}::DOUBLE)' for c, x in zip(FEATURES, centre))
     + " AS d FROM filled" for i, centre in enumerate(CENTROIDS)) + ") GROUP BY vip_main_no")
 oracle("single_cluster_cost", "SELECT round(" + " + ".join(f'var_pop("{c}") * count("{c}")' for c in FEATURES) + ", 2) AS wcss FROM filled")
+oracle("kmeans_sweep", """SELECT CAST(k AS INT) AS k, round(CAST(varying * members AS DOUBLE), 2) AS wcss_of_one, true AS bounded
+ FROM range(1, 21) r(k) CROSS JOIN (SELECT count(*) AS members, """ + " + ".join(
+    f'CASE WHEN stddev_pop("{c}") > 0 THEN 1 ELSE 0 END' for c in FEATURES) + " AS varying FROM filled)")
+oracle("kmeans_fit", "SELECT count(*) AS members, 0 AS away, true AS cost_agrees FROM filled")
+oracle("feature_correlation", " UNION ALL ".join(
+    f"""SELECT '{a}' AS feature, '{b}' AS other, round(CASE WHEN stddev_pop("{a}") > 0 AND stddev_pop("{b}") > 0
+ THEN corr("{a}", "{b}") ELSE 0 END, 5) AS correlation FROM filled""" for i, a in enumerate(FEATURES) for b in FEATURES[i + 1:]))
 NAME = "CASE persona " + " ".join(f"WHEN {i} THEN '{n}'" for i, n in PERSONA_NAMES.items()) + " END"
 CTES["named"] = f"SELECT vip_main_no, {NAME} AS persona FROM personas"
 CTES["preferred"] = """SELECT vip_main_no, vip_opt_in, vip_no_sms, vip_no_phone, vip_no_edm FROM contacts
@@ -475,7 +488,11 @@ oracle("mart_sink", ORACLES["channel_union"] + " WHERE order_date >= DATE '1998-
 oracle("segment_sink", ORACLES["reclassify"])
 oracle("feature_sink", "SELECT vip_main_no, " + rounded(FEATURES) + " FROM filled")
 oracle("contact_csv", ORACLES["contact_list"])
-CTES["filled_before"] = (CTES["filled"].replace("FROM shares", "FROM shares_before"))
-CTES["shares_before"] = CTES["shares"].replace("feature_lines", "lines_before")
-CTES["lines_before"] = CTES["feature_lines"].replace("1998-08-01", "1997-08-01").replace("2001-07-31", "2000-07-31")
-oracle("stored_scaler", ORACLES["standardize"].replace("FROM filled)", "FROM filled_before)"))
+for year, days in (("this", "DATE '1998-08-01' AND DATE '2001-07-31'"), ("before", "DATE '1997-08-01' AND DATE '2000-07-31'")):
+    CTES[f"lines_{year}"] = f"SELECT * FROM feature_lines WHERE order_date BETWEEN {days}"
+    CTES[f"shares_{year}"] = CTES["shares"].replace("feature_lines", f"lines_{year}")
+    CTES[f"filled_{year}"] = CTES["filled"].replace("FROM shares", f"FROM shares_{year}")
+oracle("stored_scaler", ORACLES["standardize"].replace("FROM filled)", "FROM filled_before)")
+       .replace("FROM filled f", "FROM filled_this f"))
+oracle("mart_demographic_sink", ORACLES["demographics_second_brand"])
+oracle("mart_first_last_sink", ORACLES["first_last"])

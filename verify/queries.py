@@ -6,11 +6,11 @@ import uuid
 from collections.abc import Callable
 from datetime import date
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from clientele.config import (
-    CHANNEL_RULES, MEMBER, NATIONALITIES_WITH_TW, PERSONA_NAMES, Period, SegmentCuts, WalletSpec,
+    CHANNEL_RULES, MEMBER, NATIONALITIES_WITH_TW, ONE_BRAND_RULES, PERSONA_NAMES, Period, SegmentCuts, WalletSpec,
 )
 from clientele.functions.labels import bucket, known_sex
 from clientele.operators import (
@@ -162,12 +162,23 @@ def channel_union_second_brand(spark, d):
     return mart.union_channels(net_zero_orders(spark, d), CHANNEL_RULES["BP"])
 
 
+@query
+def channel_union_one_brand(spark, d):
+    return mart.union_channels(net_zero_orders(spark, d), ONE_BRAND_RULES)
+
+
 @query
 def demographics(spark, d):
     return clean.demographics(tables.MEMBERS.frame(spark, d),
                               mart_plan.BRAND_MEMBER_COLUMNS["BA"])
 
 
+@query
+def demographics_second_brand(spark, d):
+    return clean.demographics(tables.MEMBERS.frame(spark, d),
+                              mart_plan.BRAND_MEMBER_COLUMNS["BP"])
+
+
 @query
 def first_purchase(spark, d):
     return mart.first_purchase(resolve_member(spark, d))
@@ -179,6 +190,15 @@ def first_last(spark, d):
                                 shop_names=SHOP_NAMES).first_last
 
 
+@query
+def first_last_given(spark, d):
+    """First purchases as a given table, several for a member with several cards."""
+    sources = tables.sources(spark, d)
+    given = sources["members"].select(MEMBER, F.col("vip_ba_first_pur_date").alias("first_pur_ba")).distinct()
+    return mart_plan.build_mart({**sources, "first_purchases": given}, MART_PERIOD, "BA", amount_type=MONEY,
+                                shop_names=SHOP_NAMES).first_last
+
+
 # -- value segments ---------------------------------------------------------------
 
 def _tx(spark, d, period=None, view=tables.TX):
@@ -482,12 +502,12 @@ def reconcile_count(spark, d):
 
 # -- personas ---------------------------------------------------------------------
 
-def _feature_lines(spark, d):
-    return features.clean_for_features(_tx(spark, d, THIS, tables.TX_ITEM))
+def _feature_lines(spark, d, period=None):
+    return features.clean_for_features(_tx(spark, d, period, tables.TX_ITEM))
 
 
-def _shares(spark, d):
-    return features.wallet_features(_feature_lines(spark, d), SPECS)
+def _shares(spark, d, period=None):
+    return features.wallet_features(_feature_lines(spark, d, period), SPECS)
 
 
 def _rounded(df, digits=6):
@@ -577,19 +597,33 @@ def _scaled(spark, d):
 
 @query
 def kmeans_sweep(spark, d):
-    return personas.kmeans_sweep(_scaled(spark, d), FEATURES, range(1, 5), n_init=1)
+    """1 to 20 clusters, ten starts each; a fit has no SQL, but one cluster's cost has, and it bounds the others."""
+    costs = personas.kmeans_sweep(_scaled(spark, d), FEATURES)
+    one = F.max(F.when(F.col("k") == 1, F.col("wcss"))).over(Window.partitionBy())
+    return costs.select("k", F.round(one, 2).alias("wcss_of_one"), (F.col("wcss") <= one).alias("bounded"))
 
 
 @query
 def kmeans_fit(spark, d):
+    """Five starts; members, those not at their nearest centre, and whether the stated cost is the sum of squares."""
     scaled = _scaled(spark, d)
-    model = personas.kmeans_fit(scaled, FEATURES, k=5, n_init=2)
-    return personas.persona_sizes(personas.kmeans_predict(scaled, FEATURES, model))
+    model = personas.kmeans_fit(scaled, FEATURES, k=5, n_init=5)
+    placed = personas.kmeans_predict(scaled, FEATURES, model).join(
+        personas.distances(scaled, FEATURES, model.clusterCenters()), MEMBER)
+    own = F.col("d")[F.col("persona")]
+    cost = model.summary.trainingCost
+    return placed.agg(F.count(F.lit(1)).alias("members"), F.count_if(own > F.array_min("d") + 1e-6).alias("away"),
+                      (F.abs(F.sum(own) - cost) <= 1e-6 * cost).alias("cost_agrees"))
+
+
+@query
+def feature_correlation(spark, d):
+    return _rounded(personas.feature_correlations(_scaled(spark, d), FEATURES), 5)
 
 
 @query
 def factor_weights(spark, d):
-    return personas.factor_weights(_scaled(spark, d), FEATURES, 3)
+    return personas.factor_weights(_scaled(spark, d), FEATURES)
 
 
 def _named(spark, d):
@@ -674,6 +708,25 @@ def mart_sink(spark, d):
     return io.read_transactions(spark, base, window=(MART_PERIOD.p12m_first, MART_PERIOD.last))
 
 
+def _stored_mart(spark, d, brand):
+    base, refs = _folder(spark), {}
+    for name, frame in tables.sources(spark, d).items():
+        refs[name] = f"{base}/{name}.parquet"
+        frame.write.parquet(refs[name])
+    mart_plan.run_mart(spark, refs, f"{base}/mart", MART_PERIOD, brand, amount_type=MONEY, shop_names=SHOP_NAMES)
+    return io.read_mart(spark, f"{base}/mart")
+
+
+@query
+def mart_demographic_sink(spark, d):
+    return _stored_mart(spark, d, "BP")["demographic"]
+
+
+@query
+def mart_first_last_sink(spark, d):
+    return _stored_mart(spark, d, "BA")["first_last_transaction"]
+
+
 @query
 def segment_sink(spark, d):
     base = _folder(spark)
@@ -709,5 +762,5 @@ def stored_scaler(spark, d):
     before = features.clean_for_features(_tx(spark, d, LAST, tables.TX_ITEM))
     shares = features.wallet_features(before, SPECS).fillna(0)
     features.fit_scaler(shares, FEATURES).write.parquet(path)
-    return _rounded(features.standardize(_shares(spark, d).fillna(0), FEATURES,
+    return _rounded(features.standardize(_shares(spark, d, THIS).fillna(0), FEATURES,
                                          spark.read.parquet(path)))
