@@ -391,6 +391,33 @@ def test_branches_are_ranked_by_score(spark):
     assert best == "<turn role=user>q</turn>\n<turn role=assistant>good</turn>\n<turn role=user>thanks</turn>\n"
 
 
+def test_paths_equal_brute_force(spark):
+    rng = random.Random(12)
+    rows, want = [], set()
+    for conv in (1, 2, 3, None):
+        parent = {m: rng.choice([m - 1, m - 1, m - 1, rng.randrange(m)]) if m > 1 else None for m in range(1, 41)} | {60: 61, 61: 62, 62: 60, 70: 62, 80: 80}
+        rows += [(conv, m, p, "user", f"t{m}", float(m)) for m, p in parent.items()]
+        for leaf in set(parent) - set(parent.values()):
+            path = [leaf]
+            while parent.get(path[0]) in parent and len(path) < 50:
+                path.insert(0, parent[path[0]])
+            if len(path) < 50:
+                want.add((conv, tuple(path), float(sum(path))))
+    messages = spark.createDataFrame([*rows, rows[3], (1, None, 2, "user", "x", 0.0)], "conv long, message long, parent long, role string, text string, score double")
+    paths = chat.reply_paths(messages)
+    assert sorted(((r.conv, tuple(r.path), r.score) for r in paths.collect()), key=str) == sorted(want, key=str)
+    done = chat.format_paths(messages, chat.best_paths(paths, None)).collect()
+    assert sorted(r.formatted for r in done) == sorted("".join(f"<turn role=user>t{m}</turn>\n" for m in p) for _, p, _ in want)
+    assert chat.reply_paths(messages.limit(0)).count() == 0
+
+
+def test_a_long_conversation_takes_few_rounds(spark):
+    rows = [(1, i, ("user", "assistant")[i % 2], f"t{i}") for i in range(600)] + [(2, 0, "user", "alone")]
+    done = chat.format_conversations(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string"))
+    got = {r.conv: r.formatted for r in done.collect()}
+    assert got == {c: "".join(f"<turn role={r}>{t}</turn>\n" for i, _, r, t in rows if i == c) for c in (1, 2)}
+
+
 # pipeline
 
 def test_pipeline_keeps_columns_and_survives_odd_tables(make, spark):
