@@ -1,21 +1,23 @@
 """License scans: sparse TF-IDF cosine to templates, inherited from the nearest directory.
 
 Every line of a file is a possible header. Its terms are weighed by how rare they are among
-all lines of the corpus, counted for the terms of the templates; a term that no template
-has weighs as one that occurs once, so it only lengthens the vector. A line matches the
-template of the largest cosine. A file without a match takes the license of the
-nearest directory above it that holds a licence file.
+all lines of the corpus, counted for all terms. Lines that cannot reach the limit, whatever
+their other terms weigh, are passed over; the distinct term sets of the rest are scored by
+joins on terms. A line matches the template of the largest cosine. A file without a match
+takes the license of the nearest directory above it that holds a licence file.
 """
 
 from __future__ import annotations
 
 import math
 from collections.abc import Mapping
+from itertools import accumulate
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from clientele.llm.common import SPACE_CHARS, column, word_count
+from clientele.llm.common import column, word_count
+from clientele.operators.skew import lookup_join
 from clientele.sources.staging import staged
 
 # Usual license notices.
@@ -53,50 +55,92 @@ def template_terms(templates: Mapping[str, str]) -> dict[str, list[str]]:
     return found
 
 
-def _lines(files: DataFrame, vocabulary: list[str]) -> DataFrame:
-    """Lines with a term of a template: file, number of terms and those the templates have."""
-    words = F.array(*[F.lit(t) for t in vocabulary])
+def _lines(files: DataFrame) -> DataFrame:
+    """Lines with a term: file, number of the line and its terms."""
     lines = files.select("file", F.posexplode(F.split("text", "\n")).alias("line", "content"))
-    return (lines.filter(F.trim("content", F.lit(SPACE_CHARS)) != "").select("file", "line", terms(F.col("content")).alias("terms"))
-            .select("file", "line", F.size("terms").alias("n_terms"), F.array_intersect("terms", words).alias("known")))
-
-
-def line_counts(lines: DataFrame) -> tuple[int, dict[str, int]]:
-    """Lines of the corpus, and of those the lines with each template term; one row per term."""
-    rows = lines.select(F.explode(F.concat(F.array(F.lit("")), "known")).alias("term")).groupBy("term").count().collect()
-    counts = {r["term"]: r["count"] for r in rows}
-    return counts.pop("", 0), counts
-
-
-def _best(known: Column, n_terms: Column, templates: dict[str, list[str]], weight: dict[str, float], unknown: float) -> Column:
-    """The largest cosine and its template, for a line's terms."""
-    def sum_of(weights: dict[str, float]) -> Column:
-        table = F.create_map(*[x for t, w in weights.items() for x in (F.lit(t), F.lit(w))])
-        return F.aggregate(known, F.lit(0.0), lambda s, t: s + F.coalesce(F.try_element_at(table, t), F.lit(0.0)))
-    square = {t: w * w for t, w in weight.items()}
-    norm = F.sqrt(sum_of(square) + (n_terms - F.size(known)) * unknown * unknown)
-    scores = []
-    for name in sorted(templates):
-        own = {t: square[t] for t in templates[name]}
-        size = math.sqrt(sum(own.values()))
-        scores.append(F.struct(F.round(sum_of(own) / (norm * size), 9).alias("cosine"), F.lit(name).alias("license")))
-    # Of equal cosines the first name: compare by the name's place from the end.
-    ranked = F.array(*[F.struct(s["cosine"].alias("cosine"), F.lit(-i).alias("place"), s["license"].alias("license")) for i, s in enumerate(scores)])
-    return F.when(norm > 0, F.array_max(ranked))
+    return lines.select("file", "line", terms(F.col("content")).alias("terms")).filter(F.size("terms") > 0)
+
+
+def term_counts(lines: DataFrame) -> DataFrame:
+    """Lines with each term (term, n); the empty term counts all lines."""
+    every = F.explode(F.concat(F.array(F.lit("")), "terms"))
+    return staged(lines.select(every.alias("term")).groupBy("term").agg(F.count(F.lit(1)).alias("n")))
+
+
+class _Weights:
+    """Squared weights of terms, and bounds that follow for the templates (license, terms)."""
+
+    def __init__(self, counts: DataFrame, templates: list[tuple[str, list[str]]], least: float):
+        self.counts, self.templates, self.least = counts, templates, least
+        vocabulary = F.concat(_listed(sorted({t for _, own in templates for t in own})), F.array(F.lit("")))
+        own = counts.sparkSession.range(1).select(F.explode(vocabulary).alias("term"))
+        known = dict(counts.join(F.broadcast(own), "term").select("term", "n").collect())
+        self.total = known.pop("", 0)
+        # No term weighs less than the most frequent one.
+        self.floor = self.square(counts.filter("term <> ''").agg(F.max("n")).first()[0] or 0)
+        self.squares = [sorted(((self.square(known.get(t, 0)), t) for t in own), reverse=True) for _, own in templates]
+        self.sizes = [sum(w for w, _ in ws) for ws in self.squares]
+
+    def square(self, n: int) -> float:
+        return (math.log((1 + self.total) / (1 + n)) + 1) ** 2
+
+    def needed(self) -> Column:
+        """Terms of which a match holds one at least: without them it misses too much of each template."""
+        found = set()
+        for ws, size in zip(self.squares, self.sizes, strict=True):
+            missed = 0.0
+            for w, t in ws:
+                found.add(t)
+                missed += w
+                if missed > (1 - self.least ** 2) * size * (1 + 1e-9):
+                    break
+        return _listed(sorted(found))
+
+    def possible(self, held: Column) -> Column:
+        """Whether terms can reach the limit: those shared weigh as the heaviest, others as the lightest."""
+        reach = F.lit(False)
+        for (_, own), ws, size in zip(self.templates, self.squares, self.sizes, strict=True):
+            most = [0.0, *accumulate(w for w, _ in ws)]
+            shared = F.size(F.array_intersect(held, _listed(own)))
+            x = F.element_at(F.lit(most), shared + 1)
+            reach = reach | (x * x >= (x + (F.size(held) - shared) * self.floor) * (self.least ** 2 * size * (1 - 1e-9)))
+        return reach
+
+    def best(self, units: DataFrame) -> DataFrame:
+        """Per key of ``units`` (key, terms) over the limit: the best (cosine, place, license); first name of equal ones."""
+        forms = units.groupBy("key").agg(F.first("terms").alias("terms")).select("key", F.explode("terms").alias("term"))
+        forms = staged(forms)
+        square = F.pow(F.log((1 + self.total) / (1 + F.col("n"))) + 1, 2)
+        weights = self.counts.join(forms.select("term").distinct(), "term").select("term", square.alias("square"))
+        weighted = staged(lookup_join(forms, weights, "term", "inner"))
+        rows = [F.struct(F.lit(-i).alias("place"), F.lit(name).alias("license"), F.lit(size).alias("size"), _listed(own).alias("own"))
+                for i, ((name, own), size) in enumerate(zip(self.templates, self.sizes, strict=True))]
+        table = units.sparkSession.range(1).select(F.inline(F.array(*rows))).withColumn("term", F.explode("own")).drop("own")
+        norms = weighted.groupBy("key").agg(F.sum("square").alias("norm"))
+        shared = (weighted.join(F.broadcast(table), "term").groupBy("key", "place", "license", "size")
+                  .agg(F.sum("square").alias("dot")))
+        cosine = F.round(F.col("dot") / F.sqrt(F.col("norm") * F.col("size")), 9)
+        return (shared.join(norms, "key").withColumn("cosine", cosine).filter(F.col("cosine") >= self.least)
+                .groupBy("key").agg(F.max(F.struct("cosine", "place", "license")).alias("best")))
+
+
+def _listed(words: list[str]) -> Column:
+    """An array of terms, none of which holds a blank."""
+    return F.split(F.lit(" ".join(words)), " ") if words else F.array().cast("array<string>")
+
+
+def _key(held: Column) -> Column:
+    return F.md5(F.array_join(F.array_sort(held), " "))
 
 
 def header_matches(files: DataFrame, templates: Mapping[str, str] = TEMPLATES, least: float = LEAST_COSINE) -> DataFrame:
     """Per file with a match: its best line, license and cosine, from (file, text)."""
-    by_name = template_terms(templates)
-    vocabulary = sorted({t for ts in by_name.values() for t in ts})
-    lines = staged(_lines(files, vocabulary))
-    total, counts = line_counts(lines)
-    weight = {t: math.log((1 + total) / (1 + counts.get(t, 0))) + 1 for t in vocabulary}
-    unknown = math.log(1 + total) + 1
-    # A cosine over the limit needs the terms themselves: lines that share few are passed over.
-    best = lines.filter(F.size("known") * 4 >= F.col("n_terms")).withColumn(
-        "best", _best(F.col("known"), F.col("n_terms"), by_name, weight, unknown))
-    return (best.filter(F.col("best.cosine") >= least).groupBy("file")
+    lines = _lines(files)
+    weights = _Weights(term_counts(lines), sorted(template_terms(templates).items()), least)
+    near = lines.filter(F.arrays_overlap("terms", weights.needed()))
+    near = staged(near.filter(weights.possible(F.col("terms"))).withColumn("key", _key(F.col("terms"))))
+    matched = lookup_join(near.select("file", "line", "key"), weights.best(near), "key", "inner")
+    return (matched.groupBy("file")
             .agg(F.max(F.struct(F.col("best.cosine").alias("cosine"), (-F.col("line")).alias("minus"), F.col("best.license").alias("license"))).alias("m"))
             .select("file", F.col("m.license").alias("license"), F.col("m.cosine").alias("cosine"), (-F.col("m.minus")).alias("line")))
 

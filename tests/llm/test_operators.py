@@ -369,6 +369,21 @@ def test_headers_match_and_directories_inherit(spark):
     assert licenses.scan_licenses(df.limit(0), F.lit(True)).count() == 0
 
 
+def test_common_words_weigh_little_in_headers(spark):
+    rng = random.Random(4)
+    files = [(i, f"d{i}/x", "\n".join("this software is " + prose(rng, 4) for _ in range(20))) for i in range(30)]
+    files += [(100, "m/x", "This software is released under the MIT License."), (101, "n/x", "Zebra quagga okapi released under the MIT License."),
+              (102, "o/x", "Released under the MIT License")]
+    df = spark.createDataFrame(files, "doc_id long, path string, text string")
+    got = {r.file: r for r in licenses.scan_licenses(df, F.lit(False)).filter("file > 99").collect()}
+    assert {i: r.license for i, r in got.items()} == {100: "MIT", 101: None, 102: "MIT"}
+    split = [set(re.findall(r"[a-z0-9]+", x.lower())) for _, _, t in files for x in t.split("\n")]
+    weight = {t: math.log((1 + len(split)) / (1 + sum(t in x for x in split))) + 1 for t in set().union(*split)}
+    norm = lambda held: math.sqrt(sum(weight[t] ** 2 for t in held))
+    own, line = set("released under the mit license".split()), split[-3]
+    assert got[100].cosine == pytest.approx(norm(own) / norm(line), abs=1e-8)
+
+
 # chat
 
 def test_any_text_survives_the_template(spark):
