@@ -1,10 +1,13 @@
 """License scans: sparse TF-IDF cosine to templates, inherited from the nearest directory.
 
-Every line of a file is a possible header. Its terms are weighed by how rare they are among
-all lines of the corpus, counted for all terms. Lines that cannot reach the limit, whatever
-their other terms weigh, are passed over; the distinct term sets of the rest are scored by
-joins on terms. A line matches the template of the largest cosine. A file without a match
-takes the license of the nearest directory above it that holds a licence file.
+Headers are lines, up to ``WRAP`` adjacent lines, and blocks of lines without a blank one;
+a file as a whole is compared as well. Templates are notices, titles, SPDX tags, headers and
+the full texts in ``license_texts``. Terms are weighed by how rare they are among
+all lines of the corpus, counted for all terms. What cannot reach the limit, whatever
+its other terms weigh, is passed over; the distinct term sets of the rest are scored by
+joins on terms. A file has the license of the largest cosine. One without a match
+takes the license of the nearest directory above it that holds a licence file: one so
+marked, or one whose whole text is that of a license.
 """
 
 from __future__ import annotations
@@ -12,8 +15,9 @@ from __future__ import annotations
 import math
 from collections.abc import Mapping
 from itertools import accumulate
+from pathlib import Path
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from clientele.llm.common import column, word_count
@@ -34,7 +38,41 @@ TEMPLATES = {
     "MIT": "Released under the MIT License",
     "MPL-2.0": "This file is subject to the terms of the Mozilla Public License, version 2.0",
 }
+# Other usual short forms: titles, and headers of files.
+SHORT_FORMS = {
+    "Apache-2.0": ("Apache License, Version 2.0", "Apache License Version 2.0, January 2004 http://www.apache.org/licenses/",
+                   'Licensed under the Apache License, Version 2.0 (the "License"); you may not use this file except in compliance with '
+                   "the License. You may obtain a copy of the License at http://www.apache.org/licenses/LICENSE-2.0 Unless required by "
+                   "applicable law or agreed to in writing, software distributed under the License is distributed on an \"AS IS\" BASIS, "
+                   "WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied. See the License for the specific language "
+                   "governing permissions and limitations under the License."),
+    "BSD-2-Clause": ("BSD 2-Clause License",),
+    "BSD-3-Clause": ("BSD 3-Clause License",),
+    "CC-BY-4.0": ("Creative Commons Attribution 4.0 International",
+                  "This work is licensed under a Creative Commons Attribution 4.0 International License"),
+    "CC-BY-NC-4.0": ("Creative Commons Attribution-NonCommercial 4.0 International",
+                     "This work is licensed under a Creative Commons Attribution-NonCommercial 4.0 International License"),
+    "CC-BY-SA-4.0": ("Creative Commons Attribution-ShareAlike 4.0 International",
+                     "This work is licensed under a Creative Commons Attribution-ShareAlike 4.0 International License"),
+    "GPL-2.0": ("GNU General Public License version 2", "GNU General Public License Version 2, June 1991",
+                "This program is free software; you can redistribute it and/or modify it under the terms of the GNU General Public "
+                "License as published by the Free Software Foundation; either version 2 of the License, or (at your option) any later version."),
+    "GPL-3.0": ("GNU General Public License version 3", "GNU General Public License Version 3, 29 June 2007",
+                "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public "
+                "License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version."),
+    "LGPL-3.0": ("GNU Lesser General Public License version 3", "GNU Lesser General Public License Version 3, 29 June 2007"),
+    "MIT": ("MIT License", "The MIT License (MIT)"),
+    "MPL-2.0": ("Mozilla Public License Version 2.0",
+                "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0. If a copy of the MPL was not "
+                "distributed with this file, You can obtain one at http://mozilla.org/MPL/2.0/."),
+}
+TAGS = ("", "-only", "-or-later")
+TEXTS = Path(__file__).parent / "license_texts"
+# Lines over which a notice is wrapped.
+WRAP = 4
 LEAST_COSINE = 0.8
+# A line end before a blank line, and the white space in that line.
+BLANK_LINE = r"\n[\x20\x09\x0B-\x0D]*(?=\n)"
 TERM_BREAK = r"[^a-z0-9.-]+|[.-]+(?=[^a-z0-9]|$)"
 # A document of so few words with a license line is a licence file.
 LICENCE_FILE_WORDS = 50
@@ -46,19 +84,34 @@ def terms(line: Column) -> Column:
     return F.array_distinct(F.array_remove(F.split(lower, TERM_BREAK), ""))
 
 
-def template_terms(templates: Mapping[str, str]) -> dict[str, list[str]]:
-    """As ``terms`` for the given templates."""
-    found = {}
-    for name, text in templates.items():
-        split = [t.rstrip(".-") for t in "".join(c if c.isalnum() or c in ".-" else " " for c in text.lower()).split()]
-        found[name] = list(dict.fromkeys(t for t in split if t))
+def _terms_of(text: str) -> list[str]:
+    """As ``terms`` for a given text."""
+    split = [t.rstrip(".-") for t in "".join(c if c.isalnum() or c in ".-" else " " for c in text.lower()).split()]
+    return list(dict.fromkeys(t for t in split if t))
+
+
+def template_terms(templates: Mapping[str, str]) -> list[tuple[str, list[str], bool]]:
+    """License, terms, and whether it is a full text, of the notices given and of the other forms of their licenses."""
+    found = []
+    for name, notice in sorted(templates.items()):
+        tags = TAGS if "GPL" in name else TAGS[:1]
+        short = [notice, *SHORT_FORMS.get(name, ()), *(f"SPDX-License-Identifier: {name}{t}" for t in tags)]
+        found += [(name, _terms_of(text), False) for text in short]
+        path = TEXTS / f"{name}.txt"
+        if path.exists():
+            found.append((name, _terms_of(path.read_text("utf-8")), True))
     return found
 
 
+def _once(df: DataFrame, *columns: str, **made: Column) -> DataFrame:
+    """Columns and new ones, made by a generator: filters on top do not repeat what makes them."""
+    return df.select(*columns, F.inline(F.array(F.struct(*[c.alias(n) for n, c in made.items()]))))
+
+
 def _lines(files: DataFrame) -> DataFrame:
     """Lines with a term: file, number of the line and its terms."""
     lines = files.select("file", F.posexplode(F.split("text", "\n")).alias("line", "content"))
-    return lines.select("file", "line", terms(F.col("content")).alias("terms")).filter(F.size("terms") > 0)
+    return _once(lines, "file", "line", terms=terms(F.col("content"))).filter(F.size("terms") > 0)
 
 
 def term_counts(lines: DataFrame) -> DataFrame:
@@ -68,17 +121,17 @@ def term_counts(lines: DataFrame) -> DataFrame:
 
 
 class _Weights:
-    """Squared weights of terms, and bounds that follow for the templates (license, terms)."""
+    """Squared weights of terms, and bounds that follow for the templates (license, terms, full text)."""
 
-    def __init__(self, counts: DataFrame, templates: list[tuple[str, list[str]]], least: float):
+    def __init__(self, counts: DataFrame, templates: list[tuple[str, list[str], bool]], least: float):
         self.counts, self.templates, self.least = counts, templates, least
-        vocabulary = F.concat(_listed(sorted({t for _, own in templates for t in own})), F.array(F.lit("")))
+        vocabulary = F.concat(_listed(sorted({t for _, own, _ in templates for t in own})), F.array(F.lit("")))
         own = counts.sparkSession.range(1).select(F.explode(vocabulary).alias("term"))
         known = dict(counts.join(F.broadcast(own), "term").select("term", "n").collect())
         self.total = known.pop("", 0)
         # No term weighs less than the most frequent one.
         self.floor = self.square(counts.filter("term <> ''").agg(F.max("n")).first()[0] or 0)
-        self.squares = [sorted(((self.square(known.get(t, 0)), t) for t in own), reverse=True) for _, own in templates]
+        self.squares = [sorted(((self.square(known.get(t, 0)), t) for t in own), reverse=True) for _, own, _ in templates]
         self.sizes = [sum(w for w, _ in ws) for ws in self.squares]
 
     def square(self, n: int) -> float:
@@ -98,30 +151,34 @@ class _Weights:
 
     def possible(self, held: Column) -> Column:
         """Whether terms can reach the limit: those shared weigh as the heaviest, others as the lightest."""
-        reach = F.lit(False)
-        for (_, own), ws, size in zip(self.templates, self.squares, self.sizes, strict=True):
-            most = [0.0, *accumulate(w for w, _ in ws)]
-            shared = F.size(F.array_intersect(held, _listed(own)))
-            x = F.element_at(F.lit(most), shared + 1)
-            reach = reach | (x * x >= (x + (F.size(held) - shared) * self.floor) * (self.least ** 2 * size * (1 - 1e-9)))
-        return reach
+        rows = []
+        for (_, own, _), ws, size in zip(self.templates, self.squares, self.sizes, strict=True):
+            most = F.lit([0.0, *accumulate(w for w, _ in ws)])
+            rows.append(F.struct(F.size(F.array_intersect(held, _listed(own))).alias("shared"), most.alias("most"),
+                                 F.lit(self.least ** 2 * size * (1 - 1e-9)).alias("limit")))
+
+        def reached(row: Column) -> Column:
+            x = F.element_at(row["most"], row["shared"] + 1)
+            return x * x >= (x + (F.size(held) - row["shared"]) * self.floor) * row["limit"]
+        return F.exists(F.array(*rows), reached)
 
     def best(self, units: DataFrame) -> DataFrame:
-        """Per key of ``units`` (key, terms) over the limit: the best (cosine, place, license); first name of equal ones."""
+        """Per key of ``units`` (key, terms) over the limit: the best (cosine, place, license), first name of equal ones, and whether it is a full text."""
         forms = units.groupBy("key").agg(F.first("terms").alias("terms")).select("key", F.explode("terms").alias("term"))
         forms = staged(forms)
         square = F.pow(F.log((1 + self.total) / (1 + F.col("n"))) + 1, 2)
         weights = self.counts.join(forms.select("term").distinct(), "term").select("term", square.alias("square"))
         weighted = staged(lookup_join(forms, weights, "term", "inner"))
-        rows = [F.struct(F.lit(-i).alias("place"), F.lit(name).alias("license"), F.lit(size).alias("size"), _listed(own).alias("own"))
-                for i, ((name, own), size) in enumerate(zip(self.templates, self.sizes, strict=True))]
+        rows = [F.struct(F.lit(-i).alias("place"), F.lit(name).alias("license"), F.lit(full).alias("full"), F.lit(size).alias("size"),
+                         _listed(own).alias("own"))
+                for i, ((name, own, full), size) in enumerate(zip(self.templates, self.sizes, strict=True))]
         table = units.sparkSession.range(1).select(F.inline(F.array(*rows))).withColumn("term", F.explode("own")).drop("own")
         norms = weighted.groupBy("key").agg(F.sum("square").alias("norm"))
-        shared = (weighted.join(F.broadcast(table), "term").groupBy("key", "place", "license", "size")
+        shared = (weighted.join(F.broadcast(table), "term").groupBy("key", "place", "license", "full", "size")
                   .agg(F.sum("square").alias("dot")))
         cosine = F.round(F.col("dot") / F.sqrt(F.col("norm") * F.col("size")), 9)
         return (shared.join(norms, "key").withColumn("cosine", cosine).filter(F.col("cosine") >= self.least)
-                .groupBy("key").agg(F.max(F.struct("cosine", "place", "license")).alias("best")))
+                .groupBy("key").agg(F.max(F.struct("cosine", "place", "license")).alias("best"), F.max("full").alias("full")))
 
 
 def _listed(words: list[str]) -> Column:
@@ -133,16 +190,45 @@ def _key(held: Column) -> Column:
     return F.md5(F.array_join(F.array_sort(held), " "))
 
 
+def _blocks(files: DataFrame, needed: Column) -> DataFrame:
+    """Blocks of lines with a needed term: file, number of the first line and the text, cut at blank lines.
+
+    Each cut takes one line end, so lines count on over the cuts.
+    """
+    holding = files.filter(F.arrays_overlap(terms(F.col("text")), needed)).withColumn("row", F.monotonically_increasing_id())
+    blocks = holding.select("row", "file", F.posexplode(F.split("text", BLANK_LINE)).alias("number", "block"))
+    size = F.regexp_count("block", F.lit("\n")) + 1
+    after = F.sum(size).over(Window.partitionBy("row").orderBy("number"))
+    return blocks.withColumn("start", (after - size).cast("int")).filter(F.arrays_overlap(terms(F.col("block")), needed)).select("file", "start", "block")
+
+
+def _headers(blocks: DataFrame) -> DataFrame:
+    """Blocks, and every 1 to WRAP adjacent lines of them that hold terms: file, first line, terms."""
+    lines = F.transform(F.split("block", "\n"), lambda x, i: F.struct((F.col("start") + i).alias("line"), terms(x).alias("terms")))
+    held = blocks.select("file", F.filter(lines, lambda x: F.size(x["terms"]) > 0).alias("lines")).filter(F.size("lines") > 0)
+
+    def joined(part: Column) -> Column:
+        return F.struct(part[0]["line"].alias("line"), F.array_distinct(F.flatten(F.transform(part, lambda x: x["terms"]))).alias("terms"))
+
+    def windows(n: int) -> Column:
+        return F.transform("lines", lambda x, i: joined(F.slice("lines", i + 1, F.lit(n))))
+    return held.select("file", F.inline(F.concat(F.array(joined(F.col("lines"))), *[windows(n) for n in range(1, WRAP + 1)])))
+
+
 def header_matches(files: DataFrame, templates: Mapping[str, str] = TEMPLATES, least: float = LEAST_COSINE) -> DataFrame:
-    """Per file with a match: its best line, license and cosine, from (file, text)."""
-    lines = _lines(files)
-    weights = _Weights(term_counts(lines), sorted(template_terms(templates).items()), least)
-    near = lines.filter(F.arrays_overlap("terms", weights.needed()))
+    """Per file with a match, from (file, text): license and cosine of its best header or whole
+    text, the line where that starts, and whether the whole text is that of a license."""
+    weights = _Weights(term_counts(_lines(files)), template_terms(templates), least)
+    needed = weights.needed()
+    headers = _headers(_blocks(files, needed)).withColumn("whole", F.lit(False))
+    whole = _once(files, "file", line=F.lit(0), terms=terms(F.col("text")), whole=F.lit(True))
+    near = headers.unionByName(whole).filter(F.arrays_overlap("terms", needed))
     near = staged(near.filter(weights.possible(F.col("terms"))).withColumn("key", _key(F.col("terms"))))
-    matched = lookup_join(near.select("file", "line", "key"), weights.best(near), "key", "inner")
+    matched = lookup_join(near.select("file", "line", "whole", "key"), weights.best(near), "key", "inner")
     return (matched.groupBy("file")
-            .agg(F.max(F.struct(F.col("best.cosine").alias("cosine"), (-F.col("line")).alias("minus"), F.col("best.license").alias("license"))).alias("m"))
-            .select("file", F.col("m.license").alias("license"), F.col("m.cosine").alias("cosine"), (-F.col("m.minus")).alias("line")))
+            .agg(F.max(F.struct(F.col("best.cosine").alias("cosine"), (-F.col("line")).alias("minus"), F.col("best.place").alias("place"),
+                                F.col("best.license").alias("license"))).alias("m"), F.max(F.col("whole") & F.col("full")).alias("whole"))
+            .select("file", F.col("m.license").alias("license"), F.col("m.cosine").alias("cosine"), (-F.col("m.minus")).alias("line"), "whole"))
 
 
 def ancestors(path: Column) -> Column:
@@ -156,7 +242,8 @@ def scan_licenses(files: DataFrame, is_licence_file: Column, templates: Mapping[
                   file_col: str = "doc_id", path_col: str = "path", text_col: str = "text") -> DataFrame:
     """Per file: license, cosine and line of its own match, or the directory it inherits from.
 
-    ``is_licence_file`` marks the files whose license holds for their directory; of several in
+    ``is_licence_file`` marks files whose license holds for their directory, as does that of a
+    file whose whole text is a license; of several in
     one directory the largest cosine counts, then the smallest file. NULL texts match
     nothing, NULL paths inherit nothing; rows that repeat a file are one file with the texts
     of all; other columns are ignored; an empty table gives an empty result.
@@ -164,7 +251,7 @@ def scan_licenses(files: DataFrame, is_licence_file: Column, templates: Mapping[
     rows = staged(files.select(column(files, file_col).alias("file"), column(files, path_col).alias("path"), is_licence_file.alias("for_all")))
     own = staged(header_matches(files.select(column(files, file_col).alias("file"), column(files, text_col).alias("text")), templates, least))
     matched = rows.join(own, "file", "left")
-    holders = (matched.filter(F.col("for_all") & F.col("license").isNotNull() & F.col("path").isNotNull())
+    holders = (matched.filter((F.col("for_all") | F.col("whole")) & F.col("license").isNotNull() & F.col("path").isNotNull())
                .groupBy(F.element_at(F.concat(ancestors(F.col("path")), F.array(F.lit(""))), 1).alias("directory"))
                .agg(F.max_by("license", F.struct("cosine", (-F.xxhash64("file")).alias("tie"))).alias("inherited")))
     # Directories are far fewer than files: each finds its nearest holder once.

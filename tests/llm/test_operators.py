@@ -384,6 +384,24 @@ def test_common_words_weigh_little_in_headers(spark):
     assert got[100].cosine == pytest.approx(norm(own) / norm(line), abs=1e-8)
 
 
+def test_licence_files_titles_and_wrapped_headers_match(spark):
+    rng = random.Random(6)
+    full = {p.stem: p.read_text() for p in licenses.TEXTS.glob("*.txt")}
+    code = "\n\n" + "\n".join(prose(rng, 9) for _ in range(40))
+    wrapped = "/*\n * Copyright 2020 Acme\n *\n * This work is licensed under the\n * GNU General Public\n * License, version 3.\n */"
+    mpl = "# " + licenses.SHORT_FORMS["MPL-2.0"][1].replace(" If", "\n# If").replace(" with", "\n# with")
+    files = [(i, f"{name}/COPYING", f"Copyright (c) 2019 Some Body\n\n{t}") for i, (name, t) in enumerate(sorted(full.items()))]
+    files += [(100 + i, f"{name}/src/code", prose(rng, 80)) for i, name in enumerate(sorted(full))]
+    files += [(200, "s/a", wrapped + code), (201, "s/b", "x = 1\n \n" + mpl + code), (202, "s/c", "// SPDX-License-Identifier: MIT" + code), (203, "s/d", code),
+              (204, "s/e", prose(rng, 9) + "\n\n  Apache License\n  Version 2.0" + code), (205, "s/f", "GNU GENERAL PUBLIC LICENSE\nVersion 2, June 1991")]
+    df = spark.createDataFrame(files, "doc_id long, path string, text string")
+    got = {r.file: r for r in licenses.scan_licenses(df, F.lit(False)).collect()}
+    for i, name in enumerate(sorted(full)):
+        assert (got[i].license, got[100 + i].license, got[100 + i].inherited_from) == (name, name, name)
+    assert {i: (got[i].license, got[i].line) for i in range(200, 206)} == {
+        200: ("GPL-3.0", 3), 201: ("MPL-2.0", 2), 202: ("MIT", 0), 203: (None, None), 204: ("Apache-2.0", 2), 205: ("GPL-2.0", 0)}
+
+
 # chat
 
 def test_any_text_survives_the_template(spark):
