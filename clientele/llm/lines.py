@@ -78,7 +78,9 @@ def later_copies(lines: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
     # Shorter lines need neighbours: blocks of adjacent shared lines of one document.
     by_doc = Window.partitionBy(*doc).orderBy("line")
     block = Window.partitionBy(*doc, "block").orderBy("line")
-    here = shared.withColumn("block", F.col("line") - F.row_number().over(by_doc))
+    # Rows equal in id and text are one document here: each line once.
+    once = shared.select(*PLACE, "words", "rank").distinct()
+    here = once.withColumn("block", F.col("line") - F.row_number().over(by_doc))
 
     def shortest(side: str) -> Column:
         """How many of the next lines, nearest first, make up min_words; else NULL."""

@@ -142,6 +142,14 @@ def test_blank_lines_stay_with_their_line_and_white_space_is_ignored(make):
     assert done[1].text == "first\n" + run and done[3].text is None and done[4].n_lines == 0
 
 
+def test_runs_of_short_lines_in_repeated_rows(make):
+    rng = random.Random(12)
+    run = "\n".join(prose(rng, 8) for _ in range(3))
+    rows = [(3, run), (7, run + "\nown words of seven"), (7, run + "\nown words of seven"), (9, "own words of nine\n" + run)]
+    got = [(r.doc_id, list(r.deleted)) for r in lines.line_report(make(rows), 20).collect()]
+    assert sorted(got) == [(3, []), (7, [0, 1, 2]), (7, [0, 1, 2]), (9, [1, 2, 3])]
+
+
 def test_lines_of_odd_rows(make):
     docs = make([*ODD, (None, "long " * 30, "en", "s"), (8, "long " * 30, "en", "s"), (9, "long " * 30 + "\nown", "en", "s")])
     left = lines.drop_repeated_lines(docs)
