@@ -246,6 +246,8 @@ def similar_classes(texts: DataFrame, classes: DataFrame, shingle: int, ratio: t
     """The tree walk: component of every class that is linked to another (cid, component)."""
     join = _Join(texts, classes, shingle, ratio)
     roots = trees_for(ratio[0] / ratio[1], miss)
+    if roots > SKETCH:
+        raise ValueError(f"a similarity of {ratio[0]}/{ratio[1]} needs {roots} trees, a sketch has {SKETCH} tokens")
     members = classes.select("cid", "n", F.posexplode(F.slice("mins", 1, roots)).alias("tree", "token")).select(
         F.xxhash64("tree", "token").alias("node"), "cid", "n")
     for depth in range(DEPTH + 1):

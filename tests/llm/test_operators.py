@@ -84,6 +84,11 @@ def test_trees_follow_the_recall_asked_for():
     assert near_dups.least_agreement(.85) < .85 * near_dups.SKETCH
 
 
+def test_a_similarity_that_needs_more_trees_than_the_sketch_has_is_refused(make):
+    with pytest.raises(ValueError, match="trees"):
+        near_dups.near_duplicates(make([(1, "one two three four five six"), (2, "one two three four five seven")]), 2, 2, 5)
+
+
 def test_components_of_a_long_chain_and_a_hub(spark):
     links = [(i, i + 1) for i in range(10, 60)] + [(100, i) for i in range(101, 140)]
     got = dict(graph.components(spark.createDataFrame(links, "u long, v long")).select("id", "component").collect())
