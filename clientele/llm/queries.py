@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from clientele.llm import chat, licenses, lines, mixing, near_dups, quality, reputation, rules, secrets, winnowing
+from clientele.llm import bpe, chat, licenses, lines, mixing, near_dups, quality, reputation, rules, secrets, winnowing
 from clientele.llm.common import read
 
 
@@ -76,6 +77,14 @@ def chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
                        F.length("formatted").cast("long").alias("formatted_chars"))
 
 
+def byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vocabulary = bpe.Vocabulary.read(public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN)
+    done = bpe.decode(bpe.encode(read(spark, sf_dir, "documents"), vocabulary), vocabulary)
+    return done.select("doc_id", F.size("ids").cast("long").alias("n_tokens"),
+                       F.sha2(F.array_join(F.col("ids").cast("array<string>"), ","), 256).alias("ids_sha256"),
+                       F.sha2("bytes", 256).alias("decoded_sha256"))
+
+
 QUERIES = {
     "op1_url_filters": url_filters,
     "op2_minhash_near_dedup": minhash_near_dedup,
@@ -87,4 +96,5 @@ QUERIES = {
     "op8_license_scan": license_scan,
     "op9_source_mixing": mix_sources,
     "op10_chat_format": chat_format,
+    "op12_byte_bpe": byte_bpe,
 }
