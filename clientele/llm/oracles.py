@@ -254,6 +254,66 @@ SELECT page_id, host, path, {_url_rule('name')} AS rule,
 FROM urls LEFT JOIN bounds USING (host)"""
 
 
+def _repair_sql() -> str:
+    """Row by row, the least 'cost, audit' for each state of the output: nothing, system, user, assistant."""
+    crc = ("xor(list_reduce(list_concat([4294967295], flatten(list_transform(range(1, length(k) + 1), lambda i: "
+           "[ascii(substr(k, i::INT, 1))::BIGINT, -1, -1, -1, -1, -1, -1, -1, -1]))), lambda s, x: CASE WHEN x >= 0 THEN xor(s, x) "
+           "ELSE xor(s >> 1, 3988292384 * (s & 1)) END), 4294967295)")
+
+    def add(value: str, cost: str, letter: str) -> str:
+        return f"lpad((substr({value}, 1, 8)::INT + {cost})::VARCHAR, 8, '0') || substr({value}, 9) || '{letter}'"
+    more = "CASE WHEN fault = 'truncated' THEN 5 ELSE 0 END"
+    stays = "fault NOT IN ('blank', 'duplicate')"
+
+    def taken(value: str, initial: str, rerole: bool) -> str:
+        other = add(value, f"1 + {more}", "R") if rerole else "NULL"
+        return f"CASE WHEN {stays} THEN CASE WHEN left(role, 1) = '{initial}' THEN {add(value, more, 'K')} ELSE {other} END END"
+    edits = ", ".join([f"{add('b0', '2', 'D')} AS e0",
+                       f"least({add('b1', '2', 'D')}, {taken('b0', 's', False)}) AS e1",
+                       f"least({add('b2', '2', 'D')}, {', '.join(taken(f'b{q}', 'u', True) for q in (0, 1, 3))}) AS e2",
+                       f"least({add('b3', '2', 'D')}, {taken('b2', 'a', True)}) AS e3"])
+    inserted = "least(e2, " + ", ".join(add(f"e{q}", "5", "I") for q in (0, 1, 3)) + ")"
+    return f"""keyed AS (SELECT conv_id, turn, coalesce(role, ' ') AS role, coalesce(text, ' ') AS text,
+  coalesce(conv_id::VARCHAR, ' ') || ':' || coalesce(turn::VARCHAR, ' ') AS k FROM conversations),
+hits AS (SELECT *, {crc} % 20 AS hit FROM keyed),
+hurt AS (SELECT conv_id, turn, CASE WHEN hit = 4 THEN 'user' ELSE role END AS role,
+  CASE WHEN hit = 1 THEN '' WHEN hit = 2 THEN regexp_replace(text, '[.!?]', '', 'g') ELSE text END AS text
+  FROM hits, unnest(range(CASE WHEN hit = 3 THEN 2 ELSE 1 END)) AS copies(copy) WHERE hit <> 0),
+placed AS (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, sha256(text)) AS i FROM hurt),
+faulty AS (SELECT *, CASE WHEN trim(text, {TRIM}) = '' THEN 'blank'
+  WHEN row_number() OVER (PARTITION BY conv_id, role, text ORDER BY i) > 1 THEN 'duplicate'
+  WHEN right(rtrim(text, {TRIM}), 1) NOT IN ('.', '!', '?') THEN 'truncated' ELSE '' END AS fault,
+  lag(left(role, 1)) OVER (PARTITION BY conv_id ORDER BY i) || left(role, 1) AS pair FROM placed),
+states AS (
+  SELECT DISTINCT conv_id, 0 AS i, '00000000' AS b0, NULL::VARCHAR AS b1, '00000005I' AS b2, '00000010II' AS b3 FROM faulty
+  UNION ALL
+  SELECT conv_id, i, e0, e1, {inserted}, least(e3, {add(inserted, "5", "I")})
+  FROM (SELECT f.conv_id, f.i, {edits} FROM states s JOIN faulty f ON f.conv_id IS NOT DISTINCT FROM s.conv_id AND f.i = s.i + 1)),
+ends AS (SELECT conv_id, arg_max(least(b0, b3), i) AS best FROM states GROUP BY conv_id),
+walk AS (
+  SELECT conv_id, substr(best, 9) AS audit, 0 AS pos, 0::BIGINT AS i, 0 AS state, []::VARCHAR[] AS out FROM ends
+  UNION ALL
+  SELECT w.conv_id, audit, pos + 1, CASE WHEN step = 'I' THEN w.i ELSE w.i + 1 END,
+    CASE WHEN step = 'D' THEN state WHEN step = 'K' AND left(f.role, 1) = 's' THEN 1 WHEN state = 2 THEN 3 ELSE 2 END,
+    CASE WHEN step = 'D' THEN out ELSE list_append(out, CASE WHEN step = 'K' THEN f.role WHEN state = 2 THEN 'assistant' ELSE 'user' END
+      || ':' || CASE WHEN step = 'I' THEN '' ELSE f.text END) END
+  FROM (SELECT *, substr(audit, pos + 1, 1) AS step FROM walk WHERE pos < length(audit)) w
+  LEFT JOIN faulty f ON f.conv_id IS NOT DISTINCT FROM w.conv_id AND f.i = w.i + 1),
+repaired AS (SELECT conv_id, array_to_string(arg_max(out, pos), chr(10)) AS lines FROM walk GROUP BY conv_id),
+sums AS (SELECT conv_id, coalesce(max(turn) - min(turn) + 1 - count(DISTINCT turn), 0) AS gaps,
+  count(*) FILTER (fault = 'blank') AS blank, count(*) FILTER (fault = 'duplicate') AS duplicate,
+  count(*) FILTER (fault = 'truncated') AS truncated, count(*) FILTER (pair NOT IN ('su', 'ua', 'au')) AS illegal FROM faulty GROUP BY conv_id)"""
+
+
+CONVERSATION_REPAIR = f"""WITH RECURSIVE {_repair_sql()}
+SELECT c.conv_id, coalesce(gaps, 0) AS gaps, coalesce(blank, 0) AS blank, coalesce(duplicate, 0) AS duplicate,
+  coalesce(truncated, 0) AS truncated, coalesce(illegal, 0) AS illegal, coalesce(substr(best, 1, 8)::BIGINT, 0) AS cost,
+  coalesce(substr(best, 9), '') AS audit, sha256(coalesce(lines, '')) AS repaired_sha256
+FROM (SELECT DISTINCT conv_id FROM conversations) c
+LEFT JOIN sums s ON s.conv_id IS NOT DISTINCT FROM c.conv_id
+LEFT JOIN ends e ON e.conv_id IS NOT DISTINCT FROM c.conv_id
+LEFT JOIN repaired r ON r.conv_id IS NOT DISTINCT FROM c.conv_id"""
+
 PIPELINE = f"""WITH RECURSIVE {quality_sql()},
 stage1 AS (SELECT d.* FROM documents d JOIN judged_docs j USING (doc_id) WHERE j.kept),
 {line_sql("stage1")},
@@ -276,4 +336,5 @@ ORACLES = {
     "op6_decontamination": DECONTAMINATION,
     "op9_source_mixing": SOURCE_MIXING,
     "op10_chat_format": CHAT_FORMAT,
+    "op13_conversation_repair": CONVERSATION_REPAIR,
 }

@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from clientele.llm import bpe, chat, licenses, lines, mixing, near_dups, quality, reputation, rules, secrets, winnowing
+from clientele.llm import bpe, chat, licenses, lines, mixing, near_dups, quality, repair, reputation, rules, secrets, winnowing
 from clientele.llm.common import read
 
 
@@ -85,6 +85,28 @@ def byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
                        F.sha2("bytes", 256).alias("decoded_sha256"))
 
 
+def damaged(turns: DataFrame) -> DataFrame:
+    """Rows dropped, emptied, cut short, repeated or given to the user, as the hash of their number says."""
+    blank = F.lit(" ")
+    conv, turn = (F.coalesce(F.col(c).cast("string"), blank) for c in ("conv_id", "turn"))
+    hit = F.crc32(F.concat(conv, F.lit(":"), turn)) % 20
+    role, text = F.coalesce("role", blank), F.coalesce("text", blank)
+    return (turns.filter(hit != 0)
+            .select("conv_id", "turn", F.when(hit == 4, "user").otherwise(role).alias("role"),
+                    F.when(hit == 1, "").when(hit == 2, F.regexp_replace(text, "[.!?]", "")).otherwise(text).alias("text"),
+                    F.explode(F.sequence(F.lit(1), F.when(hit == 3, 2).otherwise(1))).alias("copy")).drop("copy"))
+
+
+def conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every original conversation; one that lost all rows has nothing to repair."""
+    turns = read(spark, sf_dir, "conversations")
+    done = repair.repair_conversations(damaged(turns))
+    every = turns.select("conv_id").distinct().join(done, F.col("conv_id").eqNullSafe(F.col("conv")), "left")
+    counts = [F.coalesce(c, F.lit(0)).cast("long").alias(c) for c in ("gaps", "blank", "duplicate", "truncated", "illegal", "cost")]
+    return every.select("conv_id", *counts, F.coalesce("audit", F.lit("")).alias("audit"),
+                        F.sha2(F.coalesce("repaired", F.lit("")), 256).alias("repaired_sha256"))
+
+
 QUERIES = {
     "op1_url_filters": url_filters,
     "op2_minhash_near_dedup": minhash_near_dedup,
@@ -97,4 +119,5 @@ QUERIES = {
     "op9_source_mixing": mix_sources,
     "op10_chat_format": chat_format,
     "op12_byte_bpe": byte_bpe,
+    "op13_conversation_repair": conversation_repair,
 }
