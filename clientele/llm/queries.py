@@ -6,8 +6,9 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from clientele.llm import bpe, chat, licenses, lines, mixing, near_dups, quality, repair, reputation, rules, secrets, winnowing
+from clientele.llm import alignment, bpe, chat, licenses, lines, mixing, near_dups, quality, repair, reputation, rules, secrets, winnowing
 from clientele.llm.common import read
+from clientele.sources.staging import staged
 
 
 def url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -77,6 +78,15 @@ def chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
                        F.length("formatted").cast("long").alias("formatted_chars"))
 
 
+def token_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    aligner = alignment.Aligner.of(alignment.ByteLevel.read(public_tokenizers.path("byte_bpe_50k.json")),
+                                   alignment.Pieces.read(public_tokenizers.path("piece_bpe_32k.model")))
+    digest = F.when(F.col("groups") == "", "").otherwise(F.sha2("groups", 256)).alias("groups_sha256")
+    aligned = staged(alignment.align(read(spark, sf_dir, "documents"), aligner).select("doc_id", "n_a", "n_b", digest, "links"))
+    return alignment.with_link_scores(aligned, aligner).select(
+        "doc_id", "n_a", "n_b", F.col("n_links").alias("n_groups"), "n_links", "n_best", "count_sum", "groups_sha256")
+
+
 def byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     vocabulary = bpe.Vocabulary.read(public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN)
     done = bpe.decode(bpe.encode(read(spark, sf_dir, "documents"), vocabulary), vocabulary)
@@ -118,6 +128,7 @@ QUERIES = {
     "op8_license_scan": license_scan,
     "op9_source_mixing": mix_sources,
     "op10_chat_format": chat_format,
+    "op11_token_alignment": token_alignment,
     "op12_byte_bpe": byte_bpe,
     "op13_conversation_repair": conversation_repair,
 }
