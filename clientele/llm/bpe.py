@@ -12,7 +12,8 @@ reads it and sends it to all tasks. Texts are encoded whole, inside narrow tasks
 from __future__ import annotations
 
 import base64
-from collections.abc import Callable, Iterator, Sequence
+from array import array
+from collections.abc import Iterator, Sequence
 from dataclasses import dataclass
 from heapq import heapify, heappop, heappush
 from itertools import chain
@@ -28,8 +29,8 @@ from clientele.llm.hashing import mixed
 
 # Characters that are cut into pre-tokens at a time; a text is never cut.
 SLICE_CHARS = 1 << 21
-# Pre-tokens whose ids a task keeps, to spare time only.
-KNOWN = 1 << 18
+# Pre-tokens whose ids a worker keeps, to spare time only.
+KNOWN = 1 << 19
 # Keys to a bucket of the perfect hash, on average.
 BUCKET = 3
 
@@ -113,35 +114,36 @@ class PerfectHash:
 def merged(piece: bytes, ranks: dict[bytes, int]) -> list[int]:
     """Ids of a pre-token: the pair of least rank is joined, the leftmost of equals, until none is left.
 
-    The part that starts at byte i ends where the next one starts, ``after[i]``; a part that was
-    joined to the one before it has ``after`` 0. What waits in the heap is the rank, start and end of two
-    neighbours as one number; it has lapsed if they no longer are.
+    The part that starts at byte i ends where the next one starts, ``after[i]``, and has with that one
+    the rank ``pair[i]``, -1 if they are no token or the part is gone. What waits in the heap is rank and start as
+    one number; it has lapsed if the rank there is another by now.
     """
     n, rank_of = len(piece), ranks.get
-    base = n + 1
-    after, before = list(range(1, base)), list(range(-1, n))
-    waiting = []
-    for i in range(n - 1):
-        rank = rank_of(piece[i:i + 2])
-        if rank is not None:
-            waiting.append((rank * base + i) * base + i + 2)
+    shift = n.bit_length()
+    mask = (1 << shift) - 1
+    after, before = list(range(1, n + 2)), list(range(-1, n))
+    pair = [rank_of(piece[i:i + 2], -1) for i in range(n - 1)]
+    pair.append(-1)
+    waiting = [rank << shift | i for i, rank in enumerate(pair) if rank >= 0]
     heapify(waiting)
     while waiting:
-        rest, end = divmod(heappop(waiting), base)
-        start = rest % base
-        middle = after[start]
-        if not middle or middle >= n or after[middle] != end:
+        least = heappop(waiting)
+        start = least & mask
+        if pair[start] != least >> shift:
             continue
-        after[start], after[middle], before[end] = end, 0, start
-        if end < n:
-            rank = rank_of(piece[start:after[end]])
-            if rank is not None:
-                heappush(waiting, (rank * base + start) * base + after[end])
+        middle = after[start]
+        end = after[middle]
+        after[start], before[end], pair[middle] = end, start, -1
+        rank = rank_of(piece[start:after[end]], -1) if end < n else -1
+        pair[start] = rank
+        if rank >= 0:
+            heappush(waiting, rank << shift | start)
         left = before[start]
         if left >= 0:
-            rank = rank_of(piece[left:end])
-            if rank is not None:
-                heappush(waiting, (rank * base + left) * base + end)
+            rank = rank_of(piece[left:end], -1)
+            pair[left] = rank
+            if rank >= 0:
+                heappush(waiting, rank << shift | left)
     out, at = [], 0
     while at < n:
         out.append(ranks[piece[at:after[at]]])
@@ -155,13 +157,19 @@ class Vocabulary:
     def __init__(self, ranks: dict[bytes, int], pattern: str) -> None:
         if len(set(ranks.values())) < len(ranks) or any(bytes([b]) not in ranks for b in range(256)):
             raise ValueError("ranks repeat, or a byte has none")
-        self.ranks, self.pattern = ranks, pattern
+        self.ranks, self.cut = ranks, regex.compile(pattern)
         keys = list(ranks)
         self.hash = PerfectHash.of(keys)
-        at = self.hash.places(keys)
-        self.keys, self.ids = [b""] * len(keys), [0] * len(keys)
-        for key, place in zip(keys, at.tolist(), strict=True):
-            self.keys[place], self.ids[place] = key, ranks[key]
+        self.keys, self.packed = [b""] * len(keys), [b""] * len(keys)
+        for key, place in zip(keys, self.hash.places(keys).tolist(), strict=True):
+            self.keys[place], self.packed[place] = key, array("i", [ranks[key]]).tobytes()
+        by_id = [b""] * (max(ranks.values()) + 1)
+        for key, rank in ranks.items():
+            by_id[rank] = key
+        self.flat = np.frombuffer(b"".join(by_id), np.uint8)
+        self.sizes = np.array([len(t) for t in by_id], np.int64)
+        self.starts = np.cumsum(self.sizes) - self.sizes
+        self.known: dict[str, bytes] = {}
 
     @classmethod
     def read(cls, path: str, pattern: str) -> Vocabulary:
@@ -169,24 +177,30 @@ class Vocabulary:
             pairs = [line.split() for line in file if line.strip()]
         return cls({base64.b64decode(token): int(rank) for token, rank in pairs}, pattern)
 
-    def resolve(self, pieces: Sequence[str]) -> dict[str, list[int]]:
-        """Ids of distinct pre-tokens: from the perfect hash if whole, from the heap if not."""
+    def resolve(self, pieces: Sequence[str]) -> dict[str, bytes]:
+        """Ids of distinct pre-tokens, packed as 32-bit numbers: from the perfect hash if whole, from the heap if not."""
         raw = [p.encode("utf-8", "surrogatepass") for p in pieces]
-        keys, ids, ranks = self.keys, self.ids, self.ranks
-        return {piece: [ids[place]] if keys[place] == b else merged(b, ranks)
+        keys, packed, ranks = self.keys, self.packed, self.ranks
+        return {piece: packed[place] if keys[place] == b else array("i", merged(b, ranks)).tobytes()
                 for piece, b, place in zip(pieces, raw, self.hash.places(raw).tolist(), strict=True)}
 
-    def encoder(self) -> Callable[[list[str | None]], list[list[int]]]:
-        """Texts to ids; pre-tokens are resolved once, and anew after ``KNOWN`` others."""
-        cut, known = regex.compile(self.pattern).findall, {}
-
-        def encode(texts: list[str | None]) -> list[list[int]]:
-            if len(known) > KNOWN:
-                known.clear()
-            pieces = [cut(t) if t else [] for t in texts]
-            known.update(self.resolve([p for p in set(chain.from_iterable(pieces)) if p not in known]))
-            return [list(chain.from_iterable(map(known.__getitem__, each))) for each in pieces]
-        return encode
+    def encode(self, texts: Sequence[str | None]) -> list[bytes]:
+        """Packed ids of texts; pre-tokens are resolved once, and anew after ``KNOWN`` others."""
+        if len(self.known) > KNOWN:
+            self.known.clear()
+        cut, known = self.cut.findall, self.known
+        pieces = [cut(t) if t else [] for t in texts]
+        known.update(self.resolve([p for p in set(chain.from_iterable(pieces)) if p not in known]))
+        return [b"".join(map(known.__getitem__, each)) for each in pieces]
+
+    def decode(self, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Bytes of all ids in a row, and how many each has; 0 and no bytes for numbers that are no token."""
+        known = (ids >= 0) & (ids < len(self.starts))
+        at = np.where(known, ids, 0)
+        sizes = np.where(known, self.sizes[at], 0)
+        ends = np.cumsum(sizes)
+        inside = np.arange(ends[-1] if len(ends) else 0) - np.repeat(ends - sizes, sizes)
+        return self.flat[np.repeat(self.starts[at], sizes) + inside], sizes
 
 
 def slices(sizes: Sequence[int], most: int = SLICE_CHARS) -> Iterator[tuple[int, int]]:
@@ -211,13 +225,12 @@ def encode(docs: DataFrame, vocabulary: Vocabulary, id_col: str = "doc_id", text
     shared = docs.sparkSession.sparkContext.broadcast(vocabulary)
 
     def encoded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        run = shared.value.encoder()
         for batch in batches:
             texts = batch.column("text").to_pylist()
             for start, end in slices([len(t or "") for t in texts]):
-                ids = run(texts[start:end])
-                ends = np.cumsum([0, *map(len, ids)], dtype=np.int32)
-                flat = np.fromiter(chain.from_iterable(ids), np.int32, int(ends[-1]))
+                ids = shared.value.encode(texts[start:end])
+                ends = np.cumsum([0, *(len(b) // 4 for b in ids)], dtype=np.int32)
+                flat = np.frombuffer(b"".join(ids), np.int32)
                 yield pa.RecordBatch.from_arrays(
                     [batch.column("id").slice(start, end - start), pa.ListArray.from_arrays(pa.array(ends), pa.array(flat))],
                     ["doc_id", "ids"])
@@ -230,15 +243,17 @@ def decode(tokens: DataFrame, vocabulary: Vocabulary, id_col: str = "doc_id", id
     shared = tokens.sparkSession.sparkContext.broadcast(vocabulary)
 
     def decoded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        token_of = dict(zip(shared.value.ids, shared.value.keys, strict=True))
         for batch in batches:
             for start, end in slices(pc.fill_null(pc.list_value_length(batch.column("ids")), 0).to_pylist()):
-                part, out = batch.slice(start, end - start), []
-                for ids in part.column("ids").to_pylist():
-                    try:
-                        out.append(None if ids is None else b"".join(map(token_of.__getitem__, ids)))
-                    except KeyError:
-                        out.append(None)
-                yield pa.RecordBatch.from_arrays([*part.columns, pa.array(out, pa.binary())], ["doc_id", "ids", "bytes"])
+                part = batch.slice(start, end - start)
+                lists = part.column("ids")
+                counts = pc.fill_null(pc.list_value_length(lists), 0).to_numpy()
+                raw, sizes = shared.value.decode(pc.fill_null(lists.flatten(), -1).to_numpy())
+                upto = np.concatenate(([0], np.cumsum(sizes)))[np.concatenate(([0], np.cumsum(counts)))]
+                odd = np.concatenate(([0], np.cumsum(sizes == 0)))[np.concatenate(([0], np.cumsum(counts)))]
+                bad = lists.is_null().to_numpy(zero_copy_only=False) | (np.diff(odd) > 0)
+                whole = pa.Array.from_buffers(pa.binary(), len(part), [None, pa.py_buffer(upto.astype(np.int32)), pa.py_buffer(raw)])
+                out = pc.if_else(pa.array(bad), pa.scalar(None, pa.binary()), whole)
+                yield pa.RecordBatch.from_arrays([*part.columns, out], ["doc_id", "ids", "bytes"])
     rows = tokens.select(column(tokens, id_col).alias("id"), column(tokens, ids_col).cast("array<int>").alias("ids"))
     return rows.mapInArrow(decoded, f"doc_id {dict(rows.dtypes)['id']}, ids array<int>, bytes binary")
