@@ -15,25 +15,31 @@ have the tokens of the whole.
 from __future__ import annotations
 
 import json
+import os
 import re
 from collections.abc import Callable, Iterator, Sequence
 from dataclasses import dataclass
+from itertools import chain
 from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 import sentencepiece
+import tiktoken
 import tokenizers
+from public_tokenizers import PATTERN
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from clientele.llm.bpe import slices
+from clientele.llm.bpe import merged, slices
 from clientele.llm.common import column
 from clientele.sources.staging import staged, staged_counted
 
 # Texts of more characters are cut into pieces of about that many.
 SEGMENT = 1 << 16
+# Characters encoded at a time; encodings take many times the room of their texts.
+BATCH_CHARS = 1 << 17
 # Bytes of a fragment of a cut text, and how many bits of its first byte a round of the tree takes off.
 CHUNK_BITS = 14
 FAN_BITS = 4
@@ -52,15 +58,40 @@ def _bytes_of_characters() -> dict[str, int]:
 
 
 class ByteLevel:
-    """Tokenizer A, from a ``tokenizers`` file of a byte-level vocabulary."""
+    """Tokenizer A, from a ``tokenizers`` file of a byte-level vocabulary.
+
+    The file lists which pairs merge. If each token, built by the ranks of tokens alone, comes from the very pair
+    that is listed for it, then so does every merge in every text, and the faster library that goes by ranks gives
+    the same ids (``ranked``; texts are cut by the pattern of byte-level files). Otherwise the file's own library encodes.
+    """
 
     def __init__(self, definition: str) -> None:
         self.definition = definition
-        of = _bytes_of_characters()
-        vocab = json.loads(definition)["model"]["vocab"]
+        made, of = json.loads(definition), _bytes_of_characters()
+        vocab = made["model"]["vocab"]
+        raw = {token: bytes(of[c] for c in token) if all(c in of for c in token) else token.encode() for token in vocab}
         self.tokens = [b""] * (max(vocab.values()) + 1)
         for token, i in vocab.items():
-            self.tokens[i] = bytes(of[c] for c in token) if all(c in of for c in token) else token.encode()
+            self.tokens[i] = raw[token]
+        pairs = [m.split(" ") if isinstance(m, str) else m for m in made["model"]["merges"]]
+        special = {t["content"] for t in made["added_tokens"]}
+        self.ranks = {raw[token]: i for token, i in vocab.items() if token not in special}
+        cut = made["pre_tokenizer"]
+        plain = (cut["type"] == "ByteLevel" and cut["use_regex"] and not cut["add_prefix_space"]
+                 and not made["normalizer"] and not made["model"].get("ignore_merges"))
+        self.ranked = plain and self._built_as_listed([(raw[x], raw[y]) for x, y in pairs])
+
+    def _built_as_listed(self, pairs: list[tuple[bytes, bytes]]) -> bool:
+        ranks = dict(self.ranks)
+        order = [ranks[x + y] for x, y in pairs]
+        if order != sorted(set(order)) or len(pairs) + 256 != len(ranks) or any(bytes([b]) not in ranks for b in range(256)):
+            return False
+        for x, y in pairs:
+            rank = ranks.pop(x + y)
+            if merged(x + y, ranks) != [ranks[x], ranks[y]]:
+                return False
+            ranks[x + y] = rank
+        return True
 
     @classmethod
     def read(cls, path: str) -> ByteLevel:
@@ -68,6 +99,10 @@ class ByteLevel:
             return cls(file.read())
 
     def encoder(self) -> Callable[[list[str]], list[Ids]]:
+        if self.ranked:
+            ranked = tiktoken.Encoding("A", pat_str=PATTERN, mergeable_ranks=self.ranks, special_tokens={})
+            return lambda texts: [ranked.encode_ordinary(t) for t in texts]
+        os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")  # a task has one core
         made = tokenizers.Tokenizer.from_str(self.definition)
         made.encode_special_tokens = True  # their strings in texts are text
         return lambda texts: [e.ids for e in made.encode_batch_fast(texts, add_special_tokens=False)]
@@ -164,7 +199,7 @@ class Aligner:
 
         def groups(pairs: Sequence[tuple[Ids, Ids]]) -> tuple[list[str], np.ndarray, np.ndarray]:
             """Of token lists that end together: their groups written out, all links, and how many each list has."""
-            ids_a, ids_b = (np.fromiter((i for p in pairs for i in p[k]), np.int64, sum(len(p[k]) for p in pairs)) for k in (0, 1))
+            ids_a, ids_b = (np.fromiter(chain.from_iterable(p[k] for p in pairs), np.int64, sum(len(p[k]) for p in pairs)) for k in (0, 1))
             ends_a, ends_b = np.cumsum(size_a[ids_a]), np.cumsum(size_b[ids_b])
             marked = np.zeros((2, int(ends_a[-1]) + 1 if len(ends_a) else 1), bool)
             marked[0, ends_a], marked[1, ends_b] = True, True
@@ -226,12 +261,11 @@ def _align_whole(rows: DataFrame, aligner) -> DataFrame:
     def aligned(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tokens, groups = aligner.value.ready(), aligner.value.grouper()
         for batch in batches:
-            texts = batch.column("text").to_pylist()
-            for i, j in slices([len(t or "") for t in texts]):
-                full = [k for k in range(i, j) if texts[k]]
-                pairs = [([], [])] * (j - i)
+            for i, j in slices(pc.fill_null(pc.utf8_length(batch.column("text")), 0).to_pylist(), BATCH_CHARS):
+                texts, pairs = batch.column("text").slice(i, j - i).to_pylist(), [([], [])] * (j - i)
+                full = [k for k, text in enumerate(texts) if text]
                 for k, pair in zip(full, tokens([" " + texts[k] for k in full]), strict=True):
-                    pairs[k - i] = pair or ([], [])
+                    pairs[k] = pair or ([], [])
                 written, links, counts = groups(pairs)
                 yield pa.RecordBatch.from_arrays(
                     [batch.column("doc_id").slice(i, j - i), *[pa.array([len(p[k]) for p in pairs], pa.int64()) for k in (0, 1)],

@@ -96,6 +96,19 @@ def test_the_query_equals_the_definitions_on_a_whole_table(spark, plain):
     assert sorted(got) == sorted(expected(rows, plain))
 
 
+def test_ranks_are_used_only_where_they_build_tokens_as_listed(aligner):
+    assert aligner.a.ranked
+    text = [" the cat's naïve 日本 <|endoftext|>", " " + "ab" * 500]
+    by_library = alignment.ByteLevel(aligner.a.definition)
+    by_library.ranked = False
+    assert by_library.encoder()(text) == aligner.a.encoder()(text)
+    pairs = [tuple(x.encode() for x in p) for p in (("a", "b"), ("b", "c"), ("ab", "c"))]
+    made = alignment.ByteLevel.__new__(alignment.ByteLevel)
+    made.ranks = {bytes([b]): b for b in range(256)} | {b"ab": 256, b"bc": 257, b"abc": 258}
+    assert made._built_as_listed(pairs)
+    assert not made._built_as_listed([*pairs[:2], (b"a", b"bc")])
+
+
 def test_composition_is_associative(aligner):
     rng = random.Random(9)
     for _ in range(300):
