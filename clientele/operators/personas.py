@@ -1,93 +1,49 @@
-"""Feature choice, clustering and persona names, on ``pyspark.ml``."""
+"""Feature choice, clustering and persona names."""
 
 from __future__ import annotations
 
 from collections.abc import Iterable, Mapping, Sequence
-from concurrent.futures import ThreadPoolExecutor
 
 import numpy as np
-from pyspark import StorageLevel
-from pyspark.ml.clustering import KMeans, KMeansModel
-from pyspark.ml.feature import VectorAssembler
-from pyspark.ml.stat import Correlation
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.util import inheritable_thread_target
 
 from clientele.config import MEMBER, PERSONA_NAMES
+from clientele.operators import kmeans
 from clientele.operators.features import column
-
-VECTOR = "features"
-# Fits that run at once: each is many short jobs over the same stored vectors.
-PARALLEL_FITS = 8
-
-
-def to_vectors(df: DataFrame, cols: Sequence[str]) -> DataFrame:
-    return VectorAssembler(inputCols=list(cols), outputCol=VECTOR).transform(df)
-
-
-def factor_loadings(covariance: np.ndarray, n_factors: int, max_iter: int = 1000,
-                    tol: float = 1e-8) -> np.ndarray:
-    """Maximum-likelihood factor loadings (factors x features) of a covariance.
-
-    Alternates the best loadings for given noise variances (leading eigenvectors of
-    the noise-scaled covariance) with the noise the loadings leave over.
-    """
-    tiny = 1e-12
-    variances = np.diag(covariance).copy()
-    noise = np.ones_like(variances)
-    loadings, last = None, -np.inf
-    for _ in range(max_iter):
-        scale = np.sqrt(noise) + tiny
-        values, vectors = np.linalg.eigh(covariance / np.outer(scale, scale))
-        lead = slice(-1, -n_factors - 1, -1) if n_factors < len(values) else slice(None, None, -1)
-        top = np.maximum(values[lead], tiny)
-        loadings = np.sqrt(np.maximum(top - 1.0, 0.0))[:, None] * vectors[:, lead].T * scale
-        likelihood = -0.5 * (np.log(top).sum() + values.sum() - top.sum() + np.log(noise).sum())
-        if likelihood - last < tol:
-            break
-        last = likelihood
-        noise = np.maximum(variances - (loadings ** 2).sum(axis=0), tiny)
-    return loadings
-
-
-def correlation_matrix(df: DataFrame, cols: Sequence[str]) -> np.ndarray:
-    """Pearson correlations over all members, d x d; 0 where a feature is constant."""
-    return np.nan_to_num(Correlation.corr(to_vectors(df, cols), VECTOR).head()[0].toArray())
+from clientele.operators.moments import factors, moments
 
 
 def feature_correlations(df: DataFrame, cols: Sequence[str]) -> DataFrame:
-    """One row per pair of features, in the order given."""
-    corr = correlation_matrix(df, cols)
+    """One row per pair of features, in the order given; 0 where a feature is constant."""
+    corr = moments(df, cols).correlation
     return df.sparkSession.createDataFrame(
         [(cols[i], cols[j], float(corr[i, j])) for i in range(len(cols)) for j in range(i + 1, len(cols))],
         "feature string, other string, correlation double")
 
 
 def factor_weights(df: DataFrame, cols: Sequence[str], n_factors: int = 10) -> DataFrame:
-    """Sum of absolute loadings per feature, from standardised features.
+    """Per feature the sum of its absolute loadings, its communality and its noise.
 
-    Spark computes the d x d matrix over all members; only that matrix, of fixed
-    size, reaches the driver.
+    The d x d correlations over all members come from one pass; only they, of fixed size, reach the driver.
     """
-    weights = np.abs(factor_loadings(correlation_matrix(df, cols), n_factors)).sum(axis=0)
-    return df.sparkSession.createDataFrame(
-        [(c, float(w)) for c, w in zip(cols, weights)], "feature string, weight double")
+    found = factors(moments(df, cols).correlation, n_factors)
+    rows = [(c, float(w), float(h), float(p)) for c, w, h, p in zip(cols, found.weights, found.communality, found.noise)]
+    return df.sparkSession.createDataFrame(rows, "feature string, weight double, communality double, noise double")
 
 
-def factor_select(df: DataFrame, cols: Sequence[str], n_factors: int = 10, n_keep: int = 10,
-                  ascending: bool = True) -> list[str]:
-    """The ``n_keep`` features with the smallest (default) or largest weights."""
-    weights = factor_weights(df, cols, n_factors).collect()
-    ranked = sorted(weights, key=lambda r: r.weight if ascending else -r.weight)
-    return [r.feature for r in ranked[:n_keep]]
+def ranked_features(correlation: np.ndarray, cols: Sequence[str], n_factors: int = 10, n_keep: int = 10,
+                    ascending: bool = True) -> list[str]:
+    """The ``n_keep`` features with the smallest (default) or largest weights; equal weights keep their order."""
+    weights = factors(correlation, n_factors).weights
+    order = np.argsort(np.round(weights if ascending else -weights, 9), kind="stable")
+    return [cols[i] for i in order[:n_keep]]
 
 
-def _best_fit(vectors: DataFrame, k: int, n_init: int, seed: int) -> KMeansModel:
-    fit = inheritable_thread_target(vectors.sparkSession)(
-        lambda i: KMeans(k=k, seed=seed + i, featuresCol=VECTOR, predictionCol="persona").fit(vectors))
-    with ThreadPoolExecutor(PARALLEL_FITS) as pool:
-        return min(pool.map(fit, range(n_init)), key=lambda m: m.summary.trainingCost)
+def factor_select(df: DataFrame, cols: Sequence[str], n_factors: int = 10, n_keep: int = 10,
+                  ascending: bool = True) -> list[str]:
+    """``ranked_features`` of a table."""
+    return ranked_features(moments(df, cols).correlation, cols, n_factors, n_keep, ascending)
 
 
 def within_squares(df: DataFrame, cols: Sequence[str]) -> DataFrame:
@@ -98,28 +54,26 @@ def within_squares(df: DataFrame, cols: Sequence[str]) -> DataFrame:
 
 def kmeans_sweep(df: DataFrame, cols: Sequence[str], ks: Iterable[int] = range(1, 21),
                  n_init: int = 10, seed: int = 1) -> DataFrame:
-    """Within-cluster squares for each number of clusters."""
-    vectors = to_vectors(df, cols).select(VECTOR).persist(StorageLevel.MEMORY_AND_DISK)
-    try:
-        costs = [(k, within_squares(df, cols).head()[0] if k == 1
-                  else _best_fit(vectors, k, n_init, seed).summary.trainingCost) for k in ks]
-    finally:
-        vectors.unpersist()
-    return df.sparkSession.createDataFrame([(k, float(c)) for k, c in costs], "k int, wcss double")
-
-
-def kmeans_fit(df: DataFrame, cols: Sequence[str], k: int = 5, n_init: int = 5,
-               seed: int = 1) -> KMeansModel:
-    vectors = to_vectors(df, cols).select(VECTOR).persist(StorageLevel.MEMORY_AND_DISK)
-    try:
-        return _best_fit(vectors, k, n_init, seed)
-    finally:
-        vectors.unpersist()
-
-
-def kmeans_predict(df: DataFrame, cols: Sequence[str], model: KMeansModel) -> DataFrame:
+    """Within-cluster squares for each number of clusters, all fitted side by side."""
+    found = kmeans.fit(df, cols, list(ks), n_init, seed)
+    return df.sparkSession.createDataFrame([(k, m.cost) for k, m in found.items()], "k int, wcss double")
+
+
+def kmeans_fit(df: DataFrame, cols: Sequence[str], k: int = 5, n_init: int = 5, seed: int = 1) -> kmeans.Clusters:
+    return kmeans.fit(df, cols, [k], n_init, seed)[k]
+
+
+def kmeans_predict(df: DataFrame, cols: Sequence[str], model: kmeans.Clusters) -> DataFrame:
     """(member, persona id): the id stays on the row throughout."""
-    return model.transform(to_vectors(df, cols)).select(MEMBER, "persona")
+    return nearest_centroid(df, cols, model.centres.tolist())
+
+
+def least_squares(cols: Sequence[str], centres: Sequence[Sequence[float]]) -> Column:
+    """The square of a member's distance to its nearest centre, as a column."""
+    point = F.array(*[column(c).cast("double") for c in cols])
+    square = lambda x, y: (x - y) * (x - y)
+    return F.array_min(F.transform(F.lit([[float(x) for x in c] for c in centres]), lambda centre: F.aggregate(
+        F.zip_with(point, centre, square), F.lit(0.0), lambda total, part: total + part)))
 
 
 def nearest_centroid(df: DataFrame, cols: Sequence[str],

@@ -194,6 +194,12 @@ def category_pivot(tx: DataFrame, tags: DataFrame, by: str, measure: str = "net_
     raise ValueError("agg must be 'sum' or 'buyers'")
 
 
+def members_bought(tx: DataFrame, tags: DataFrame, names: Iterable[str] = CUSTOMER_TAGS) -> DataFrame:
+    """One row: distinct members with a line, by tag."""
+    buyers = _attach(tx.select(MEMBER).distinct(), tags).withColumn("measure", F.lit("members"))
+    return count_pivot(buyers, "measure", MEMBER, names)
+
+
 def category_buyers(tx: DataFrame, tags: DataFrame, by: str,
                     window: tuple[date, date] | None = None) -> DataFrame:
     """Distinct buyers per category and tag, one row each."""

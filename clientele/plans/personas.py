@@ -6,12 +6,12 @@ from collections.abc import Iterable, Mapping
 from datetime import date
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 from clientele.config import (
     PERSONA_NAMES, WALLET_SPECS, WalletSpec,
 )
 from clientele.operators import contacts, features, personas, reports
+from clientele.operators.moments import moments
 from clientele.sources import io
 from clientele.sources.staging import staged
 
@@ -27,14 +27,19 @@ def run_training(spark: SparkSession, mart_base: str, model_base: str, dropped:
                  outliers: Iterable[str], k: int = 5, n_init: int = 5, n_factors: int = 10,
                  n_keep: int = 10, seed: int = 1,
                  specs: Iterable[WalletSpec] = WALLET_SPECS) -> list[str]:
-    """Fit scaler and clusters on a mart; store both with the chosen features, and return these."""
+    """Fit scaler and clusters on a mart; store both with the chosen features, and return these.
+
+    Zero shares, scale and correlations all come from one pass over the stored features.
+    """
     dropped = list(dropped)
     tx = io.read_transactions(spark, mart_base)
-    table = features.drop_zero_columns(staged(feature_table(tx, dropped, outliers, specs)), 1.0)
-    cols = features.feature_columns(table)
-    scaler = features.fit_scaler(table, cols)
+    table = staged(feature_table(tx, dropped, outliers, specs))
+    seen = moments(table, features.feature_columns(table))
+    cols = [c for c in seen.cols if seen.zero_shares[c] < 1.0]
+    seen = seen.only(cols)
+    scaler = seen.scaler(table)
     scaled = staged(features.standardize(table, cols, scaler))
-    chosen = personas.factor_select(scaled, cols, n_factors, n_keep)
+    chosen = personas.ranked_features(seen.correlation, cols, n_factors, n_keep)
     model = personas.kmeans_fit(scaled, chosen, k, n_init, seed)
     io.save_model(model, scaler, chosen, model_base, dropped)
     io.write_personas(personas.kmeans_predict(scaled, chosen, model), f"{model_base}/training_result")
@@ -57,13 +62,11 @@ def persona_reports(tx: DataFrame, named: DataFrame, window: tuple[date, date],
                     names: Mapping[int, str] = PERSONA_NAMES, brand: str = "BA") -> dict[str, DataFrame]:
     labels = list(names.values())
     sales, tags = contacts.clean_for_report(tx, brand), contacts.persona_tags(named)
-    buyers = reports._attach(sales.select("vip_main_no").distinct(), tags).withColumn(
-        "measure", F.lit("members"))
     by_cat = {cat: reports.category_pivot(sales, tags, cat, window=window, names=labels)
               for cat in ("item_subcat_desc_cleaned", "maincat_desc_cleaned")}
     return {
         "counts": reports.persona_counts_wide(named, labels),
-        "members": reports.count_pivot(buyers, "measure", tags=labels),
+        "members": reports.members_bought(sales, tags, labels),
         "kpis": reports.sales_kpis(sales, tags, window, labels),
         **by_cat,
         **{f"{cat}_share": reports.column_share(table, cat, labels) for cat, table in by_cat.items()},

@@ -5,11 +5,12 @@ from __future__ import annotations
 from collections.abc import Mapping, Sequence
 from datetime import date
 
-from pyspark.ml.clustering import KMeansModel
+import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from clientele.functions.dates import yyyymm
+from clientele.operators.kmeans import Clusters
 
 MART_PARTS = ("transaction", "demographic", "first_last_transaction")
 
@@ -89,25 +90,28 @@ def write_personas(df: DataFrame, path: str) -> None:
     df.select("vip_main_no", F.col("persona").cast("int").alias("persona")).write.parquet(path)
 
 
-def save_model(model: KMeansModel, scaler: DataFrame, cols: Sequence[str], base: str,
+def save_model(model: Clusters, scaler: DataFrame, cols: Sequence[str], base: str,
                dropped: Sequence[str] = ()) -> None:
-    """Clusters, scale, and the names of the features in the order of the model's vectors."""
+    """Clusters, scale, and the names of the features in the order of the centres' coordinates."""
     base, spark = base.rstrip("/"), scaler.sparkSession
-    model.save(f"{base}/kmeans")
+    rows = [(i, [float(x) for x in c], model.cost) for i, c in enumerate(model.centres)]
+    spark.createDataFrame(rows, "persona int, centre array<double>, cost double").coalesce(1).write.parquet(f"{base}/clusters")
     scaler.write.parquet(f"{base}/scaler")
-    rows = [(i, c, True) for i, c in enumerate(cols)] + [(i, c, False) for i, c in enumerate(dropped)]
-    spark.createDataFrame(rows, "place int, feature string, used boolean").coalesce(1).write.parquet(f"{base}/features")
+    names = [(i, c, True) for i, c in enumerate(cols)] + [(i, c, False) for i, c in enumerate(dropped)]
+    spark.createDataFrame(names, "place int, feature string, used boolean").coalesce(1).write.parquet(f"{base}/features")
 
 
-def load_model(spark: SparkSession, base: str) -> tuple[KMeansModel, DataFrame, list[str], list[str]]:
+def load_model(spark: SparkSession, base: str) -> tuple[Clusters, DataFrame, list[str], list[str]]:
     """Clusters, scale, ordered features and dropped features; refuses parts that do not fit."""
     base = base.rstrip("/")
-    model, scaler = KMeansModel.load(f"{base}/kmeans"), spark.read.parquet(f"{base}/scaler")
+    clusters = sorted(spark.read.parquet(f"{base}/clusters").collect(), key=lambda r: r["persona"])
+    scaler = spark.read.parquet(f"{base}/scaler")
     rows = sorted(spark.read.parquet(f"{base}/features").collect(), key=lambda r: r["place"])
     cols = [r["feature"] for r in rows if r["used"]]
-    if len(model.clusterCenters()[0]) != len(cols) or not set(cols) <= set(scaler.columns):
+    centres = np.array([r["centre"] for r in clusters])
+    if centres.ndim != 2 or centres.shape[1] != len(cols) or not set(cols) <= set(scaler.columns):
         raise ValueError("the stored features do not fit the stored model and scale")
-    return model, scaler, cols, [r["feature"] for r in rows if not r["used"]]
+    return Clusters(centres, clusters[0]["cost"], 0, True), scaler, cols, [r["feature"] for r in rows if not r["used"]]
 
 
 def write_csv(df: DataFrame, path: str) -> None:

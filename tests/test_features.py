@@ -2,9 +2,11 @@ from datetime import date
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from clientele.config import WalletSpec
-from clientele.operators import features, personas
+from clientele.operators import features, kmeans, personas
+from clientele.operators.moments import factors, moments
 
 TX = ("vip_main_no string, prod_brand string, item_subcat_desc string, maincat_desc string, line string, "
       "net_amt_hkd int, sold_qty int, invoice_no string")
@@ -112,9 +114,39 @@ def test_factor_loadings_reach_the_likelihood_of_plain_em():
         model = load @ load.T + np.diag(psi)
         return np.linalg.slogdet(model)[1] + np.trace(np.linalg.solve(model, cov))
 
-    ours = personas.factor_loadings(cov, 2).T
-    theirs = em_loadings(cov, 2, 4000)
-    assert loss(ours, np.diag(cov) - (ours ** 2).sum(1)) == pytest.approx(loss(*theirs), abs=1e-4)
+    ours, theirs = factors(cov, 2), em_loadings(cov, 2, 4000)
+    assert loss(ours.loadings, ours.noise) == pytest.approx(loss(*theirs), abs=1e-6)
+    assert ours.communality + ours.noise == pytest.approx(np.ones(6))
+    inner = (ours.loadings / ours.noise[:, None]).T @ ours.loadings
+    assert np.abs(inner - np.diag(np.diag(inner))).max() < 1e-6 and inner[0, 0] >= inner[1, 1]
+
+
+def test_as_many_factors_as_features_give_back_every_correlation():
+    cov = np.corrcoef(np.random.default_rng(4).normal(size=(5, 60)) + np.linspace(0, 1, 60))
+    with_constant = np.zeros((6, 6))
+    with_constant[:5, :5] = cov
+    found = factors(with_constant, 10)
+    assert np.abs(found.implied - with_constant).max() < 1e-3
+    assert found.weights[5] == 0 and found.noise[5] == 0
+    assert factors(np.zeros((2, 2)), 3).weights.tolist() == [0, 0]
+
+
+def test_moments_of_parts_add_up_and_equal_numpy(spark):
+    rng = np.random.default_rng(5)
+    data = rng.normal(size=(500, 3)) * [1, 50, 0] + [1e6, 0, 7]
+    data[::3, 1] = 0
+    df = spark.createDataFrame(data.tolist(), "a double, `b c` double, d double").repartition(7)
+    got = moments(df, ["a", "b c", "d"])
+    assert got.n == 500 and got.zero_shares["b c"] == (data[:, 1] == 0).mean()
+    assert got.means == pytest.approx(data.mean(0)) and got.deviations == pytest.approx(data.std(0), rel=1e-6, abs=1e-9)
+    assert got.correlation[0, 1] == pytest.approx(np.corrcoef(data[:, 0], data[:, 1])[0, 1], abs=1e-9)
+    assert got.deviations[2] == 0 and got.correlation[2].tolist() == [0, 0, 0]
+    assert (got + got).means == pytest.approx(got.means) and got.only(["d", "a"]).cols == ("d", "a")
+    scaled = features.standardize(df.withColumn("vip_main_no", F.lit("m")), ["a", "b c"], got.scaler(df))
+    assert moments(scaled, ["a", "b c"]).deviations == pytest.approx([1, 1])
+    odd = moments(spark.createDataFrame([(None, float("nan")), (2.0, 4.0)], "x double, y double"), ["x", "y"])
+    assert odd.means.tolist() == [1, 2] and odd.zeros.tolist() == [1, 1]
+    assert moments(df.limit(0), ["a"]).n == 0
 
 
 @pytest.fixture
@@ -145,10 +177,63 @@ def test_clusters(clustered):
         groups.setdefault(r.vip_main_no.split("-")[0], set()).add(r.persona)
     assert all(len(ids) == 1 for ids in groups.values()) and len(set.union(*groups.values())) == 3
     assert sorted(r.members for r in personas.persona_sizes(found).collect()) == [30, 30, 30]
-    again = personas.nearest_centroid(clustered, cols, [list(c) for c in model.clusterCenters()])
+    again = personas.nearest_centroid(clustered, cols, model.centres.tolist())
     assert sorted(map(tuple, again.collect())) == sorted(map(tuple, found.collect()))
 
 
+def plain_lloyd(x, centres):
+    """One model to its end."""
+    while True:
+        own = ((x[:, None] - centres) ** 2).sum(2).argmin(1)
+        new = np.array([x[own == i].mean(0) if (own == i).any() else c for i, c in enumerate(centres)])
+        if np.allclose(new, centres, atol=1e-12):
+            return centres, ((x - centres[own]) ** 2).sum()
+        centres = new
+
+
+def test_all_models_advance_together_as_each_does_alone(spark, monkeypatch):
+    rng = np.random.default_rng(6)
+    x = rng.normal(size=(300, 3)) + rng.integers(0, 4, (300, 1)) * 3
+    points = spark.createDataFrame(x.tolist(), "a double, b double, c double").repartition(5)
+    starts = [x[:2], x[5:8], x[10:17], np.array([[99.0] * 3, *x[:1]])]
+    passes, summed = [], kmeans._summed
+    monkeypatch.setattr(kmeans, "_summed", lambda p, models: passes.append(len(models)) or summed(p, models))
+    found = kmeans.lloyd(points, starts, tolerance=0.0)
+    for start, model in zip(starts, found, strict=True):
+        centres, cost = plain_lloyd(x, start)
+        assert model.settled and model.centres == pytest.approx(centres) and model.cost == pytest.approx(cost)
+    assert len(passes) == max(m.rounds for m in found) + 1 and passes[0] == 4 and passes[-1] >= 1
+    assert found[3].centres[0].tolist() == [99.0] * 3  # never anyone's nearest
+    stopped = kmeans.lloyd(points, starts[:1], max_rounds=1, tolerance=0.0)[0]
+    assert not stopped.settled or stopped.rounds <= 1
+
+
+def test_a_sweep_takes_few_passes_and_its_costs_are_true(spark, monkeypatch):
+    rng = np.random.default_rng(7)
+    x = rng.normal(size=(400, 4)) + rng.integers(0, 5, (400, 1)) * 2
+    df = spark.createDataFrame(x.tolist(), "a double, b double, c double, d double")
+    passes = []
+    for name in ("_summed", "_drawn"):
+        inner = getattr(kmeans, name)
+        monkeypatch.setattr(kmeans, name, lambda *a, inner=inner: passes.append(1) or inner(*a))
+    found = kmeans.fit(df, ["a", "b", "c", "d"], range(1, 9), n_init=4)
+    assert len(passes) <= 60
+    for model in found.values():
+        assert model.cost == pytest.approx(((x[:, None] - model.centres) ** 2).sum(2).min(1).sum())
+        assert model.settled
+    assert found[1].cost == pytest.approx(((x - x.mean(0)) ** 2).sum()) and found[8].cost < found[2].cost
+    stated = df.agg(F.sum(personas.least_squares(["a", "b", "c", "d"], found[5].centres))).first()[0]
+    assert stated == pytest.approx(found[5].cost)
+
+
+def test_more_clusters_than_distinct_members(spark):
+    df = spark.createDataFrame([(1.0,), (1.0,), (4.0,), (None,)], "x double")
+    model = kmeans.fit(df, ["x"], [5], n_init=2)[5]
+    assert model.cost == 0 and len(model.centres) == 5
+    with pytest.raises(ValueError):
+        kmeans.fit(df.limit(0), ["x"], [2], n_init=1)
+
+
 def test_names(spark):
     df = spark.createDataFrame([("m", 0), ("n", 4), ("o", 9)], "vip_main_no string, persona int")
     assert [r.persona for r in personas.name_personas(df).orderBy("vip_main_no").collect()] == [

@@ -9,7 +9,7 @@ from __future__ import annotations
 import re
 
 from clientele.config import CUSTOMER_TAGS, ACTIVE_TAGS, PERSONA_NAMES
-from verify.queries import CENTROIDS, CUTS, FEATURES, SPECS
+from verify.queries import CENTROIDS, CUTS, FEATURES, SPECS, STARTS
 from verify.tables import VIEWS
 
 CTES: dict[str, str] = {name: view.sql() for name, view in VIEWS.items()}
@@ -443,10 +443,30 @@ oracle("nearest_centroid", "SELECT vip_main_no, CAST(arg_min(k, d) AS INT) AS pe
     f"SELECT vip_main_no, {i} AS k, " + " + ".join(f'("{c}" - {float(x)}::DOUBLE) * ("{c}" - {float(x)}::DOUBLE)' for c, x in zip(FEATURES, centre))
     + " AS d FROM filled" for i, centre in enumerate(CENTROIDS)) + ") GROUP BY vip_main_no")
 oracle("single_cluster_cost", "SELECT round(" + " + ".join(f'var_pop("{c}") * count("{c}")' for c in FEATURES) + ", 2) AS wcss FROM filled")
-oracle("kmeans_sweep", """SELECT CAST(k AS INT) AS k, round(CAST(varying * members AS DOUBLE), 2) AS wcss_of_one, true AS bounded
+oracle("kmeans_sweep", """SELECT CAST(k AS INT) AS k, round(CAST(varying * members AS DOUBLE), 2) AS wcss_of_one, true AS bounded,
+ true AS cost_agrees, true AS settled
  FROM range(1, 21) r(k) CROSS JOIN (SELECT count(*) AS members, """ + " + ".join(
     f'CASE WHEN stddev_pop("{c}") > 0 THEN 1 ELSE 0 END' for c in FEATURES) + " AS varying FROM filled)")
 oracle("kmeans_fit", "SELECT count(*) AS members, 0 AS away, true AS cost_agrees FROM filled")
+oracle("saved_model_scoring", "SELECT count(*) AS members, 0 AS differing, 0 AS away FROM filled")
+oracle("one_pass_moments", " UNION ALL ".join(
+    f"""SELECT '{c}' AS feature, round(avg(CASE WHEN "{c}" = 0 THEN 1.0::DOUBLE ELSE 0 END), 6) AS zero_share,
+ round(avg("{c}"), 6) AS mean, round(stddev_pop("{c}"), 6) AS std FROM filled""" for c in FEATURES))
+oracle("factor_weights", " UNION ALL ".join(f"""SELECT '{c}' AS feature, CASE WHEN stddev_pop("{c}") > 0 THEN 1.0::DOUBLE ELSE 0 END AS variance,
+ 0 AS gaps, true AS weighed FROM filled""" for c in FEATURES))
+
+# Rounds of k-means, each a block over the one before.
+CTES["scaled"] = ORACLES["standardize"].replace("round(CASE", "(CASE").replace("END, 6)", "END)")
+CTES["centres_0"] = " UNION ALL ".join(f"SELECT {k} AS k, {i} AS persona, " + ", ".join(f'{x}::DOUBLE AS "{c}"' for c, x in zip(FEATURES, STARTS[i]))
+                                       for k in (3, 5) for i in range(k))
+for step in range(5):
+    square = " + ".join(f'(s."{c}" - m."{c}") * (s."{c}" - m."{c}")' for c in FEATURES)
+    CTES[f"placed_{step}"] = f"""SELECT s.*, m.k, m.persona FROM scaled s CROSS JOIN centres_{step} m
+ QUALIFY row_number() OVER (PARTITION BY s.vip_main_no, m.k ORDER BY {square}, m.persona) = 1"""
+    CTES[f"centres_{step + 1}"] = "SELECT m.k, m.persona, " + ", ".join(f'coalesce(avg(p."{c}"), any_value(m."{c}")) AS "{c}"' for c in FEATURES) + f"""
+ FROM centres_{step} m LEFT JOIN placed_{step} p ON p.k = m.k AND p.persona = m.persona GROUP BY 1, 2"""
+oracle("kmeans_steps", " UNION ALL ".join(f"""SELECT k, persona, '{c}' AS feature, round("{c}", 6) AS centre,
+ (SELECT count(*) FROM placed_4 p WHERE p.k = m.k AND p.persona = m.persona) AS members FROM centres_4 m""" for c in FEATURES))
 oracle("feature_correlation", " UNION ALL ".join(
     f"""SELECT '{a}' AS feature, '{b}' AS other, round(CASE WHEN stddev_pop("{a}") > 0 AND stddev_pop("{b}") > 0
  THEN corr("{a}", "{b}") ELSE 0 END, 5) AS correlation FROM filled""" for i, a in enumerate(FEATURES) for b in FEATURES[i + 1:]))
@@ -478,6 +498,9 @@ LABELS = list(PERSONA_NAMES.values())
 oracle("persona_kpis", kpis("persona_lines", LABELS))
 KNOWN = "CASE WHEN {0} IS NULL OR {0} = 'N/A' THEN 'Unknown' ELSE {0} END"
 oracle("persona_category", money_pivot(KNOWN.format("item_subcat_desc_cleaned"), "persona_lines", LABELS, WINDOWED, "item_subcat_desc_cleaned"))
+oracle("persona_category_buyers", count_cells(KNOWN.format("maincat_desc_cleaned"), "vip_main_no", "persona_lines", LABELS, WINDOWED, "maincat_desc_cleaned"))
+oracle("persona_category_quantity", pivot(KNOWN.format("item_subcat_desc_cleaned"), "sum(sold_qty)", "persona_lines", LABELS, WINDOWED, "item_subcat_desc_cleaned"))
+oracle("persona_members", count_cells("'members'", "vip_main_no", "persona_lines", LABELS, name="measure"))
 CTES["persona_main"] = money_pivot(KNOWN.format("maincat_desc_cleaned"), "persona_lines", LABELS, WINDOWED, "maincat_desc_cleaned")
 oracle("column_share", "SELECT maincat_desc_cleaned, " + ", ".join(
     f'round("{n}" / (SELECT sum("{n}") FROM persona_main) * 100, 1) AS "{n}"' for n in LABELS) + " FROM persona_main")

@@ -6,7 +6,7 @@ import uuid
 from collections.abc import Callable
 from datetime import date
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from clientele.config import (
@@ -14,8 +14,9 @@ from clientele.config import (
 )
 from clientele.functions.labels import bucket, known_sex
 from clientele.operators import (
-    clean, clv, contacts, dimensions, features, mart, personas, reports, segments, trend,
+    clean, clv, contacts, dimensions, features, kmeans, mart, personas, reports, segments, trend,
 )
+from clientele.operators.moments import factors, moments
 from clientele.plans import mart as mart_plan
 from clientele.plans import segments as segment_plan
 from clientele.sources import io
@@ -42,6 +43,7 @@ SPECS = (
         "Others": ("Brand#4", "Brand#5", "Brand#6", "Brand#7")}),
 )
 FEATURES = [f"{n}{s.suffix}" for s in SPECS for n in s.groups]
+STARTS = [[(7 * i + 3 * j) % 25 / 10 - 1 for j in range(len(FEATURES))] for i in range(5)]
 CENTROIDS = [[(7 * i + 3 * j) % 25 for j in range(len(FEATURES))] for i in range(5)]
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -597,10 +599,15 @@ def _scaled(spark, d):
 
 @query
 def kmeans_sweep(spark, d):
-    """1 to 20 clusters, ten starts each; a fit has no SQL, but one cluster's cost has, and it bounds the others."""
-    costs = personas.kmeans_sweep(_scaled(spark, d), FEATURES)
-    one = F.max(F.when(F.col("k") == 1, F.col("wcss"))).over(Window.partitionBy())
-    return costs.select("k", F.round(one, 2).alias("wcss_of_one"), (F.col("wcss") <= one).alias("bounded"))
+    """1 to 20 clusters, ten starts each; every stated cost beside the sum of squares to the nearest centres."""
+    scaled = _scaled(spark, d)
+    models = kmeans.fit(scaled, FEATURES, range(1, 21), n_init=10)
+    sums = scaled.agg(*[F.sum(personas.least_squares(FEATURES, m.centres)).alias(str(k)) for k, m in models.items()])
+    one = models[1].cost
+    stated = [F.struct(F.lit(k).alias("k"), F.round(F.lit(one), 2).alias("wcss_of_one"), F.lit(m.cost <= one).alias("bounded"),
+                       (F.abs(F.col(f"`{k}`") - m.cost) <= 1e-9 * m.cost).alias("cost_agrees"), F.lit(m.settled).alias("settled"))
+              for k, m in models.items()]
+    return sums.select(F.inline(F.array(*stated)))
 
 
 @query
@@ -609,11 +616,53 @@ def kmeans_fit(spark, d):
     scaled = _scaled(spark, d)
     model = personas.kmeans_fit(scaled, FEATURES, k=5, n_init=5)
     placed = personas.kmeans_predict(scaled, FEATURES, model).join(
-        personas.distances(scaled, FEATURES, model.clusterCenters()), MEMBER)
+        personas.distances(scaled, FEATURES, model.centres), MEMBER)
     own = F.col("d")[F.col("persona")]
-    cost = model.summary.trainingCost
     return placed.agg(F.count(F.lit(1)).alias("members"), F.count_if(own > F.array_min("d") + 1e-6).alias("away"),
-                      (F.abs(F.sum(own) - cost) <= 1e-6 * cost).alias("cost_agrees"))
+                      (F.abs(F.sum(own) - model.cost) <= 1e-6 * model.cost).alias("cost_agrees"))
+
+
+@query
+def kmeans_steps(spark, d):
+    """Two models side by side, four rounds from given centres: where the centres are then, and whose they are."""
+    scaled = _scaled(spark, d)
+    models = kmeans.lloyd(scaled.select(FEATURES), [STARTS[:3], STARTS], max_rounds=4, tolerance=0.0)
+    rows = [(m.k, i, FEATURES[j], float(x)) for m in models for i, c in enumerate(m.centres) for j, x in enumerate(c)]
+    placed = None
+    for m in models:
+        part = personas.kmeans_predict(scaled, FEATURES, m).groupBy("persona").agg(F.count(F.lit(1)).alias("members")).withColumn("k", F.lit(m.k))
+        placed = part if placed is None else placed.unionByName(part)
+    centres = spark.createDataFrame(rows, "k int, persona int, feature string, centre double")
+    return centres.join(placed, ["k", "persona"], "left").select(
+        "k", "persona", "feature", F.round("centre", 6).alias("centre"), F.coalesce("members", F.lit(0)).alias("members"))
+
+
+@query
+def saved_model_scoring(spark, d):
+    """A model trained, stored, loaded and used: members, those placed otherwise than at once, and away from their nearest centre."""
+    base, table = _folder(spark), staged(_shares(spark, d).fillna(0))
+    seen = moments(table, FEATURES)
+    scaler = seen.scaler(table)
+    scaled = staged(features.standardize(table, FEATURES, scaler))
+    chosen = personas.ranked_features(seen.correlation, FEATURES)
+    trained = personas.kmeans_fit(scaled, chosen)
+    io.save_model(trained, scaler, chosen, f"{base}/model")
+    model, scale, cols, _ = io.load_model(spark, f"{base}/model")
+    again = features.standardize(table, cols, scale)
+    io.write_personas(personas.kmeans_predict(again, cols, model), f"{base}/scored")
+    at_once = personas.kmeans_predict(scaled, chosen, trained).withColumnRenamed("persona", "at_once")
+    own = F.col("d")[F.col("persona")]
+    return (spark.read.parquet(f"{base}/scored").join(at_once, MEMBER, "full").join(personas.distances(again, cols, model.centres), MEMBER, "left")
+            .agg(F.count(F.lit(1)).alias("members"), F.count_if(~F.col("persona").eqNullSafe(F.col("at_once"))).alias("differing"),
+                 F.count_if(own > F.array_min("d") + 1e-6).alias("away")))
+
+
+@query
+def one_pass_moments(spark, d):
+    """Zero shares, means and deviations of all features from the pass that also gives their correlations."""
+    seen = moments(_shares(spark, d), FEATURES)
+    rows = [(c, float(seen.zero_shares[c]), float(m), float(s)) for c, m, s in zip(FEATURES, seen.means, seen.deviations)]
+    return _rounded(spark.createDataFrame(rows, "feature string, zero_share double, mean double, std double"))
 
 
 @query
@@ -623,7 +672,20 @@ def feature_correlation(spark, d):
 
 @query
 def factor_weights(spark, d):
-    return personas.factor_weights(_scaled(spark, d), FEATURES)
+    """Per feature: explained and unexplained variance together, and the correlations that the factors do not give back.
+
+    With as many factors as features the likelihood is greatest where they give back every correlation.
+    """
+    scaled = _scaled(spark, d)
+    found = factors(moments(scaled, FEATURES).correlation, 10)
+    pairs = [(a, b, float(found.implied[i, j])) for i, a in enumerate(FEATURES) for j, b in enumerate(FEATURES) if i != j]
+    # Of standardised features the mean product is the correlation.
+    table = scaled.agg(*[F.avg(F.col(f"`{a}`") * F.col(f"`{b}`")).alias(f"{i}") for i, (a, b, _) in enumerate(pairs)])
+    gaps = table.select(F.inline(F.array(*[
+        F.struct(F.lit(a).alias("feature"), (F.abs(F.col(f"`{i}`") - x) > 1e-3).alias("gap")) for i, (a, _, x) in enumerate(pairs)])))
+    return (personas.factor_weights(scaled, FEATURES).join(gaps.groupBy("feature").agg(F.count_if("gap").alias("gaps")), "feature")
+            .select("feature", F.round(F.col("communality") + F.col("noise"), 6).alias("variance"), "gaps",
+                    (F.col("weight") * F.col("weight") + 1e-9 >= F.col("communality")).alias("weighed")))
 
 
 def _named(spark, d):
@@ -685,6 +747,25 @@ def persona_category(spark, d):
         "item_subcat_desc_cleaned", window=WINDOW, names=PERSONA_LABELS)
 
 
+@query
+def persona_category_buyers(spark, d):
+    return reports.category_pivot(
+        _report_lines(spark, d), contacts.persona_tags(_named(spark, d)),
+        "maincat_desc_cleaned", agg="buyers", window=WINDOW, names=PERSONA_LABELS)
+
+
+@query
+def persona_category_quantity(spark, d):
+    return reports.category_pivot(
+        _report_lines(spark, d), contacts.persona_tags(_named(spark, d)),
+        "item_subcat_desc_cleaned", "sold_qty", window=WINDOW, names=PERSONA_LABELS)
+
+
+@query
+def persona_members(spark, d):
+    return reports.members_bought(_report_lines(spark, d), contacts.persona_tags(_named(spark, d)), PERSONA_LABELS)
+
+
 @query
 def column_share(spark, d):
     table = reports.category_pivot(
