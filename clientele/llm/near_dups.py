@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from clientele.llm.common import column, packed, unpacked
+from clientele.llm.common import bit_map, column, packed, possible, row_key, unpacked, without
 from clientele.llm.graph import components
 from clientele.llm.hashing import mixed, shingles
 from clientele.sources.staging import staged
@@ -70,21 +70,20 @@ def signature(tokens: np.ndarray) -> tuple[int, int]:
 
 
 def sketch_texts(docs: DataFrame, shingle: int) -> DataFrame:
-    """From (id, text), per row: number of shingles, signature and minwise tokens."""
-    schema = pa.schema([("id", pa.int64()), ("n", pa.int64()), ("sig_a", pa.int64()), ("sig_b", pa.int64()),
-                        ("mins", pa.list_(pa.int32()))])
+    """From (id, h, text), per row: number of shingles, signature, minwise tokens and the lowest byte of each."""
+    kinds = [pa.int64(), pa.int64(), pa.int64(), pa.list_(pa.int32()), pa.binary()]
+    names = ["id", "h", "n", "sig_a", "sig_b", "mins", "low"]
 
     def sketched(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             rows = []
             for text in batch.column("text"):
                 tokens = shingles(text.as_py(), shingle)
-                rows.append((len(tokens), *signature(tokens), minwise(tokens) if len(tokens) else None))
-            n, sig_a, sig_b, mins = zip(*rows, strict=True) if rows else ((), (), (), ())
-            yield pa.RecordBatch.from_arrays(
-                [batch.column("id"), *[pa.array(x, t) for x, t in zip((n, sig_a, sig_b, mins), schema.types[1:], strict=True)]],
-                schema=schema)
-    return docs.mapInArrow(sketched, "id long, n long, sig_a long, sig_b long, mins array<int>")
+                mins = minwise(tokens) if len(tokens) else None
+                rows.append((len(tokens), *signature(tokens), mins, None if mins is None else mins.astype(np.uint8).tobytes()))
+            made = [pa.array([r[i] for r in rows], t) for i, t in enumerate(kinds)]
+            yield pa.RecordBatch.from_arrays([batch.column("id"), batch.column("h"), *made], names)
+    return docs.mapInArrow(sketched, "id long, h long, n long, sig_a long, sig_b long, mins array<int>, low binary")
 
 
 def token_sets(texts: DataFrame, shingle: int) -> DataFrame:
@@ -166,7 +165,7 @@ def _screen(similarity: float):
 
     def plausible(rows: pd.DataFrame) -> np.ndarray:
         # A byte of each token will do: tokens that only seem equal let more through.
-        sketches = np.vstack(rows["mins"].to_list()).astype(np.uint8)
+        sketches = np.frombuffer(b"".join(rows["low"]), np.uint8).reshape(len(rows), -1)
         sizes, group, found = rows["n"].to_numpy(), rows["component"].to_numpy(), np.zeros(len(rows), bool)
         for i in range(len(rows) - 1):
             rest = slice(i + 1, None)
@@ -186,7 +185,7 @@ def _screen(similarity: float):
 def classes_of(sketches: DataFrame) -> DataFrame:
     """One row per distinct set: a number, its smallest document, size and minwise tokens."""
     return (sketches.filter((F.col("n") > 0) & F.col("id").isNotNull()).groupBy("n", "sig_a", "sig_b")
-            .agg(F.min("id").alias("id"), F.first("mins").alias("mins"))
+            .agg(F.min("id").alias("id"), F.first("mins").alias("mins"), F.first("low").alias("low"))
             .withColumn("cid", F.monotonically_increasing_id()))
 
 
@@ -217,10 +216,12 @@ class _Join:
         units = staged(units)
         weight = units.agg(F.coalesce(F.sum(F.ceil(F.col("n") / TOKENS)), F.lit(0))).first()[0]
         bucket = F.pmod(F.xxhash64("node", "block"), F.lit(1 + int(weight) // (3 * NODE)))
-        chosen = staged(units.join(self.classes.select("cid", "mins"), "cid").groupBy(bucket).applyInPandas(
+        chosen = staged(units.join(self.classes.select("cid", "low"), "cid").groupBy(bucket).applyInPandas(
             _screen(self.ratio[0] / self.ratio[1]), "node long, block string, cid long, n long, component long"))
-        wanted = chosen.select("cid").distinct().join(self.classes.select("cid", "id", "sig_a", "sig_b"), "cid")
-        full = token_sets(self.texts.join(wanted, "id"), self.shingle)
+        wanted = staged(chosen.select("cid").distinct().join(self.classes.select("cid", "id", "sig_a", "sig_b"), "cid"))
+        key = F.struct("id")
+        texts = possible(self.texts, key, staged(bit_map(wanted.select(key.alias("key"))))).filter("possible").drop("possible")
+        full = token_sets(texts.join(wanted, "id"), self.shingle)
         found = staged(chosen.join(full, "cid").groupBy(bucket).applyInPandas(_connect(*self.ratio), "u long, v long"))
         self.links = found if self.links is None else self.links.unionByName(found)
         self.component = staged(components(self.links).select(F.col("id").alias("cid"), "component"))
@@ -274,8 +275,14 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, numerator: int = 4, denom
     their own id, and they are kept. Ids should be unique: each row that repeats one is
     judged by its own text. Other columns are ignored; an empty table gives an empty result.
     """
+    return _verdicts(docs, shingle, numerator, denominator, id_col, text_col, miss).drop("h")
+
+
+def _verdicts(docs: DataFrame, shingle: int, numerator: int, denominator: int, id_col: str, text_col: str,
+              miss: float = MISS) -> DataFrame:
+    """``near_duplicates`` with the hash of each row's text."""
     texts = docs.select(column(docs, id_col).cast("long").alias("id"), column(docs, text_col).alias("text"))
-    sketches = staged(sketch_texts(texts, shingle))
+    sketches = staged(sketch_texts(texts.select("id", F.xxhash64("text").alias("h"), "text"), shingle))
     classes = staged(classes_of(sketches))
     found = similar_classes(texts, classes, shingle, (numerator, denominator), miss)
     least = classes.select("n", "sig_a", "sig_b", "cid", F.col("id").alias("least"))
@@ -283,16 +290,27 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, numerator: int = 4, denom
         named = least.join(found, "cid", "left").withColumn("component", F.coalesce("component", "cid"))
         lowest = named.groupBy("component").agg(F.min("least").alias("least"))
         least = named.drop("least").join(lowest, "component")
-    verdict = sketches.drop("mins").join(least.select("n", "sig_a", "sig_b", "least"), ["n", "sig_a", "sig_b"], "left")
+    verdict = sketches.drop("mins", "low").join(least.select("n", "sig_a", "sig_b", "least"), ["n", "sig_a", "sig_b"], "left")
     component = F.when(F.col("id").isNotNull(), F.coalesce("least", "id"))
-    return verdict.select(F.col("id").alias("doc_id"), F.col("n").alias("n_shingles"), component.alias("component_id"),
+    return verdict.select(F.col("id").alias("doc_id"), "h", F.col("n").alias("n_shingles"), component.alias("component_id"),
                           F.coalesce(component == F.col("id"), F.lit(True)).alias("kept"))
 
 
 def keep_one_of_each(docs: DataFrame, shingle: int = 5, numerator: int = 4, denominator: int = 5,
                      id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``docs`` without the near duplicates of a smaller id; all columns as they were."""
-    verdicts = near_duplicates(docs, shingle, numerator, denominator, id_col, text_col)
-    gone = staged(verdicts.filter(~F.col("kept")).select(F.col("doc_id").alias("gone")).distinct())
-    rows = packed(docs, column(docs, id_col).cast("long").alias("id"))
-    return unpacked(rows.join(gone, F.col("id") == F.col("gone"), "left_anti"), docs.columns)
+    """``docs`` without the near duplicates of a smaller id; all columns as they were.
+
+    A row goes by its id and text, so a text of its own under a repeated id stays. Of rows
+    that are equal in both one stays, those without an id or a word all do.
+    """
+    verdicts = staged(_verdicts(docs, shingle, numerator, denominator, id_col, text_col))
+    key = F.struct(F.col("doc_id").cast(dict(docs.dtypes)[id_col]).alias("id"), "h").alias("key")
+    known = verdicts.filter((F.col("n_shingles") > 0) & F.col("doc_id").isNotNull())
+    gone = known.filter(~F.col("kept")).select(key)
+    twice = staged(known.filter("kept").groupBy(key).count().filter("count > 1").select("key"))
+    kept = without(docs, staged(gone.union(twice).distinct()), id_col, text_col)
+    if twice.isEmpty():
+        return kept
+    again = packed(docs, row_key(docs, id_col, text_col).alias("key")).join(twice, "key", "left_semi")
+    one = F.first("row").alias("row")
+    return kept.unionByName(unpacked(again.groupBy("key").agg(one), docs.columns))

@@ -15,7 +15,8 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from clientele.llm.common import SPACE_CHARS, column, row_key, without, words
+from clientele.llm.common import SPACE_CHARS, column, row_key, unpacked, words
+from clientele.operators.skew import lookup_join
 from clientele.sources.staging import staged
 
 # Characters that count as symbols, and the base rule.
@@ -64,19 +65,21 @@ def _repeated(grams: Column) -> Column:
 
 
 def text_stats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
-               lang_col: str = "lang", source_col: str = "source") -> DataFrame:
-    """Counts and rates of every whole text, with key, id, lang and source.
+               lang_col: str = "lang", source_col: str = "source", whole_rows: bool = False) -> DataFrame:
+    """Counts and rates of every whole text, with key, id, lang and source, and the rows themselves if asked for.
 
     NULL and empty texts have no words and rates of 0.
     """
     text = F.coalesce(column(docs, text_col), F.lit(""))
-    base = docs.select(row_key(docs, id_col, text_col).alias("key"), column(docs, id_col).alias("doc_id"),
+    rows = [F.struct(*[column(docs, c) for c in docs.columns]).alias("row")] if whole_rows else []
+    base = docs.select(*rows, row_key(docs, id_col, text_col).alias("key"), column(docs, id_col).alias("doc_id"),
                        column(docs, lang_col).alias("lang"), column(docs, source_col).alias("source"),
                        text.alias("text"), words(text).alias("words"))
     n = F.size("words")
     gram = lambda i: F.xxhash64(*[F.col("words")[i + j] for j in range(GRAM)])
+    carried = ["row"] if whole_rows else []
     kept = base.select(
-        "key", "doc_id", "lang", "source", n.cast("long").alias("n_words"),
+        *carried, "key", "doc_id", "lang", "source", n.cast("long").alias("n_words"),
         F.length(F.array_join("words", "")).cast("long").alias("word_chars"),
         (F.length("text") - F.length(F.regexp_replace("text", SYMBOLS, ""))).cast("long").alias("n_symbols"),
         F.length(F.regexp_replace("text", "[^A-Z]+", "")).cast("long").alias("n_upper"),
@@ -84,7 +87,7 @@ def text_stats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
         F.when(n >= GRAM, F.transform(F.sequence(F.lit(0), n - GRAM), gram))
         .otherwise(F.array().cast("array<bigint>")).alias("grams"))
     stats = kept.select(
-        "key", "doc_id", "lang", "source", "n_words", "word_chars", "n_symbols", "n_upper",
+        *carried, "key", "doc_id", "lang", "source", "n_words", "word_chars", "n_symbols", "n_upper",
         F.size("lines").cast("long").alias("n_lines"),
         (F.size("lines") - F.size(F.array_distinct("lines"))).cast("long").alias("n_dup_lines"),
         F.when(F.size(F.array_distinct("grams")) < F.size("grams"), _repeated(F.col("grams")))
@@ -166,18 +169,22 @@ def quality_verdicts(docs: DataFrame, fence: int = FENCE, min_docs: int = MIN_DO
     group of its own; rows equal in id and text get equal verdicts; other columns are
     ignored. An empty table gives an empty result.
     """
-    stats = staged(text_stats(docs, **columns))
-    cuts = staged(thresholds(sketch(stats), fence, min_docs)).withColumnsRenamed(
-        {"lang": "cut_lang", "source": "cut_source"})
+    return _judged(staged(text_stats(docs, **columns)), fence, min_docs)
+
+
+def _judged(stats: DataFrame, fence: int, min_docs: int) -> DataFrame:
+    """``stats`` with ``kept``; each row meets the thresholds of its group, no rows meet each other."""
+    group = F.struct("lang", "source").alias("group")
+    cuts = thresholds(sketch(stats), fence, min_docs).select(
+        group, *[f"{r.name}_{side}" for r in RATES for side in ("low", "high")])
     inside = ~F.col("base_failed")
     for r in RATES:
         inside &= F.col(r.name).between(F.col(f"{r.name}_low"), F.col(f"{r.name}_high"))
-    return (stats.join(cuts, F.col("lang").eqNullSafe(F.col("cut_lang"))
-                       & F.col("source").eqNullSafe(F.col("cut_source")), "left")
+    return (lookup_join(stats.withColumn("group", group), cuts, "group", profile=stats.select(group))
             .withColumn("kept", F.coalesce(inside, F.lit(False))).select(*stats.columns, "kept"))
 
 
-def keep_good(docs: DataFrame, **options) -> DataFrame:
+def keep_good(docs: DataFrame, fence: int = FENCE, min_docs: int = MIN_DOCS, **columns: str) -> DataFrame:
     """``docs`` without the documents that the rules reject; all columns as they were."""
-    rejected = quality_verdicts(docs, **options).filter(~F.col("kept")).select("key").distinct()
-    return without(docs, staged(rejected))
+    judged = _judged(staged(text_stats(docs, whole_rows=True, **columns)), fence, min_docs)
+    return unpacked(judged.filter("kept").select("row"), docs.columns)

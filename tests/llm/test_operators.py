@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 import corpus_pipeline
 from clientele.llm import (
-    chat, graph, hashing, licenses, lines, mixing, near_dups, quality, reputation, rules, secrets, winnowing,
+    chat, common, graph, hashing, licenses, lines, mixing, near_dups, quality, reputation, rules, secrets, winnowing,
 )
 
 ODD = [(1, None, None, None), (2, "", "en", None), (None, "a lone text without an id", "en", "s"),
@@ -75,10 +75,28 @@ def test_one_of_each_group_stays_with_all_its_columns(make):
     kept = near_dups.keep_one_of_each(docs)
     assert kept.columns == docs.columns
     assert sorted(r.doc_id for r in kept.filter("doc_id > 3").collect()) == [4]
-    assert kept.filter("doc_id is null").count() == 1 and kept.filter("doc_id = 3").count() == 2
+    assert kept.filter("doc_id is null").count() == 1 and kept.filter("doc_id = 3").count() == 1
     assert near_dups.keep_one_of_each(docs.limit(0)).count() == 0
 
 
+def test_rows_that_repeat_an_id_go_by_their_own_text(make):
+    a, b = prose(random.Random(6), 40), prose(random.Random(7), 40)
+    kept = near_dups.keep_one_of_each(make([(3, b), (5, a), (5, b), (3, b), (8, None), (8, None)]))
+    assert sorted((r.doc_id, r.text) for r in kept.filter("doc_id < 8").collect()) == [(3, b), (5, a)]
+    assert kept.filter("doc_id = 8").count() == 2
+
+
+@pytest.mark.parametrize("bits", [6, 24])
+def test_bit_maps_lose_no_key(make, monkeypatch, bits):
+    monkeypatch.setattr(common, "MAP_BITS", bits)
+    docs = make([(i, f"text {i}") for i in range(300)] + ODD)
+    gone = docs.filter("doc_id % 7 = 0 or doc_id is null").select(common.row_key(docs).alias("key"))
+    left = common.without(docs, gone)
+    assert left.columns == docs.columns
+    assert sorted(r.doc_id for r in left.collect()) == sorted([i for i in range(300) if i % 7] + [1, 2, 3, 3])
+    assert common.without(docs, gone.limit(0)).count() == docs.count()
+
+
 def test_trees_follow_the_recall_asked_for():
     assert near_dups.trees_for(.85, 1e-6) < near_dups.trees_for(.85, 1e-9)
     assert near_dups.least_agreement(.85) < .85 * near_dups.SKETCH
