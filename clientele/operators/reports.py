@@ -21,6 +21,7 @@ from clientele.functions.labels import (
     age_label, known_category, known_sex, one_of, tenure_band,
 )
 from clientele.operators.skew import spread_join
+from clientele.sources.staging import staged_counted
 
 TAG = "customer_tag"
 
@@ -144,25 +145,16 @@ def attribute_conflicts(df: DataFrame, key: str, attribute: Column) -> DataFrame
 
 # -- sales reports ----------------------------------------------------------------
 
-def order_counts(tx: DataFrame, tags: DataFrame) -> DataFrame:
-    """Distinct invoices per tag; the one report that meets tags invoice by invoice."""
-    orders = tx.select(MEMBER, "invoice_no").filter(F.col("invoice_no").isNotNull()).distinct()
-    return (spread_join(orders, member_tags(tags), MEMBER, "inner")
-            .groupBy(TAG).agg(F.countDistinct("invoice_no").alias("orders")))
-
-
 def sales_kpis(tx: DataFrame, tags: DataFrame, window: tuple[date, date] | None = None,
                names: Iterable[str] = ACTIVE_TAGS) -> DataFrame:
-    """Amount, quantity and orders (rows) by tag (columns)."""
-    tx = in_window(tx, window)
-    per_member = tx.groupBy(MEMBER).agg(F.sum("net_amt_hkd").alias("amount"),
-                                        F.sum("sold_qty").alias("quantity"))
-    sums = (_attach(per_member, tags).groupBy(TAG)
-            .agg(*[F.sum(c).cast("double").alias(c) for c in ("amount", "quantity")])
-            .unpivot(TAG, ["amount", "quantity"], "kpi", "value"))
-    orders = (order_counts(tx, tags)
-              .select(TAG, F.lit("orders").alias("kpi"), F.col("orders").cast("double").alias("value")))
-    return sums.unionByName(orders).groupBy("kpi").pivot(TAG, list(names)).agg(F.sum("value"))
+    """Amount, quantity and orders (rows) by tag (columns), from one reduction by member and invoice."""
+    orders, rows = staged_counted(in_window(tx, window).groupBy(MEMBER, "invoice_no").agg(
+        F.sum("net_amt_hkd").alias("amount"), F.sum("sold_qty").alias("quantity")))
+    kpis = (spread_join(orders, member_tags(tags), MEMBER, "inner", rows=rows).groupBy(TAG)
+            .agg(F.sum("amount").cast("double").alias("amount"), F.sum("quantity").cast("double").alias("quantity"),
+                 F.nullif(F.countDistinct("invoice_no"), F.lit(0)).cast("double").alias("orders")))
+    return (kpis.unpivot(TAG, ["amount", "quantity", "orders"], "kpi", "value")
+            .groupBy("kpi").pivot(TAG, list(names)).agg(F.sum("value")))
 
 
 def visits(tx: DataFrame, tags: DataFrame, window: tuple[date, date] | None = None,

@@ -1,25 +1,31 @@
 """Joins that stay balanced when one key holds a large part of the rows.
 
 A shuffle join sends every row of a key to one task. Here the heavy keys are
-found by an exact count and split into pieces of at most a task's budget of rows;
+found by mergeable summaries, counted exactly and split into pieces of at most a task's budget of rows;
 only the matching rows of the other side are repeated. Results do not depend on
 which keys are split.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from functools import reduce
 
-from pyspark.sql import DataFrame, Observation
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from clientele.sources.staging import staged_counted
+from clientele.sources.staging import staged, staged_counted
 
 # Rows of one key that a task may get.
 TASK_ROWS = 1_000_000
 # The budget grows to 1/HEAVY_KEYS of all rows, so fewer keys than that are heavy
 # whatever the data, and their list can be broadcast: 5 million rows a task at 10^12.
 HEAVY_KEYS = 200_000
+# Keys that a task's summary holds, and those of them it sends.
+SUMMARY = 1 << 18
+SENT = 1 << 11
 # Pieces of the rows without a key.
 NULL_PIECES = 1 << 20
 # Largest lookup that is sent whole to every executor.
@@ -32,21 +38,57 @@ def _any_null(on: list[str]):
     return reduce(lambda a, b: a | b, [F.col(k).isNull() for k in on])
 
 
+def _summaries(hashes: DataFrame) -> DataFrame:
+    """Misra-Gries summaries of a column ``h``, one a task: (h, n), and (NULL, n) with what the task may have lost of a key.
+
+    A task counts its batches exactly and adds them up; beyond ``SUMMARY`` keys all counters lose the largest
+    one that has no room, and at the end it sends its ``SENT`` largest. Summaries add up, and so do their losses.
+    """
+    def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        keys, counts, lost = np.empty(0, np.int64), np.empty(0, np.int64), 0
+
+        def largest(n: int) -> int:
+            return int(np.partition(counts, len(counts) - n - 1)[len(counts) - n - 1]) if len(counts) > n else 0
+        for batch in batches:
+            more, times = np.unique(batch.column("h").to_numpy(zero_copy_only=False), return_counts=True)
+            keys, place = np.unique(np.concatenate((keys, more)), return_inverse=True)
+            counts = np.bincount(place, np.concatenate((counts, times)), len(keys)).astype(np.int64)
+            if cut := largest(SUMMARY):
+                lost, counts = lost + cut, counts - cut
+                keys, counts = keys[counts > 0], counts[counts > 0]
+        cut = largest(SENT)
+        sent = counts > cut
+        yield pa.RecordBatch.from_arrays([pa.array([*keys[sent].tolist(), None], pa.int64()), pa.array([*counts[sent].tolist(), lost + cut], pa.int64())],
+                                         names=["h", "n"])
+    return hashes.mapInArrow(counted, "h long, n long")
+
+
 def heavy_keys(df: DataFrame, on: list[str], task_rows: int | None = None) -> DataFrame | None:
     """Keys with more rows than a task should get, and into how many pieces they go.
 
-    One counting job writes the list, and sums up all rows on the way. NULL keys are not
-    listed; ``None`` if no key is heavy.
+    A count of the rows comes first: too few for any heavy key end the search. Else one pass makes summaries
+    whose counters are too small by no more than their losses, which names the few keys that can be heavy; only
+    these are counted exactly. Keys are never grouped as a whole. NULL keys are not listed; ``None`` if no key is heavy.
     """
     task_rows = TASK_ROWS if task_rows is None else task_rows
-    seen = Observation()
-    counts = (df.filter(~_any_null(on)).groupBy(*on).agg(F.count(F.lit(1)).alias(_ROWS))
-              .observe(seen, F.sum(_ROWS).alias("total")).filter(F.col(_ROWS) > task_rows))
-    found, keys = staged_counted(counts)
+    known = df.filter(~_any_null(on)).select(*on)
+    total = known.count()
+    budget = max(task_rows, total // HEAVY_KEYS)
+    if total <= budget:
+        return None
+    summed = staged(_summaries(known.select(F.xxhash64(*on).alias("h"))).groupBy("h").agg(F.sum("n").alias("n")))
+    lost = summed.filter(F.col("h").isNull()).first()["n"]
+    # Losses as large as the budget make every key of the summaries and beyond possible: then all are counted.
+    possible = known
+    if lost < budget:
+        named, n = staged_counted(summed.filter(F.col("h").isNotNull() & (F.col("n") > budget - lost - 1)).select("h"))
+        if not n:
+            return None
+        possible = known.withColumn("h", F.xxhash64(*on)).join(F.broadcast(named), "h", "left_semi")
+    found, keys = staged_counted(possible.groupBy(*on).agg(F.count(F.lit(1)).alias(_ROWS)).filter(F.col(_ROWS) > budget))
     if not keys:
         return None
-    budget = max(task_rows, seen.get["total"] // HEAVY_KEYS)
-    return found.filter(F.col(_ROWS) > budget).select(*on, F.ceil(F.col(_ROWS) / budget).cast("int").alias(_PIECES))
+    return found.select(*on, F.ceil(F.col(_ROWS) / budget).cast("int").alias(_PIECES))
 
 
 def spread_join(facts: DataFrame, dims: DataFrame, on: list[str] | str, how: str = "left",

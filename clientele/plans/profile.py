@@ -1,13 +1,50 @@
-"""The report tables of a segmentation run."""
+"""The report tables of a segmentation run, all from one pass over the sales."""
 
 from __future__ import annotations
 
 from datetime import date
 
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
-from clientele.config import CUSTOMER_TAGS, NATIONALITIES
+from clientele.config import CUSTOMER_TAGS, MEMBER, NATIONALITIES
+from clientele.functions.dates import yyyymm
+from clientele.functions.labels import known_category, known_sex, one_of
 from clientele.operators import reports, segments
+from clientele.sources.staging import staged
+
+# What sales are reduced to, per member: nothing more, or each value of these columns.
+SLICES = {"member": (), "category": ("category",), "store": ("shop_desc",), "month": ("month",),
+          "visit": ("day", "shop_code"), "order": ("invoice_no",)}
+
+
+def report_cells(tx: DataFrame, window: tuple[date, date], category: str = "item_product_line_desc",
+                 nationalities=NATIONALITIES, age: str = "max") -> DataFrame:
+    """Sales reduced to all slices at once: one read and one shuffle of partial sums for all reports.
+
+    ``slice`` names the reduction; ``lines`` counts a cell's lines in the window, and amount and quantity are of these.
+    Attributes are reduced over all dates.
+    """
+    inside = F.col("order_date").between(*map(F.lit, window))
+    lines = tx.select(
+        MEMBER, known_category(F.col(category)).alias("category"), "shop_desc", yyyymm(F.col("order_date")).alias("month"),
+        F.col("order_date").alias("day"), "shop_code", "invoice_no", inside.alias("inside"), F.col("order_date").alias("any_day"),
+        known_sex(F.col("customer_sex")).alias("sex"), one_of(F.col("cust_nat_cat"), nationalities).alias("nation"),
+        "region_key", "customer_age_group", "net_amt_hkd", "sold_qty")
+    by = [MEMBER, *dict.fromkeys(c for cols in SLICES.values() for c in cols)]
+    sets = [[MEMBER, *cols] for cols in SLICES.values()]
+    # A grouping id has a bit for each column of ``by`` that a slice leaves out.
+    ids = {name: sum(1 << (len(by) - 1 - i) for i, c in enumerate(by) if c not in (MEMBER, *cols)) for name, cols in SLICES.items()}
+    pick = {"max": F.max, "min": F.min}[age]
+    cells = lines.groupingSets([[F.col(c) for c in s] for s in sets], *[F.col(c) for c in by]).agg(
+        F.grouping_id().alias("id"), F.min("any_day").alias("order_date"), F.min("sex").alias("customer_sex"),
+        F.min("nation").alias("cust_nat_cat"), F.min("region_key").alias("region_key"), pick("customer_age_group").alias("customer_age_group"),
+        F.count_if("inside").alias("lines"), F.sum(F.when(F.col("inside"), F.col("net_amt_hkd"))).alias("net_amt_hkd"),
+        F.sum(F.when(F.col("inside"), F.col("sold_qty"))).alias("sold_qty"))
+    named = F.lit(None).cast("string")
+    for name, number in ids.items():
+        named = F.when(F.col("id") == number, name).otherwise(named)
+    return cells.withColumn("slice", named).drop("id")
 
 
 def segment_reports(tx: DataFrame, tags: DataFrame, tags_last_year: DataFrame,
@@ -15,23 +52,27 @@ def segment_reports(tx: DataFrame, tags: DataFrame, tags_last_year: DataFrame,
                     nationalities=NATIONALITIES, age: str = "max") -> dict[str, DataFrame]:
     """Named report tables.
 
-    Pass stored ``tx`` and ``tags`` (a written mart, a written or staged
-    segmentation): each table is its own Spark query over them.
+    The sales are read once: their cells are stored, and each report reads its slice of them. Pass stored
+    ``tags`` (a written or staged segmentation), which the reports read one by one.
     """
-    args = (tx, tags)
+    cells = staged(report_cells(tx, window, category, nationalities, age))
+    every = {name: cells.filter(F.col("slice") == name) for name in SLICES}
+    sold = {name: rows.filter("lines > 0") for name, rows in every.items()}
+    people = (every["member"], tags)
+    categories = (sold["category"].withColumnRenamed("category", category), tags, category)
     return {
         "migration": segments.migration_matrix(segments.compare_years(tags, tags_last_year)),
         "tag_counts": reports.tag_counts(tags),
-        "gender": reports.gender_profile(*args),
+        "gender": reports.gender_profile(*people),
         "tenure": reports.tenure_profile(tags),
-        "nationality": reports.nationality_profile(*args, nationalities),
-        "region": reports.region_profile(*args),
-        "age": reports.age_profile(*args, age),
-        "kpis": reports.sales_kpis(*args, window),
-        "visits": reports.visits(*args, window),
-        "category_amount": reports.category_pivot(*args, category, "net_amt_hkd", "sum", window),
-        "category_quantity": reports.category_pivot(*args, category, "sold_qty", "sum", window),
-        "category_buyers": reports.category_pivot(*args, category, agg="buyers", window=window),
-        "stores": reports.store_penetration(*args, window, CUSTOMER_TAGS),
-        "months": reports.month_penetration(*args),
+        "nationality": reports.nationality_profile(*people, nationalities),
+        "region": reports.region_profile(*people),
+        "age": reports.age_profile(*people, age),
+        "kpis": reports.sales_kpis(sold["order"], tags),
+        "visits": reports.visits(sold["visit"].withColumn("order_date", F.col("day")), tags),
+        "category_amount": reports.category_pivot(*categories, "net_amt_hkd", "sum"),
+        "category_quantity": reports.category_pivot(*categories, "sold_qty", "sum"),
+        "category_buyers": reports.category_pivot(*categories, agg="buyers"),
+        "stores": reports.store_penetration(sold["store"], tags, None, CUSTOMER_TAGS),
+        "months": reports.month_penetration(every["month"], tags),
     }

@@ -381,6 +381,25 @@ oracle("category_buyers", f"""SELECT {SUB} AS item_subcat_desc, customer_tag, co
  FROM tagged_item WHERE {WINDOWED} GROUP BY 1, 2""")
 oracle("store_penetration", count_cells("shop_desc", "vip_main_no", "tagged_shop", where=WINDOWED))
 oracle("month_penetration", count_cells("strftime(order_date, '%Y%m')", "vip_main_no", "tagged", name="yyyymm"))
+def unpivoted(report: str, sql: str, label: str, tags=CUSTOMER_TAGS) -> str:
+    return " UNION ALL ".join(f"""SELECT '{report}' AS report, CAST({label} AS VARCHAR) AS label, '{t}' AS tag,
+ CAST("{t}" AS DOUBLE) AS value FROM ({sql})""" for t in tags)
+
+
+_QUANTITY = pivot(LINE, "sum(sold_qty)", "tagged_item", where=WINDOWED, name="item_product_line_desc")
+oracle("segment_reports", " UNION ALL ".join([
+    *[unpivoted(report, ORACLES[name], label) for report, name, label in (
+        ("gender", "gender_profile", "sex"), ("nationality", "nationality_profile", "nationality"), ("region", "region_profile", "region_key"),
+        ("age", "age_profile", "age"), ("category_amount", "category_pivot", "item_product_line_desc"),
+        ("category_buyers", "category_buyers_pivot", "item_product_line_desc"), ("stores", "store_penetration", "shop_desc"),
+        ("months", "month_penetration", "yyyymm"))],
+    unpivoted("category_quantity", _QUANTITY, "item_product_line_desc"),
+    unpivoted("kpis", ORACLES["sales_kpis"], "kpi", ACTIVE_TAGS), unpivoted("visits", ORACLES["visits"], "measure", ACTIVE_TAGS)]))
+oracle("buyer_bitmaps", " UNION ALL ".join(f"""SELECT '{dimension}' AS dimension, {label} AS label, customer_tag, count(DISTINCT vip_main_no) AS members
+ FROM {source} WHERE {where} AND order_date IS NOT NULL GROUP BY 1, 2, 3""" for dimension, label, source, where in (
+    ("month", "strftime(order_date, '%Y%m')", "tagged", "TRUE"),
+    ("quarter", "strftime(order_date, '%Y') || 'Q' || CAST(quarter(order_date) AS VARCHAR)", "tagged", "TRUE"),
+    ("store", "shop_desc", "tagged_shop", WINDOWED), ("category", LINE, "tagged_item", WINDOWED))))
 oracle("attribute_conflicts", """SELECT vip_main_no, count(DISTINCT coalesce(customer_sex, 'C')) AS n_values
  FROM tx GROUP BY vip_main_no HAVING count(DISTINCT coalesce(customer_sex, 'C')) > 1""")
 oracle("distinct_values", "SELECT DISTINCT item_product_line_desc FROM tx_item")

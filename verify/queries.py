@@ -14,10 +14,12 @@ from clientele.config import (
 )
 from clientele.functions.labels import bucket, known_sex
 from clientele.operators import (
-    clean, clv, contacts, dimensions, features, kmeans, mart, personas, reports, segments, trend,
+    clean, clv, contacts, dimensions, features, kmeans, mart, personas, presence, reports, segments,
+    trend,
 )
 from clientele.operators.moments import factors, moments
 from clientele.plans import mart as mart_plan
+from clientele.plans import profile
 from clientele.plans import segments as segment_plan
 from clientele.sources import io
 from clientele.sources.staging import staged, staging_folder
@@ -46,6 +48,10 @@ FEATURES = [f"{n}{s.suffix}" for s in SPECS for n in s.groups]
 STARTS = [[(7 * i + 3 * j) % 25 / 10 - 1 for j in range(len(FEATURES))] for i in range(5)]
 CENTROIDS = [[(7 * i + 3 * j) % 25 for j in range(len(FEATURES))] for i in range(5)]
 
+# Reports of the job that read sales.
+REPORTS = ("gender", "nationality", "region", "age", "kpis", "visits", "category_amount", "category_quantity", "category_buyers",
+           "stores", "months")
+
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
 
@@ -481,6 +487,36 @@ def month_penetration(spark, d):
     return reports.month_penetration(_tx(spark, d), _tags(spark, d))
 
 
+@query
+def segment_reports(spark, d):
+    """The report job: all tables that come from the sales, cell by cell, from one read of them."""
+    tags = _tags(spark, d)
+    found = profile.segment_reports(_tx(spark, d, view=tables.TX_ALL), tags, tags, WINDOW)
+    out = None
+    for name in REPORTS:
+        table = found[name]
+        label, *names = table.columns
+        cells = F.array(*[F.struct(F.lit(n).alias("tag"), F.col(f"`{n}`").cast("double").alias("value")) for n in names])
+        part = table.select(F.lit(name).alias("report"), F.col(label).cast("string").alias("label"), F.inline(cells))
+        out = part if out is None else out.unionByName(part)
+    return out
+
+
+@query
+def buyer_bitmaps(spark, d):
+    """Members by month, quarter, store and product line, all from one table of bitmaps."""
+    cells = staged(profile.report_cells(_tx(spark, d, view=tables.TX_ALL), WINDOW))
+    kind = F.col("slice")
+    value = F.when(kind == "month", F.col("month")).when(kind == "store", F.col("shop_desc")).otherwise(F.col("category"))
+    rows = (cells.filter((kind == "month") | (kind.isin("store", "category") & (F.col("lines") > 0)))
+            .select("vip_main_no", kind.alias("dimension"), value.alias("label")))
+    bitmaps = staged(presence.presence(rows, presence.numbered(_tags(spark, d)), ["dimension", "label"]))
+    own = presence.distinct_members(bitmaps, {"dimension": F.col("dimension"), "label": F.col("label")})
+    quarter = F.concat(F.substring("label", 1, 4), F.lit("Q"), F.ceil(F.substring("label", 5, 2).cast("int") / 3).cast("string"))
+    quarters = presence.distinct_members(bitmaps.filter("dimension = 'month'"), {"dimension": F.lit("quarter"), "label": quarter})
+    return own.unionByName(quarters)
+
+
 @query
 def attribute_conflicts(spark, d):
     return reports.attribute_conflicts(_tx(spark, d), MEMBER, known_sex(F.col("customer_sex")))

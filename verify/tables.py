@@ -181,6 +181,8 @@ TX = View(_TX, "lineitem", LINE_JOIN)
 TX_ITEM = View({**_TX, **_ITEM}, "lineitem", LINE_JOIN + _PART_JOIN)
 TX_SHOP = View({**_TX, **_SHOP}, "lineitem", LINE_JOIN + _SHOP_JOIN)
 
+TX_ALL = View({**_TX, **_ITEM, **_SHOP}, "lineitem", LINE_JOIN + _PART_JOIN + _SHOP_JOIN)
+
 PERSONAS = View({
     "vip_main_no": "CAST(c_custkey AS STRING)",
     "persona": "CAST(c_custkey % 6 AS INT)",
@@ -190,7 +192,7 @@ EVENT_DAYS = View({"user_id": "user_id", "event_id": "event_id", "day": "CAST(ts
 
 SOURCES = {"sales": SALES, "members": MEMBERS, "skus": SKUS, "locations": LOCATIONS,
            "main_categories": MAIN_CATEGORIES, "subcategories": SUBCATEGORIES}
-VIEWS = {**SOURCES, "contacts": CONTACTS, "tx": TX, "tx_item": TX_ITEM, "tx_shop": TX_SHOP,
+VIEWS = {**SOURCES, "contacts": CONTACTS, "tx": TX, "tx_item": TX_ITEM, "tx_shop": TX_SHOP, "tx_all": TX_ALL,
          "personas": PERSONAS, "event_days": EVENT_DAYS}
 
 
