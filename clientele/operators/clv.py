@@ -31,6 +31,18 @@ def monthly_revenue(tx: DataFrame, region: str | None = None) -> DataFrame:
             .select(MEMBER, F.col("_month").cast("string").alias("yyyymm"), "rev", "tran_no"))
 
 
+def member_months(tx: DataFrame, region: str | None = None) -> DataFrame:
+    """What a segmentation keeps of the sales: per member and month the amount and lines of the region, and the first and last day of all lines.
+
+    Sums of months are sums of the sales, so any window of whole months can be read off.
+    """
+    here = F.lit(True) if region is None else F.coalesce(F.col("region_key") == region, F.lit(False))
+    return (tx.filter(F.col(MEMBER).isNotNull()).groupBy(MEMBER, month_number(F.col("order_date")).alias("_month"))
+            .agg(F.sum(F.when(here, F.col("net_amt_hkd"))).alias("rev"), F.count_if(here).alias("lines"),
+                 F.min("order_date").alias("first_day"), F.max("order_date").alias("last_day"))
+            .withColumn("yyyymm", F.col("_month").cast("string")).drop("_month"))
+
+
 def month_amounts(months: Iterable[str]) -> list[Column]:
     """Aggregates over monthly revenue: the amount of each month, 0 when absent."""
     return [F.coalesce(F.sum(F.when(F.col("yyyymm") == m, F.col("rev"))), F.lit(0)) for m in months]

@@ -31,64 +31,77 @@ NULL_PIECES = 1 << 20
 # Largest lookup that is sent whole to every executor.
 BROADCAST_ROWS = 200_000
 
-_ROWS, _PIECES, _SALT, _HIT = "_rows", "_pieces", "_salt", "_hit"
+_ROWS, _PIECES, _SALT, _HIT, _HASH = "_rows", "_pieces", "_salt", "_hit", "_hash"
 
 
 def _any_null(on: list[str]):
     return reduce(lambda a, b: a | b, [F.col(k).isNull() for k in on])
 
 
-def _summaries(hashes: DataFrame) -> DataFrame:
-    """Misra-Gries summaries of a column ``h``, one a task: (h, n), and (NULL, n) with what the task may have lost of a key.
+def _summaries(df: DataFrame, on: list[str]) -> DataFrame:
+    """Misra-Gries summaries of the keys, one a task: (key columns, h, n, rows); of h NULL, what the task may have lost of a key, and its rows.
 
     A task counts its batches exactly and adds them up; beyond ``SUMMARY`` keys all counters lose the largest
     one that has no room, and at the end it sends its ``SENT`` largest. Summaries add up, and so do their losses.
     """
+    hashed = df.select(*on, F.xxhash64(*on).alias(_HASH))
+
     def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        keys, counts, lost = np.empty(0, np.int64), np.empty(0, np.int64), 0
+        keys, counts, lost, rows, names = np.empty(0, np.int64), np.empty(0, np.int64), 0, 0, None
 
         def largest(n: int) -> int:
             return int(np.partition(counts, len(counts) - n - 1)[len(counts) - n - 1]) if len(counts) > n else 0
         for batch in batches:
-            more, times = np.unique(batch.column("h").to_numpy(zero_copy_only=False), return_counts=True)
-            keys, place = np.unique(np.concatenate((keys, more)), return_inverse=True)
+            rows += batch.num_rows
+            more, first, times = np.unique(batch.column(_HASH).to_numpy(zero_copy_only=False), return_index=True, return_counts=True)
+            own = pa.Table.from_batches([batch.select(on)]).take(pa.array(first))
+            named = own if names is None else pa.concat_tables([names, own])
+            keys, kept, place = np.unique(np.concatenate((keys, more)), return_index=True, return_inverse=True)
             counts = np.bincount(place, np.concatenate((counts, times)), len(keys)).astype(np.int64)
+            names = named.take(pa.array(kept))
             if cut := largest(SUMMARY):
                 lost, counts = lost + cut, counts - cut
-                keys, counts = keys[counts > 0], counts[counts > 0]
+                left = counts > 0
+                keys, counts, names = keys[left], counts[left], names.filter(pa.array(left))
+        if names is None:
+            return
         cut = largest(SENT)
         sent = counts > cut
-        yield pa.RecordBatch.from_arrays([pa.array([*keys[sent].tolist(), None], pa.int64()), pa.array([*counts[sent].tolist(), lost + cut], pa.int64())],
-                                         names=["h", "n"])
-    return hashes.mapInArrow(counted, "h long, n long")
+        names = names.filter(pa.array(sent)).combine_chunks()
+        columns = [pa.concat_arrays([*names.column(c).chunks, pa.nulls(1, names.column(c).type)]) for c in on]
+        yield pa.RecordBatch.from_arrays(
+            [*columns, pa.array([*keys[sent].tolist(), None], pa.int64()), pa.array([*counts[sent].tolist(), lost + cut], pa.int64()),
+             pa.array([0] * int(sent.sum()) + [rows], pa.int64())], names=[*on, _HASH, _ROWS, "_all"])
+    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in hashed.schema.fields)
+    return hashed.mapInArrow(counted, f"{schema}, {_ROWS} long, _all long")
 
 
 def heavy_keys(df: DataFrame, on: list[str], task_rows: int | None = None) -> DataFrame | None:
     """Keys with more rows than a task should get, and into how many pieces they go.
 
-    A count of the rows comes first: too few for any heavy key end the search. Else one pass makes summaries
-    whose counters are too small by no more than their losses, which names the few keys that can be heavy; only
-    these are counted exactly. Keys are never grouped as a whole. NULL keys are not listed; ``None`` if no key is heavy.
+    One pass makes summaries, whose counters are too small by no more than their losses, and sums up all rows on
+    the way. Without a loss they are exact; else they name the few keys that can be heavy, and these are
+    counted in a second pass. Keys are not grouped as a whole unless the losses reach the budget of a task. NULL keys
+    are not listed; ``None`` if no key is heavy.
     """
     task_rows = TASK_ROWS if task_rows is None else task_rows
-    known = df.filter(~_any_null(on)).select(*on)
-    total = known.count()
+    known = df.filter(~_any_null(on))
+    summary = staged(_summaries(known, on))
+    seen = summary.filter(F.col(_HASH).isNull()).agg(F.sum("_all").alias("total"), F.sum(_ROWS).alias("lost")).first()
+    total, lost = seen["total"] or 0, seen["lost"] or 0
     budget = max(task_rows, total // HEAVY_KEYS)
     if total <= budget:
         return None
-    summed = staged(_summaries(known.select(F.xxhash64(*on).alias("h"))).groupBy("h").agg(F.sum("n").alias("n")))
-    lost = summed.filter(F.col("h").isNull()).first()["n"]
-    # Losses as large as the budget make every key of the summaries and beyond possible: then all are counted.
-    possible = known
-    if lost < budget:
-        named, n = staged_counted(summed.filter(F.col("h").isNotNull() & (F.col("n") > budget - lost - 1)).select("h"))
-        if not n:
-            return None
-        possible = known.withColumn("h", F.xxhash64(*on)).join(F.broadcast(named), "h", "left_semi")
-    found, keys = staged_counted(possible.groupBy(*on).agg(F.count(F.lit(1)).alias(_ROWS)).filter(F.col(_ROWS) > budget))
-    if not keys:
-        return None
-    return found.select(*on, F.ceil(F.col(_ROWS) / budget).cast("int").alias(_PIECES))
+    counts = (summary.filter(F.col(_HASH).isNotNull()).groupBy(_HASH)
+              .agg(F.sum(_ROWS).alias(_ROWS), *[F.first(c).alias(c) for c in on]))
+    if lost:
+        rows = known.select(*on)
+        if lost < budget:
+            named = staged(counts.filter(F.col(_ROWS) + lost > budget).select(_HASH))
+            rows = rows.withColumn(_HASH, F.xxhash64(*on)).join(F.broadcast(named), _HASH, "left_semi")
+        counts = rows.groupBy(*on).agg(F.count(F.lit(1)).alias(_ROWS))
+    found, keys = staged_counted(counts.filter(F.col(_ROWS) > budget).select(*on, F.ceil(F.col(_ROWS) / budget).cast("int").alias(_PIECES)))
+    return found if keys else None
 
 
 def spread_join(facts: DataFrame, dims: DataFrame, on: list[str] | str, how: str = "left",

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from clientele.config import MEMBER
 from clientele.functions.labels import bucket
-from clientele.functions.stats import median_of, middle, sorted_slopes
+from clientele.functions.stats import median_of, middle, series_median, series_slopes, sorted_slopes
 from clientele.operators.clv import by_member, cumulative_amounts
 
 
@@ -57,6 +57,27 @@ def member_slopes(arrays: DataFrame, points: int) -> DataFrame:
     return fit_lines(wide, y).select(MEMBER, "slope", "intercept")
 
 
+def long_series(monthly: DataFrame, months: Iterable[str]) -> DataFrame:
+    """``cumulative_arrays`` for many months: a member's own months are laid on the calendar, so the plan does not grow with it."""
+    months = list(months)
+    kind = dict(monthly.dtypes)["rev"]
+    place = F.array_position(F.lit(months), F.col("yyyymm")).cast("int")
+    own = (by_member(monthly).groupBy(MEMBER)
+           .agg(F.map_from_entries(F.collect_list(F.when(place > 0, F.struct(place, F.col("rev"))))).alias("own")))
+    amounts = F.transform(F.sequence(F.lit(1), F.lit(len(months))), lambda i: F.coalesce(F.try_element_at("own", i), F.lit(0).cast(kind)))
+    upto = lambda i: F.aggregate(F.slice("amounts", 1, i), F.lit(0).cast(kind), lambda a, x: (a + x).cast(kind))
+    return own.withColumn("amounts", amounts).select(
+        MEMBER, F.transform(F.sequence(F.lit(1), F.lit(len(months))), lambda i: upto(i).cast("double")).alias("series"))
+
+
+def series_lines(arrays: DataFrame) -> DataFrame:
+    """Line of each member's array, whatever its length; fewer than two points have none."""
+    n = F.size("series")
+    lines = (arrays.withColumn("_slopes", F.when(n > 1, series_slopes(F.col("series"))))
+             .withColumn("slope", series_median(F.col("_slopes"))))
+    return lines.select(MEMBER, "slope", (series_median(F.sort_array("series")) - F.col("slope") * ((n - 1) / F.lit(2.0))).alias("intercept"))
+
+
 def adjust_slope(slopes: DataFrame) -> DataFrame:
     """Rising or flat lines gain half the size of their intercept."""
     slope, intercept = F.col("slope"), F.col("intercept")

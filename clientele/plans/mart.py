@@ -9,9 +9,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from clientele.config import CHANNEL_RULES, MEMBER, SALES_BRANDS, ChannelRule, Period
+from clientele.functions.dates import yyyymm
 from clientele.operators import clean, dimensions, mart
+from clientele.operators.skew import lookup_join
 from clientele.sources import io
-from clientele.sources.staging import staged_counted
+from clientele.sources.staging import job, staged_counted
 
 BRAND_MEMBER_COLUMNS = {
     "BA": ("vip_ba_first_pur_date", "vip_ba_vip_type"),
@@ -93,12 +95,58 @@ def build_mart(tables: Mapping[str, DataFrame], period: Period, brand: str,
                 mart.first_last(valid, first_purchases(tables, brand)))
 
 
+def order_ledger(sales: DataFrame) -> DataFrame:
+    """(order, month) of raw lines: in which months an order has lines. Lines without an order or a date are in none."""
+    return (clean.trim_strings(clean.project_sales(sales)).filter(F.col("sales_main_key").isNotNull() & F.col("order_date").isNotNull())
+            .select("sales_main_key", yyyymm(F.col("order_date")).alias("yyyymm")).distinct())
+
+
+def update_valid(stored: DataFrame, tables: Mapping[str, DataFrame], new_sales: DataFrame, ledger: DataFrame,
+                 period: Period, brand: str, **options) -> DataFrame:
+    """The valid transactions after ``new_sales``, from those stored before.
+
+    Every rule of the mart looks at one line or at the lines of one order, so only the orders with new lines change. Their
+    older lines are looked for in the months that the ledger of ``tables["sales"]`` has of them, and these orders
+    are built anew; all others stay as they are stored. Equals a full build as long as the other tables are those of the stored mart.
+    """
+    keys = clean.trim_strings(clean.project_sales(new_sales)).select("sales_main_key")
+    changed, orders = staged_counted(keys.filter(F.col("sales_main_key").isNotNull()).distinct())
+    if not orders:
+        return stored
+    months = [r["yyyymm"] for r in lookup_join(ledger, changed, "sales_main_key", "left_semi", unique=True)
+              .select("yyyymm").distinct().collect()]  # one row a month
+    before = tables["sales"].filter(yyyymm(F.col("sales_date").try_cast("date")).isin(*months) if months else F.lit(False))
+    key = F.trim(F.concat("shop_code", F.lit("-"), "invoice_no"))
+    lines = before.unionByName(new_sales).withColumn("_order", key)
+    lines = lookup_join(lines, changed.withColumnRenamed("sales_main_key", "_order"), "_order", "left_semi")
+    built = _valid({**tables, "sales": lines.drop("_order")}, period, brand, **options)
+    return lookup_join(stored, changed, "sales_main_key", "left_anti").select(*stored.columns).unionByName(built)
+
+
+def _write_mart(spark: SparkSession, valid: DataFrame, tables: Mapping[str, DataFrame], base: str, brand: str, suffix: str) -> None:
+    """All parts of a new version, then the pointer to it; first/last is read off the written transactions."""
+    version = io.new_version(base)
+    io.write_part(valid, version, "transaction")
+    io.write_part(clean.demographics(tables["members"], BRAND_MEMBER_COLUMNS[brand]), version, "demographic")
+    stored = io.read_part(spark, version, "transaction")
+    io.write_part(mart.first_last(stored, first_purchases(tables, brand)), version, "first_last_transaction")
+    io.publish(spark, version, base, suffix)
+
+
+@job
 def run_mart(spark: SparkSession, refs: Mapping[str, str], base: str, period: Period, brand: str,
              suffix: str = "", **options) -> None:
-    """Write the mart of one brand; first/last is read off the written transactions."""
+    """Write the mart of one brand as a new version, visible when it is whole."""
+    tables = io.read_sources(spark, refs)
+    _write_mart(spark, _valid(tables, period, brand, **options), tables, base, brand, suffix)
+
+
+@job
+def run_mart_update(spark: SparkSession, refs: Mapping[str, str], new_sales: str, base: str, period: Period, brand: str,
+                    suffix: str = "", **options) -> None:
+    """The next version of a mart: ``refs`` are the sources it was made of, ``new_sales`` the lines that came since."""
     tables = io.read_sources(spark, refs)
-    io.write_transactions(_valid(tables, period, brand, **options), base, suffix)
+    new = io.read_table(spark, new_sales)
     stored = io.read_transactions(spark, base, suffix)
-    clean.demographics(tables["members"], BRAND_MEMBER_COLUMNS[brand]).write.mode("overwrite").parquet(io._part(base, "demographic", suffix))
-    mart.first_last(stored, first_purchases(tables, brand)).write.mode("overwrite").parquet(
-        io._part(base, "first_last_transaction", suffix))
+    valid = update_valid(stored, tables, new, order_ledger(tables["sales"]), period, brand, **options)
+    _write_mart(spark, valid, {**tables, "sales": tables["sales"].unionByName(new)}, base, brand, suffix)

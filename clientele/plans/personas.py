@@ -13,7 +13,7 @@ from clientele.config import (
 from clientele.operators import contacts, features, personas, reports
 from clientele.operators.moments import moments
 from clientele.sources import io
-from clientele.sources.staging import staged
+from clientele.sources.staging import job, staged
 
 
 def feature_table(tx: DataFrame, dropped: Iterable[str], outliers: Iterable[str],
@@ -23,6 +23,7 @@ def feature_table(tx: DataFrame, dropped: Iterable[str], outliers: Iterable[str]
     return features.exclude_members(table.drop(*dropped), outliers)
 
 
+@job
 def run_training(spark: SparkSession, mart_base: str, model_base: str, dropped: Iterable[str],
                  outliers: Iterable[str], k: int = 5, n_init: int = 5, n_factors: int = 10,
                  n_keep: int = 10, seed: int = 1,
@@ -46,6 +47,7 @@ def run_training(spark: SparkSession, mart_base: str, model_base: str, dropped:
     return chosen
 
 
+@job
 def run_scoring(spark: SparkSession, mart_base: str, model_base: str, out_path: str,
                 outliers: Iterable[str], refit: bool = False,
                 specs: Iterable[WalletSpec] = WALLET_SPECS) -> None:
@@ -73,6 +75,7 @@ def persona_reports(tx: DataFrame, named: DataFrame, window: tuple[date, date],
     }
 
 
+@job
 def run_persona_export(spark: SparkSession, mart_base: str, result_path: str, contacts_ref: str,
                        csv_path: str, run_date: date) -> None:
     """The contact list as CSV with header."""

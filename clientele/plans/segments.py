@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from datetime import date
+from datetime import date, timedelta
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -11,7 +11,7 @@ from clientele.config import MEMBER, SEGMENT_CUTS, Period, SegmentCuts
 from clientele.functions.labels import bucket
 from clientele.operators import clv, segments, trend
 from clientele.sources import io
-from clientele.sources.staging import staged
+from clientele.sources.staging import job, staged
 
 
 def member_values(tx: DataFrame, firsts_lasts: DataFrame, period: Period, cuts: SegmentCuts,
@@ -23,9 +23,35 @@ def member_values(tx: DataFrame, firsts_lasts: DataFrame, period: Period, cuts:
     year and monthly series come from a single aggregation of monthly revenue, so
     the sales are read and shuffled once.
     """
+    return values_of_months(clv.monthly_revenue(tx, region), firsts_lasts, period, cuts)
+
+
+def two_years(tx: DataFrame, this: Period, last: Period, cuts: SegmentCuts, region: str | None = None,
+              firsts: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
+    """``member_values`` of two periods from one read of the sales.
+
+    Per member and month partial sums are stored once, and both windows are read off them. The periods
+    must be whole months. First purchases are the earliest sales unless given.
+    """
+    months = staged(clv.member_months(tx, region))
+    if firsts is None:
+        firsts = months.groupBy(MEMBER).agg(F.min("first_day").alias("first_transaction_date"))
+    out = []
+    for period in (this, last):
+        if period.first.day != 1 or (period.last + timedelta(days=1)).day != 1:
+            raise ValueError("a period must be whole months")
+        rows = months.filter(F.col("yyyymm").between(f"{period.first:%Y%m}", f"{period.last:%Y%m}"))
+        lasts = rows.groupBy(MEMBER).agg(F.max("last_day").alias("last_transaction_date"))
+        both = lasts.join(firsts.select(MEMBER, "first_transaction_date").distinct(), MEMBER, "left")
+        out.append(values_of_months(rows.filter("lines > 0").select(MEMBER, "yyyymm", "rev"), both, period, cuts))
+    return out[0], out[1]
+
+
+def values_of_months(monthly: DataFrame, firsts_lasts: DataFrame, period: Period, cuts: SegmentCuts) -> DataFrame:
+    """``member_values`` from revenue by member and month."""
     months = period.trend_months
     recent = F.col("yyyymm") > period.p12m_after
-    spend = clv.by_member(clv.monthly_revenue(tx, region)).groupBy(MEMBER).agg(
+    spend = clv.by_member(monthly).groupBy(MEMBER).agg(
         F.sum("rev").alias("total_clv"),
         F.sum(F.when(recent, F.col("rev"))).alias("_p12m"),
         F.count(F.when(recent, 1)).alias("_p12m_months"),
@@ -75,11 +101,12 @@ def tags_of(values: DataFrame) -> DataFrame:
     return values.select(*totals_of(values).columns, "p12m_clv", "value_segment", "customer_tag")
 
 
+@job
 def run_segments(spark: SparkSession, mart_base: str, out_base: str, period: Period, brand: str,
                  region: str | None = None, suffix: str = "",
                  cuts: SegmentCuts | None = None) -> None:
     """Segments and totals of one brand and region, written as version 1."""
-    tables = io.read_mart(spark, mart_base, suffix)
+    tables = io.read_mart(spark, mart_base, suffix, (period.first, period.last))
     values = staged(member_values(
         tables["transaction"], tables["first_last_transaction"], period,
         SEGMENT_CUTS[brand, region] if cuts is None else cuts, region))
@@ -87,6 +114,7 @@ def run_segments(spark: SparkSession, mart_base: str, out_base: str, period: Per
     io.write_segments(totals_of(values), out_base, "total_clv", brand, region, period.last)
 
 
+@job
 def run_reclassify(spark: SparkSession, base: str, brand: str, region: str | None,
                    this_year: date, last_year: date, version: int = 2) -> str:
     """The final segments as a new version beside the ones they are made from."""

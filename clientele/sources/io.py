@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Mapping, Sequence
 from datetime import date
 
 import numpy as np
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -26,32 +28,73 @@ def read_sources(spark: SparkSession, refs: Mapping[str, str]) -> dict[str, Data
 
 # -- sales mart -------------------------------------------------------------------
 
-def _part(base: str, name: str, suffix: str) -> str:
-    return f"{base.rstrip('/')}/{name}{suffix}.parquet"
+# A mart is a folder of its own for each write, and one small table beside them names the one to read. It is
+# appended to when all parts are written, so a write that fails, or is going on, is seen by nobody.
 
+def _pointer(base: str, suffix: str) -> str:
+    return f"{base.rstrip('/')}/visible{suffix}.parquet"
 
-def write_transactions(tx: DataFrame, base: str, suffix: str = "") -> None:
-    """By month, so dated reads skip files; months of uneven size are split."""
-    (tx.withColumn("order_month", yyyymm(F.col("order_date")))
-     .hint("rebalance", "order_month")
-     .write.mode("overwrite").partitionBy("order_month")
-     .parquet(_part(base, "transaction", suffix)))
 
+def new_version(base: str) -> str:
+    """The folder of a mart that nobody sees yet."""
+    return f"{base.rstrip('/')}/version={uuid.uuid4().hex}"
 
-def read_transactions(spark: SparkSession, base: str, suffix: str = "",
-                      window: tuple[date, date] | None = None) -> DataFrame:
-    tx = spark.read.parquet(_part(base, "transaction", suffix))
+
+def visible_version(spark: SparkSession, base: str, suffix: str = "") -> str:
+    """The folder of the mart written last."""
+    latest = spark.read.parquet(_pointer(base, suffix)).agg(F.max(F.struct("number", "folder")).alias("last")).first()["last"]
+    return f"{base.rstrip('/')}/{latest['folder']}"
+
+
+def publish(spark: SparkSession, version: str, base: str, suffix: str = "") -> None:
+    """Make a version the one to read; the versions before stay for those who read them."""
+    try:
+        number = spark.read.parquet(_pointer(base, suffix)).agg(F.max("number")).first()[0] + 1
+    except AnalysisException as error:
+        if error.getCondition() != "PATH_NOT_FOUND":
+            raise
+        number = 1
+    row = [(number, version.rstrip("/").rsplit("/", 1)[1])]
+    spark.createDataFrame(row, "number long, folder string").coalesce(1).write.mode("append").parquet(_pointer(base, suffix))
+
+
+def write_part(df: DataFrame, version: str, name: str) -> None:
+    """A part of a mart; transactions by month, so dated reads skip files, and months of uneven size are split."""
+    if name == "transaction":
+        (df.withColumn("order_month", yyyymm(F.col("order_date"))).hint("rebalance", "order_month")
+         .write.mode("errorifexists").partitionBy("order_month").parquet(f"{version}/{name}.parquet"))
+    else:
+        df.write.mode("errorifexists").parquet(f"{version}/{name}.parquet")
+
+
+def read_part(spark: SparkSession, version: str, name: str, window: tuple[date, date] | None = None) -> DataFrame:
+    part = spark.read.parquet(f"{version}/{name}.parquet")
+    if name != "transaction":
+        return part
     if window is not None:
         first, last = window
         month = F.col("order_month").cast("string")
-        tx = tx.filter(month.between(f"{first:%Y%m}", f"{last:%Y%m}")
-                       & F.col("order_date").between(F.lit(first), F.lit(last)))
-    return tx.drop("order_month")
+        part = part.filter(month.between(f"{first:%Y%m}", f"{last:%Y%m}") & F.col("order_date").between(F.lit(first), F.lit(last)))
+    return part.drop("order_month")
+
+
+def write_transactions(tx: DataFrame, base: str, suffix: str = "") -> None:
+    """A mart of transactions alone."""
+    version = new_version(base)
+    write_part(tx, version, "transaction")
+    publish(tx.sparkSession, version, base, suffix)
+
+
+def read_transactions(spark: SparkSession, base: str, suffix: str = "",
+                      window: tuple[date, date] | None = None) -> DataFrame:
+    return read_part(spark, visible_version(spark, base, suffix), "transaction", window)
 
 
-def read_mart(spark: SparkSession, base: str, suffix: str = "") -> dict[str, DataFrame]:
-    return {"transaction": read_transactions(spark, base, suffix),
-            **{name: spark.read.parquet(_part(base, name, suffix)) for name in MART_PARTS[1:]}}
+def read_mart(spark: SparkSession, base: str, suffix: str = "",
+              window: tuple[date, date] | None = None) -> dict[str, DataFrame]:
+    """All parts of one version; ``window`` limits the months of the transactions that are read."""
+    version = visible_version(spark, base, suffix)
+    return {name: read_part(spark, version, name, window) for name in MART_PARTS}
 
 
 # -- segments ---------------------------------------------------------------------

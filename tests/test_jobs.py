@@ -12,7 +12,7 @@ from clientele.plans import personas as persona_plan
 from clientele.plans import profile
 from clientele.plans import segments as segment_plan
 from clientele.sources import io, schemas
-from clientele.sources.staging import staged
+from clientele.sources.staging import job_scope, staged, staging_folder
 from verify import tables
 
 SF = "/root/testdata/sf0.001"
@@ -41,7 +41,7 @@ def test_mart_is_written_by_month_and_read_by_window(spark, stored):
     parts = io.read_mart(spark, f"{base}/ba")
     tx = parts["transaction"]
     assert list(tx.columns) == list(tables_columns()) and tx.count() > 20
-    assert glob.glob(f"{base}/ba/transaction.parquet/order_month=*")
+    assert glob.glob(f"{base}/ba/version=*/transaction.parquet/order_month=*")
     window = (PERIOD.p12m_first, PERIOD.last)
     pruned = io.read_transactions(spark, f"{base}/ba", window=window)
     assert pruned.count() == tx.filter(F.col("order_date").between(*map(F.lit, window))).count()
@@ -92,7 +92,7 @@ def test_reports_from_stored_tables(spark, stored):
     tx = io.read_transactions(spark, f"{base}/ba")
     values = [staged(segment_plan.tags_of(segment_plan.member_values(
         io.read_transactions(spark, f"{base}/ba", s),
-        spark.read.parquet(f"{base}/ba/first_last_transaction{s}.parquet"), p, CUTS)))
+        io.read_mart(spark, f"{base}/ba", s)["first_last_transaction"], p, CUTS)))
         for s, p in (("", PERIOD), ("_last_year", LAST))]
     found = profile.segment_reports(tx, *values, (PERIOD.p12m_first, PERIOD.last))
     assert {name: df.count() > 0 for name, df in found.items()} == dict.fromkeys(found, True)
@@ -101,6 +101,87 @@ def test_reports_from_stored_tables(spark, stored):
     assert sum(cells) == values[0].filter("customer_tag <> ''").count()
 
 
+def staged_folders(spark):
+    return set(glob.glob(f"{staging_folder(spark)}/staged/*"))
+
+
+def test_a_write_that_fails_midway_leaves_the_mart_before(spark, stored, monkeypatch):
+    base, refs = stored
+    before, staged_before = io.read_mart(spark, f"{base}/ba"), staged_folders(spark)
+    counts = {name: part.count() for name, part in before.items()}
+    monkeypatch.setattr(mart_plan.mart, "first_last", lambda *a: 1 / 0)
+    with pytest.raises(ZeroDivisionError):
+        mart_plan.run_mart(spark, refs, f"{base}/ba", LAST, "BA", amount_type="decimal(18,2)")
+    assert {name: part.count() for name, part in io.read_mart(spark, f"{base}/ba").items()} == counts
+    assert staged_folders(spark) == staged_before
+
+
+def test_jobs_release_what_they_stage(spark, stored):
+    base, _ = stored
+    before = staged_folders(spark)
+    segment_plan.run_segments(spark, f"{base}/ba", f"{base}/released", PERIOD, "BA", cuts=CUTS)
+    persona_plan.run_training(spark, f"{base}/ba", f"{base}/released_model", (), (), k=2, n_init=1, n_factors=2, n_keep=3, specs=SPECS)
+    persona_plan.run_scoring(spark, f"{base}/ba", f"{base}/released_model", f"{base}/released_scores", (), specs=SPECS)
+    assert staged_folders(spark) == before
+    with job_scope(spark):
+        outer = staged(spark.range(3))
+        with job_scope(spark):
+            inner = staged(spark.range(5))
+            assert inner.count() == 5
+        assert len(staged_folders(spark) - before) == 1 and outer.count() == 3
+    assert staged_folders(spark) == before
+    staged(spark.range(1))
+    assert len(staged_folders(spark) - before) == 1
+
+
+def test_a_mart_grows_by_the_orders_that_changed(spark, stored, rows):
+    base, refs = stored
+    sales = spark.read.parquet(refs["sales"])
+    late = F.coalesce((F.col("sales_date") >= F.lit(date(2001, 1, 1))) | (F.col("item_code").cast("int") % 5 == 1), F.lit(False))
+    sales.filter(~late).write.parquet(f"{base}/early.parquet")
+    sales.filter(late).write.parquet(f"{base}/late.parquet")
+    options = {"amount_type": "decimal(18,2)"}
+    mart_plan.run_mart(spark, {**refs, "sales": f"{base}/early.parquet"}, f"{base}/grown", PERIOD, "BA", **options)
+    first = io.read_transactions(spark, f"{base}/grown")
+    mart_plan.run_mart_update(spark, {**refs, "sales": f"{base}/early.parquet"}, f"{base}/late.parquet", f"{base}/grown", PERIOD, "BA", **options)
+    whole, grown = io.read_mart(spark, f"{base}/ba"), io.read_mart(spark, f"{base}/grown")
+    assert 0 < first.count() != grown["transaction"].count()
+    for name, part in whole.items():
+        assert rows(grown[name]) == rows(part)
+    none = spark.createDataFrame([], sales.schema)
+    tables_now = io.read_sources(spark, refs)
+    same = mart_plan.update_valid(whole["transaction"], tables_now, none, mart_plan.order_ledger(sales), PERIOD, "BA", **options)
+    assert rows(same) == rows(whole["transaction"])
+
+
+def test_two_years_from_one_read_equal_each_alone(spark, stored, rows):
+    base, _ = stored
+    tx = io.read_transactions(spark, f"{base}/ba")
+    firsts = tx.groupBy("vip_main_no").agg(F.min("order_date").alias("first_transaction_date"))
+    from clientele.operators import clean, mart
+    both = segment_plan.two_years(tx, PERIOD, LAST, CUTS)
+    for got, period in zip(both, (PERIOD, LAST), strict=True):
+        inside = clean.between_dates(tx, period.first, period.last)
+        alone = segment_plan.member_values(inside, mart.first_last(inside, firsts), period, CUTS)
+        assert rows(got) == rows(alone) and got.columns == alone.columns
+        assert "version=" not in str(got.inputFiles())
+    with pytest.raises(ValueError):
+        segment_plan.two_years(tx, PERIOD, Period(date(1998, 8, 2), date(1999, 8, 1), date(2000, 7, 31)), CUTS)
+
+
+def test_reports_read_the_sales_once(spark, stored):
+    base, _ = stored
+    tx, window = io.read_transactions(spark, f"{base}/ba"), (PERIOD.p12m_first, PERIOD.last)
+    plan = profile.report_cells(tx, window)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("FileScan") == 1
+    tags = staged(segment_plan.tags_of(segment_plan.member_values(tx, io.read_mart(spark, f"{base}/ba")["first_last_transaction"], PERIOD, CUTS)))
+    found = profile.segment_reports(tx, tags, tags, window)
+    assert all("version=" not in path for table in found.values() for path in table.inputFiles())
+    from clientele.operators import reports
+    assert found["kpis"].orderBy("kpi").collect() == reports.sales_kpis(tx, tags, window).orderBy("kpi").collect()
+    assert found["visits"].collect() == reports.visits(tx, tags, window).collect()
+
+
 def test_personas_trained_stored_and_scored(spark, stored):
     base, _ = stored
     model = f"{base}/model"

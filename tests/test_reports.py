@@ -163,3 +163,16 @@ def test_report_lines(spark):
     got = {(r.maincat_desc_cleaned, r.item_subcat_desc_cleaned, r.maincat_and_subcat)
            for r in contacts.clean_for_report(df).collect()}
     assert got == {("GIFT", "Unknown", "GIFT - Unknown"), ("Skin", None, None)}
+
+
+def test_bitmaps_roll_up_without_counting_a_member_twice(spark):
+    from clientele.operators import presence
+    tags = spark.createDataFrame([(f"m{i}", "A" if i % 3 else None) for i in range(70_000)], "vip_main_no string, customer_tag string").repartition(3)
+    rows = spark.createDataFrame([(f"m{i % 70_003}", f"c{i % 7}") for i in range(0, 90_000, 2)], "vip_main_no string, cell string").distinct()
+    cells = presence.presence(rows, presence.numbered(tags), ["cell"])
+    got = {(r.cell, r.customer_tag): r.members for r in presence.distinct_members(cells, {"cell": F.col("cell")}).collect()}
+    both = rows.join(tags, "vip_main_no")
+    assert got == {(r.cell, r.customer_tag): r.n for r in both.groupBy("cell", "customer_tag").agg(F.countDistinct("vip_main_no").alias("n")).collect()}
+    total = {r.customer_tag: r.members for r in presence.distinct_members(cells, {"cell": F.lit("all")}).collect()}
+    assert total == {r.customer_tag: r.n for r in both.groupBy("customer_tag").agg(F.countDistinct("vip_main_no").alias("n")).collect()}
+    assert presence.distinct_members(cells.limit(0), {"cell": F.col("cell")}).count() == 0

@@ -54,6 +54,26 @@ def test_counting_reads_its_input_once(spark):
     assert scans.value == 100
 
 
+@pytest.mark.parametrize("summary, sent", [(1 << 18, 1 << 11), (40, 1 << 11), (1 << 18, 30), (10, 5), (2, 1)])
+def test_summaries_that_lose_counts_still_find_every_heavy_key(sides, monkeypatch, summary, sent):
+    from clientele.operators import skew
+    monkeypatch.setattr(skew, "SUMMARY", summary)
+    monkeypatch.setattr(skew, "SENT", sent)
+    facts, _ = sides
+    for task_rows in (3, 100):
+        want = Counter({k: -(-n // task_rows) for k, n in Counter(r.k for r in facts.collect() if r.k).items() if n > task_rows})
+        assert Counter(dict(map(tuple, heavy_keys(facts, ["k"], task_rows=task_rows).collect()))) == want
+
+
+def test_keys_are_not_grouped_as_a_whole(sides):
+    from clientele.operators import skew
+    facts, _ = sides
+    rows = skew._summaries(facts.filter("k is not null"), ["k"])
+    assert "HashAggregate" not in rows._jdf.queryExecution().executedPlan().toString()
+    assert rows.filter("_hash is null").agg({"_all": "sum"}).first()[0] == 1200
+    assert heavy_keys(facts.limit(0), ["k"], task_rows=1) is None
+
+
 def test_unique_keys_are_not_counted(sides, monkeypatch):
     from clientele.operators import skew
     facts, dims = sides

@@ -211,3 +211,31 @@ def test_calibration_cutoffs(spark):
     df = spark.range(1, 101).selectExpr("CAST(id AS double) AS v")
     got = {r.prob: r.cutoff for r in segments.calibrate(df, ["v"], [0.7, 0.9]).collect()}
     assert got == {0.7: 70.0, 0.9: 90.0}
+
+
+def test_lines_of_series_of_any_length(spark):
+    import numpy as np
+    from clientele.operators import trend
+    rng = np.random.default_rng(8)
+    series = [rng.normal(size=n).cumsum().tolist() for n in (2, 3, 12, 36, 37)] + [[5.0], [], [0.0] * 36]
+    got = trend.series_lines(spark.createDataFrame([(str(i), s) for i, s in enumerate(series)], "vip_main_no string, series array<double>"))
+    for row in got.collect():
+        y = series[int(row.vip_main_no)]
+        if len(y) < 2:
+            assert row.slope is None and row.intercept is None
+            continue
+        slope = np.median([(y[j] - y[i]) / (j - i) for i in range(len(y)) for j in range(i + 1, len(y))])
+        assert row.slope == pytest.approx(slope) and row.intercept == pytest.approx(np.median(y) - slope * (len(y) - 1) / 2)
+
+
+def test_long_series_equal_the_wide_ones_and_their_plan_does_not_grow(spark, rows):
+    from clientele.config import month_range
+    from clientele.operators import trend
+    monthly = spark.createDataFrame([(m, y, Decimal(n)) for m, y, n in (
+        ("a", "202001", 5), ("a", "202003", -2), ("b", "201912", 9), ("c", "202002", 1), (None, "202002", 4))],
+                                    "vip_main_no string, yyyymm string, rev decimal(18,2)")
+    months = month_range(date(2020, 1, 1), date(2020, 4, 30))
+    assert rows(trend.long_series(monthly, months)) == rows(trend.cumulative_arrays(monthly, months))
+    size = lambda n: len(trend.series_lines(trend.long_series(monthly, month_range(date(2020, 1, 1), date(2020 + n, 12, 31))))
+                         ._jdf.queryExecution().optimizedPlan().toString())
+    assert size(9) < size(0) + 2000

@@ -255,6 +255,16 @@ oracle("cumulative_spend", """SELECT vip_main_no, yyyymm, CAST(monthly_clv AS DO
  CAST(cumsum AS DOUBLE) AS cumsum FROM cumulative_this""")
 oracle("spend_series", "SELECT vip_main_no, x AS pos, y AS col FROM points_this")
 oracle("theil_sen", "SELECT vip_main_no, slope, intercept FROM line_this")
+# 36 points have 630 slopes.
+CTES["grid_mart"] = f"""SELECT m.vip_main_no, c.yyyymm, coalesce(r.rev, 0) AS monthly_clv
+ FROM (SELECT DISTINCT vip_main_no FROM monthly_this) m CROSS JOIN ({months('1998-08-01', '2001-07-31')}) c
+ LEFT JOIN monthly_this r ON r.vip_main_no = m.vip_main_no AND r.yyyymm = c.yyyymm"""
+CTES["points_mart"] = """SELECT vip_main_no, row_number() OVER w - 1 AS x, CAST(sum(monthly_clv) OVER w AS DOUBLE) AS y FROM grid_mart
+ WINDOW w AS (PARTITION BY vip_main_no ORDER BY yyyymm)"""
+oracle("theil_sen_mart", """SELECT s.vip_main_no, slope, (l[18] + l[19]) / 2.0 - slope * 17.5 AS intercept FROM (
+ SELECT vip_main_no, (s[315] + s[316]) / 2.0 AS slope FROM (SELECT a.vip_main_no, list_sort(list((b.y - a.y) / CAST(b.x - a.x AS DOUBLE))) AS s
+ FROM points_mart a JOIN points_mart b ON a.vip_main_no = b.vip_main_no AND a.x < b.x GROUP BY a.vip_main_no)) s
+ JOIN (SELECT vip_main_no, list_sort(list(y)) AS l FROM points_mart GROUP BY vip_main_no) p ON s.vip_main_no = p.vip_main_no""")
 oracle("adjust_slope", "SELECT vip_main_no, slope, intercept, slope_final FROM adjusted_this")
 oracle("trend_bucket", f"""SELECT CASE WHEN slope_final > {CUTS.slope_high} THEN 'H' WHEN slope_final >= {CUTS.slope_low} THEN 'M'
  ELSE 'L' END AS slope_flag, count(*) AS members, min(slope_final) AS lowest, max(slope_final) AS highest
@@ -526,6 +536,7 @@ oracle("column_share", "SELECT maincat_desc_cleaned, " + ", ".join(
 
 # -- sinks --------------------------------------------------------------------------
 
+oracle("mart_update", ORACLES["channel_union"])
 oracle("mart_sink", ORACLES["channel_union"] + " WHERE order_date >= DATE '1998-01-01'")
 oracle("segment_sink", ORACLES["reclassify"])
 oracle("feature_sink", "SELECT vip_main_no, " + rounded(FEATURES) + " FROM filled")

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from clientele.config import (
     CHANNEL_RULES, MEMBER, NATIONALITIES_WITH_TW, ONE_BRAND_RULES, PERSONA_NAMES, Period, SegmentCuts, WalletSpec,
+    month_range,
 )
 from clientele.functions.labels import bucket, known_sex
 from clientele.operators import (
@@ -175,6 +176,24 @@ def channel_union_one_brand(spark, d):
     return mart.union_channels(net_zero_orders(spark, d), ONE_BRAND_RULES)
 
 
+def _late(sales):
+    """Lines that come after the first mart: a month of their own, and single lines of older orders."""
+    return (F.col("sales_date") >= F.lit(date(1998, 10, 1))) | (F.col("item_code").cast("int") % 7 == 3)
+
+
+@query
+def mart_update(spark, d):
+    """The mart of the lines at hand, then the lines that came late: the same as from all lines at once."""
+    base, sources = _folder(spark), tables.sources(spark, d)
+    late = F.coalesce(_late(sources["sales"]), F.lit(False))
+    early = {**sources, "sales": sources["sales"].filter(~late)}
+    options = {"amount_type": MONEY, "shop_names": SHOP_NAMES}
+    io.write_transactions(mart_plan.build_mart(early, MART_PERIOD, "BA", **options).transaction, base)
+    ledger = staged(mart_plan.order_ledger(early["sales"]))
+    return mart_plan.update_valid(io.read_transactions(spark, base), early, sources["sales"].filter(late), ledger,
+                                  MART_PERIOD, "BA", **options)
+
+
 @query
 def demographics(spark, d):
     return clean.demographics(tables.MEMBERS.frame(spark, d),
@@ -336,10 +355,21 @@ def inactive_members(spark, d):
     return segments.inactive_members(total_clv(spark, d))
 
 
+def _both_years(spark, d):
+    return segment_plan.two_years(_tx(spark, d), THIS, LAST, CUTS)
+
+
 @query
 def reclassify(spark, d):
-    return segments.reclassify(segment_plan.segments_of(_values(spark, d)),
-                               segment_plan.segments_of(_values(spark, d, LAST)))
+    now, before = _both_years(spark, d)
+    return segments.reclassify(segment_plan.segments_of(now), segment_plan.segments_of(before))
+
+
+@query
+def theil_sen_mart(spark, d):
+    """Lines through all months of the mart."""
+    series = trend.long_series(clv.monthly_revenue(_tx(spark, d, THIS)), month_range(THIS.first, THIS.last))
+    return trend.series_lines(series)
 
 
 # -- segment reports --------------------------------------------------------------
@@ -357,8 +387,7 @@ def customer_tag(spark, d):
 
 @query
 def compare_years(spark, d):
-    return segments.compare_years(segment_plan.tags_of(_values(spark, d)),
-                                  segment_plan.tags_of(_values(spark, d, LAST)))
+    return segments.compare_years(*map(segment_plan.tags_of, _both_years(spark, d)))
 
 
 @query
