@@ -48,21 +48,23 @@ FROM judged GROUP BY doc_id"""
 
 
 def _rate_rows() -> str:
-    return " UNION ALL ".join(
-        f"SELECT lang, source, '{r.name}' AS rate, {r.name} AS v FROM stats WHERE NOT base_failed" for r in quality.RATES)
-
-
-def _spread() -> str:
-    return "CASE rate " + " ".join(f"WHEN '{r.name}' THEN {r.least_spread}" for r in quality.RATES) + " END"
+    return " UNION ALL ".join(f"SELECT lang, source, '{name}' AS rate, {name} AS v FROM stats WHERE NOT base_failed"
+                              for name in (*[r.name for r in quality.RATES], *quality.SIZES))
 
 
 def quality_sql(docs: str = "documents") -> str:
     """Tables ``stats`` and ``judged``, one row per document each."""
     k = quality.GRAM
-    cuts = ", ".join(f"max(low) FILTER (rate = '{r.name}') AS {r.name}_low, max(high) FILTER (rate = '{r.name}') AS {r.name}_high"
-                     for r in quality.RATES)
-    inside = " AND ".join(f"s.{r.name} BETWEEN c.{r.name}_low AND c.{r.name}_high" for r in quality.RATES)
-    low_rates = ", ".join(f"'{r.name}'" for r in quality.RATES if r.low)
+    cuts = ", ".join(f"max(q1) FILTER (rate = '{name}') AS {name}_q1, max(q2) FILTER (rate = '{name}') AS {name}_q2"
+                     for name in (*[r.name for r in quality.RATES], *quality.SIZES))
+
+    def step(r: quality.Rate) -> str:
+        return f"{quality.EVENTS * r.times * r.event} // greatest(1, least(s.{r.size}, c.{r.size}_q2))"
+    inside = " AND ".join(
+        f"s.{r.name} <= c.{r.name}_q2 + {quality.FENCE} * (c.{r.name}_q2 - c.{r.name}_q1) + {step(r)}"
+        + (f" AND s.{r.name} >= c.{r.name}_q2 - {quality.FENCE} * (c.{r.name}_q2 - c.{r.name}_q1) - {step(r)}" if r.low else "")
+        for r in quality.RATES)
+    m = quality.STRENGTH
     return rf"""
     w AS (SELECT doc_id, lang, source, coalesce(text, '') AS t,
                  regexp_extract_all(coalesce(text, ''), '{WORD}') AS ws FROM {docs}),
@@ -93,14 +95,12 @@ def quality_sql(docs: str = "documents") -> str:
                UNION ALL SELECT 'lang', lang, NULL, rate, edge FROM edged
                UNION ALL SELECT 'all', NULL, NULL, rate, edge FROM edged),
     quartiles AS (SELECT level, lang, source, rate, count(*) AS total,
-                         quantile_disc(edge, 0.25) AS q1, quantile_disc(edge, 0.75) AS q3
+                         quantile_disc(edge, 0.25) AS q1, quantile_disc(edge, 0.5) AS q2
                   FROM levels GROUP BY level, lang, source, rate),
-    fences AS (SELECT *, CASE WHEN rate IN ({low_rates}) THEN q1 - {quality.FENCE} * greatest(q3 - q1, {_spread()}) ELSE -1 END AS low,
-                      q3 + {quality.FENCE} * greatest(q3 - q1, {_spread()}) AS high FROM quartiles),
-    picked AS (SELECT o.lang, o.source, o.rate, CASE WHEN o.total >= {quality.MIN_DOCS} THEN o.low WHEN l.total >= {quality.MIN_DOCS} THEN l.low ELSE a.low END AS low,
-                      CASE WHEN o.total >= {quality.MIN_DOCS} THEN o.high WHEN l.total >= {quality.MIN_DOCS} THEN l.high ELSE a.high END AS high
-               FROM fences o JOIN fences l ON l.level = 'lang' AND l.lang IS NOT DISTINCT FROM o.lang AND l.rate = o.rate
-               JOIN fences a ON a.level = 'all' AND a.rate = o.rate WHERE o.level = 'own'),
+    by_lang AS (SELECT l.lang, l.rate, (l.total * l.q1 + {m} * a.q1) // (l.total + {m}) AS q1, (l.total * l.q2 + {m} * a.q2) // (l.total + {m}) AS q2
+                FROM quartiles l JOIN quartiles a ON a.level = 'all' AND a.rate = l.rate WHERE l.level = 'lang'),
+    picked AS (SELECT o.lang, o.source, o.rate, (o.total * o.q1 + {m} * l.q1) // (o.total + {m}) AS q1, (o.total * o.q2 + {m} * l.q2) // (o.total + {m}) AS q2
+               FROM quartiles o JOIN by_lang l ON l.lang IS NOT DISTINCT FROM o.lang AND l.rate = o.rate WHERE o.level = 'own'),
     cuts AS (SELECT lang, source, {cuts} FROM picked GROUP BY lang, source),
     judged_docs AS (SELECT s.*, coalesce(NOT s.base_failed AND {inside}, false) AS kept FROM stats s
                     LEFT JOIN cuts c ON c.lang IS NOT DISTINCT FROM s.lang AND c.source IS NOT DISTINCT FROM s.source)"""

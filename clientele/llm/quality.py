@@ -1,11 +1,15 @@
 """Quality rules: thresholds that adapt to language and source.
 
-Every document gets a few integer rates. Their distributions are kept as mergeable
-sketches: counts per bin, bins being exact below 32 and a sixteenth of a power of two
-wide above, so any quantile is off by a sixteenth of its value at most. Sketches add
-up, from (language, source) to language to everything, and do not depend on the order
-in which rows arrive. A threshold is a quartile fence of the narrowest sketch that has
-enough documents; documents meet their thresholds by a join.
+Every document gets a few integer rates. Their distributions, and those of the sizes they
+refer to, are kept as mergeable sketches: counts per bin, bins being exact below 32 and a
+sixteenth of a power of two wide above, so any quantile is off by a sixteenth of its value
+at most. Sketches add up, from (language, source) to language to everything, and do not
+depend on the order in which rows arrive. Quartiles of a source shrink to those of its
+language, and these to those of all documents, by their numbers of documents. A threshold
+lies some times the distance of the lower quartile and the median away from the median, as
+both stay in place while less than half of a source is junk. On top, a document may
+deviate by a few single events (a symbol, a repeated line) in its own size, or in
+the median size of its source if it is longer. Documents meet their thresholds by a join.
 """
 
 from __future__ import annotations
@@ -28,22 +32,32 @@ MAX_REPEAT_PERCENT = 20
 
 @dataclass(frozen=True)
 class Rate:
-    """A rate of a document, the least spread its fence assumes, and its sides."""
+    """Parts in ``times`` units of ``size``; the parts of one event; whether low rates are odd as well."""
     name: str
-    least_spread: int
+    times: int
+    size: str
+    event: int
     low: bool = False
 
+    def of(self, parts: str) -> Column:
+        return F.when(F.col(self.size) > 0, F.expr(f"{self.times} * {parts} div {self.size}")).otherwise(0)
 
+
+LEVELS = ("own", "lang", "all")
 RATES = (
-    Rate("symbol_rate", 100),      # symbols in 1000 words
-    Rate("dup_line_rate", 100),    # repeated lines in 1000 lines
-    Rate("repeat_rate", 50),       # words in repeated windows in 1000 words
-    Rate("upper_rate", 100),       # capitals A-Z in 1000 characters of words
-    Rate("word_length", 100, low=True),  # characters in 100 words
+    Rate("symbol_rate", 1000, "n_words", 1),
+    Rate("dup_line_rate", 1000, "n_lines", 1),
+    Rate("repeat_rate", 1000, "n_words", 2 * GRAM),  # a window and its repetition
+    Rate("upper_rate", 1000, "word_chars", 1),       # capitals A-Z
+    Rate("word_length", 100, "n_words", 10, low=True),  # characters; one odd word has ten more or less
 )
-FENCE = 3
-MIN_DOCS = 50
-LEVELS = ("own", "lang", "all")
+SIZES = ("n_words", "n_lines", "word_chars")
+# Distances of lower quartile and median, and single events, by which a document may deviate.
+FENCE = 8
+EVENTS = 5
+# Documents by which the wider sketch weighs when quartiles shrink to it.
+STRENGTH = 50
+CUTS = [f"{r.name}_{side}" for r in RATES for side in ("low", "high")] + [f"{s}_typical" for s in SIZES]
 
 
 def _repeated(grams: Column) -> Column:
@@ -92,22 +106,19 @@ def text_stats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
         (F.size("lines") - F.size(F.array_distinct("lines"))).cast("long").alias("n_dup_lines"),
         F.when(F.size(F.array_distinct("grams")) < F.size("grams"), _repeated(F.col("grams")))
         .otherwise(0).cast("long").alias("n_repeat_words"))
-    rate = lambda times, part, whole: F.when(F.col(whole) > 0, F.expr(f"{times} * {part} div {whole}")).otherwise(0)
+    parts = ("n_symbols", "n_dup_lines", "n_repeat_words", "n_upper", "word_chars")
     return stats.withColumns({
-        "symbol_rate": rate(1000, "n_symbols", "n_words"),
-        "dup_line_rate": rate(1000, "n_dup_lines", "n_lines"),
-        "repeat_rate": rate(1000, "n_repeat_words", "n_words"),
-        "upper_rate": rate(1000, "n_upper", "word_chars"),
-        "word_length": rate(100, "word_chars", "n_words"),
+        **{r.name: r.of(part) for r, part in zip(RATES, parts, strict=True)},
         "base_failed": (F.col("n_words") < MIN_WORDS)
         | (100 * F.col("n_repeat_words") > MAX_REPEAT_PERCENT * F.col("n_words"))})
 
 
 def sketch(stats: DataFrame) -> DataFrame:
-    """Counts per (lang, source, rate, bin) of documents that pass the base rule."""
+    """Counts per (lang, source, rate, bin) of documents that pass the base rule; sizes count as rates, too."""
     v = F.col("v")
     shift = F.length(F.bin(v)) - 5
-    rates = F.array(*[F.struct(F.lit(r.name).alias("rate"), F.col(r.name).alias("v")) for r in RATES])
+    rates = F.array(*[F.struct(F.lit(name).alias("rate"), F.col(name).cast("long").alias("v"))
+                      for name in (*[r.name for r in RATES], *SIZES)])
     return (stats.filter(~F.col("base_failed"))
             .select("lang", "source", F.inline(rates))
             .groupBy("lang", "source", "rate",
@@ -121,16 +132,16 @@ def _upper_edge(bin_: Column) -> Column:
             .otherwise(F.expr("shiftleft(bin - 16 * (bin div 16 - 1) + 1L, cast(bin div 16 - 1 as int)) - 1")))
 
 
-def thresholds(sketches: DataFrame, fence: int = FENCE, min_docs: int = MIN_DOCS) -> DataFrame:
-    """Per (lang, source): for each rate ``<rate>_low`` and ``<rate>_high``.
+def thresholds(sketches: DataFrame, fence: int = FENCE, strength: int = STRENGTH) -> DataFrame:
+    """Per (lang, source): for each rate ``<rate>_low`` and ``<rate>_high``, for each size ``<size>_typical``, its median.
 
-    A source with under ``min_docs`` documents in a language takes the thresholds of the
-    language, and those of all documents if the language has too few as well.
+    A source of n documents counts n times, its language ``strength`` times; likewise a
+    language among all documents. So small groups follow the wider ones, without a switch.
     """
     own = sketches.withColumn("level", F.lit("own"))
     lang = (sketches.groupBy("lang", "rate", "bin").agg(F.sum("n").alias("n"))
             .withColumns({"level": F.lit("lang"), "source": F.lit(None).cast("string")}))
-    every = (sketches.groupBy("rate", "bin").agg(F.sum("n").alias("n"))
+    every = (lang.groupBy("rate", "bin").agg(F.sum("n").alias("n"))
              .withColumns({"level": F.lit("all"), "lang": F.lit(None).cast("string"),
                            "source": F.lit(None).cast("string")}))
     group = Window.partitionBy("level", "lang", "source", "rate")
@@ -139,52 +150,49 @@ def thresholds(sketches: DataFrame, fence: int = FENCE, min_docs: int = MIN_DOCS
                  .withColumns({"below": F.sum("n").over(run), "total": F.sum("n").over(group),
                                "edge": _upper_edge(F.col("bin"))}))
     quartile = lambda k: F.min(F.when(4 * F.col("below") >= k * F.col("total"), F.col("edge")))
-    fences = cumulated.groupBy("level", "lang", "source", "rate", "total").agg(
-        quartile(1).alias("q1"), quartile(3).alias("q3"))
-    sides = []
-    for r in RATES:
-        spread = fence * F.greatest(F.col("q3") - F.col("q1"), F.lit(r.least_spread))
-        here = F.col("rate") == r.name
-        low = F.col("q1") - spread if r.low else F.lit(-1)
-        sides += [F.max(F.when(here, low)).alias(f"{r.name}_low"),
-                  F.max(F.when(here, F.col("q3") + spread)).alias(f"{r.name}_high")]
-    cuts = [f"{r.name}_{side}" for r in RATES for side in ("low", "high")]
-    table = fences.groupBy("level", "lang", "source", "total").agg(*sides)
-    at = {x: table.filter(F.col("level") == x) for x in LEVELS}
-    wide = at["own"].select("lang", "source", F.struct("total", *cuts).alias("own"))
-    by_lang = at["lang"].select(F.col("lang").alias("l"), F.struct("total", *cuts).alias("by_lang"))
-    by_all = at["all"].select(F.struct("total", *cuts).alias("by_all"))
-    enough = lambda c: F.col(c).getField("total") >= min_docs
-    return (wide.join(by_lang, F.col("lang").eqNullSafe(F.col("l")), "left").join(F.broadcast(by_all))
-            .select("lang", "source", F.when(enough("own"), F.col("own")).when(enough("by_lang"), F.col("by_lang"))
-                    .otherwise(F.col("by_all")).alias("cut"))
-            .select("lang", "source", *[F.col("cut").getField(c).alias(c) for c in cuts]))
-
-
-def quality_verdicts(docs: DataFrame, fence: int = FENCE, min_docs: int = MIN_DOCS, **columns: str) -> DataFrame:
+    found = cumulated.groupBy("level", "lang", "source", "rate", "total").agg(quartile(1).alias("q1"), quartile(2).alias("q2"))
+    at = {x: found.filter(F.col("level") == x).select("lang", "source", "rate", *[F.col(c).alias(f"{x}_{c}") for c in ("total", "q1", "q2")])
+          for x in LEVELS}
+
+    def shrunk(level: str, wide: str, q: str) -> Column:
+        return F.expr(f"({level}_total * {level}_{q} + {strength} * {wide}_{q}) div ({level}_total + {strength})")
+    by_lang = (at["lang"].drop("source").join(F.broadcast(at["all"].drop("lang", "source")), "rate")
+               .select(F.col("lang").alias("l"), F.col("rate").alias("r"), *[shrunk("lang", "all", q).alias(f"wide_{q}") for q in ("q1", "q2")]))
+    groups = (at["own"].join(by_lang, F.col("lang").eqNullSafe(F.col("l")) & (F.col("rate") == F.col("r")))
+              .select("lang", "source", "rate", *[shrunk("own", "wide", q).alias(q) for q in ("q1", "q2")]))
+    spread = fence * (F.col("q2") - F.col("q1"))
+    of = lambda name, value: F.max(F.when(F.col("rate") == name, value))
+    sides = [side for r in RATES for side in (of(r.name, F.col("q2") - spread if r.low else F.lit(None).cast("long")).alias(f"{r.name}_low"),
+                                              of(r.name, F.col("q2") + spread).alias(f"{r.name}_high"))]
+    return groups.groupBy("lang", "source").agg(*sides, *[of(s, F.col("q2")).alias(f"{s}_typical") for s in SIZES])
+
+
+def quality_verdicts(docs: DataFrame, fence: int = FENCE, strength: int = STRENGTH, **columns: str) -> DataFrame:
     """One row per document: counts, rates, ``base_failed`` and ``kept``.
 
     A document is kept if it passes the base rule and every rate lies within its
-    thresholds. NULL and empty texts fail the base rule; NULL language or source is a
+    thresholds. NULL and empty texts fail the base rule; very long texts are read whole; NULL language or source is a
     group of its own; rows equal in id and text get equal verdicts; other columns are
     ignored. An empty table gives an empty result.
     """
-    return _judged(staged(text_stats(docs, **columns)), fence, min_docs)
+    return _judged(staged(text_stats(docs, **columns)), fence, strength)
 
 
-def _judged(stats: DataFrame, fence: int, min_docs: int) -> DataFrame:
+def _judged(stats: DataFrame, fence: int, strength: int) -> DataFrame:
     """``stats`` with ``kept``; each row meets the thresholds of its group, no rows meet each other."""
     group = F.struct("lang", "source").alias("group")
-    cuts = thresholds(sketch(stats), fence, min_docs).select(
-        group, *[f"{r.name}_{side}" for r in RATES for side in ("low", "high")])
+    cuts = thresholds(sketch(stats), fence, strength).select(group, *CUTS)
     inside = ~F.col("base_failed")
     for r in RATES:
-        inside &= F.col(r.name).between(F.col(f"{r.name}_low"), F.col(f"{r.name}_high"))
+        step = F.expr(f"{EVENTS * r.times * r.event} div greatest(1, least({r.size}, {r.size}_typical))")
+        inside &= F.col(r.name) <= F.col(f"{r.name}_high") + step
+        if r.low:
+            inside &= F.col(r.name) >= F.col(f"{r.name}_low") - step
     return (lookup_join(stats.withColumn("group", group), cuts, "group", profile=stats.select(group))
             .withColumn("kept", F.coalesce(inside, F.lit(False))).select(*stats.columns, "kept"))
 
 
-def keep_good(docs: DataFrame, fence: int = FENCE, min_docs: int = MIN_DOCS, **columns: str) -> DataFrame:
+def keep_good(docs: DataFrame, fence: int = FENCE, strength: int = STRENGTH, **columns: str) -> DataFrame:
     """``docs`` without the documents that the rules reject; all columns as they were."""
-    judged = _judged(staged(text_stats(docs, whole_rows=True, **columns)), fence, min_docs)
+    judged = _judged(staged(text_stats(docs, whole_rows=True, **columns)), fence, strength)
     return unpacked(judged.filter("kept").select("row"), docs.columns)

@@ -207,16 +207,55 @@ def test_junk_goes_and_clean_documents_stay(make):
     assert quality.keep_good(docs.limit(0)).count() == 0
 
 
-def test_sketch_quartiles_are_within_a_sixteenth(make, spark):
+def test_sketch_medians_are_within_a_sixteenth(make, spark):
     values = [int(x) for x in np.random.default_rng(1).lognormal(4, 2, 500)]
-    names = [r.name for r in quality.RATES]
+    names = [*[r.name for r in quality.RATES], *quality.SIZES]
     stats = spark.createDataFrame([("en", "s", *[v] * len(names), False) for v in values],
                                   "lang string, source string, " + ", ".join(f"{n} long" for n in names) + ", base_failed boolean")
     cut = quality.thresholds(quality.sketch(stats), fence=0).first()
-    exact = sorted(values)[math.ceil(.75 * len(values)) - 1]
+    exact = sorted(values)[math.ceil(.5 * len(values)) - 1]
     assert exact <= cut["word_length_high"] <= exact * (1 + 1 / 16) + 1
 
 
+def capitals(rng, n, low, high):
+    """A text of n words in which ``low`` to ``high`` of a hundred words start with a capital."""
+    share = rng.uniform(low, high)
+    return " ".join(("Abcd" if rng.random() < share else "abcd") + str(rng.randrange(400)) for _ in range(n))
+
+
+def test_sources_of_different_spread_get_different_cuts(make):
+    rng = random.Random(8)
+    rows = [(i, capitals(rng, 200, .1, .12), "en", "even") for i in range(120)] + [(200 + i, capitals(rng, 200, .1, .9), "en", "wide") for i in range(120)]
+    odd = capitals(rng, 200, 1, 1)
+    docs = make([*rows, (500, odd, "en", "even"), (501, odd, "en", "wide")])
+    cuts = {r.source: r.upper_rate_high for r in quality.thresholds(quality.sketch(quality.text_stats(docs))).collect()}
+    assert cuts["even"] < cuts["wide"]
+    kept = {r.doc_id for r in quality.keep_good(docs).collect()}
+    assert kept == {i for i, *_ in rows} | {501}
+
+
+def test_junk_of_over_a_quarter_of_a_source_does_not_lift_its_cut(make):
+    rng = random.Random(9)
+    clean = [(i, prose(rng, 80), "en", "hot") for i in range(120)] + [(200 + i, prose(rng, 80), "en", "other") for i in range(60)]
+    junk = [(400 + i, " ".join(w + "#%" for w in prose(rng, 80).split()), "en", "hot") for i in range(70)]
+    assert {r.doc_id for r in quality.keep_good(make([*clean, *junk])).collect()} == {i for i, *_ in clean}
+
+
+def test_thresholds_have_no_switch_by_size_and_long_texts_keep_their_rate(make, spark):
+    rng = random.Random(10)
+    shared = [(i, prose(rng, 60, 10 ** 6), "en", "big") for i in range(200)]
+
+    def cut(n):
+        rows = [(1000 + i, capitals(rng, 200, .3, .31), "en", "small") for i in range(n)]
+        return next(r.upper_rate_high for r in quality.thresholds(quality.sketch(quality.text_stats(make([*shared, *rows])))).collect() if r.source == "small")
+    cuts = [cut(n) for n in (1, 25, 49, 50, 51, 100)]
+    assert cuts == sorted(cuts) and cuts[3] - cuts[2] < (cuts[2] - cuts[0]) / 3
+    # Twelve symbols are few in 20 000 words, and many in 30.
+    long, short = prose(rng, 20_000, 10 ** 6), prose(rng, 30, 10 ** 6)
+    docs = make([*shared, (2000, long + " #" * 12, "en", "big"), (2001, short + " #" * 12, "en", "big")])
+    assert {r.doc_id for r in quality.keep_good(docs).filter("doc_id >= 2000").collect()} == {2000}
+
+
 # classifier
 
 def test_rules_learn_and_do_not_read_held_out_labels(make, spark):
