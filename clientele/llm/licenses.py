@@ -1,26 +1,27 @@
 """License scans: sparse TF-IDF cosine to templates, inherited from the nearest directory.
 
-Headers are lines, up to ``WRAP`` adjacent lines, and blocks of lines without a blank one;
-a file as a whole is compared as well. Templates are notices, titles, SPDX tags, headers and
-the full texts in ``license_texts``. Terms are weighed by how rare they are among
-all lines of the corpus, counted for all terms. What cannot reach the limit, whatever
-its other terms weigh, is passed over; the distinct term sets of the rest are scored by
-joins on terms. A file has the license of the largest cosine. One without a match
-takes the license of the nearest directory above it that holds a licence file: one so
-marked, or one whose whole text is that of a license.
+Templates are notices, titles, SPDX tags, headers and the full texts in ``license_texts``.
+A term weighs (1 + log of its count) times its rarity among all lines of the corpus, counted
+for all terms. A header is a run of lines of any length. A file meets only templates of
+which its terms can make up enough. For each of these the run of lines nearest to the template is
+found by running sums: lines add what they share with it and lose a part of their own weight,
+and the stretch with the greatest sum wins. Such runs, and whole files, are then scored exactly by joins
+on terms. A file has the license of the largest cosine. One without a match takes the license
+of the nearest directory above it that holds a licence file: one so marked, or one that mostly
+is the text of a license.
 """
 
 from __future__ import annotations
 
 import math
+from collections import Counter
 from collections.abc import Mapping
-from itertools import accumulate
 from pathlib import Path
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from clientele.llm.common import column, word_count
+from clientele.llm.common import column
 from clientele.operators.skew import lookup_join
 from clientele.sources.staging import staged
 
@@ -68,29 +69,30 @@ SHORT_FORMS = {
 }
 TAGS = ("", "-only", "-or-later")
 TEXTS = Path(__file__).parent / "license_texts"
-# Lines over which a notice is wrapped.
-WRAP = 4
 LEAST_COSINE = 0.8
-# A line end before a blank line, and the white space in that line.
-BLANK_LINE = r"\n[\x20\x09\x0B-\x0D]*(?=\n)"
+# A file that matches a full text is a licence file if this share of its terms lies in the match.
+MOSTLY = 0.5
 TERM_BREAK = r"[^a-z0-9.-]+|[.-]+(?=[^a-z0-9]|$)"
-# A document of so few words with a license line is a licence file.
-LICENCE_FILE_WORDS = 50
 
 
-def terms(line: Column) -> Column:
-    """Distinct terms of a line: lower-case letters, digits, and dots or hyphens within."""
+def all_terms(line: Column) -> Column:
+    """Terms of a line: lower-case letters, digits, and dots or hyphens within."""
     lower = F.translate(line, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
-    return F.array_distinct(F.array_remove(F.split(lower, TERM_BREAK), ""))
+    return F.array_remove(F.split(lower, TERM_BREAK), "")
+
+
+def terms(line: Column) -> Column:
+    """Distinct terms of a line."""
+    return F.array_distinct(all_terms(line))
 
 
-def _terms_of(text: str) -> list[str]:
-    """As ``terms`` for a given text."""
+def _terms_of(text: str) -> Counter[str]:
+    """As ``all_terms`` for a given text, counted."""
     split = [t.rstrip(".-") for t in "".join(c if c.isalnum() or c in ".-" else " " for c in text.lower()).split()]
-    return list(dict.fromkeys(t for t in split if t))
+    return Counter(t for t in split if t)
 
 
-def template_terms(templates: Mapping[str, str]) -> list[tuple[str, list[str], bool]]:
+def template_terms(templates: Mapping[str, str]) -> list[tuple[str, Counter[str], bool]]:
     """License, terms, and whether it is a full text, of the notices given and of the other forms of their licenses."""
     found = []
     for name, notice in sorted(templates.items()):
@@ -120,65 +122,46 @@ def term_counts(lines: DataFrame) -> DataFrame:
     return staged(lines.select(every.alias("term")).groupBy("term").agg(F.count(F.lit(1)).alias("n")))
 
 
-class _Weights:
-    """Squared weights of terms, and bounds that follow for the templates (license, terms, full text)."""
+class _Templates:
+    """Weighted terms of the templates (license, terms, full text), given the lines with each term."""
 
-    def __init__(self, counts: DataFrame, templates: list[tuple[str, list[str], bool]], least: float):
+    def __init__(self, counts: DataFrame, templates: list[tuple[str, Counter[str], bool]], least: float):
         self.counts, self.templates, self.least = counts, templates, least
         vocabulary = F.concat(_listed(sorted({t for _, own, _ in templates for t in own})), F.array(F.lit("")))
         own = counts.sparkSession.range(1).select(F.explode(vocabulary).alias("term"))
         known = dict(counts.join(F.broadcast(own), "term").select("term", "n").collect())
         self.total = known.pop("", 0)
-        # No term weighs less than the most frequent one.
-        self.floor = self.square(counts.filter("term <> ''").agg(F.max("n")).first()[0] or 0)
-        self.squares = [sorted(((self.square(known.get(t, 0)), t) for t in own), reverse=True) for _, own, _ in templates]
-        self.sizes = [sum(w for w, _ in ws) for ws in self.squares]
-
-    def square(self, n: int) -> float:
-        return (math.log((1 + self.total) / (1 + n)) + 1) ** 2
+        self.weights = [{t: (1 + math.log(k)) * (math.log((1 + self.total) / (1 + known.get(t, 0))) + 1) for t, k in own.items()}
+                        for _, own, _ in templates]
+        self.sizes = [sum(w * w for w in ws.values()) for ws in self.weights]
 
     def needed(self) -> Column:
         """Terms of which a match holds one at least: without them it misses too much of each template."""
         found = set()
-        for ws, size in zip(self.squares, self.sizes, strict=True):
+        for ws, size in zip(self.weights, self.sizes, strict=True):
             missed = 0.0
-            for w, t in ws:
+            for t, w in sorted(ws.items(), key=lambda x: (-x[1], x[0])):
                 found.add(t)
-                missed += w
+                missed += w * w
                 if missed > (1 - self.least ** 2) * size * (1 + 1e-9):
                     break
         return _listed(sorted(found))
 
-    def possible(self, held: Column) -> Column:
-        """Whether terms can reach the limit: those shared weigh as the heaviest, others as the lightest."""
-        rows = []
-        for (_, own, _), ws, size in zip(self.templates, self.squares, self.sizes, strict=True):
-            most = F.lit([0.0, *accumulate(w for w, _ in ws)])
-            rows.append(F.struct(F.size(F.array_intersect(held, _listed(own))).alias("shared"), most.alias("most"),
-                                 F.lit(self.least ** 2 * size * (1 - 1e-9)).alias("limit")))
-
-        def reached(row: Column) -> Column:
-            x = F.element_at(row["most"], row["shared"] + 1)
-            return x * x >= (x + (F.size(held) - row["shared"]) * self.floor) * row["limit"]
-        return F.exists(F.array(*rows), reached)
-
-    def best(self, units: DataFrame) -> DataFrame:
-        """Per key of ``units`` (key, terms) over the limit: the best (cosine, place, license), first name of equal ones, and whether it is a full text."""
-        forms = units.groupBy("key").agg(F.first("terms").alias("terms")).select("key", F.explode("terms").alias("term"))
-        forms = staged(forms)
-        square = F.pow(F.log((1 + self.total) / (1 + F.col("n"))) + 1, 2)
-        weights = self.counts.join(forms.select("term").distinct(), "term").select("term", square.alias("square"))
-        weighted = staged(lookup_join(forms, weights, "term", "inner"))
-        rows = [F.struct(F.lit(-i).alias("place"), F.lit(name).alias("license"), F.lit(full).alias("full"), F.lit(size).alias("size"),
-                         _listed(own).alias("own"))
-                for i, ((name, own, full), size) in enumerate(zip(self.templates, self.sizes, strict=True))]
-        table = units.sparkSession.range(1).select(F.inline(F.array(*rows))).withColumn("term", F.explode("own")).drop("own")
-        norms = weighted.groupBy("key").agg(F.sum("square").alias("norm"))
-        shared = (weighted.join(F.broadcast(table), "term").groupBy("key", "place", "license", "full", "size")
-                  .agg(F.sum("square").alias("dot")))
-        cosine = F.round(F.col("dot") / F.sqrt(F.col("norm") * F.col("size")), 9)
-        return (shared.join(norms, "key").withColumn("cosine", cosine).filter(F.col("cosine") >= self.least)
-                .groupBy("key").agg(F.max(F.struct("cosine", "place", "license")).alias("best"), F.max("full").alias("full")))
+    def table(self) -> DataFrame:
+        """Terms of all templates: place (0, -1, ...), size, term, its weight and squared rarity; as large as the templates are."""
+        rows = [F.struct(F.lit(-i).alias("place"), F.lit(size).alias("size"), _listed(list(ws)).alias("terms"),
+                         F.lit(list(ws.values())).alias("weights"))
+                for i, (ws, size) in enumerate(zip(self.weights, self.sizes, strict=True))]
+        one = self.counts.sparkSession.range(1).select(F.inline(F.array(*rows)))
+        return one.select("place", "size", F.inline(F.arrays_zip(F.col("terms").alias("term"), F.col("weights").alias("weight"))))
+
+    def named(self) -> DataFrame:
+        """License, and whether it is a full text, by place."""
+        rows = [F.struct(F.lit(-i).alias("place"), F.lit(name).alias("license"), F.lit(full).alias("full")) for i, (name, _, full) in enumerate(self.templates)]
+        return self.counts.sparkSession.range(1).select(F.inline(F.array(*rows)))
+
+    def rarity(self) -> Column:
+        return F.log((1 + self.total) / (1 + F.col("n"))) + 1
 
 
 def _listed(words: list[str]) -> Column:
@@ -186,49 +169,71 @@ def _listed(words: list[str]) -> Column:
     return F.split(F.lit(" ".join(words)), " ") if words else F.array().cast("array<string>")
 
 
-def _key(held: Column) -> Column:
-    return F.md5(F.array_join(F.array_sort(held), " "))
+def _nearest_runs(weighted: DataFrame, pairs: DataFrame, table: DataFrame, least: float) -> DataFrame:
+    """Runs of lines (row, first, last) nearest to a template that their row may match.
 
-
-def _blocks(files: DataFrame, needed: Column) -> DataFrame:
-    """Blocks of lines with a needed term: file, number of the first line and the text, cut at blank lines.
-
-    Each cut takes one line end, so lines count on over the cuts.
+    A line shares s with a template and weighs w. A run over the limit c weighs between c and 1/c times the
+    template; the run with the greatest sum of s - p * w is the one of largest cosine if p is c / 2 over that
+    ratio. Three prices p over this range leave it under a hundredth below the largest, where no
+    term is on two lines. Sums are in millionths, so that they are exact.
     """
-    holding = files.filter(F.arrays_overlap(terms(F.col("text")), needed)).withColumn("row", F.monotonically_increasing_id())
-    blocks = holding.select("row", "file", F.posexplode(F.split("text", BLANK_LINE)).alias("number", "block"))
-    size = F.regexp_count("block", F.lit("\n")) + 1
-    after = F.sum(size).over(Window.partitionBy("row").orderBy("number"))
-    return blocks.withColumn("start", (after - size).cast("int")).filter(F.arrays_overlap(terms(F.col("block")), needed)).select("file", "start", "block")
-
-
-def _headers(blocks: DataFrame) -> DataFrame:
-    """Blocks, and every 1 to WRAP adjacent lines of them that hold terms: file, first line, terms."""
-    lines = F.transform(F.split("block", "\n"), lambda x, i: F.struct((F.col("start") + i).alias("line"), terms(x).alias("terms")))
-    held = blocks.select("file", F.filter(lines, lambda x: F.size(x["terms"]) > 0).alias("lines")).filter(F.size("lines") > 0)
-
-    def joined(part: Column) -> Column:
-        return F.struct(part[0]["line"].alias("line"), F.array_distinct(F.flatten(F.transform(part, lambda x: x["terms"]))).alias("terms"))
-
-    def windows(n: int) -> Column:
-        return F.transform("lines", lambda x, i: joined(F.slice("lines", i + 1, F.lit(n))))
-    return held.select("file", F.inline(F.concat(F.array(joined(F.col("lines"))), *[windows(n) for n in range(1, WRAP + 1)])))
+    square = F.pow("rarity", 2)
+    shared = (weighted.join(F.broadcast(table.select("term", "place")), "term").join(pairs, ["row", "place"])
+              .groupBy("row", "line", "place").agg(F.sum(square).alias("shared")))
+    every = weighted.groupBy("row", "line").agg(F.sum(square).alias("own")).join(pairs, "row")
+    lines = every.join(shared, ["row", "line", "place"], "left")
+    prices = [least * least / 2, least / 2, 0.5]
+    value = [F.round(1e6 * (F.coalesce("shared", F.lit(0.0)) - p * F.col("own"))).cast("long") for p in prices]
+    valued = lines.select("row", "place", "line", F.posexplode(F.array(*value)).alias("price", "value"))
+    run = Window.partitionBy("row", "place", "price").orderBy("line").rowsBetween(Window.unboundedPreceding, 0)
+    summed = valued.withColumn("upto", F.sum("value").over(run))
+    # The smallest sum before a line, the last of equal ones: the run that ends here starts after it.
+    start = F.min(F.struct((F.col("upto") - F.col("value")).alias("before"), (-F.col("line")).alias("minus"))).over(run)
+    ended = summed.withColumn("start", start).withColumn("sum", F.col("upto") - F.col("start.before"))
+    best = ended.groupBy("row", "place", "price").agg(
+        F.max(F.struct(F.col("sum"), (-F.col("line")).alias("minus"), F.col("start.minus").alias("start"))).alias("b"))
+    return best.filter("b.sum > 0").select("row", (-F.col("b.start")).alias("first"), (-F.col("b.minus")).alias("last")).distinct()
 
 
 def header_matches(files: DataFrame, templates: Mapping[str, str] = TEMPLATES, least: float = LEAST_COSINE) -> DataFrame:
-    """Per file with a match, from (file, text): license and cosine of its best header or whole
-    text, the line where that starts, and whether the whole text is that of a license."""
-    weights = _Weights(term_counts(_lines(files)), template_terms(templates), least)
-    needed = weights.needed()
-    headers = _headers(_blocks(files, needed)).withColumn("whole", F.lit(False))
-    whole = _once(files, "file", line=F.lit(0), terms=terms(F.col("text")), whole=F.lit(True))
-    near = headers.unionByName(whole).filter(F.arrays_overlap("terms", needed))
-    near = staged(near.filter(weights.possible(F.col("terms"))).withColumn("key", _key(F.col("terms"))))
-    matched = lookup_join(near.select("file", "line", "whole", "key"), weights.best(near), "key", "inner")
-    return (matched.groupBy("file")
-            .agg(F.max(F.struct(F.col("best.cosine").alias("cosine"), (-F.col("line")).alias("minus"), F.col("best.place").alias("place"),
-                                F.col("best.license").alias("license"))).alias("m"), F.max(F.col("whole") & F.col("full")).alias("whole"))
-            .select("file", F.col("m.license").alias("license"), F.col("m.cosine").alias("cosine"), (-F.col("m.minus")).alias("line"), "whole"))
+    """Per file with a match, from (file, text): license and cosine of its best run of lines or whole
+    text, the line where that starts, the share of the file's terms in it, and whether it matches a full text."""
+    counts = term_counts(_lines(files))
+    given = _Templates(counts, template_terms(templates), least)
+    table = staged(given.table())
+    near = files.filter(F.arrays_overlap(terms(F.col("text")), given.needed())).withColumn("row", F.monotonically_increasing_id())
+    lines = near.select("row", "file", F.posexplode(F.split("text", "\n")).alias("line", "content"))
+    lines = staged(lines.select("row", "file", "line", all_terms(F.col("content")).alias("terms")).filter(F.size("terms") > 0))
+    tokens = lines.select("row", "line", F.explode("terms").alias("term"))
+    # No vector has a larger cosine than the root of the share of the template on the terms that both have.
+    held = tokens.join(F.broadcast(table.select("term").distinct()), "term", "left_semi").select("row", "term").distinct()
+    enough = F.sum(F.pow("weight", 2)) >= least ** 2 * F.col("size") * (1 - 1e-9)
+    pairs = staged(held.join(F.broadcast(table), "term").groupBy("row", "place", "size").agg(enough.alias("enough"))
+                   .filter("enough").select("row", "place"))
+    counted = staged(tokens.join(pairs.select("row").distinct(), "row", "left_semi")
+                     .groupBy("row", "line", "term").agg(F.count(F.lit(1)).alias("tf")))
+    rarity = counts.join(counted.select("term").distinct(), "term").select("term", given.rarity().alias("rarity"))
+    weighted = staged(lookup_join(counted, rarity, "term", "inner"))
+    whole = weighted.groupBy("row").agg(F.min("line").alias("first"), F.max("line").alias("last"))
+    runs = _nearest_runs(weighted, pairs, table, least).unionByName(whole).distinct()
+    parts = (runs.join(weighted, "row").filter("line between first and last")
+             .groupBy("row", "first", "last", "term").agg(F.sum("tf").alias("tf"), F.first("rarity").alias("rarity"))
+             .withColumn("w", (1 + F.log("tf")) * F.col("rarity")))
+    parts = staged(parts.select("row", "first", "last", "term", "tf", "w"))
+    norms = parts.groupBy("row", "first", "last").agg(F.sum(F.col("w") * F.col("w")).alias("norm"), F.sum("tf").alias("held"))
+    dots = (parts.join(F.broadcast(table), "term").groupBy("row", "first", "last", "place", "size")
+            .agg(F.sum(F.col("w") * F.col("weight")).alias("dot")))
+    cosine = F.round(F.col("dot") / F.sqrt(F.col("norm") * F.col("size")), 9)
+    scored = dots.join(norms, ["row", "first", "last"]).withColumn("cosine", cosine).filter(F.col("cosine") >= least)
+    sizes = weighted.groupBy("row").agg(F.sum("tf").alias("all"))
+    scored = scored.join(sizes, "row").withColumn("share", F.col("held") / F.col("all")).join(F.broadcast(given.named()), "place")
+    full = F.col("full") & (F.col("share") >= MOSTLY)
+    best = F.max(F.struct("cosine", (-F.col("first")).alias("minus"), "place", "share", "license")).alias("m")
+    by_row = scored.groupBy("row").agg(best, F.max(full).alias("full"))
+    names = lines.select("row", "file").distinct()
+    return (by_row.join(names, "row").groupBy("file").agg(F.max("m").alias("m"), F.max("full").alias("full"))
+            .select("file", F.col("m.license").alias("license"), F.col("m.cosine").alias("cosine"), (-F.col("m.minus")).alias("line"),
+                    F.col("m.share").alias("share"), "full"))
 
 
 def ancestors(path: Column) -> Column:
@@ -239,21 +244,25 @@ def ancestors(path: Column) -> Column:
 
 
 def scan_licenses(files: DataFrame, is_licence_file: Column, templates: Mapping[str, str] = TEMPLATES, least: float = LEAST_COSINE,
-                  file_col: str = "doc_id", path_col: str = "path", text_col: str = "text") -> DataFrame:
+                  file_col: str = "doc_id", path_col: str = "path", text_col: str = "text", mostly: float | None = None) -> DataFrame:
     """Per file: license, cosine and line of its own match, or the directory it inherits from.
 
     ``is_licence_file`` marks files whose license holds for their directory, as does that of a
-    file whose whole text is a license; of several in
-    one directory the largest cosine counts, then the smallest file. NULL texts match
-    nothing, NULL paths inherit nothing; rows that repeat a file are one file with the texts
+    file most of whose text is the full text of a license, and, if ``mostly`` is given, of a file
+    with at least that share of its terms in its match; of several in
+    one directory the largest cosine counts, then the smallest file. NULL and empty texts match
+    nothing, NULL paths inherit nothing; very long texts are read whole; rows that repeat a file are one file with the texts
     of all; other columns are ignored; an empty table gives an empty result.
     """
     rows = staged(files.select(column(files, file_col).alias("file"), column(files, path_col).alias("path"), is_licence_file.alias("for_all")))
     own = staged(header_matches(files.select(column(files, file_col).alias("file"), column(files, text_col).alias("text")), templates, least))
     matched = rows.join(own, "file", "left")
-    holders = (matched.filter((F.col("for_all") | F.col("whole")) & F.col("license").isNotNull() & F.col("path").isNotNull())
+    holds = F.col("for_all") | F.col("full")
+    if mostly is not None:
+        holds |= F.col("share") >= mostly
+    holders = (matched.filter(holds & F.col("license").isNotNull() & F.col("path").isNotNull())
                .groupBy(F.element_at(F.concat(ancestors(F.col("path")), F.array(F.lit(""))), 1).alias("directory"))
-               .agg(F.max_by("license", F.struct("cosine", (-F.xxhash64("file")).alias("tie"))).alias("inherited")))
+               .agg(F.min_by("license", F.struct((-F.col("cosine")).alias("minus"), F.col("file"))).alias("inherited")))
     # Directories are far fewer than files: each finds its nearest holder once.
     place = F.element_at(F.concat(ancestors(F.col("path")), F.array(F.lit(""))), 1)
     above = rows.filter(F.col("path").isNotNull()).select(place.alias("place")).distinct()
@@ -271,5 +280,4 @@ def documents_as_files(docs: DataFrame) -> DataFrame:
     """The documents table as a tree of files: source, language, and one directory per 20 ids."""
     folder = F.expr("cast(doc_id div 20 as string)")
     parts = [F.coalesce(F.col("source"), F.lit("-")), F.coalesce(F.col("lang"), F.lit("-")), folder, F.col("doc_id").cast("string")]
-    return docs.select("doc_id", "text", F.concat_ws("/", *parts).alias("path"),
-                       (word_count(F.col("text")) <= LICENCE_FILE_WORDS).alias("short"))
+    return docs.select("doc_id", "text", F.concat_ws("/", *parts).alias("path"))

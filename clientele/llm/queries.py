@@ -53,7 +53,7 @@ def secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     files = licenses.documents_as_files(read(spark, sf_dir, "documents"))
-    return licenses.scan_licenses(files, F.col("short")).withColumnRenamed("file", "doc_id")
+    return licenses.scan_licenses(files, F.lit(False), mostly=licenses.MOSTLY).withColumnRenamed("file", "doc_id")
 
 
 def mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -5,6 +5,7 @@ import json
 import math
 import random
 import re
+from collections import Counter
 
 import numpy as np
 import pytest
@@ -472,6 +473,80 @@ def test_licence_files_titles_and_wrapped_headers_match(spark):
         200: ("GPL-3.0", 3), 201: ("MPL-2.0", 2), 202: ("MIT", 0), 203: (None, None), 204: ("Apache-2.0", 2), 205: ("GPL-2.0", 0)}
 
 
+def vector(counted, weight):
+    """Weights of counted terms, and their length."""
+    found = {t: (1 + math.log(n)) * weight[t] for t, n in counted.items()}
+    return found, math.sqrt(sum(x * x for x in found.values()))
+
+
+def test_license_runs_and_inheritance_equal_brute_force(spark):
+    rng = random.Random(12)
+    notice = {"MIT": "Released under the MIT License", "GPL-3.0": "This work is licensed under the GNU General Public License, version 3"}
+    files = []
+    for i in range(60):
+        out = [prose(rng, rng.randrange(1, 7), 60) for _ in range(rng.randrange(0, 5))]
+        if i % 3:
+            w = rng.choice([*notice.values(), licenses.SHORT_FORMS["Apache-2.0"][2]]).split()
+            w = [x if rng.random() > .08 else prose(rng, 1, 60) for x in w]
+            n = rng.choice([2, 3, 5, 20])
+            out[len(out) // 2:len(out) // 2] = ["# " + " ".join(w[j:j + n]) for j in range(0, len(w), n)]
+        files.append((i, "/".join(rng.choice("ab") for _ in range(rng.randrange(1, 5))) + f"/f{i}", "\n".join(out)))
+    df = spark.createDataFrame(files, "doc_id long, path string, text string")
+    marked = {i for i, *_ in files if i % 4 == 1}
+    got = {r.file: r for r in licenses.scan_licenses(df, F.col("doc_id") % 4 == 1).collect()}
+    split = {i: [(n, [t.strip(".-") for t in re.findall(r"[a-z0-9.-]+", x.lower()) if t.strip(".-")]) for n, x in enumerate(t.split("\n"))] for i, _, t in files}
+    split = {i: [(n, t) for n, t in x if t] for i, x in split.items()}
+    every = [set(t) for x in split.values() for _, t in x]
+    table = [(name, own) for name, own, _ in licenses.template_terms(licenses.TEMPLATES)]
+    weight = {t: math.log((1 + len(every)) / (1 + sum(t in x for x in every))) + 1 for t in set().union(*every, *[own for _, own in table])}
+    table = [(name, *vector(own, weight)) for name, own in table]
+    exact = 0
+    for i, x in split.items():
+        best = {}
+        for a in range(len(x)):
+            for b in range(a, len(x)):
+                held, length = vector(Counter(t for _, ts in x[a:b + 1] for t in ts), weight)
+                for name, own, size in table:
+                    c = sum(v * own.get(t, 0) for t, v in held.items()) / length / size
+                    best.setdefault((name, x[a][0]), []).append(c)
+        top = max((c for cs in best.values() for c in cs), default=0)
+        if got[i].cosine is None:
+            assert top < licenses.LEAST_COSINE * 1.02
+            continue
+        # The cosine stated is that of a run of that license from that line, and near the largest of all runs.
+        assert min(abs(c - got[i].cosine) for c in best[got[i].license, got[i].line]) < 1e-8
+        assert got[i].cosine >= .98 * top
+        exact += abs(got[i].cosine - top) < 1e-8
+    assert exact >= .9 * sum(r.cosine is not None for r in got.values()) > 20
+    holders = {}
+    for i in sorted(marked, key=lambda i: (-(got[i].cosine or 0), i)):
+        if got[i].cosine is not None:
+            holders.setdefault(files[i][1].rsplit("/", 1)[0], got[i].license)
+    for i, path, _ in files:
+        above = [path.rsplit("/", n)[0] for n in range(1, path.count("/") + 1)]
+        found = next((d for d in above if d in holders), None)
+        if got[i].cosine is None:
+            assert (got[i].license, got[i].inherited_from) == (holders.get(found), found)
+
+
+def test_equal_licence_files_go_by_the_smallest_file(spark):
+    files = [(f * 2 + k, f"d{f}/{k}", text) for f in range(6) for k, text in enumerate(("Licensed under CC BY 4.0", "Released under the MIT License"))]
+    files += [(100 + f, f"d{f}/x", "plain words") for f in range(6)]
+    df = spark.createDataFrame(files, "doc_id long, path string, text string").withColumn("file", F.lit("clash")).withColumn("row", F.lit(1))
+    got = {r.file: r.license for r in licenses.scan_licenses(df.unionByName(df), F.col("doc_id") < 100).collect()}
+    assert len(got) == 18 and {got[100 + f] for f in range(6)} == {"CC-BY-4.0"}
+
+
+def test_notices_over_any_number_of_lines_and_very_long_texts(spark):
+    rng = random.Random(13)
+    text = licenses.SHORT_FORMS["Apache-2.0"][2].split()
+    code = "\n".join(prose(rng, 9) for _ in range(3000))
+    files = [(1, "a/x", code + "\n" + "\n".join(f"// {w}" for w in text) + "\n" + code), (2, "b/x", code), (3, "c/x", prose(rng, 60_000)), (4, "d/x", ""), (5, "e/x", None)]
+    df = spark.createDataFrame(files, "doc_id long, path string, text string")
+    got = {r.file: (r.license, r.line) for r in licenses.scan_licenses(df, F.lit(False)).collect()}
+    assert got == {1: ("Apache-2.0", 3000), 2: (None, None), 3: (None, None), 4: (None, None), 5: (None, None)}
+
+
 # chat
 
 def test_any_text_survives_the_template(spark):
