@@ -22,7 +22,6 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from clientele.llm.common import column
-from clientele.operators.skew import lookup_join
 from clientele.sources.staging import staged
 
 # Usual license notices.
@@ -72,6 +71,8 @@ TEXTS = Path(__file__).parent / "license_texts"
 LEAST_COSINE = 0.8
 # A file that matches a full text is a licence file if this share of its terms lies in the match.
 MOSTLY = 0.5
+# Bound of the frequent terms.
+FREQUENT = 100_000
 TERM_BREAK = r"[^a-z0-9.-]+|[.-]+(?=[^a-z0-9]|$)"
 
 
@@ -169,6 +170,19 @@ def _listed(words: list[str]) -> Column:
     return F.split(F.lit(" ".join(words)), " ") if words else F.array().cast("array<string>")
 
 
+def _with_rarity(counted: DataFrame, rarity: DataFrame) -> DataFrame:
+    """``counted`` with the rarity of its terms.
+
+    Terms on more than one of ``FREQUENT`` occurrences are less than ``FREQUENT`` whatever the corpus is, so these are
+    sent to all tasks; the others are joined by term, none of which holds more than that part of the rows.
+    """
+    every = rarity.filter("term <> ''").agg(F.sum("n")).first()[0] or 0
+    often = F.col("n") > every / FREQUENT
+    frequent = F.broadcast(rarity.filter(often).drop("n"))
+    return (counted.join(frequent, "term")
+            .unionByName(counted.join(frequent.drop("rarity"), "term", "left_anti").join(rarity.filter(~often).drop("n"), "term")))
+
+
 def _nearest_runs(weighted: DataFrame, pairs: DataFrame, table: DataFrame, least: float) -> DataFrame:
     """Runs of lines (row, first, last) nearest to a template that their row may match.
 
@@ -212,8 +226,7 @@ def header_matches(files: DataFrame, templates: Mapping[str, str] = TEMPLATES, l
                    .filter("enough").select("row", "place"))
     counted = staged(tokens.join(pairs.select("row").distinct(), "row", "left_semi")
                      .groupBy("row", "line", "term").agg(F.count(F.lit(1)).alias("tf")))
-    rarity = counts.join(counted.select("term").distinct(), "term").select("term", given.rarity().alias("rarity"))
-    weighted = staged(lookup_join(counted, rarity, "term", "inner"))
+    weighted = staged(_with_rarity(counted, counts.select("term", "n", given.rarity().alias("rarity"))))
     whole = weighted.groupBy("row").agg(F.min("line").alias("first"), F.max("line").alias("last"))
     runs = _nearest_runs(weighted, pairs, table, least).unionByName(whole).distinct()
     parts = (runs.join(weighted, "row").filter("line between first and last")
