@@ -234,10 +234,10 @@ URL_FILTERS = rf"""WITH urls AS (
          coalesce(regexp_extract(url, '(?s)^.*?://([^/?#]*)([^?#]*)', 2), '') AS path FROM pages),
 known AS (SELECT doc_id AS page_id, max((quality = 0 OR toxic = 1)::INT) AS bad FROM labels GROUP BY doc_id),
 by_host AS (SELECT host, count(bad) AS n, coalesce(sum(bad), 0) AS bad,
-                   string_split(regexp_replace(regexp_replace(host, '^.*@', ''), ':[0-9]*$', ''), '.') AS parts
+                   regexp_replace(regexp_replace(regexp_replace(host, '(?s)^.*@', ''), ':[0-9]*$', ''), '\.$', '') AS bare, string_split(bare, '.') AS parts
             FROM urls LEFT JOIN known USING (page_id) GROUP BY host),
-named AS (SELECT host, n, bad, CASE WHEN array_to_string(parts[-2:], '.') IN ({_two_labels()}) THEN array_to_string(parts[-2:], '.') ELSE parts[-1] END AS suffix,
-                 CASE WHEN array_to_string(parts[-2:], '.') IN ({_two_labels()}) THEN array_to_string(parts[-3:], '.') ELSE array_to_string(parts[-2:], '.') END AS domain FROM by_host),
+named AS (SELECT host, n, bad, CASE WHEN regexp_matches(bare, '{reputation.ADDRESS}') THEN '[]' WHEN array_to_string(parts[-2:], '.') IN ({_two_labels()}) THEN array_to_string(parts[-2:], '.') ELSE parts[-1] END AS suffix,
+                 CASE WHEN regexp_matches(bare, '{reputation.ADDRESS}') THEN bare WHEN array_to_string(parts[-2:], '.') IN ({_two_labels()}) THEN array_to_string(parts[-3:], '.') ELSE array_to_string(parts[-2:], '.') END AS domain FROM by_host),
 suffix_sums AS (SELECT suffix, sum(n) AS n, sum(bad) AS bad, (SELECT coalesce(sum(bad) / nullif(sum(n), 0), 0) FROM named) AS prior FROM named GROUP BY suffix),
 suffix_strength AS ({_strength('suffix_sums')}),
 domain_counts AS (SELECT suffix, domain, sum(n) AS n, sum(bad) AS bad FROM named GROUP BY suffix, domain),

@@ -426,6 +426,58 @@ def test_bad_hosts_are_blocked_and_few_labels_are_not_enough(spark):
     assert verdicts["bad.shop.test"] == "block" and verdicts["h1.fine.test"] == "allow" and verdicts["one.other.test"] == "allow"
 
 
+def brute_domain(host, rules):
+    """(suffix, domain) by trying every tail of the host, the longest first."""
+    bare = re.sub(r"\.$", "", re.sub(":[0-9]*$", "", re.sub("(?s)^.*@", "", host)))
+    if re.fullmatch(r"[0-9]{1,3}(\.[0-9]{1,3}){3}", bare) or re.fullmatch(r"\[.*\]", bare):
+        return "[]", bare
+    labels, n = bare.split("."), 1
+    tails = [(k, ".".join(labels[-k:]), ".".join(["*", *labels[-k:][1:]])) for k in range(1, len(labels) + 1)]
+    excepted = [k - 1 for k, tail, _ in tails if "!" + tail in rules]
+    n = max(excepted or [k for k, tail, wild in tails if tail in rules or k > 1 and wild in rules], default=1)
+    return ".".join(labels[-n:]), ".".join(labels[-n - 1:])
+
+
+def test_domains_go_by_the_longest_suffix_rule(spark):
+    rules = ["co.uk", "COM.sg", "github.io", "*.ck", "!www.ck", "a.b.c.test", "b.c.test", "", None, "co.uk", "io"]
+    hosts = ["", "com", "x.com", "a.x.com", "co.uk", "shop.co.uk", "www.shop.co.uk:8080", "u@p@a.com.sg", "b.com.sg", "me.github.io", "w.me.github.io",
+             "github.io", "ck", "foo.ck", "x.foo.ck", "y.x.foo.ck", "www.ck", "z.www.ck", "10.0.0.1", "11.5.0.1:80", "[::1]:443", "x.com.", "1.2.3",
+             "d.a.b.c.test", "e.d.a.b.c.test", "q.b.c.test", "c.test", "l." * 30_000 + "co.uk", "..", "a..com"]
+    table = spark.createDataFrame([(r,) for r in rules], "rule string")
+    got = {r.host: (r.suffix, r.domain) for r in reputation.with_domains(spark.createDataFrame([(h,) for h in hosts], "host string"), table).collect()}
+    assert got == {h: brute_domain(h, {(r or "").lower() for r in rules} - {""}) for h in hosts}
+    assert got["www.shop.co.uk:8080"] == ("co.uk", "shop.co.uk") and got["10.0.0.1"] != got["11.5.0.1:80"]
+    none = reputation.with_domains(spark.createDataFrame([("a.co.uk",)], "host string"), table.limit(0)).first()
+    assert (none.suffix, none.domain) == ("uk", "co.uk")
+
+
+def test_neighbours_of_a_shared_suffix_or_address_do_not_lend_their_rate(spark):
+    pages = ([(i, f"http://bad.github.io/{i}") for i in range(60)] + [(i, f"http://10.0.0.1/{i}") for i in range(100, 160)]
+             + [(200, "http://good.github.io/"), (201, "http://11.5.0.1/")] + [(i, f"http://h{i}.fine.test/") for i in range(300, 400)])
+    labels = [(i, int(i < 200)) for i, _ in pages if i not in (200, 201)]
+    judged = reputation.judge_urls(spark.createDataFrame(pages, "page_id long, url string"), spark.createDataFrame(labels, "page_id long, bad int"), rules=(),
+                                   suffixes=spark.createDataFrame([("github.io",)], "rule string"))
+    bound = {r.host: r.bad_bound for r in judged.select("host", "bad_bound").distinct().collect()}
+    assert bound["bad.github.io"] > .5 and bound["10.0.0.1"] > .5
+    assert bound["good.github.io"] < bound["bad.github.io"] and bound["11.5.0.1"] < bound["10.0.0.1"]
+
+
+@pytest.mark.parametrize("frequent", [1, 3, 20_000])
+def test_verdicts_do_not_depend_on_which_hosts_are_frequent(spark, monkeypatch, frequent):
+    monkeypatch.setattr(reputation, "FREQUENT", frequent)
+    rng = random.Random(4)
+    pages = [(i // 2 if i % 7 else None, rng.choice([None, "", "http://big.a.com/x", "http://big.a.com/y", f"http://h{rng.randrange(9)}.{rng.choice('abc')}.{rng.choice(['com', 'test'])}/"]), "own", "own")
+             for i in range(400)]
+    frame = spark.createDataFrame(pages, "page_id long, url string, host string, pages string")
+    labels = spark.createDataFrame([(i, int(i % 3 == 0)) for i in range(0, 200, 2)] + [(None, 1), (4, None), (6, 0)], "page_id long, bad int")
+    judged = sorted(map(tuple, reputation.judge_urls(frame, labels).select("page_id", "host", "path", "rule", "verdict", F.round("bad_bound", 9).alias("b")).collect()), key=str)
+    assert len(judged) == 400
+    monkeypatch.setattr(reputation, "FREQUENT", 7)
+    again = reputation.judge_urls(frame, labels).select("page_id", "host", "path", "rule", "verdict", F.round("bad_bound", 9).alias("b")).collect()
+    assert judged == sorted(map(tuple, again), key=str)
+    assert reputation.judge_urls(frame.limit(0), labels).count() == 0
+
+
 # licenses
 
 def test_headers_match_and_directories_inherit(spark):
