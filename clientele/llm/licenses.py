@@ -73,13 +73,13 @@ LEAST_COSINE = 0.8
 MOSTLY = 0.5
 # Bound of the frequent terms.
 FREQUENT = 100_000
-TERM_BREAK = r"[^a-z0-9.-]+|[.-]+(?=[^a-z0-9]|$)"
+TERM = r"[.-]?[a-z0-9]++(?:[.-][a-z0-9]++)*+"
 
 
 def all_terms(line: Column) -> Column:
-    """Terms of a line: lower-case letters, digits, and dots or hyphens within."""
+    """Terms of a line: lower-case letters, digits, and single dots or hyphens before or within."""
     lower = F.translate(line, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
-    return F.array_remove(F.split(lower, TERM_BREAK), "")
+    return F.regexp_extract_all(lower, F.lit(TERM), F.lit(0))
 
 
 def terms(line: Column) -> Column:
@@ -215,7 +215,7 @@ def header_matches(files: DataFrame, templates: Mapping[str, str] = TEMPLATES, l
     counts = term_counts(_lines(files))
     given = _Templates(counts, template_terms(templates), least)
     table = staged(given.table())
-    near = files.filter(F.arrays_overlap(terms(F.col("text")), given.needed())).withColumn("row", F.monotonically_increasing_id())
+    near = files.filter(F.arrays_overlap(all_terms(F.col("text")), given.needed())).withColumn("row", F.monotonically_increasing_id())
     lines = near.select("row", "file", F.posexplode(F.split("text", "\n")).alias("line", "content"))
     lines = staged(lines.select("row", "file", "line", all_terms(F.col("content")).alias("terms")).filter(F.size("terms") > 0))
     tokens = lines.select("row", "line", F.explode("terms").alias("term"))
