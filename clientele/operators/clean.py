@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from clientele.config import MEMBER
-from clientele.operators.skew import lookup_join
+from clientele.operators.skew import distinct_lookup_join, lookup_join
 
 TEXT_COLUMNS = (
     "region_key", "shop_code", "invoice_no", "item_code", "shop_brand", "vip_no",
@@ -61,6 +61,13 @@ def resolve_member(sales: DataFrame, key_map: DataFrame,
             .withColumn(MEMBER, F.coalesce("_main", "vip_no")).drop("_main"))
 
 
+def dedup_resolve(df: DataFrame, brands: Iterable[str], key_map: DataFrame, profile: DataFrame | None = None) -> DataFrame:
+    """``dedup_sales``, then ``resolve_member``, with one move of the lines where no card is heavy."""
+    main = key_map.select("vip_no", F.col(MEMBER).alias("_main"))
+    return (distinct_lookup_join(df.filter(F.col("shop_brand").isin(*brands)), main, "vip_no", profile=profile)
+            .select(*df.columns, F.coalesce("_main", "vip_no").alias(MEMBER)))
+
+
 def between_dates(df: DataFrame, first: date, last: date, day: str = "order_date") -> DataFrame:
     """Both ends included."""
     if not (isinstance(first, date) and isinstance(last, date)):

@@ -9,7 +9,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from clientele.config import MEMBER, ChannelRule
-from clientele.operators.skew import lookup_join, spread_join
+from clientele.operators.skew import drop_keys, lookup_join
+from clientele.sources.staging import staged
 
 TRANSACTION_COLUMNS = (
     "region_key", "sub_region", "shop_code", "invoice_no", "item_code", "order_date",
@@ -50,13 +51,13 @@ def drop_net_zero_orders(df: DataFrame, key: str = "sales_main_key",
                          qty: str = "sold_qty", rows: int | None = None) -> DataFrame:
     """Orders whose quantities add to zero, or to nothing, go; so do unkeyed lines.
 
-    Full returns are few, so the orders to remove are joined, not those to keep.
-    ``rows`` is the size of ``df`` at most, where known.
+    Full returns are few, so the orders to remove are joined, not those to keep, and only lines that may be
+    theirs move. ``df`` should be stored; ``rows`` is its size at most, where known.
     """
     keyed = df.filter(F.col(key).isNotNull())
     totals = keyed.groupBy(key).agg(F.sum(qty).alias("_total"))
-    gone = totals.filter(F.col("_total").isNull() | (F.col("_total") == 0)).select(key)
-    return spread_join(keyed, gone, key, "left_anti", rows=rows).select(*df.columns)
+    gone = staged(totals.filter(F.col("_total").isNull() | (F.col("_total") == 0)).select(key))
+    return drop_keys(keyed, gone, key, rows).select(*df.columns)
 
 
 def channel_condition(rule: ChannelRule) -> Column:

@@ -13,7 +13,7 @@ from clientele.functions.dates import yyyymm
 from clientele.operators import clean, dimensions, mart
 from clientele.operators.skew import lookup_join
 from clientele.sources import io
-from clientele.sources.staging import job, staged_counted
+from clientele.sources.staging import job, staged, staged_counted
 
 BRAND_MEMBER_COLUMNS = {
     "BA": ("vip_ba_first_pur_date", "vip_ba_vip_type"),
@@ -25,11 +25,14 @@ FIRST_PURCHASE_COLUMNS = {"BA": "first_pur_ba", "BP": "first_pur_bp"}
 def sales_history(tables: Mapping[str, DataFrame], brands: Iterable[str] = SALES_BRANDS,
                   amount_type: str = "decimal(10,0)") -> DataFrame:
     """Clean distinct lines of the brands over all time, with main member numbers."""
-    brands = list(brands)
     lines = clean.trim_strings(clean.project_sales(tables["sales"], amount_type))
-    return clean.resolve_member(clean.dedup_sales(lines, brands),
-                                clean.member_key_map(tables["members"]),
-                                profile=lines.filter(F.col("shop_brand").isin(*brands)))
+    return _resolved(lines, list(brands), tables)
+
+
+def _resolved(lines: DataFrame, brands: list[str], tables: Mapping[str, DataFrame], profile: DataFrame | None = None) -> DataFrame:
+    if profile is None:
+        profile = lines.filter(F.col("shop_brand").isin(*brands))
+    return clean.dedup_resolve(lines, brands, clean.member_key_map(tables["members"]), profile)
 
 
 def valid_lines(tables: Mapping[str, DataFrame], period: Period,
@@ -38,18 +41,17 @@ def valid_lines(tables: Mapping[str, DataFrame], period: Period,
     """Enriched lines of the window without net-zero orders.
 
     The enriched lines are staged: order totals then read two columns of them
-    instead of running the joins again.
+    instead of running the joins again. So are the keys of the lines, which every join searches for heavy ones.
     """
     brands = list(brands)
-    history = sales_history(tables, brands, amount_type)
-    raw = clean.trim_strings(clean.project_sales(tables["sales"], amount_type))
+    lines = clean.between_dates(clean.trim_strings(clean.project_sales(tables["sales"], amount_type)), period.first, period.last)
+    keys = staged(lines.filter(F.col("shop_brand").isin(*brands)).select("vip_no", "item_code", "prod_brand", "shop_code"))
     enriched = mart.enrich_sales(
-        clean.between_dates(history, period.first, period.last),
+        _resolved(lines, brands, tables, keys),
         dimensions.enrich_sku(dimensions.clean_skus(tables["skus"]), tables["main_categories"]),
         dimensions.clean_subcategories(tables["subcategories"]),
         dimensions.clean_locations(tables["locations"], shop_names),
-        profile=clean.between_dates(raw, period.first, period.last)
-        .filter(F.col("shop_brand").isin(*brands)))
+        profile=keys)
     enriched, rows = staged_counted(enriched)
     return mart.drop_net_zero_orders(enriched, rows=rows)
 
@@ -107,15 +109,21 @@ def update_valid(stored: DataFrame, tables: Mapping[str, DataFrame], new_sales:
 
     Every rule of the mart looks at one line or at the lines of one order, so only the orders with new lines change. Their
     older lines are looked for in the months that the ledger of ``tables["sales"]`` has of them, and these orders
-    are built anew; all others stay as they are stored. Equals a full build as long as the other tables are those of the stored mart.
+    are built anew; all others stay as they are stored. Lines of other brands, or outside the period, change nothing and
+    are not moved. Equals a full build as long as the other tables are those of the stored mart.
     """
+    def own(sales: DataFrame) -> DataFrame:
+        day = F.col("sales_date").try_cast("date")
+        return sales.filter((F.trim(F.col("shop_brand").cast("string")) == brand) & day.between(F.lit(period.first), F.lit(period.last)))
+    new_sales = own(new_sales)
+    ledger = ledger.filter(F.col("yyyymm").between(f"{period.first:%Y%m}", f"{period.last:%Y%m}"))
     keys = clean.trim_strings(clean.project_sales(new_sales)).select("sales_main_key")
     changed, orders = staged_counted(keys.filter(F.col("sales_main_key").isNotNull()).distinct())
     if not orders:
         return stored
     months = [r["yyyymm"] for r in lookup_join(ledger, changed, "sales_main_key", "left_semi", unique=True)
               .select("yyyymm").distinct().collect()]  # one row a month
-    before = tables["sales"].filter(yyyymm(F.col("sales_date").try_cast("date")).isin(*months) if months else F.lit(False))
+    before = own(tables["sales"]).filter(yyyymm(F.col("sales_date").try_cast("date")).isin(*months) if months else F.lit(False))
     key = F.trim(F.concat("shop_code", F.lit("-"), "invoice_no"))
     lines = before.unionByName(new_sales).withColumn("_order", key)
     lines = lookup_join(lines, changed.withColumnRenamed("sales_main_key", "_order"), "_order", "left_semi")

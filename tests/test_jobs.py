@@ -231,3 +231,12 @@ def test_a_model_keeps_the_order_of_its_features(spark, stored):
     assert sorted(map(tuple, got)) == sorted(map(tuple, spark.read.parquet(f"{model}/training_result").collect()))
     with pytest.raises(ValueError):
         persona_plan.run_scoring(spark, f"{base}/ba", model, f"{base}/never", (), specs=SPECS[:1])
+
+
+def test_lines_that_cannot_change_a_mart_are_not_moved(spark, stored):
+    base, refs = stored
+    sales, valid = spark.read.parquet(refs["sales"]), io.read_transactions(spark, f"{base}/ba")
+    other = sales.filter((F.col("shop_brand") != "BA") | (F.col("sales_date") > F.lit(PERIOD.last)) | (F.col("sales_date") < F.lit(PERIOD.first)))
+    assert other.count() > 0
+    same = mart_plan.update_valid(valid, io.read_sources(spark, refs), other, mart_plan.order_ledger(sales), PERIOD, "BA")
+    assert same is valid

@@ -108,3 +108,81 @@ def test_wrong_use_is_refused(sides):
         spread_join(facts, dims, "k", "full")
     with pytest.raises(ValueError):
         spread_join(facts, dims, "k", "keep_dims", profile=facts)
+
+
+def exchanges(df):
+    return df._jdf.queryExecution().executedPlan().toString().count("Exchange hashpartitioning")
+
+
+def test_a_second_pass_is_spared_where_no_key_can_be_heavy(spark, monkeypatch):
+    from clientele.operators import skew
+    monkeypatch.setattr(skew, "SENT", 3)
+    scans = spark.sparkContext.accumulator(0)
+    facts = spark.range(100).selectExpr("id % 50 AS k", "id")
+    counted = facts.rdd.map(lambda r: (scans.add(1), r)[1]).toDF(facts.schema)
+    assert heavy_keys(counted, ["k"], task_rows=40) is None
+    assert scans.value == 100
+
+
+@pytest.mark.parametrize("places", [1, 100, 1 << 26])
+def test_keys_are_dropped_as_by_an_anti_join(sides, places):
+    from clientele.operators.skew import drop_keys
+    facts, dims = sides
+    for gone in (dims.select("k"), dims.select("k").limit(0)):
+        got = drop_keys(facts, gone, "k", places=places)
+        assert Counter(map(tuple, got.collect())) == Counter(map(tuple, facts.join(gone, "k", "left_anti").collect()))
+
+
+def test_only_rows_that_a_bit_map_cannot_rule_out_move(sides, monkeypatch):
+    from clientele.operators import skew
+    facts, dims = sides
+    moved = []
+    inner = skew.spread_join
+    monkeypatch.setattr(skew, "spread_join", lambda f, *a, **o: moved.append(f.count()) or inner(f, *a, **o))
+    assert skew.drop_keys(facts, dims.select("k").filter("k = 'k7'"), "k").count() == 1246
+    assert moved == [4]
+
+
+@pytest.mark.parametrize("task_rows", [1, 100, 10_000])
+@pytest.mark.parametrize("max_rows", [10, 1000])
+def test_distinct_rows_with_their_lookup(sides, task_rows, max_rows):
+    from clientele.operators.skew import distinct_lookup_join
+    facts, dims = sides
+    got = distinct_lookup_join(facts.union(facts), dims, "k", max_rows=max_rows, task_rows=task_rows)
+    want = facts.join(dims, "k", "left")
+    assert got.columns == want.columns
+    assert Counter(map(tuple, got.collect())) == Counter(map(tuple, want.collect()))
+
+
+def test_distinct_rows_move_once(spark, sides):
+    from clientele.operators.skew import distinct_lookup_join
+    facts, dims = sides
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", -1)
+    try:
+        assert exchanges(distinct_lookup_join(facts, dims, "k", max_rows=10)) == 2
+        assert exchanges(spread_join(facts.distinct(), dims, "k")) == 3
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+
+
+def test_a_narrow_lookup_may_have_more_rows(spark, sides, monkeypatch):
+    from clientele.operators import skew
+    facts, dims = sides
+    monkeypatch.setattr(skew, "BROADCAST_ROWS", 40)
+    wide = dims.select("*", *[dims.d.alias(f"d{i}") for i in range(10)])
+    for lookup, whole in ((dims, True), (wide, False)):
+        plan = lookup_join(facts, lookup, "k")._jdf.queryExecution().optimizedPlan().toString()
+        assert ("strategy=broadcast" in plan) == whole
+
+
+def test_rows_without_a_key_are_spread_where_no_key_is_heavy(spark):
+    facts = spark.range(4000).selectExpr("cast(null AS string) AS k", "id AS v")
+    dims = spark.createDataFrame([("a", 1)], "k string, d int")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", -1)
+    spark.conf.set("spark.sql.adaptive.enabled", False)
+    try:
+        sizes = spread_join(facts, dims, "k").rdd.mapPartitions(lambda rows: [sum(1 for _ in rows)]).collect()
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+        spark.conf.unset("spark.sql.adaptive.enabled")
+    assert sum(sizes) == 4000 and max(sizes) < 2000
