@@ -2,7 +2,7 @@
 
 A pass over the members moves every model that has not settled one round: each task measures its
 members against the centres of all models by matrix products and sends, per cluster, the
-number, the squares and the coordinate sums of its members. So a pass costs one read and one small
+number and the coordinate sums of its members. Costs are measured once, at the last centres. So a pass costs one read and one small
 aggregation however many models there are, and its result is as large as the models.
 
 Starts come from candidates: a few passes draw members with a chance in proportion to the square
@@ -47,10 +47,10 @@ class Clusters:
 
 @dataclass
 class _Sums:
-    """Per cluster of all models: members, squares to the centre, coordinate sums."""
+    """Per cluster of a model: members, sums of their squares, coordinate sums."""
 
     members: np.ndarray
-    squares: np.ndarray
+    norms: np.ndarray
     coordinates: np.ndarray
 
 
@@ -64,37 +64,85 @@ def _nearest(points: np.ndarray, centres: np.ndarray, edges: np.ndarray) -> np.n
     return np.stack([far[:, a:b].argmin(axis=1) + a for a, b in zip(edges, edges[1:])], axis=1)
 
 
+def _side_by_side(models: Sequence[np.ndarray]) -> tuple[np.ndarray, list[np.ndarray]]:
+    """The models in falling order of their size, and the first centres of all of them, then the second of all that have two, and so on."""
+    order = np.argsort([-len(m) for m in models], kind="stable")
+    return order, [np.stack([models[i][j] for i in order if len(models[i]) > j]) for j in range(len(models[order[0]]))]
+
+
+def _gathered(x: np.ndarray, blocks: Sequence[np.ndarray], scaled: Sequence[np.ndarray]) -> list[np.ndarray]:
+    """What the centres of each block gather of the members ``x``: coordinate sums, numbers and norms.
+
+    All models are measured against one centre of theirs at a time; the first of equally near ones stays.
+    """
+    one = np.column_stack([x, np.ones(len(x))]).T
+    near = scaled[0] @ one
+    own = np.zeros(near.shape, np.int16)
+    for j, block in enumerate(scaled[1:], 1):
+        far = block @ one
+        before, chosen = near[:len(far)], own[:len(far)]
+        np.maximum(chosen, (far < before).astype(np.int16) * np.int16(j), out=chosen)
+        np.minimum(before, far, out=before)
+    measures = np.column_stack([x, np.ones(len(x)), (x ** 2).sum(axis=1)])
+    return [(own[:len(block)] == j).astype(np.float64) @ measures for j, block in enumerate(blocks)]
+
+
 def _summed(points: DataFrame, models: Sequence[np.ndarray]) -> list[_Sums]:
     """One pass: what each centre of each model gathers."""
-    centres, edges = np.concatenate(models), np.cumsum([0, *map(len, models)])
-    dims = centres.shape[1]
-    shared = points.sparkSession.sparkContext.broadcast((centres, edges))
+    order, blocks = _side_by_side(models)
+    dims, n = blocks[0].shape[1], sum(map(len, blocks))
+    shared = points.sparkSession.sparkContext.broadcast(blocks)
 
     def measured(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        centres, edges = shared.value
-        n = len(centres)
-        members, squares, sums = np.zeros(n), np.zeros(n), np.zeros((n, dims))
+        blocks = shared.value
+        scaled = [np.column_stack([-2.0 * b, (b ** 2).sum(axis=1)]) for b in blocks]
+        centres, table = np.concatenate(blocks), np.zeros((n, dims + 2))
         for batch in batches:
             whole = _matrix(batch)
             for start in range(0, len(whole), CHUNK):
                 x = whole[start:start + CHUNK]
-                own = _nearest(x, centres, edges)
-                flat = own.ravel()
-                members += np.bincount(flat, minlength=n)
-                squares += np.bincount(flat, ((x[:, None, :] - centres[own]) ** 2).sum(axis=2).ravel(), minlength=n)
-                for j in range(dims):
-                    sums[:, j] += np.bincount(flat, np.broadcast_to(x[:, j, None], own.shape).ravel(), minlength=n)
-        hit = np.flatnonzero(members)
+                if len(blocks[0]) > 1:
+                    table += np.concatenate(_gathered(x, blocks, scaled))
+                else:
+                    own = _nearest(x, centres, np.array([0, n]))[:, 0]
+                    measures = [*x.T, np.ones(len(x)), (x ** 2).sum(axis=1)]
+                    table += np.stack([np.bincount(own, m, n) for m in measures], axis=1)
+        hit = np.flatnonzero(table[:, dims])
         yield pa.RecordBatch.from_arrays(
-            [pa.array(hit, pa.int32()), pa.array(members[hit]), pa.array(squares[hit]), *[pa.array(sums[hit, j]) for j in range(dims)]],
-            names=["cluster", "members", "squares", *[f"s{j}" for j in range(dims)]])
-    totals = ["members", "squares", *[f"s{j}" for j in range(dims)]]
+            [pa.array(hit, pa.int32()), *[pa.array(table[hit, j]) for j in range(dims + 2)]], names=["cluster", *totals])
+    totals = [*[f"s{j}" for j in range(dims)], "members", "norms"]
     found = (points.mapInArrow(measured, "cluster int, " + ", ".join(f"{t} double" for t in totals))
              .groupBy("cluster").agg(*[F.sum(t).alias(t) for t in totals]).toArrow())
     shared.destroy()
-    table = np.zeros((len(centres), len(totals)))
+    table = np.zeros((n, len(totals)))
     table[found["cluster"].to_numpy()] = np.column_stack([found[t].to_numpy() for t in totals])
-    return [_Sums(table[a:b, 0], table[a:b, 1], table[a:b, 2:]) for a, b in zip(edges, edges[1:])]
+    edges = np.cumsum([0, *map(len, blocks)])
+    out: list[_Sums] = [None] * len(models)  # type: ignore[list-item]
+    for rank, i in enumerate(order):
+        mine = table[edges[:len(models[i])] + rank]
+        out[i] = _Sums(mine[:, dims], mine[:, dims + 1], mine[:, :dims])
+    return out
+
+
+def _costs(points: DataFrame, models: Sequence[np.ndarray]) -> list[float]:
+    """One pass: the sum of squares of each model, member by member."""
+    centres, edges = np.concatenate(models), np.cumsum([0, *map(len, models)])
+    shared = points.sparkSession.sparkContext.broadcast((centres, edges))
+
+    def measured(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        centres, edges = shared.value
+        costs = np.zeros(len(edges) - 1)
+        for batch in batches:
+            whole = _matrix(batch)
+            for start in range(0, len(whole), CHUNK):
+                x = whole[start:start + CHUNK]
+                costs += ((x[:, None, :] - centres[_nearest(x, centres, edges)]) ** 2).sum(axis=(0, 2))
+        yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(costs)), pa.int32()), pa.array(costs)], names=["model", "cost"])
+    found = points.mapInArrow(measured, "model int, cost double").groupBy("model").agg(F.sum("cost").alias("cost")).toArrow()
+    shared.destroy()
+    out = np.zeros(len(models))
+    out[found["model"].to_numpy()] = found["cost"].to_numpy()
+    return out.tolist()
 
 
 def _drawn(points: DataFrame, candidates: np.ndarray, n: int, seed: int) -> np.ndarray:
@@ -176,8 +224,7 @@ def lloyd(points: DataFrame, starts: Sequence[np.ndarray], max_rounds: int = 300
     """
     centres, n = [np.array(s, np.float64) for s in starts], len(starts)
     before: list[_Sums | None] = [None] * n
-    done: dict[int, Clusters] = {}
-    closing: set[int] = set()  # settled by tolerance: one more measure
+    done: dict[int, tuple[int, bool]] = {}  # rounds, settled
     limit, passes = None, 0
     while live := [i for i in range(n) if i not in done]:
         sums, passes = _summed(points, [centres[i] for i in live]), passes + 1
@@ -185,18 +232,17 @@ def lloyd(points: DataFrame, starts: Sequence[np.ndarray], max_rounds: int = 300
             if limit is None:
                 total = s.members.sum()
                 mean = s.coordinates.sum(axis=0) / total
-                spread = (s.squares + 2 * (s.coordinates * centres[i]).sum(axis=1) - s.members * (centres[i] ** 2).sum(axis=1)).sum()
-                limit = tolerance * (spread / total - (mean ** 2).sum()) / len(mean)
+                limit = tolerance * (s.norms.sum() / total - (mean ** 2).sum()) / len(mean)
             last = before[i]
             same = last is not None and np.array_equal(last.members, s.members) and np.allclose(last.coordinates, s.coordinates, rtol=1e-12, atol=1e-9)
-            if i in closing or same or passes > max_rounds:
-                done[i] = Clusters(centres[i], float(s.squares.sum()), passes - 1, bool(same or i in closing))
+            if same or passes > max_rounds:
+                done[i] = passes - 1, bool(same)
                 continue
             moved = np.where(s.members[:, None] > 0, s.coordinates / np.maximum(s.members, 1)[:, None], centres[i])
             if ((moved - centres[i]) ** 2).sum() <= limit:
-                closing.add(i)
+                done[i] = passes, True
             centres[i], before[i] = moved, s
-    return [done[i] for i in range(n)]
+    return [Clusters(c, cost, *done[i]) for i, (c, cost) in enumerate(zip(centres, _costs(points, centres)))]
 
 
 def fit(df: DataFrame, cols: Sequence[str], ks: Sequence[int], n_init: int, seed: int = 1,

@@ -238,3 +238,18 @@ def test_names(spark):
     df = spark.createDataFrame([("m", 0), ("n", 4), ("o", 9)], "vip_main_no string, persona int")
     assert [r.persona for r in personas.name_personas(df).orderBy("vip_main_no").collect()] == [
         "Haircare Enthusiasts", "Skincare Enthusiasts", None]
+
+
+def test_costs_are_measured_once_and_sums_are_those_of_the_nearest(spark, monkeypatch):
+    rng = np.random.default_rng(8)
+    x = rng.integers(0, 4, size=(3000, 3)).astype(float)
+    points = spark.createDataFrame(x.tolist(), "a double, b double, c double").repartition(3)
+    models = [x[:3], x[5:6], x[10:27], x[:3], np.array([[1.0] * 3, [1.0] * 3])]
+    for centres, sums in zip(models, kmeans._summed(points, models), strict=True):
+        own = ((x[:, None] - centres) ** 2).sum(2).argmin(1)
+        for c in range(len(centres)):
+            assert sums.members[c] == (own == c).sum() and sums.coordinates[c] == pytest.approx(x[own == c].sum(0))
+            assert sums.norms[c] == pytest.approx((x[own == c] ** 2).sum())
+    measured, costs = [], kmeans._costs
+    monkeypatch.setattr(kmeans, "_costs", lambda p, models: measured.append(len(models)) or costs(p, models))
+    assert [m.k for m in kmeans.lloyd(points, models)] == [len(m) for m in models] and measured == [5]
