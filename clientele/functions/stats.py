@@ -31,17 +31,3 @@ def sorted_slopes(names: list[str]) -> Column:
     slopes = [f"(`{b}` - `{a}`) / {j - i}D" for i, a in enumerate(names)
               for j, b in enumerate(names) if i < j]
     return F.expr(f"sort_array(array({', '.join(slopes)}))")
-
-
-def series_slopes(series: Column) -> Column:
-    """The same slopes, ascending, of an array of any length: the expression does not grow with it."""
-    def onto(end: Column) -> Column:
-        return F.transform(F.slice(series, 1, end), lambda y, i: (F.get(series, end) - y) / (end - i).cast("double"))
-    return F.sort_array(F.flatten(F.transform(F.sequence(F.lit(1), F.size(series) - 1), onto)))
-
-
-def series_median(ordered: Column) -> Column:
-    """Median of a sorted array of any length but 0."""
-    half = F.size(ordered)
-    low, high = F.get(ordered, F.floor((half - 1) / 2).cast("int")), F.get(ordered, F.floor(half / 2).cast("int"))
-    return F.when(half % 2 == 1, high).otherwise((low + high) / F.lit(2.0))

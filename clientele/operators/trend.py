@@ -2,16 +2,22 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterable
+from collections.abc import Iterable, Iterator
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from clientele.config import MEMBER
 from clientele.functions.labels import bucket
-from clientele.functions.stats import median_of, middle, series_median, series_slopes, sorted_slopes
+from clientele.functions.stats import median_of, middle, sorted_slopes
 from clientele.operators.clv import by_member, cumulative_amounts
 
+# Slopes that a task holds at a time, where one member has no more.
+SLOPES = 1 << 20
+
 
 def cumulative_series(grid: DataFrame) -> DataFrame:
     """Running spend per member; a window holds one member's months and no more."""
@@ -70,12 +76,40 @@ def long_series(monthly: DataFrame, months: Iterable[str]) -> DataFrame:
         MEMBER, F.transform(F.sequence(F.lit(1), F.lit(len(months))), lambda i: upto(i).cast("double")).alias("series"))
 
 
+def _medians(values: np.ndarray) -> np.ndarray:
+    """Median of each row."""
+    low, high = (values.shape[1] - 1) // 2, values.shape[1] // 2
+    ordered = np.partition(values, (low, high), axis=1)
+    return ordered[:, high] if low == high else (ordered[:, low] + ordered[:, high]) / 2.0
+
+
+def _lines(series: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Slope and intercept of each row of points: all pairwise slopes, those of one distance at a time."""
+    n = series.shape[1]
+    slope = _medians(np.concatenate([(series[:, d:] - series[:, :-d]) / float(d) for d in range(1, n)], axis=1))
+    return slope, _medians(series) - slope * ((n - 1) / 2.0)
+
+
 def series_lines(arrays: DataFrame) -> DataFrame:
-    """Line of each member's array, whatever its length; fewer than two points have none."""
-    n = F.size("series")
-    lines = (arrays.withColumn("_slopes", F.when(n > 1, series_slopes(F.col("series"))))
-             .withColumn("slope", series_median(F.col("_slopes"))))
-    return lines.select(MEMBER, "slope", (series_median(F.sort_array("series")) - F.col("slope") * ((n - 1) / F.lit(2.0))).alias("intercept"))
+    """Line of each member's array, whatever its length; fewer than two points have none.
+
+    The arrays hold no NULL. Slopes are made for as many members at a time as give ``SLOPES`` of them.
+    """
+    def fitted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            series = batch.column(1)
+            sizes = pc.fill_null(pc.list_value_length(series), 0).to_numpy(zero_copy_only=False)
+            found = np.zeros((2, len(sizes)))
+            for n in np.unique(sizes[sizes > 1]):
+                rows = np.flatnonzero(sizes == n)
+                points = series.take(pa.array(rows)).flatten().to_numpy(zero_copy_only=False).reshape(-1, n)
+                step = max(1, SLOPES // int(n * (n - 1) // 2))
+                for start in range(0, len(rows), step):
+                    found[:, rows[start:start + step]] = _lines(points[start:start + step])
+            yield pa.RecordBatch.from_arrays(
+                [batch.column(0), *[pa.array(f, mask=sizes < 2) for f in found]], names=[MEMBER, "slope", "intercept"])
+    kind = arrays.schema[MEMBER].dataType.simpleString()
+    return arrays.select(MEMBER, "series").mapInArrow(fitted, f"`{MEMBER}` {kind}, slope double, intercept double")
 
 
 def adjust_slope(slopes: DataFrame) -> DataFrame:

@@ -239,3 +239,16 @@ def test_long_series_equal_the_wide_ones_and_their_plan_does_not_grow(spark, row
     size = lambda n: len(trend.series_lines(trend.long_series(monthly, month_range(date(2020, 1, 1), date(2020 + n, 12, 31))))
                          ._jdf.queryExecution().optimizedPlan().toString())
     assert size(9) < size(0) + 2000
+
+
+def test_long_lines_are_fitted_in_parts_of_bounded_size(spark, rows, monkeypatch):
+    sizes, lines = [], trend._lines
+    series = [[float((7 * i * j) % 11) for j in range(n)] for i in range(20) for n in (0, 1, 2, 9)] + [None]
+    table = spark.createDataFrame([(str(i), s) for i, s in enumerate(series)], "vip_main_no string, series array<double>")
+    whole = rows(trend.series_lines(table))
+    monkeypatch.setattr(trend, "SLOPES", 50)
+    assert rows(trend.series_lines(table)) == whole and len(whole) == len(series)
+    nine = np.array([s for s in series if s and len(s) == 9])
+    for y, slope, intercept in zip(nine, *lines(nine), strict=True):
+        every = [(b - a) / (j - i) for i, a in enumerate(y) for j, b in enumerate(y) if i < j]
+        assert slope == np.median(every) and intercept == np.median(y) - slope * 4.0
