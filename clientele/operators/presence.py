@@ -38,3 +38,12 @@ def distinct_members(cells: DataFrame, by: dict[str, Column]) -> DataFrame:
     united = (cells.select(*[c.alias(n) for n, c in by.items()], TAG, "bucket", "bitmap")
               .groupBy(*by, TAG, "bucket").agg(F.bitmap_or_agg("bitmap").alias("bitmap")))
     return united.groupBy(*by, TAG).agg(F.sum(F.bitmap_count("bitmap")).alias("members"))
+
+
+def cell_members(rows: DataFrame, tags: DataFrame, by: Iterable[str]) -> DataFrame:
+    """Members of cells that nothing is rolled up from, as ``distinct_members`` would have them.
+
+    ``rows`` are reduced to one per member and cell, so they are counted. For cells with few members each: of these, each
+    member would take a bitmap of its own, 4 KB for a bit.
+    """
+    return rows.join(tags.select(MEMBER, TAG), MEMBER).groupBy(*by, TAG).agg(F.count(F.lit(1)).alias("members"))

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterable
 from datetime import date
 
 from pyspark.sql import DataFrame
@@ -13,38 +14,49 @@ from clientele.functions.labels import known_category, known_sex, one_of
 from clientele.operators import reports, segments
 from clientele.sources.staging import staged
 
-# What sales are reduced to, per member: nothing more, or each value of these columns.
-SLICES = {"member": (), "category": ("category",), "store": ("shop_desc",), "month": ("month",),
-          "visit": ("day", "shop_code"), "order": ("invoice_no",)}
+# What sales are reduced to, per member: each value of these columns. Months are of all dates, the others of the window.
+SLICES = {"month": ("month",), "category": ("category",), "store": ("shop_desc",), "visit": ("day", "shop_code"), "order": ("invoice_no",)}
+ATTRIBUTES = ("order_date", "customer_sex", "cust_nat_cat", "region_key", "customer_age_group")
 
 
 def report_cells(tx: DataFrame, window: tuple[date, date], category: str = "item_product_line_desc",
-                 nationalities=NATIONALITIES, age: str = "max") -> DataFrame:
+                 nationalities=NATIONALITIES, age: str = "max", slices: Iterable[str] = tuple(SLICES), measured: bool = True) -> DataFrame:
     """Sales reduced to all slices at once: one read and one shuffle of partial sums for all reports.
 
     ``slice`` names the reduction; ``lines`` counts a cell's lines in the window, and amount and quantity are of these.
-    Attributes are reduced over all dates.
+    A line outside the window is in the cell of its month only. Attributes are reduced over all dates, by month
+    (``member_cells`` goes on from there). Cells that are not ``measured`` have neither attributes nor sums.
     """
-    inside = F.col("order_date").between(*map(F.lit, window))
-    lines = tx.select(
-        MEMBER, known_category(F.col(category)).alias("category"), "shop_desc", yyyymm(F.col("order_date")).alias("month"),
-        F.col("order_date").alias("day"), "shop_code", "invoice_no", inside.alias("inside"), F.col("order_date").alias("any_day"),
-        known_sex(F.col("customer_sex")).alias("sex"), one_of(F.col("cust_nat_cat"), nationalities).alias("nation"),
-        "region_key", "customer_age_group", "net_amt_hkd", "sold_qty")
-    by = [MEMBER, *dict.fromkeys(c for cols in SLICES.values() for c in cols)]
-    sets = [[MEMBER, *cols] for cols in SLICES.values()]
-    # A grouping id has a bit for each column of ``by`` that a slice leaves out.
-    ids = {name: sum(1 << (len(by) - 1 - i) for i, c in enumerate(by) if c not in (MEMBER, *cols)) for name, cols in SLICES.items()}
+    inside = F.coalesce(F.col("order_date").between(*map(F.lit, window)), F.lit(False))
+    every = {"category": known_category(F.col(category)), "shop_desc": F.col("shop_desc"), "month": yyyymm(F.col("order_date")),
+             "day": F.col("order_date"), "shop_code": F.col("shop_code"), "invoice_no": F.col("invoice_no")}
+    labels = {c: every[c] for c in dict.fromkeys(c for name in slices for c in SLICES[name])}
+    attributes = {"order_date": F.col("order_date"), "customer_sex": known_sex(F.col("customer_sex")),
+                  "cust_nat_cat": one_of(F.col("cust_nat_cat"), nationalities), "region_key": F.col("region_key"),
+                  "customer_age_group": F.col("customer_age_group")} if measured else {}
+    measures = ["net_amt_hkd", "sold_qty"] if measured else []
+    kinds = dict(tx.select(*[c.alias(n) for n, c in {**labels, **attributes}.items()]).dtypes)
+
+    def cell(name: str):
+        def held(columns, kept):
+            return [(c if kept(n) else F.lit(None).cast(kinds[n])).alias(n) for n, c in columns.items()]
+        return F.struct(F.lit(name).alias("slice"), *held(labels, SLICES[name].__contains__), *held(attributes, lambda _: name == "month"))
+    dated = [cell(name) for name in slices if name != "month"]
+    months = [cell("month")] if "month" in slices else []
+    cells = F.when(inside, F.array(*months, *dated))
+    cells = cells.otherwise(F.array(*months)) if months else cells
+    rows = tx.select(MEMBER, inside.cast("int").alias("_in"), *[F.when(inside, F.col(m)).alias(m) for m in measures], F.inline(cells))
+    pick = {"max": F.max, "min": F.min}[age]
+    return rows.groupBy(MEMBER, "slice", *labels).agg(
+        F.sum("_in").alias("lines"), *[(pick if n == "customer_age_group" else F.min)(n).alias(n) for n in attributes],
+        *[F.sum(m).alias(m) for m in measures])
+
+
+def member_cells(cells: DataFrame, age: str = "max") -> DataFrame:
+    """Attributes per member, from those of the member's months."""
     pick = {"max": F.max, "min": F.min}[age]
-    cells = lines.groupingSets([[F.col(c) for c in s] for s in sets], *[F.col(c) for c in by]).agg(
-        F.grouping_id().alias("id"), F.min("any_day").alias("order_date"), F.min("sex").alias("customer_sex"),
-        F.min("nation").alias("cust_nat_cat"), F.min("region_key").alias("region_key"), pick("customer_age_group").alias("customer_age_group"),
-        F.count_if("inside").alias("lines"), F.sum(F.when(F.col("inside"), F.col("net_amt_hkd"))).alias("net_amt_hkd"),
-        F.sum(F.when(F.col("inside"), F.col("sold_qty"))).alias("sold_qty"))
-    named = F.lit(None).cast("string")
-    for name, number in ids.items():
-        named = F.when(F.col("id") == number, name).otherwise(named)
-    return cells.withColumn("slice", named).drop("id")
+    return cells.filter(F.col("slice") == "month").groupBy(MEMBER).agg(
+        *[(pick if n == "customer_age_group" else F.min)(n).alias(n) for n in ATTRIBUTES])
 
 
 def segment_reports(tx: DataFrame, tags: DataFrame, tags_last_year: DataFrame,
@@ -58,7 +70,7 @@ def segment_reports(tx: DataFrame, tags: DataFrame, tags_last_year: DataFrame,
     cells = staged(report_cells(tx, window, category, nationalities, age))
     every = {name: cells.filter(F.col("slice") == name) for name in SLICES}
     sold = {name: rows.filter("lines > 0") for name, rows in every.items()}
-    people = (every["member"], tags)
+    people = (staged(member_cells(cells, age)), tags)
     categories = (sold["category"].withColumnRenamed("category", category), tags, category)
     return {
         "migration": segments.migration_matrix(segments.compare_years(tags, tags_last_year)),

@@ -5,6 +5,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from clientele.operators import contacts, reports
+from clientele.plans import profile
 
 TX = ("vip_main_no string, order_date date, shop_code string, shop_desc string, invoice_no string, "
       "net_amt_hkd decimal(18,2), sold_qty int, customer_sex string, customer_age_group string, "
@@ -176,3 +177,29 @@ def test_bitmaps_roll_up_without_counting_a_member_twice(spark):
     total = {r.customer_tag: r.members for r in presence.distinct_members(cells, {"cell": F.lit("all")}).collect()}
     assert total == {r.customer_tag: r.n for r in both.groupBy("customer_tag").agg(F.countDistinct("vip_main_no").alias("n")).collect()}
     assert presence.distinct_members(cells.limit(0), {"cell": F.col("cell")}).count() == 0
+
+
+def test_lines_outside_the_window_are_in_cells_of_months_only(tx):
+    cells = profile.report_cells(tx, WINDOW, "line")
+    got = {r["slice"]: r.n for r in cells.filter("lines = 0").groupBy("slice").agg(F.count(F.lit(1)).alias("n")).collect()}
+    assert got == {"month": 1}
+    people = {r.vip_main_no: r for r in profile.member_cells(cells).collect()}
+    assert (people["a"].customer_sex, people["a"].customer_age_group, people["b"].region_key) == ("C", "05", "TW")
+
+
+def test_cells_of_asked_slices_read_no_other_columns(tx):
+    cells = profile.report_cells(tx.select("vip_main_no", "order_date", "shop_desc", "line"), WINDOW, "line",
+                                 slices=("month", "store", "category"), measured=False)
+    assert {r["slice"]: r.n for r in cells.groupBy("slice").agg(F.count(F.lit(1)).alias("n")).collect()} == {
+        "month": 5, "store": 5, "category": 5}
+    assert cells.columns == ["vip_main_no", "slice", "month", "shop_desc", "category", "lines"]
+
+
+def test_counted_cells_equal_their_bitmaps(spark):
+    from clientele.operators import presence
+    tags = spark.createDataFrame([(f"m{i}", "A" if i % 3 else None) for i in range(50)], "vip_main_no string, customer_tag string")
+    rows = spark.createDataFrame([(f"m{i % 53}", f"s{i % 19}" if i % 19 else None) for i in range(400)], "vip_main_no string, cell string").distinct()
+    counted = presence.cell_members(rows, tags, ["cell"])
+    cells = presence.presence(rows, presence.numbered(tags), ["cell"])
+    united = presence.distinct_members(cells, {"cell": F.col("cell")})
+    assert sorted(map(str, counted.collect())) == sorted(map(str, united.collect())) and counted.count()

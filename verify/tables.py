@@ -46,9 +46,11 @@ class View:
         return (f"SELECT {cols}\nFROM {self.base}{joins} "
                 f"CROSS JOIN range({self.copies}) AS r(copy)\nWHERE {self.where}")
 
-    def frame(self, spark: SparkSession, sf_dir: str) -> DataFrame:
+    def frame(self, spark: SparkSession, sf_dir: str, last: str | None = None) -> DataFrame:
+        """``last``: the table joined last. Lines that meet their order last lie together by order, so what is
+        reduced by member or order combines before it moves; with a filter of days orders are better joined first."""
         df = spark.read.parquet(f"{sf_dir}/{self.base}.parquet")
-        for table, on in self.joins:
+        for table, on in sorted(self.joins, key=lambda join: join[0] == last):
             df = df.join(spark.read.parquet(f"{sf_dir}/{table}.parquet"), F.expr(on))
         if self.copies > 1:
             numbers = F.array(*[F.lit(i) for i in range(self.copies)])
