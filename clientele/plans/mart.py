@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from clientele.config import CHANNEL_RULES, MEMBER, SALES_BRANDS, ChannelRule, Period
 from clientele.functions.dates import yyyymm
 from clientele.operators import clean, dimensions, mart
-from clientele.operators.skew import lookup_join
+from clientele.operators.skew import drop_keys, lookup_join
 from clientele.sources import io
 from clientele.sources.staging import job, staged, staged_counted
 
@@ -80,11 +80,32 @@ class Mart:
     first_last: DataFrame
 
 
+def channel_lines(tables: Mapping[str, DataFrame], period: Period, brands: Iterable[str], rules: Mapping[str, ChannelRule],
+                  amount_type: str = "decimal(10,0)", shop_names: Mapping[str, str] | None = None) -> DataFrame:
+    """``union_channels`` of ``valid_lines``, with only the lines that may be in a channel enriched.
+
+    All lines decide which orders are net-zero, but of lines that fail a rule already by themselves nothing else is kept, and
+    their orders' totals need no more of the lookups than how many records a line meets.
+    """
+    brands = list(brands)
+    lines = clean.between_dates(clean.trim_strings(clean.project_sales(tables["sales"], amount_type)), period.first, period.last)
+    hopeful = F.coalesce(mart.any_channel(rules, products=False), F.lit(False))
+    kept = (clean.dedup_sales(lines, brands).filter(F.col("sales_main_key").isNotNull()).withColumn("_hopeful", hopeful)
+            .select("_hopeful", *[c if c in mart.ORDER_COLUMNS else F.when(F.col("_hopeful"), F.col(c)).alias(c) for c in lines.columns]))
+    kept = staged(kept)
+    lookups = (staged(dimensions.enrich_sku(dimensions.clean_skus(tables["skus"]), tables["main_categories"])),
+               staged(dimensions.clean_subcategories(tables["subcategories"])),
+               staged(dimensions.clean_locations(tables["locations"], shop_names)))
+    gone = mart.net_zero_keys(mart.fanned_out(kept, *lookups, brands), "sales_main_key", F.col("sold_qty") * F.col("times"))
+    sold = staged(drop_keys(kept.filter("_hopeful").drop("_hopeful"), gone, "sales_main_key"))
+    resolved = clean.resolve_member(sold, clean.member_key_map(tables["members"]))
+    return mart.union_channels(mart.enrich_sales(resolved, *lookups, profile=sold), rules)
+
+
 def _valid(tables: Mapping[str, DataFrame], period: Period, brand: str,
            rules: Mapping[str, ChannelRule] | None = None, amount_type: str = "decimal(10,0)",
            shop_names: Mapping[str, str] | None = None) -> DataFrame:
-    lines = valid_lines(tables, period, [brand], amount_type, shop_names)
-    return mart.union_channels(lines, CHANNEL_RULES[brand] if rules is None else rules)
+    return channel_lines(tables, period, [brand], CHANNEL_RULES[brand] if rules is None else rules, amount_type, shop_names)
 
 
 def build_mart(tables: Mapping[str, DataFrame], period: Period, brand: str,

@@ -6,7 +6,8 @@ from datetime import date
 import pytest
 from pyspark.sql import functions as F
 
-from clientele.config import Period, SegmentCuts, WalletSpec
+from clientele.config import CHANNEL_RULES, Period, SegmentCuts, WalletSpec
+from clientele.operators import mart
 from clientele.plans import mart as mart_plan
 from clientele.plans import personas as persona_plan
 from clientele.plans import profile
@@ -240,3 +241,20 @@ def test_lines_that_cannot_change_a_mart_are_not_moved(spark, stored):
     assert other.count() > 0
     same = mart_plan.update_valid(valid, io.read_sources(spark, refs), other, mart_plan.order_ledger(sales), PERIOD, "BA")
     assert same is valid
+
+
+@pytest.mark.parametrize("brands, rules", [(["BA"], CHANNEL_RULES["BA"]), (["BA", "BP"], CHANNEL_RULES["BP"])])
+def test_only_lines_that_may_be_in_a_channel_are_enriched(spark, stored, monkeypatch, brands, rules):
+    """All lines count for net-zero orders, but few are looked up; the channels are those of all enriched lines."""
+    sources = io.read_sources(spark, stored[1])
+    # Two records of every third product, so that totals by order depend on how often a line is repeated.
+    again = sources["skus"].filter("cast(item_code as int) % 3 = 0").withColumn("item_desc", F.concat("item_desc", F.lit(" again")))
+    sources = {**sources, "skus": sources["skus"].unionByName(again)}
+    valid = staged(mart_plan.valid_lines(sources, PERIOD, brands, "decimal(18,2)"))
+    whole = mart.union_channels(valid, rules)
+    enriched, plain = [], mart.enrich_sales
+    monkeypatch.setattr(mart, "enrich_sales", lambda sales, *args, **options: enriched.append(sales) or plain(sales, *args, **options))
+    channels = mart_plan._valid(sources, PERIOD, brands[0], rules, "decimal(18,2)") if len(brands) == 1 else mart_plan.channel_lines(
+        sources, PERIOD, brands, rules, "decimal(18,2)")
+    assert whole.count() and channels.exceptAll(whole).count() == whole.exceptAll(channels).count() == 0
+    assert whole.count() <= enriched[0].count() < valid.count() / 3

@@ -163,3 +163,19 @@ def test_demographics_keep_differing_records(spark):
     data = [("m", *"abcdefghi"), ("m", *"abcdefghi"), ("m", *"abcdefghj"), (None, *"abcdefghi")]
     vip = spark.createDataFrame(data, ", ".join(f"{c} string" for c in cols))
     assert clean.demographics(vip, cols[-2:]).count() == 2
+
+
+def test_lines_count_as_often_as_they_are_enriched(spark, rows):
+    skus = spark.createDataFrame(
+        [("i", "BA", "first", "c", "s"), ("i", "BA", "second", "c", "s"), ("j", "BA", "only", "c", "t"), ("k", "BA", "other", None, None)],
+        "item_code string, brand_code string, item_desc string, item_cat string, item_sub_cat string").withColumns(
+        {c: F.lit(None).cast("string") for c in ("retail_price_hk", "retail_price_tw", "item_product_line_desc", "maincat_desc")})
+    subcategories = spark.createDataFrame([("BA", "s", "c", "one"), ("BA", "s", "c", "two"), ("BP", "t", "c", "x")],
+                                          "item_brand_key string, item_sub_cat string, item_cat string, item_subcat_desc string")
+    locations = spark.createDataFrame([("S", "r", "old"), ("S", "r", "new"), ("T", "r", "t")], "shop_code string, sub_region string, shop_desc string")
+    lines = spark.createDataFrame(
+        [("1", 1, "i", "BA", "BA", "S"), ("2", 1, "i", "BA", "BP", "T"), ("3", 1, "j", "BA", "BA", "S"), ("4", 1, "k", "BA", "BA", None),
+         ("5", 1, None, None, "BA", "T"), ("6", None, "i", "ZZ", "BA", "S")],
+        "sales_main_key string, sold_qty int, item_code string, prod_brand string, shop_brand string, shop_code string")
+    got = {r.sales_main_key: r.times for r in mart.fanned_out(lines, skus, subcategories, locations, ["BA", "BP"]).collect()}
+    assert got == {"1": 8, "2": 2, "3": 2, "4": 1, "5": 1, "6": 2}
