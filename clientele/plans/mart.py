@@ -35,24 +35,33 @@ def _resolved(lines: DataFrame, brands: list[str], tables: Mapping[str, DataFram
     return clean.dedup_resolve(lines, brands, clean.member_key_map(tables["members"]), profile)
 
 
-def valid_lines(tables: Mapping[str, DataFrame], period: Period,
-                brands: Iterable[str] = SALES_BRANDS, amount_type: str = "decimal(10,0)",
-                shop_names: Mapping[str, str] | None = None) -> DataFrame:
-    """Enriched lines of the window without net-zero orders.
+def enriched_lines(tables: Mapping[str, DataFrame], period: Period,
+                   brands: Iterable[str] = SALES_BRANDS, amount_type: str = "decimal(10,0)",
+                   shop_names: Mapping[str, str] | None = None) -> DataFrame:
+    """Clean distinct lines of the window with members and all attributes.
 
-    The enriched lines are staged: order totals then read two columns of them
-    instead of running the joins again. So are the keys of the lines, which every join searches for heavy ones.
+    The keys of the lines are staged, since every join searches them for heavy ones.
     """
     brands = list(brands)
     lines = clean.between_dates(clean.trim_strings(clean.project_sales(tables["sales"], amount_type)), period.first, period.last)
     keys = staged(lines.filter(F.col("shop_brand").isin(*brands)).select("vip_no", "item_code", "prod_brand", "shop_code"))
-    enriched = mart.enrich_sales(
+    return mart.enrich_sales(
         _resolved(lines, brands, tables, keys),
         dimensions.enrich_sku(dimensions.clean_skus(tables["skus"]), tables["main_categories"]),
         dimensions.clean_subcategories(tables["subcategories"]),
         dimensions.clean_locations(tables["locations"], shop_names),
         profile=keys)
-    enriched, rows = staged_counted(enriched)
+
+
+def valid_lines(tables: Mapping[str, DataFrame], period: Period,
+                brands: Iterable[str] = SALES_BRANDS, amount_type: str = "decimal(10,0)",
+                shop_names: Mapping[str, str] | None = None) -> DataFrame:
+    """Enriched lines of the window without net-zero orders.
+
+    The enriched lines are staged: order totals then read two columns of them
+    instead of running the joins again.
+    """
+    enriched, rows = staged_counted(enriched_lines(tables, period, brands, amount_type, shop_names))
     return mart.drop_net_zero_orders(enriched, rows=rows)
 
 

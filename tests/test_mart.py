@@ -179,3 +179,14 @@ def test_lines_count_as_often_as_they_are_enriched(spark, rows):
         "sales_main_key string, sold_qty int, item_code string, prod_brand string, shop_brand string, shop_code string")
     got = {r.sales_main_key: r.times for r in mart.fanned_out(lines, skus, subcategories, locations, ["BA", "BP"]).collect()}
     assert got == {"1": 8, "2": 2, "3": 2, "4": 1, "5": 1, "6": 2}
+
+
+def test_heavy_keys_of_lines_are_searched_in_stored_keys(spark, monkeypatch):
+    from clientele.operators import skew
+    from verify.queries import QUERIES
+    searched, plain = [], skew.heavy_keys
+    monkeypatch.setattr(skew, "heavy_keys", lambda df, *args: searched.append(df) or plain(df, *args))
+    monkeypatch.setattr(skew, "BROADCAST_ROWS", 10)
+    assert QUERIES["enrich_sales"](spark, "/root/testdata/sf0.001").count()
+    keyed = [df.inputFiles() for df in searched if "vip_no" in df.columns]
+    assert keyed and all("/staged/" in path for paths in keyed for path in paths)
