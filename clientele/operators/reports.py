@@ -74,8 +74,26 @@ def tagged_members(tags: DataFrame, demographic: DataFrame) -> DataFrame:
 
 
 def tagged_sales(tags: DataFrame, tx: DataFrame) -> DataFrame:
-    """Tags with every sales line; members without lines keep NULL sales columns."""
-    return spread_join(tx, tags, MEMBER, "keep_dims")
+    """Tags with every sales line; members without lines keep NULL sales columns.
+
+    The lines are stored, since they are searched for heavy members before they are joined.
+    """
+    lines, rows = staged_counted(tx)
+    return spread_join(lines, tags, MEMBER, "keep_dims", rows=rows)
+
+
+def tagged_amounts(tags: DataFrame, tx: DataFrame, by: str, measure: str) -> DataFrame:
+    """What ``sum_pivot`` needs of ``tagged_sales``: sums per member and group, reduced before they meet the tags."""
+    return _attach(tx.groupBy(MEMBER, by).agg(F.sum(measure).alias(measure)), tags, keep_idle=True)
+
+
+def tagged_keys(tags: DataFrame, tx: DataFrame, by: str, key: str = MEMBER) -> DataFrame:
+    """What ``count_pivot`` and ``percent_pivot`` need of ``tagged_sales``: distinct keys per member and group."""
+    if key == MEMBER:
+        return _attach(tx.select(MEMBER, by).distinct(), tags, keep_idle=True)
+    # A member may have any number of other keys.
+    keys, rows = staged_counted(tx.select(MEMBER, by, key).distinct())
+    return spread_join(keys, member_tags(tags), MEMBER, "keep_dims", rows=rows)
 
 
 def _attach(rows: DataFrame, tags: DataFrame, keep_idle: bool = False) -> DataFrame:

@@ -203,3 +203,24 @@ def test_counted_cells_equal_their_bitmaps(spark):
     cells = presence.presence(rows, presence.numbered(tags), ["cell"])
     united = presence.distinct_members(cells, {"cell": F.col("cell")})
     assert sorted(map(str, counted.collect())) == sorted(map(str, united.collect())) and counted.count()
+
+
+def test_pivots_of_reduced_lines_equal_those_of_all_lines(tx, tags):
+    def same(a, b):
+        return a.count() and not a.exceptAll(b).count() and not b.exceptAll(a).count()
+    sales = reports.tagged_sales(tags, tx)
+    assert same(reports.sum_pivot(reports.tagged_amounts(tags, tx, "region_key", "net_amt_hkd"), "region_key", "net_amt_hkd").selectExpr(
+        "region_key", "cast(Engaged as double)", "cast(`At Risk` as double)"),
+        reports.sum_pivot(sales, "region_key", "net_amt_hkd").selectExpr("region_key", "cast(Engaged as double)", "cast(`At Risk` as double)"))
+    assert same(reports.percent_pivot(reports.tagged_keys(tags, tx, "region_key"), "region_key"), reports.percent_pivot(sales, "region_key"))
+    assert same(reports.count_pivot(reports.tagged_keys(tags, tx, "region_key", "invoice_no"), "region_key", "invoice_no"),
+                reports.count_pivot(sales, "region_key", "invoice_no"))
+
+
+def test_lines_are_stored_before_they_are_searched_and_joined(tx, tags, monkeypatch):
+    from clientele.operators import skew
+    searched, plain = [], skew.heavy_keys
+    monkeypatch.setattr(skew, "heavy_keys", lambda df, *args: searched.append(df) or plain(df, *args))
+    monkeypatch.setattr(skew, "TASK_ROWS", 1)
+    assert reports.tagged_sales(tags, tx).count() == 7
+    assert searched and all("/staged/" in path for df in searched for path in df.inputFiles()) and searched[0].inputFiles()
